@@ -71,3 +71,180 @@ ORACLE["docs_indexed"] = f"""
 WITH {RECORDS_CTE}
 SELECT doc_index, page_content, millet_name, millet_id, source, instruction, category FROM docs
 """
+
+
+# ---------------------------------------------------------------------------
+# entities and instruction generation
+# ---------------------------------------------------------------------------
+def render_sql(template: str, mapping: dict[str, str]) -> str:
+    """Nested ``replace`` over the template literal; mapping: placeholder -> SQL expr."""
+    expr = q(template)
+    for name in dict.fromkeys(re.findall(r"\{([A-Za-z_][A-Za-z0-9_]*)\}", template)):
+        expr = f"replace({expr}, {q('{' + name + '}')}, {mapping.get(name, name)})"
+    return expr
+
+
+ENTITY_NAMES = [c for _, c in D.ENTITY_COLUMNS]
+
+ENTITY_CTE = """
+sn AS (SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+li AS (SELECT l.l_partkey, l.l_returnflag, l.l_quantity, sn.n_name
+       FROM lineitem l LEFT JOIN sn ON l.l_suppkey = sn.s_suppkey),
+fc AS (SELECT l_partkey, l_returnflag, count(*) AS n FROM li GROUP BY ALL),
+fs AS (SELECT l_partkey,
+              string_agg(l_returnflag || ': ' || CAST(n AS VARCHAR) || ' lines', ' | ' ORDER BY l_returnflag) AS pieces,
+              string_agg(l_returnflag, ', ' ORDER BY l_returnflag) AS pests,
+              min(l_returnflag) AS first_flag
+       FROM fc GROUP BY ALL),
+qa AS (SELECT l_partkey, sum(l_quantity) AS qty FROM li GROUP BY ALL),
+nc AS (SELECT l_partkey, n_name, count(*) AS n FROM li GROUP BY ALL),
+orig AS (SELECT l_partkey, n_name AS origin FROM (
+           SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, n_name NULLS FIRST) AS rn FROM nc)
+         WHERE rn = 1),
+ent_raw AS (
+  SELECT p.p_partkey,
+    CAST(p.p_partkey AS VARCHAR) AS millet_id,
+    p.p_name || ' ' || CAST(p.p_partkey AS VARCHAR) AS millet_name,
+    'part/' || CAST(p.p_partkey AS VARCHAR) AS source_url,
+    CASE WHEN p.p_partkey % 7 = 0 THEN NULL
+         ELSE 'Protein: ' || (CASE WHEN p.p_partkey % 2 = 0 THEN '12.5' ELSE '11.6' END) || ' g per 100 g' || chr(10)
+              || 'Fibre: ' || CAST(p.p_size AS VARCHAR) || ' g' || chr(10) || 'Type: ' || p.p_type END
+      AS nutritional_profile,
+    CASE WHEN p.p_partkey % 5 = 0 THEN '   ' ELSE 'Supports ' || lower(p.p_type) || ' diets' END AS health_benefits,
+    CASE WHEN p.p_size > 30 THEN 'High' WHEN p.p_size > 15 THEN 'Medium' ELSE 'Low' END AS drought_tolerance,
+    coalesce(fs.pests, '') AS common_pests,
+    CAST(CAST(p.p_retailprice AS DECIMAL(12,2)) AS VARCHAR) AS market_price_retail_inr_per_kg,
+    CASE WHEN qa.qty >= 900 THEN 'High' WHEN qa.qty >= 600 THEN 'Medium' ELSE 'Low' END AS market_demand,
+    CASE WHEN p.p_partkey % 17 = 0 THEN NULL
+         ELSE concat_ws(' | ', coalesce(fs.pieces, ''),
+                        CASE WHEN p.p_partkey % 11 = 0 THEN fs.first_flag || ': repeated entry' END,
+                        CASE WHEN p.p_partkey % 13 = 0 THEN 'loose note without separator' END) END AS recipes,
+    p.p_brand || ' ' || p.p_type AS millet_scientific_name,
+    p.p_type || ' ' || p.p_name AS millet_description,
+    orig.origin AS origin_region,
+    CASE p.p_partkey % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' END AS gluten_free
+  FROM part p LEFT JOIN fs ON fs.l_partkey = p.p_partkey LEFT JOIN qa ON qa.l_partkey = p.p_partkey
+       LEFT JOIN orig ON orig.l_partkey = p.p_partkey
+),
+ent AS (
+  SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS entity_pos, """ + ",\n         ".join(
+    (f"CASE WHEN {py_strip(c)} IS NULL OR {py_strip(c)} = '' THEN {q(D.NOT_AVAILABLE)} ELSE {py_strip(c)} END AS {c}"
+     if c in {"millet_id", "millet_name", "source_url", "nutritional_profile", "health_benefits",
+              "drought_tolerance", "common_pests", "market_price_retail_inr_per_kg", "market_demand", "recipes",
+              "millet_scientific_name", "millet_description", "origin_region", "gluten_free"}
+     else f"{q(D.NOT_AVAILABLE)} AS {c}") for c in ENTITY_NAMES) + """
+  FROM ent_raw
+)"""
+
+# a missing concat_ws argument: DuckDB's concat_ws skips NULLs like Spark's; an
+# empty first piece (part without lines) would leave a leading separator in both.
+
+RECIPE_CTE = """
+rp AS (
+  SELECT entity_pos, unnest(string_split(recipes, '|')) AS piece,
+         unnest(range(1, len(string_split(recipes, '|')) + 1)) AS pi
+  FROM ent WHERE recipes <> 'Not available'
+),
+rs AS (
+  SELECT entity_pos, pi, """ + py_strip("piece") + """ AS piece FROM rp
+),
+rk AS (
+  SELECT entity_pos, """ + py_strip("split_part(piece, ':', 1)") + """ AS recipe_name,
+         """ + py_strip("substr(piece, instr(piece, ':') + 1)") + """ AS recipe_steps, pi
+  FROM rs WHERE instr(piece, ':') > 0
+),
+rd AS (
+  SELECT entity_pos, recipe_name, min(pi) AS first_pi, arg_max(recipe_steps, pi) AS recipe_steps
+  FROM rk GROUP BY entity_pos, recipe_name
+),
+recipes_parsed AS (
+  SELECT entity_pos, row_number() OVER (PARTITION BY entity_pos ORDER BY first_pi) - 1 AS recipe_pos,
+         count(*) OVER (PARTITION BY entity_pos) AS n_recipes, recipe_name, recipe_steps, first_pi
+  FROM rd
+),
+recipe_counts AS (
+  SELECT e.entity_pos, coalesce(max(r.n_recipes), 0) AS n_recipes,
+         string_agg('**' || r.recipe_name || '**' || chr(10) || r.recipe_steps, chr(10) || chr(10)
+                    ORDER BY r.first_pi) AS all_recipes
+  FROM ent e LEFT JOIN recipes_parsed r ON r.entity_pos = e.entity_pos GROUP BY e.entity_pos
+)"""
+
+
+def _gen_selects() -> list[str]:
+    nutr_n = f"(CASE WHEN e.nutritional_profile <> {q(D.NOT_AVAILABLE)} THEN 6 ELSE 0 END)"
+    meta = "e.millet_id AS meta_millet_id, e.millet_name AS meta_millet_name, e.source_url AS meta_source"
+    mapping = {c: f"e.{c}" for c in ENTITY_NAMES}
+    mapping["gf_word"] = f"(CASE WHEN e.gluten_free = 'Yes' THEN {q(D.GLUTEN_WORDS[0])} ELSE {q(D.GLUTEN_WORDS[1])} END)"
+    mapping["gf_suit"] = f"(CASE WHEN e.gluten_free = 'Yes' THEN {q(D.GLUTEN_SUIT[0])} ELSE {q(D.GLUTEN_SUIT[1])} END)"
+    selects = []
+    offset = "0"
+    for category, tmpls in D.CATEGORY_TEMPLATES:
+        if category == "recipe":
+            rm = dict(mapping, recipe_name="r.recipe_name", recipe_steps="r.recipe_steps")
+            for j, (i, n, o) in enumerate(D.RECIPE_PER_ITEM):
+                selects.append(
+                    f"SELECT e.entity_pos, {offset} + 2 * r.recipe_pos + {j} AS item, 'recipe' AS category, "
+                    f"{render_sql(i, rm)} AS instruction, {render_sql(n, rm)} AS input, "
+                    f"{render_sql(o, rm)} AS output, {meta} FROM ent e JOIN recipes_parsed r ON r.entity_pos = e.entity_pos")
+            am = dict(mapping, all_recipes="c.all_recipes")
+            for j, (i, n, o) in enumerate(D.RECIPE_AGGREGATE):
+                selects.append(
+                    f"SELECT e.entity_pos, {offset} + 2 * c.n_recipes + {j} AS item, 'recipe' AS category, "
+                    f"{render_sql(i, am)} AS instruction, {render_sql(n, am)} AS input, "
+                    f"{render_sql(o, am)} AS output, {meta} FROM ent e JOIN recipe_counts c ON c.entity_pos = e.entity_pos "
+                    f"WHERE c.n_recipes > 0")
+            offset = f"({offset} + 2 * c.n_recipes + CASE WHEN c.n_recipes > 0 THEN 3 ELSE 0 END)"
+            continue
+        gate = f" AND e.nutritional_profile <> {q(D.NOT_AVAILABLE)}" if category == D.GATED_CATEGORY[0] else ""
+        for t, (i, n, o) in enumerate(tmpls):
+            selects.append(
+                f"SELECT e.entity_pos, {offset} + {t} AS item, {q(category)} AS category, "
+                f"{render_sql(i, mapping)} AS instruction, {render_sql(n, mapping)} AS input, "
+                f"{render_sql(o, mapping)} AS output, {meta} "
+                f"FROM ent e JOIN recipe_counts c ON c.entity_pos = e.entity_pos WHERE TRUE{gate}")
+        size = len(tmpls)
+        offset = f"({offset} + {nutr_n})" if category == D.GATED_CATEGORY[0] else f"({offset} + {size})"
+    return selects
+
+
+GEN_CTE = "gen AS (\n" + "\nUNION ALL\n".join(_gen_selects()) + "\n)"
+
+CMP_CTE = """
+cmp AS (
+  SELECT a.entity_pos, (o.off - 1) * 3 + t.t AS item, 'comparison' AS category,
+    CASE t.t
+      WHEN 0 THEN """ + render_sql(D.COMPARISON_TEMPLATES[0][0], {"name1": "a.millet_name", "name2": "b.millet_name"}) + """
+      WHEN 1 THEN """ + render_sql(D.COMPARISON_TEMPLATES[1][0], {"name1": "a.millet_name", "name2": "b.millet_name"}) + """
+      ELSE """ + render_sql(D.COMPARISON_TEMPLATES[2][0], {"name1": "a.millet_name", "name2": "b.millet_name"}) + """ END
+      AS instruction,
+    '' AS input,
+    CASE t.t
+      WHEN 0 THEN """ + render_sql(D.COMPARISON_TEMPLATES[0][2], {"name1": "a.millet_name", "name2": "b.millet_name",
+                                                                  "nutr1": "a.nutritional_profile",
+                                                                  "nutr2": "b.nutritional_profile"}) + """
+      WHEN 1 THEN """ + render_sql(D.COMPARISON_TEMPLATES[1][2], {"name1": "a.millet_name", "name2": "b.millet_name",
+                                                                  "drought1": "a.drought_tolerance",
+                                                                  "drought2": "b.drought_tolerance"}) + """
+      ELSE """ + render_sql(D.COMPARISON_TEMPLATES[2][2], {"name1": "a.millet_name", "name2": "b.millet_name",
+                                                           "price1": "a.market_price_retail_inr_per_kg",
+                                                           "price2": "b.market_price_retail_inr_per_kg"}) + """ END
+      AS output,
+    a.millet_id || ',' || b.millet_id AS meta_millet_id,
+    a.millet_name || ' vs ' || b.millet_name AS meta_millet_name,
+    a.source_url || '; ' || b.source_url AS meta_source
+  FROM ent a CROSS JOIN (VALUES (1), (2)) o(off) JOIN ent b ON b.entity_pos = a.entity_pos + o.off
+       CROSS JOIN (VALUES (0), (1), (2)) t(t)
+)"""
+
+GEN_COLS = "entity_pos, item, category, instruction, input, output, meta_millet_id, meta_millet_name, meta_source"
+
+ORACLE["gen_instructions"] = f"WITH {ENTITY_CTE},\n{RECIPE_CTE},\n{GEN_CTE}\nSELECT {GEN_COLS} FROM gen"
+ORACLE["gen_recipes"] = (f"WITH {ENTITY_CTE},\n{RECIPE_CTE}\n"
+                         "SELECT entity_pos, recipe_pos, recipe_name, recipe_steps FROM recipes_parsed")
+ORACLE["neighbor_comparisons"] = f"WITH {ENTITY_CTE},\n{CMP_CTE}\nSELECT {GEN_COLS} FROM cmp"
+INSTR_SET = f"WITH {ENTITY_CTE},\n{RECIPE_CTE},\n{GEN_CTE},\n{CMP_CTE},\nallrows AS (SELECT * FROM gen UNION ALL SELECT * FROM cmp)\n"
+ORACLE["instr_per_entity"] = INSTR_SET + (
+    "SELECT meta_millet_name AS millet_name, count(*) AS n_instructions FROM allrows GROUP BY 1 ORDER BY 1")
+ORACLE["instr_avg"] = INSTR_SET + (
+    "SELECT count(*) AS total, count(DISTINCT meta_millet_name) AS distinct_names, "
+    "round(count(*) / count(DISTINCT meta_millet_name), 1) AS avg_per_name FROM allrows")

@@ -11,7 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from sheaf.operators import docs as docs_ops
+from sheaf.operators import generate as gen_ops
 from sheaf.plans import bindings as B
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +42,46 @@ def entry_category_counts(spark, sf_dir):
 def docs_indexed(spark, sf_dir):
     """WIN1 FLT1 PRJ7 PRJ8 CLS1: the full document table."""
     return knowledge_docs(spark, sf_dir)
+
+
+# ---------------------------------------------------------------------------
+# instruction generation (JOB1)
+# ---------------------------------------------------------------------------
+def positioned_entities(spark, sf_dir):
+    return gen_ops.positioned_entities(B.entities(spark, sf_dir), B.ENTITY_ORDER)
+
+
+def instruction_set(spark, sf_dir):
+    return gen_ops.build_instruction_set(B.entities(spark, sf_dir), B.ENTITY_ORDER)
+
+
+@query("gen_instructions")
+def gen_instructions(spark, sf_dir):
+    """PRJ1-4 GEN1-9 GEN11: templated rows per entity."""
+    return gen_ops.flatten_meta(gen_ops.generate_entity_instructions(positioned_entities(spark, sf_dir)))
+
+
+@query("gen_recipes")
+def gen_recipes(spark, sf_dir):
+    """GEN8: parsed recipe table (first position, last value)."""
+    safe = positioned_entities(spark, sf_dir)
+    return safe.select("entity_pos", F.posexplode(gen_ops.parse_recipes(F.col("recipes"))).alias("recipe_pos", "r"))\
+        .select("entity_pos", "recipe_pos", "r.recipe_name", "r.recipe_steps")
+
+
+@query("neighbor_comparisons")
+def neighbor_comparisons(spark, sf_dir):
+    """WIN1 JOIN1 GEN10 PRJ5."""
+    return gen_ops.flatten_meta(gen_ops.generate_comparisons(positioned_entities(spark, sf_dir)))
+
+
+@query("instr_per_entity")
+def instr_per_entity(spark, sf_dir):
+    """AGG2 over the whole JOB1 output."""
+    return gen_ops.per_entity_counts(instruction_set(spark, sf_dir))
+
+
+@query("instr_avg")
+def instr_avg(spark, sf_dir):
+    """AGG3."""
+    return gen_ops.average_per_entity(instruction_set(spark, sf_dir))
