@@ -7,6 +7,12 @@ partition counts its rows, and a prefix sum over the (tiny, one row per
 partition) count table gives each partition its starting offset.  The
 offset table is broadcast; its size is bounded by the partition count,
 not by the data.
+
+Range bounds come from a sample whose seed depends on the RDD id, so two
+evaluations of the same range exchange may cut partitions differently.  The
+tagged rows are therefore written once with a reliable ``checkpoint()`` to
+the shared checkpoint folder; counts and numbering both read that copy, which
+also survives executor loss.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import col_or_lit
+from sheaf.session import shared_dir
 
 
 def with_position(df: DataFrame, order_by: Sequence, name: str = "idx",
@@ -36,6 +43,8 @@ def with_position(df: DataFrame, order_by: Sequence, name: str = "idx",
               .withColumn("_pos_pid", F.spark_partition_id())
               .withColumn("_pos_row", F.monotonically_increasing_id()
                           - F.shiftleft(F.col("_pos_pid").cast("long"), 33)))
+    shared_dir(spark)
+    tagged = tagged.checkpoint(eager=True)
     counts = tagged.groupBy("_pos_pid").agg(F.count(F.lit(1)).alias("_pos_n"))
     offsets = counts.select(
         "_pos_pid",

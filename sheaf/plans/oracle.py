@@ -248,3 +248,135 @@ ORACLE["instr_per_entity"] = INSTR_SET + (
 ORACLE["instr_avg"] = INSTR_SET + (
     "SELECT count(*) AS total, count(DISTINCT meta_millet_name) AS distinct_names, "
     "round(count(*) / count(DISTINCT meta_millet_name), 1) AS avg_per_name FROM allrows")
+
+
+# ---------------------------------------------------------------------------
+# augmentation and training sets
+# ---------------------------------------------------------------------------
+def meta_sql(pairs) -> str:
+    """Sorted ``k=v;...`` text from (key, sql value) pairs."""
+    return " || ';' || ".join(f"{q(k + '=')} || {v}" for k, v in sorted(pairs))
+
+
+BASE_META = [("millet_id", "meta_millet_id"), ("millet_name", "meta_millet_name"), ("source", "meta_source")]
+
+RECS_CTE = INSTR_SET.replace("WITH ", "", 1).rstrip() + """,
+recs AS (
+  SELECT row_number() OVER (ORDER BY part, entity_pos, item) - 1 AS rec_pos, instruction, input, output,
+         meta_millet_id, meta_millet_name, meta_source
+  FROM (SELECT 0 AS part, * FROM gen UNION ALL SELECT 1 AS part, * FROM cmp)
+)"""
+
+
+def _rephrase_list(fix=False) -> str:
+    lists = []
+    for gi, (triggers, prefixes, variants) in enumerate(D.REPHRASE_GROUPS):
+        base = "instruction"
+        for p in prefixes:
+            base = f"replace({base}, {q(p)}, '')"
+        items = ", ".join(render_sql(v, {"base": base}) for v in variants)
+        lists.append(f"(CASE WHEN {like_any('lower(instruction)', triggers)} THEN [{items}] ELSE []::VARCHAR[] END)")
+    expr = lists[0]
+    for l in lists[1:]:
+        expr = f"list_concat({expr}, {l})"
+    return f"list_slice({expr}, 1, {D.REPHRASE_KEEP})"
+
+
+REPH_CTE = f"""
+rv AS (SELECT rec_pos, input, output, meta_millet_id, meta_millet_name, meta_source,
+              {_rephrase_list()} AS vars FROM recs),
+reph AS (
+  SELECT 'rephrased' AS origin, rec_pos, CAST(s - 1 AS BIGINT) AS sub, vars[s] AS instruction, input, output,
+         {meta_sql(BASE_META + [('augmentation', q('rephrased'))])} AS meta
+  FROM rv, range(1, len(vars) + 1) t(s)
+)"""
+
+KEY_STRIP = "[" + re.escape(D.FACT_KEY_STRIP) + "]+"
+FACTS_CTE = f"""
+fl AS (SELECT rec_pos, string_split(output, chr(10)) AS lines FROM recs),
+fl2 AS (SELECT rec_pos, i, {py_strip('lines[i]')} AS line FROM fl, range(1, len(lines) + 1) t(i)),
+fv AS (SELECT rec_pos, i,
+              {py_strip(f"regexp_replace(split_part(line, ':', 1), '^{KEY_STRIP}|{KEY_STRIP}$', '', 'g')")} AS fact_key,
+              {py_strip("substr(line, instr(line, ':') + 1)")} AS fact_value
+       FROM fl2 WHERE line <> '' AND instr(line, ':') > 0),
+facts AS (
+  SELECT rec_pos, row_number() OVER (PARTITION BY rec_pos ORDER BY i) - 1 AS fact_pos, fact_key, fact_value
+  FROM fv WHERE fact_key <> '' AND fact_value <> '' AND length(fact_value) > 3
+  QUALIFY fact_pos < {D.FACT_KEEP}
+)"""
+
+QA_CTE = f"""
+qa_src AS (
+  SELECT f.rec_pos, f.fact_pos, f.fact_key, f.fact_value, r.meta_millet_id, r.meta_millet_name, r.meta_source
+  FROM facts f JOIN recs r ON r.rec_pos = f.rec_pos WHERE r.rec_pos < {D.QA_SOURCE_ROWS}
+),
+qa_rows AS (
+  SELECT 'qa' AS origin, rec_pos, CAST(fact_pos * 2 + k AS BIGINT) AS sub,
+    CASE WHEN meta_millet_name <> '' THEN
+           CASE k WHEN 0 THEN 'What is the ' || lower(fact_key) || ' for ' || meta_millet_name || '?'
+                  ELSE 'Tell me the ' || lower(fact_key) || ' of ' || meta_millet_name END
+         ELSE CASE k WHEN 0 THEN 'What is the ' || lower(fact_key) || '?'
+                  ELSE 'What about the ' || lower(fact_key) || '?' END END AS instruction,
+    '' AS input, fact_value AS output,
+    {meta_sql(BASE_META)} AS meta
+  FROM qa_src, (VALUES (0), (1)) t(k)
+)"""
+
+NEG_VALUES = ", ".join(f"({i}, {q(a)}, {q(b)})" for i, (a, b) in enumerate(D.NEGATIVE_EXAMPLES))
+AUG_CTE = f"""
+neg AS (SELECT 'negative' AS origin, CAST(-1 AS BIGINT) AS rec_pos, CAST(i AS BIGINT) AS sub, instruction,
+               '' AS input, output,
+               {meta_sql([(k, q(v)) for k, v in D.NEGATIVE_META.items()])} AS meta
+        FROM (VALUES {NEG_VALUES}) t(i, instruction, output)),
+orig_rows AS (SELECT 'original' AS origin, rec_pos, CAST(0 AS BIGINT) AS sub, instruction, input, output,
+                {meta_sql(BASE_META)} AS meta FROM recs),
+aug AS (SELECT * FROM orig_rows UNION ALL SELECT * FROM reph UNION ALL SELECT * FROM qa_rows UNION ALL SELECT * FROM neg)"""
+
+AUG_ALL = f"WITH {RECS_CTE},\n{REPH_CTE},\n{FACTS_CTE},\n{QA_CTE},\n{AUG_CTE}\n"
+AUG_COLS = "origin, rec_pos, sub, instruction, input, output, meta"
+
+ORACLE["rephrase"] = f"WITH {RECS_CTE},\n{REPH_CTE}\nSELECT {AUG_COLS} FROM reph"
+ORACLE["facts"] = f"WITH {RECS_CTE},\n{FACTS_CTE}\nSELECT rec_pos, fact_pos, fact_key, fact_value FROM facts"
+ORACLE["qa_pairs"] = f"WITH {RECS_CTE},\n{FACTS_CTE},\n{QA_CTE}\nSELECT {AUG_COLS} FROM qa_rows"
+ORACLE["augment_counts"] = AUG_ALL + """
+SELECT count(*) FILTER (WHERE origin = 'original') AS original,
+       count(*) FILTER (WHERE origin = 'rephrased') AS rephrased,
+       count(*) FILTER (WHERE origin = 'qa') AS qa,
+       count(*) FILTER (WHERE origin = 'negative') AS negative,
+       count(*) AS total,
+       round((count(*) / count(*) FILTER (WHERE origin = 'original') - 1) * 100, 1) AS growth_pct
+FROM aug"""
+ORACLE["seeded_shuffle"] = AUG_ALL + f"SELECT {AUG_COLS} FROM aug"
+
+
+def _rejected_sql(instr: str, chosen: str) -> str:
+    parts = []
+    for needles, text in D.PREFERENCE_RULES:
+        if text is None:
+            swapped = chosen
+            for a, b in D.NUMBER_CORRUPTIONS:
+                swapped = f"replace({swapped}, {q(a)}, {q(b)})"
+            value = f"CASE WHEN {like_any(chosen, [a for a, _ in D.NUMBER_CORRUPTIONS])} THEN {swapped} END"
+        else:
+            value = q(text)
+        parts.append(f"WHEN {like_any(f'lower({instr})', needles)} THEN {value}")
+    return "CASE " + " ".join(parts) + " END"
+
+
+ORACLE["pref_pairs"] = AUG_ALL + f"""
+SELECT prompt, chosen, rejected, origin, rec_pos, sub FROM (
+  SELECT instruction AS prompt, output AS chosen, {_rejected_sql('instruction', 'output')} AS rejected,
+         origin, rec_pos, sub FROM aug)
+WHERE rejected IS NOT NULL AND rejected <> '' AND rejected <> chosen"""
+
+SFT_SQL = f"""
+WITH {RECORDS_CTE.split('indexed AS')[0].rstrip().rstrip(',')},
+sft AS (SELECT conv_id, turn, {render_sql(D.SFT_TEMPLATE, {'system': q(D.SFT_SYSTEM_PROMPT)})} AS text FROM records)
+"""
+ORACLE["sft_text"] = SFT_SQL + "SELECT conv_id, turn, text FROM sft"
+ORACLE["length_profile"] = SFT_SQL + f"""
+, toks AS (SELECT len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n_tokens FROM sft)
+SELECT l AS "limit", count(*) AS n_texts, count(*) FILTER (WHERE n_tokens > l) AS n_over,
+       max(n_tokens) AS max_tokens, round(avg(n_tokens), 6) AS avg_tokens,
+       round(count(*) FILTER (WHERE n_tokens > l) / count(*), 6) AS share_over
+FROM toks, (VALUES {', '.join(f'({x})' for x in D.LENGTH_LIMITS)}) t(l) GROUP BY l"""

@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.operators import docs as docs_ops
+from sheaf.operators import augment as aug_ops
 from sheaf.operators import generate as gen_ops
+from sheaf.operators import training as train_ops
+from sheaf.operators.positions import with_position
 from sheaf.plans import bindings as B
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +88,79 @@ def instr_per_entity(spark, sf_dir):
 def instr_avg(spark, sf_dir):
     """AGG3."""
     return gen_ops.average_per_entity(instruction_set(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# augmentation (JOB2) and training sets (JOB6, JOB7, JOB9)
+# ---------------------------------------------------------------------------
+def meta_string(c="meta"):
+    """Map -> sorted ``k=v;k=v`` text (stable across engines for comparison)."""
+    return F.array_join(F.array_sort(F.transform(F.map_entries(F.col(c)),
+                                                 lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+
+
+def augment_input(spark, sf_dir):
+    """JOB1 output with its record position (file order of the generated JSONL)."""
+    return with_position(instruction_set(spark, sf_dir), ["part", "entity_pos", "item"], "rec_pos")
+
+
+def augmented(spark, sf_dir):
+    return aug_ops.augment(augment_input(spark, sf_dir))
+
+
+AUG_COLS = ["origin", "rec_pos", "sub", "instruction", "input", "output"]
+
+
+@query("rephrase")
+def rephrase_q(spark, sf_dir):
+    """GEN12 GEN13 PRJ6."""
+    r = aug_ops.rephrased_rows(augment_input(spark, sf_dir))
+    return r.select(*AUG_COLS, meta_string().alias("meta"))
+
+
+@query("facts")
+def facts_q(spark, sf_dir):
+    """GEN14 over every record."""
+    recs = augment_input(spark, sf_dir)
+    return recs.select("rec_pos", F.posexplode(aug_ops.extract_facts(F.col("output"))).alias("fact_pos", "f"))\
+        .select("rec_pos", "fact_pos", F.col("f.key").alias("fact_key"), F.col("f.value").alias("fact_value"))
+
+
+@query("qa_pairs")
+def qa_pairs_q(spark, sf_dir):
+    """WIN3 GEN14 GEN15."""
+    return aug_ops.qa_rows(augment_input(spark, sf_dir)).select(*AUG_COLS, meta_string().alias("meta"))
+
+
+@query("augment_counts")
+def augment_counts_q(spark, sf_dir):
+    """SET2 AGG4 (SRC10 negatives included)."""
+    return aug_ops.augment_counts(augmented(spark, sf_dir))
+
+
+@query("seeded_shuffle")
+def seeded_shuffle_q(spark, sf_dir):
+    """SRT2 over the whole augmented set (multiset checked; order is the seeded permutation)."""
+    return aug_ops.seeded_shuffle(augmented(spark, sf_dir)).select(*AUG_COLS, meta_string().alias("meta"))
+
+
+@query("pref_pairs")
+def pref_pairs_q(spark, sf_dir):
+    """PRF1-3 FLT3 over the augmented set."""
+    return train_ops.preference_pairs(augmented(spark, sf_dir))
+
+
+def sft_rows(spark, sf_dir):
+    return train_ops.with_chat_text(B.instruction_records(spark, sf_dir))
+
+
+@query("sft_text")
+def sft_text_q(spark, sf_dir):
+    """PRJ9 over conversation records."""
+    return sft_rows(spark, sf_dir).select("conv_id", "turn", "text")
+
+
+@query("length_profile")
+def length_profile_q(spark, sf_dir):
+    """JOB9."""
+    return train_ops.length_profile(sft_rows(spark, sf_dir))
