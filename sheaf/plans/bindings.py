@@ -136,3 +136,32 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ENTITY_ORDER = ["p_partkey"]
+
+
+# ---------------------------------------------------------------------------
+# requests
+# ---------------------------------------------------------------------------
+CONV_REQUEST_BASE = 10 ** 12
+MODES = [D.MODE_FAST, D.MODE_THINKING, None]
+MODEL_TYPES = ["millet", "base", "Base", None]
+
+
+def requests_from(generated: DataFrame, records: DataFrame) -> DataFrame:
+    """Chat requests: generated instructions (id = record position) and conversation
+    user turns (id = 10^12 + conv_id * 1000 + turn); mode / model type / topic by id."""
+    topic_ids = [t[0] for t in D.TOPICS]
+    gen = generated.select(F.col("rec_pos").alias("request_id"), F.col("instruction").alias("message"))
+    conv = records.select((F.lit(CONV_REQUEST_BASE) + F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+                          F.col("instruction").alias("message"))
+    req = gen.unionByName(conv)
+    rid = F.col("request_id")
+
+    def pick(values, mod):
+        out = None
+        for i, v in enumerate(values):
+            val = F.lit(v).cast("string")
+            out = F.when(rid % mod == i, val) if out is None else out.when(rid % mod == i, val)
+        return out
+
+    return req.select("request_id", "message", pick(MODEL_TYPES, 4).alias("model_type"),
+                      pick(MODES, 3).alias("mode"), pick(topic_ids, len(topic_ids)).alias("context"))

@@ -380,3 +380,62 @@ SELECT l AS "limit", count(*) AS n_texts, count(*) FILTER (WHERE n_tokens > l) A
        max(n_tokens) AS max_tokens, round(avg(n_tokens), 6) AS avg_tokens,
        round(count(*) FILTER (WHERE n_tokens > l) / count(*), 6) AS share_over
 FROM toks, (VALUES {', '.join(f'({x})' for x in D.LENGTH_LIMITS)}) t(l) GROUP BY l"""
+
+
+# ---------------------------------------------------------------------------
+# routing
+# ---------------------------------------------------------------------------
+def _pick_sql(values, mod, idexpr="request_id"):
+    return "CASE " + " ".join(f"WHEN {idexpr} % {mod} = {i} THEN {q(v) if v is not None else 'NULL'}"
+                              for i, v in enumerate(values)) + " END"
+
+
+REQ_CTE = RECS_CTE + """,
+""" + RECORDS_CTE.split("indexed AS")[0].strip().rstrip(",") + """,
+req0 AS (SELECT rec_pos AS request_id, instruction AS message FROM recs
+         UNION ALL SELECT """ + str(B.CONV_REQUEST_BASE) + """ + conv_id * 1000 + turn, instruction FROM records),
+req AS (SELECT request_id, message, """ + _pick_sql(B.MODEL_TYPES, 4) + """ AS model_type,
+               """ + _pick_sql(B.MODES, 3) + """ AS mode,
+               """ + _pick_sql([t[0] for t in D.TOPICS], len(D.TOPICS)) + """ AS context FROM req0),
+"""
+
+
+def _complexity_sql(expr="lower(message)"):
+    parts = [f"WHEN instr({expr}, {q(p)}) > 0 THEN {q(t)}" for p, t in D.COMPLEXITY_TRIGGERS]
+    parts.append("WHEN " + " OR ".join(f"starts_with({expr}, {q(s)})" for s in D.COMPLEX_STARTERS)
+                 + f" THEN {q(D.COMPLEX_STARTER_TYPE)}")
+    return "CASE " + " ".join(parts) + " END"
+
+
+ROUTED_CTE = REQ_CTE + f"""
+r1 AS (SELECT *, {_complexity_sql()} AS auto_type FROM req WHERE {py_strip('coalesce(message, \'\')')} <> ''),
+routed AS (
+  SELECT request_id, message, mode, context,
+         CASE WHEN mode = 'thinking' THEN TRUE WHEN mode = 'fast' THEN FALSE ELSE auto_type IS NOT NULL END AS is_complex,
+         CASE WHEN mode = 'thinking' THEN {q(D.THINKING_TYPE)} WHEN mode = 'fast' THEN NULL ELSE auto_type END
+           AS complexity_type,
+         CASE WHEN mode = 'thinking' THEN 1000 WHEN mode = 'fast' THEN 350 ELSE 400 END AS cap,
+         lower(coalesce(model_type, 'millet')) <> 'base' AS use_adapter,
+         {like_any('lower(message)', D.RECIPE_QUESTION_KEYWORDS)} AS is_recipe
+  FROM r1
+),
+routed2 AS (SELECT *, CASE WHEN is_complex THEN least(cap, 600) ELSE least(cap, 350) END AS max_tokens FROM routed)
+"""
+
+ORACLE["question_routing"] = "WITH " + ROUTED_CTE + (
+    "SELECT request_id, is_complex, complexity_type, max_tokens, use_adapter, is_recipe FROM routed2")
+ORACLE["token_budget"] = "WITH " + ROUTED_CTE + (
+    "SELECT coalesce(mode, 'auto') AS mode, coalesce(complexity_type, 'simple') AS complexity_type, max_tokens, "
+    "count(*) AS n_requests FROM routed2 GROUP BY ALL")
+TOPIC_VALUES = ", ".join("(" + ", ".join(q(x) for x in t) + ")" for t in D.TOPICS)
+ORACLE["topic_dim"] = "WITH " + REQ_CTE + f"""
+topics AS (SELECT * FROM (VALUES {TOPIC_VALUES}) t(topic_id, title, description, helper_text, theme))
+SELECT r.request_id, r.context, t.title, t.description, coalesce(t.theme, {q(D.DEFAULT_THEME)}) AS theme,
+       {render_sql(D.WELCOME_TEMPLATE, {'context': "coalesce(r.context, '')", 'context_lower': "lower(coalesce(r.context, ''))"})} AS welcome
+FROM req r LEFT JOIN topics t ON r.context = t.topic_id"""
+ORACLE["confidence_band"] = """
+SELECT event_id, value AS score,
+       CASE WHEN value > 80 THEN 'high' WHEN value > 50 THEN 'medium' ELSE 'low' END AS band FROM events"""
+ORACLE["nutrient_share"] = """
+SELECT event_type, count(*) AS n_events, round(avg(least(value, 150.0) / 150), 6) AS avg_share,
+       count(*) FILTER (WHERE value > 150) AS n_over_full FROM events GROUP BY event_type"""

@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from sheaf.operators import docs as docs_ops
 from sheaf.operators import augment as aug_ops
 from sheaf.operators import generate as gen_ops
+from sheaf.operators import requests as req_ops
 from sheaf.operators import training as train_ops
+from sheaf.functions import route as RT
+from sheaf.rules import defaults as D
 from sheaf.operators.positions import with_position
 from sheaf.plans import bindings as B
 
@@ -164,3 +167,50 @@ def sft_text_q(spark, sf_dir):
 def length_profile_q(spark, sf_dir):
     """JOB9."""
     return train_ops.length_profile(sft_rows(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# routing (CLS*)
+# ---------------------------------------------------------------------------
+def requests(spark, sf_dir):
+    return B.requests_from(augment_input(spark, sf_dir), B.instruction_records(spark, sf_dir))
+
+
+@query("question_routing")
+def question_routing_q(spark, sf_dir):
+    """FLT7 CLS2 CLS3 CLS4 CLS5 CLS7 over all requests."""
+    return req_ops.route_requests(requests(spark, sf_dir)).select(
+        "request_id", "is_complex", "complexity_type", "max_tokens", "use_adapter", "is_recipe")
+
+
+@query("token_budget")
+def token_budget_q(spark, sf_dir):
+    """CLS4 distribution per mode and complexity type."""
+    r = req_ops.route_requests(requests(spark, sf_dir))
+    return r.groupBy(F.coalesce(F.col("mode"), F.lit("auto")).alias("mode"),
+                     F.coalesce(F.col("complexity_type"), F.lit("simple")).alias("complexity_type"),
+                     "max_tokens").agg(F.count(F.lit(1)).alias("n_requests"))
+
+
+@query("topic_dim")
+def topic_dim_q(spark, sf_dir):
+    """CLS9 PRJ14 (welcome row): broadcast join of the 7-row catalogue."""
+    return req_ops.attach_topics(requests(spark, sf_dir), req_ops.topic_dimension(spark))
+
+
+@query("confidence_band")
+def confidence_band_q(spark, sf_dir):
+    """CLS8 over event values used as scores."""
+    ev = B.table(spark, sf_dir, "events")
+    return ev.select("event_id", F.col("value").alias("score"), RT.confidence_band(F.col("value")).alias("band"))
+
+
+@query("nutrient_share")
+def nutrient_share_q(spark, sf_dir):
+    """CLS10: value as a share of the radar's full mark (domain 0-150), per event type."""
+    ev = B.table(spark, sf_dir, "events")
+    full = D.NUTRIENT_AXES[0][2]
+    return ev.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.round(F.avg(F.least(F.col("value"), F.lit(float(full))) / full), 6).alias("avg_share"),
+        F.count(F.when(F.col("value") > full, 1)).alias("n_over_full"))
