@@ -165,3 +165,21 @@ def requests_from(generated: DataFrame, records: DataFrame) -> DataFrame:
 
     return req.select("request_id", "message", pick(MODEL_TYPES, 4).alias("model_type"),
                       pick(MODES, 3).alias("mode"), pick(topic_ids, len(topic_ids)).alias("context"))
+
+
+def conversation_requests(records: DataFrame) -> DataFrame:
+    """Requests from conversation user turns only (id = 10^12 + conv_id * 1000 + turn)."""
+    topic_ids = [t[0] for t in D.TOPICS]
+    req = records.select((F.lit(CONV_REQUEST_BASE) + F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+                         F.col("instruction").alias("message"))
+    rid = F.col("request_id")
+
+    def pick(values, mod):
+        out = None
+        for i, v in enumerate(values):
+            val = F.lit(v).cast("string")
+            out = F.when(rid % mod == i, val) if out is None else out.when(rid % mod == i, val)
+        return out
+
+    return req.select("request_id", "message", pick(MODEL_TYPES, 4).alias("model_type"),
+                      pick(MODES, 3).alias("mode"), pick(topic_ids, len(topic_ids)).alias("context"))

@@ -439,3 +439,76 @@ SELECT event_id, value AS score,
 ORACLE["nutrient_share"] = """
 SELECT event_type, count(*) AS n_events, round(avg(least(value, 150.0) / 150), 6) AS avg_share,
        count(*) FILTER (WHERE value > 150) AS n_over_full FROM events GROUP BY event_type"""
+
+
+# ---------------------------------------------------------------------------
+# vectors and retrieval
+# ---------------------------------------------------------------------------
+def hashed_cte(name: str, source: str, id_col: str, text_col: str, dim: int = 64) -> str:
+    """Sparse hashed vector ``(id, bucket, cnt, w)`` with unit-norm weights."""
+    return f"""
+{name}_tok AS (SELECT {id_col} AS id, unnest(list_filter(string_split_regex(lower({text_col}), '[^\\p{{L}}\\p{{N}}]+'),
+                                            lambda t: t <> '')) AS tok FROM {source}),
+{name}_cnt AS (SELECT id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % {dim} AS bucket, count(*) AS cnt
+               FROM {name}_tok GROUP BY ALL),
+{name} AS (SELECT id, bucket, cnt, cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY id)) AS w FROM {name}_cnt)"""
+
+
+def ranked_sql(qv: str, cv: str, qsrc: str, qid: str, csrc: str, cid: str, k: int) -> str:
+    return f"""
+pairs AS (SELECT a.id AS qid, b.id AS cid, sum(a.w * b.w) AS score FROM {qv} a JOIN {cv} b ON a.bucket = b.bucket
+          GROUP BY ALL),
+allpairs AS (SELECT x.{qid} AS qid, y.{cid} AS cid, coalesce(p.score, 0.0) AS score
+             FROM {qsrc} x CROSS JOIN {csrc} y LEFT JOIN pairs p ON p.qid = x.{qid} AND p.cid = y.{cid}),
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cid) AS rank
+                          FROM allpairs) WHERE rank <= {k})"""
+
+
+ORACLE["topk_exact"] = f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM e),
+s AS (SELECT a.vec_id AS qid, b.vec_id AS cid, list_dot_product(a.v, b.v) AS score FROM n a CROSS JOIN n b),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cid) AS rank FROM s)
+SELECT qid, rank, cid, round(score, 6) AS score FROM r WHERE rank <= {D.TOP_K}"""
+
+ORACLE["hashed_vectors"] = "WITH " + hashed_cte("dv", "documents", "doc_id", "text") + """
+SELECT id AS doc_id, bucket, cnt, round(w, 6) AS weight FROM dv"""
+
+ORACLE["similar_docs"] = ("WITH " + hashed_cte("qv", "benchmark", "item_id", "text") + ","
+                          + hashed_cte("dv", "documents", "doc_id", "text") + ","
+                          + ranked_sql("qv", "dv", "benchmark", "item_id", "documents", "doc_id", D.SIMILAR_K) + f"""
+SELECT r.qid, r.rank, r.cid, round(r.score, 6) AS score, coalesce(d.source, 'N/A') AS name,
+       coalesce(d.lang, 'N/A') AS category, replace(substr(d.text, 1, {D.PREVIEW_CHARS}), chr(10), ' ') AS preview
+FROM ranked r JOIN documents d ON d.doc_id = r.cid""")
+
+CONV_REQ = """
+creq AS (SELECT """ + str(B.CONV_REQUEST_BASE) + """ + conv_id * 1000 + turn AS request_id, instruction AS message,
+                """ + _pick_sql(B.MODEL_TYPES, 4, f"({B.CONV_REQUEST_BASE} + conv_id * 1000 + turn)") + """ AS model_type,
+                """ + _pick_sql(B.MODES, 3, f"({B.CONV_REQUEST_BASE} + conv_id * 1000 + turn)") + """ AS mode
+         FROM records),
+croute AS (SELECT request_id, message, mode, """ + _complexity_sql() + f""" AS auto_type FROM creq
+           WHERE {py_strip("coalesce(message, '')")} <> ''),
+crouted AS (SELECT request_id, message,
+                   CASE WHEN mode = 'thinking' THEN TRUE WHEN mode = 'fast' THEN FALSE ELSE auto_type IS NOT NULL END
+                     AS is_complex,
+                   CASE WHEN mode = 'thinking' THEN {q(D.THINKING_TYPE)} WHEN mode = 'fast' THEN NULL ELSE auto_type END
+                     AS complexity_type,
+                   CASE WHEN mode = 'thinking' THEN 1000 WHEN mode = 'fast' THEN 350 ELSE 400 END AS cap
+            FROM croute)"""
+
+PROMPT_MAP = {"context": "coalesce(c.context, '')", "question": "r.message"}
+ORACLE["prompt_assembly"] = ("WITH " + RECORDS_CTE + "," + CONV_REQ + ","
+                             + hashed_cte("qv", "crouted", "request_id", "message") + ","
+                             + hashed_cte("dv", "docs", "doc_index", "page_content") + ","
+                             + ranked_sql("qv", "dv", "crouted", "request_id", "docs", "doc_index", D.TOP_K) + f""",
+ctx AS (SELECT k.qid, string_agg('About ' || coalesce(d.millet_name, 'Unknown') || ':' || chr(10) || d.page_content,
+                                 chr(10) || chr(10) ORDER BY k.rank) AS context, count(*) AS n_docs
+        FROM ranked k JOIN docs d ON d.doc_index = k.cid GROUP BY k.qid),
+prompts AS (
+  SELECT r.request_id, r.is_complex, r.complexity_type,
+         CASE WHEN r.is_complex THEN least(r.cap, 600) ELSE least(r.cap, 350) END AS max_tokens,
+         coalesce(c.n_docs, 0) AS n_docs,
+         CASE WHEN r.is_complex THEN {render_sql(D.PROMPT_THINKING, PROMPT_MAP)}
+              ELSE {render_sql(D.PROMPT_FAST, PROMPT_MAP)} END AS prompt
+  FROM crouted r LEFT JOIN ctx c ON c.qid = r.request_id)
+SELECT *, length(prompt) AS prompt_chars FROM prompts""")

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from sheaf.operators import docs as docs_ops
 from sheaf.operators import augment as aug_ops
 from sheaf.operators import generate as gen_ops
+from sheaf.operators import prompts as prompt_ops
 from sheaf.operators import requests as req_ops
+from sheaf.operators import vectors as V
 from sheaf.operators import training as train_ops
 from sheaf.functions import route as RT
 from sheaf.rules import defaults as D
@@ -214,3 +216,64 @@ def nutrient_share_q(spark, sf_dir):
         F.count(F.lit(1)).alias("n_events"),
         F.round(F.avg(F.least(F.col("value"), F.lit(float(full))) / full), 6).alias("avg_share"),
         F.count(F.when(F.col("value") > full, 1)).alias("n_over_full"))
+
+
+# ---------------------------------------------------------------------------
+# vectors and retrieval (VEC*, JOB4)
+# ---------------------------------------------------------------------------
+def unit_embeddings(spark, sf_dir):
+    e = B.table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id"), V.l2_normalize(F.col("embedding")).alias("vec"), "label")
+
+
+@query("topk_exact")
+def topk_exact_q(spark, sf_dir):
+    """VEC2 VEC3 WIN4 SRT4: every embedding's 3 nearest embeddings (cosine)."""
+    e = unit_embeddings(spark, sf_dir)
+    hits = V.top_k(e.select(F.col("vec_id").alias("qid"), F.col("vec").alias("qvec")),
+                   e.select(F.col("vec_id").alias("cid"), F.col("vec").alias("cvec")), D.TOP_K)
+    return hits.select("qid", "rank", "cid", F.round("score", 6).alias("score"))
+
+
+@query("topk_lsh_recall")
+def topk_lsh_recall_q(spark, sf_dir):
+    """VEC4: LSH top-3 recall against the exact answer, per query (no SQL oracle)."""
+    e = unit_embeddings(spark, sf_dir)
+    q = e.select(F.col("vec_id").alias("qid"), F.col("vec").alias("qvec"))
+    c = e.select(F.col("vec_id").alias("cid"), F.col("vec").alias("cvec"))
+    return V.recall_at_k(V.lsh_top_k(q, c, D.TOP_K), V.top_k(q, c, D.TOP_K), D.TOP_K)
+
+
+@query("hashed_vectors")
+def hashed_vectors_q(spark, sf_dir):
+    """VEC1 VEC2: non-zero buckets of every document's hashed vector."""
+    d = B.table(spark, sf_dir, "documents")
+    raw = d.select("doc_id", V.hashed_embedding(F.col("text")).alias("v"))
+    both = raw.select("doc_id", "v", V.l2_normalize(F.col("v")).alias("u"))
+    return both.select("doc_id", F.posexplode(F.arrays_zip("v", "u")).alias("bucket", "z")).where(
+        F.col("z.v") > 0).select("doc_id", "bucket", F.col("z.v").cast("long").alias("cnt"),
+                                 F.round(F.col("z.u"), 6).alias("weight"))
+
+
+@query("similar_docs")
+def similar_docs_q(spark, sf_dir):
+    """VEC1 VEC2 VEC5 VEC6 PRJ13: 5 most similar documents per benchmark item, with previews."""
+    docs = B.table(spark, sf_dir, "documents")
+    items = B.table(spark, sf_dir, "benchmark")
+    hits = V.top_k(prompt_ops.encode(items, "item_id", "text", "qid", "qvec"),
+                   prompt_ops.encode(docs, "doc_id", "text", "cid", "cvec"), D.SIMILAR_K)
+    d = docs.select(F.col("doc_id").alias("cid"), "text", "source", "lang")
+    return hits.join(d, "cid").select(
+        "qid", "rank", "cid", F.round("score", 6).alias("score"),
+        F.coalesce(F.col("source"), F.lit(D.PREVIEW_DEFAULT)).alias("name"),
+        F.coalesce(F.col("lang"), F.lit(D.PREVIEW_DEFAULT)).alias("category"),
+        prompt_ops.preview(F.col("text")).alias("preview"))
+
+
+@query("prompt_assembly")
+def prompt_assembly_q(spark, sf_dir):
+    """JOB4: CLS3-4 -> JOIN2 (top-3) -> PRJ10/AGG6 context -> PRJ11 prompt -> PRJ15 length."""
+    recs = B.instruction_records(spark, sf_dir)
+    routed = req_ops.route_requests(B.conversation_requests(recs))
+    docs = knowledge_docs(spark, sf_dir)
+    return prompt_ops.assemble_prompts(routed, docs)
