@@ -183,3 +183,54 @@ def conversation_requests(records: DataFrame) -> DataFrame:
 
     return req.select("request_id", "message", pick(MODEL_TYPES, 4).alias("model_type"),
                       pick(MODES, 3).alias("mode"), pick(topic_ids, len(topic_ids)).alias("context"))
+
+
+# ---------------------------------------------------------------------------
+# generated answers (hand-off from the external text generator)
+# ---------------------------------------------------------------------------
+# Test fixture values (not from the original project): questions and rule
+# triggers injected around document text by doc_id, so every clean-up rule
+# fires somewhere while the whole table is processed.
+GEN_QUESTIONS = [
+    "Give me a jowar recipe to cook today",
+    "How much protein and iron is in ragi?",
+    "Compare bajra and jowar for diabetes",
+    "Which millet should I eat for breakfast?",
+    "Tell me about foxtail cultivation",
+    "What is the market price trend?",
+    "Explain pearl millet nutrition and yield",
+]
+GEN_INJECTIONS = [
+    ("MilletsGAI: ", " **Key point** is *this* one.\nUser: leaked follow-up"),
+    ("Hi! I'm happy to help! ", " • first item • second item\n- dash item\nLet's compare: both sides"),
+    ("", " Please provide your response now.\n```python\nprint(1)\n``` (Note: internal note) Feel free to ask more!"),
+    ("", " Thanks are due to scientists of the centre. Foreword by the director. (ISBN: 978-1) www.balajiscan.com"),
+    ("", " Protein is 12 _g and _7.5 mg per serving. barnyard millet is also known as proso millet. **_protein per **"),
+    ("", " So, if you want more. Therefore, it helps. Steps 1. Mix well 2. Cook + salt + water Recipe 2: Jowar Roti: "
+         "Ingredients: flour Instructions: knead"),
+    (None, "Ok."),
+    ("", "\n---\n- Source A\n* Source B\n-   \n- Source C\n- Source D"),
+    ("Reasoning first. ", " In conclusion, the answer covers every point raised above in enough detail to be useful here."),
+    ("Winner: ", " Based on the comparison: kuttu roti is a good choice. drought tolerance is high in dry zones."),
+    ("", " **Bajra:** Drought tolerance is high here. The seed treatment with thiram matters. Farmers use crop rotation."),
+    ("", "\n\n\n\n  - \n*\nHigh Now we go  with   spaces"),
+]
+
+
+def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``request_id, question, mode, raw_response`` from every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rid = F.col("doc_id")
+
+    def pick(values, mod):
+        out = None
+        for i, v in enumerate(values):
+            val = v if isinstance(v, type(F.col("x"))) else F.lit(v).cast("string")
+            out = F.when(rid % mod == i, val) if out is None else out.when(rid % mod == i, val)
+        return out
+
+    raws = []
+    for pre, suf in GEN_INJECTIONS:
+        raws.append(F.lit(suf) if pre is None else F.concat(F.lit(pre), F.col("text"), F.lit(suf)))
+    return docs.select(rid.alias("request_id"), pick(GEN_QUESTIONS, len(GEN_QUESTIONS)).alias("question"),
+                       pick(MODES, 3).alias("mode"), pick(raws, len(raws)).alias("raw_response"))

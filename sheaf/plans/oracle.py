@@ -512,3 +512,182 @@ prompts AS (
               ELSE {render_sql(D.PROMPT_FAST, PROMPT_MAP)} END AS prompt
   FROM crouted r LEFT JOIN ctx c ON c.qid = r.request_id)
 SELECT *, length(prompt) AS prompt_chars FROM prompts""")
+
+
+# ---------------------------------------------------------------------------
+# response clean-up: Python regex -> RE2 (DuckDB) translation
+# ---------------------------------------------------------------------------
+PY_SPACE = r"\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\p{Z}"
+PY_WORD = r"\p{L}\p{N}_"
+
+
+def re2_pattern(pattern: str, flags: str = "") -> str:
+    """Python ``re`` syntax -> RE2 with Python's Unicode ``\\s``/``\\w`` classes."""
+    out, i, in_class = [], 0, False
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < len(pattern):
+            nxt = pattern[i + 1]
+            if nxt in "sSwWd":
+                cls = {"s": PY_SPACE, "w": PY_WORD, "d": r"\p{Nd}"}.get(nxt.lower())
+                if in_class:
+                    if nxt.isupper():
+                        raise ValueError("negated class inside a class")
+                    out.append(cls)
+                else:
+                    out.append(("[^" if nxt.isupper() else "[") + cls + "]")
+            else:
+                out.append(ch + nxt)
+            i += 2
+            continue
+        if ch == "[" and not in_class:
+            in_class = True
+        elif ch == "]" and in_class and not (out and out[-1] in ("[", "[^")):
+            in_class = False
+        out.append(ch)
+        i += 1
+    prefix = "".join(f for f in flags if f in "ism")
+    return (f"(?{prefix})" if prefix else "") + "".join(out)
+
+
+def re2_replacement(repl: str) -> str:
+    return repl.replace("\\n", "\n")
+
+
+def sql_sub(expr: str, pattern: str, repl: str = "", flags: str = "") -> str:
+    lookbehind = "(?<!\\n)"
+    if pattern.startswith(lookbehind):
+        # RE2 has no look-behind: consume the preceding character instead
+        pattern = "(^|[^\\n])" + pattern[len(lookbehind):]
+        repl = "\\1" + re.sub(r"\\(\d)", lambda m: "\\" + str(int(m.group(1)) + 1), repl)
+    return f"regexp_replace({expr}, {q(re2_pattern(pattern, flags))}, {q(re2_replacement(repl))}, 'g')"
+
+
+def sql_fold(expr: str, rules, flags: str | None = None) -> str:
+    for rule in rules:
+        if isinstance(rule, str):
+            expr = sql_sub(expr, rule, "", flags or "")
+        else:
+            pattern, repl, *rest = rule
+            if "(?=" in pattern:
+                continue          # look-ahead pass: absorbed by the following remove-all pass
+            expr = sql_sub(expr, pattern, repl, rest[0] if rest else (flags or ""))
+    return expr
+
+
+def py_strip_sql(expr: str) -> str:
+    return f"regexp_replace({expr}, '^[{PY_SPACE}]+|[{PY_SPACE}]+$', '', 'g')"
+
+
+GENS_CTE = "gens AS (SELECT doc_id AS request_id, " + (
+    "CASE " + " ".join(f"WHEN doc_id % {len(B.GEN_QUESTIONS)} = {i} THEN {q(v)}" for i, v in enumerate(B.GEN_QUESTIONS))
+    + " END AS question, ") + (
+    "CASE " + " ".join(f"WHEN doc_id % 3 = {i} THEN {q(v) if v else 'NULL'}" for i, v in enumerate(B.MODES))
+    + " END AS mode, ") + (
+    "CASE " + " ".join(
+        f"WHEN doc_id % {len(B.GEN_INJECTIONS)} = {i} THEN "
+        + (q(suf) if pre is None else f"{q(pre)} || text || {q(suf)}")
+        for i, (pre, suf) in enumerate(B.GEN_INJECTIONS)) + " END AS raw_response FROM documents)")
+
+
+def cutoffs_sql(expr: str) -> str:
+    for m in D.CUTOFF_MARKERS:
+        expr = f"(CASE WHEN instr({expr}, {q(m)}) > 0 THEN {py_strip_sql(f'split_part({expr}, {q(m)}, 1)')} ELSE {expr} END)"
+    return expr
+
+
+def _conclusion_rules():
+    from sheaf.functions.textclean import conclusion_rules
+    return conclusion_rules()
+
+
+CLEAN_STAGES = [
+    ("c1", lambda x: cutoffs_sql(py_strip_sql(x))),
+    ("c2", lambda x: sql_fold(sql_fold(x, D.ASTERISK_RULES), D.PREFIX_RULES)),
+    ("c3", lambda x: sql_fold(sql_fold(x, D.BULLET_RULES), D.CONTRADICTION_RULES)),
+    ("c4", lambda x: sql_fold(sql_fold(x, D.TRAINING_ARTIFACTS, D.TRAINING_ARTIFACT_FLAGS), D.TRAILING_PHRASES,
+                              D.TRAILING_FLAGS)),
+    ("c5", lambda x: sql_fold(py_strip_sql(sql_fold(x, D.SPACING_RULES)), D.MARKDOWN_BULLET_RULES)),
+    ("c6", lambda x: sql_fold(x, _conclusion_rules())),
+    ("c7", lambda x: sql_fold(sql_fold(sql_fold(x, D.STEP_RULES), D.SECTION_RULES), D.FINAL_NEWLINE_RULES)),
+]
+
+
+def staged(source: str, col: str, stages, prefix: str, keep: str = "*") -> tuple[str, str]:
+    """CTEs applying SQL stages to ``col``; returns (ctes, last cte name)."""
+    ctes, prev = [], source
+    for name, fn in stages:
+        name = f"{prefix}{name}"
+        ctes.append(f"{name} AS (SELECT * REPLACE ({fn(col)} AS {col}) FROM {prev})")
+        prev = name
+    return ",\n".join(ctes), prev
+
+
+def leakage_sql(x: str) -> str:
+    tidy = py_strip_sql(sql_fold(sql_fold(x, D.LEAKAGE_PATTERNS, D.LEAKAGE_FLAGS), D.LEAKAGE_TIDY_RULES))
+    return tidy
+
+
+def short_guard_sql(x: str) -> str:
+    return f"(CASE WHEN length({x}) < {D.SHORT_TEXT_LIMIT} THEN {q(D.SHORT_TEXT_FALLBACK)} ELSE {x} END)"
+
+
+def species_sql(x: str) -> str:
+    for pattern, sentence in D.SPECIES_CORRECTIONS:
+        x = f"regexp_replace({x}, {q(re2_pattern(pattern, D.SPECIES_FLAGS))}, {q(sentence)}, 'g')"
+    return x
+
+
+def subject_sql(r: str, qn: str) -> str:
+    parts = []
+    for subject, wrongs in D.SUBJECT_CONFUSIONS:
+        for wrong in wrongs:
+            dish = " OR ".join(f"instr(lower({r}), {q(wrong + s)}) > 0" for s in D.SUBJECT_DISH_SUFFIXES)
+            parts.append(f"WHEN instr(lower({qn}), {q(subject)}) > 0 AND ({dish}) THEN "
+                         f"{q(D.SUBJECT_APOLOGY.format(title=subject.title()))}")
+    return "(CASE " + " ".join(parts) + f" ELSE {r} END)"
+
+
+def leads_sql(r: str, qn: str) -> str:
+    parts = []
+    for subject, wrongs in D.SUBJECT_CONFUSIONS:
+        for wrong in wrongs:
+            parts.append(f"(instr(lower({qn}), {q(subject)}) > 0 AND instr(substr(lower({r}), 1, "
+                         f"{D.SUBJECT_LEAD_CHARS}), {q(wrong)}) > 0)")
+    return "(" + " OR ".join(parts) + ")"
+
+
+def topic_sql(r: str, qn: str) -> str:
+    cook = like_any(f"lower({qn})", D.COOKING_KEYWORDS)
+    nutr = like_any(f"lower({qn})", D.NUTRITION_KEYWORDS)
+    r = f"(CASE WHEN {cook} THEN {sql_fold(r, D.FARMING_PATTERNS, D.TOPIC_FILTER_FLAGS)} ELSE {r} END)"
+    r = f"(CASE WHEN {nutr} THEN {sql_fold(r, D.OFF_TOPIC_NUTRITION_PATTERNS, D.TOPIC_FILTER_FLAGS)} ELSE {r} END)"
+    return py_strip_sql(sql_fold(r, D.TOPIC_TIDY_RULES))
+
+
+def citations_sql(t: str) -> str:
+    tail = py_strip_sql(f"string_split({t}, '---')[-1]")
+    lines = f"list_transform(string_split({tail}, chr(10)), lambda l: {py_strip_sql('l')})"
+    bullets = f"list_filter({lines}, lambda l: starts_with(l, '-') OR starts_with(l, '*'))"
+    cleaned = f"list_filter(list_transform({bullets}, lambda l: {py_strip_sql(chr(108) + ' ')}), lambda l: l <> '')"
+    cleaned = cleaned.replace(py_strip_sql("l "), py_strip_sql("ltrim(l, '-* ')"))
+    has = f"instr({t}, '---') > 0"
+    main = f"(CASE WHEN {has} THEN {py_strip_sql(f'split_part({t}, {q(D.CITATION_SPLIT)}, 1)')} ELSE {py_strip_sql(t)} END)"
+    cites = (f"(CASE WHEN {has} AND len({cleaned}) > 0 THEN list_slice({cleaned}, 1, {D.CITATION_KEEP}) "
+             f"ELSE [{q(D.CITATION_DEFAULT)}] END)")
+    return main, cites
+
+
+ORACLE["clean_response"] = "WITH " + GENS_CTE + ",\n" + staged("gens", "raw_response", CLEAN_STAGES, "s")[0] + \
+    "\nSELECT request_id, raw_response AS cleaned FROM sc7"
+ORACLE["clean_leakage"] = f"WITH {GENS_CTE}\nSELECT request_id, {short_guard_sql(leakage_sql('raw_response'))} AS cleaned FROM gens"
+ORACLE["fix_ocr_corrections"] = (f"WITH {GENS_CTE}\nSELECT request_id, "
+                                 f"{sql_fold(species_sql('raw_response'), D.OCR_RULES)} AS cleaned FROM gens")
+ORACLE["subject_validation"] = (f"WITH {GENS_CTE}\nSELECT request_id, {subject_sql('raw_response', 'question')} AS validated, "
+                                f"{leads_sql('raw_response', 'question')} AS leads_with_wrong FROM gens")
+ORACLE["topic_filter"] = (f"WITH {GENS_CTE}\nSELECT request_id, {like_any('lower(question)', D.COOKING_KEYWORDS)} AS is_cooking, "
+                          f"{like_any('lower(question)', D.NUTRITION_KEYWORDS)} AS is_nutrition, "
+                          f"{topic_sql('raw_response', 'question')} AS filtered FROM gens")
+_main, _cites = citations_sql("raw_response")
+ORACLE["citations"] = (f"WITH {GENS_CTE}\nSELECT request_id, {_main} AS main, len({_cites}) AS n_citations, "
+                       f"array_to_string({_cites}, ' | ') AS citations_text FROM gens")

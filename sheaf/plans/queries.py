@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from sheaf.operators import docs as docs_ops
 from sheaf.operators import augment as aug_ops
 from sheaf.operators import generate as gen_ops
+from sheaf.operators import postprocess as post_ops
 from sheaf.operators import prompts as prompt_ops
+from sheaf.functions import textclean as TC
 from sheaf.operators import requests as req_ops
 from sheaf.operators import vectors as V
 from sheaf.operators import training as train_ops
@@ -277,3 +279,63 @@ def prompt_assembly_q(spark, sf_dir):
     routed = req_ops.route_requests(B.conversation_requests(recs))
     docs = knowledge_docs(spark, sf_dir)
     return prompt_ops.assemble_prompts(routed, docs)
+
+
+# ---------------------------------------------------------------------------
+# response clean-up (TXT*, JOB5)
+# ---------------------------------------------------------------------------
+def gens(spark, sf_dir):
+    return B.generations(spark, sf_dir)
+
+
+@query("clean_response")
+def clean_response_q(spark, sf_dir):
+    """TXT1-15: first clean-up stage on every generated answer."""
+    return gens(spark, sf_dir).select("request_id", TC.clean_response(F.col("raw_response")).alias("cleaned"))
+
+
+@query("clean_leakage")
+def clean_leakage_q(spark, sf_dir):
+    """TXT16 FLT5: 65 leakage passes, tidy-up and the short-text fallback."""
+    return gens(spark, sf_dir).select("request_id", TC.clean_leakage(F.col("raw_response")).alias("cleaned"))
+
+
+@query("fix_ocr_corrections")
+def fix_ocr_corrections_q(spark, sf_dir):
+    """TXT17 TXT18."""
+    return gens(spark, sf_dir).select(
+        "request_id", TC.fix_ocr(TC.correct_species(F.col("raw_response"))).alias("cleaned"))
+
+
+@query("subject_validation")
+def subject_validation_q(spark, sf_dir):
+    """TXT19 TXT20."""
+    g = gens(spark, sf_dir)
+    return g.select("request_id", TC.validate_subject(F.col("raw_response"), F.col("question")).alias("validated"),
+                    TC.leads_with_wrong(F.col("raw_response"), F.col("question")).alias("leads_with_wrong"))
+
+
+@query("topic_filter")
+def topic_filter_q(spark, sf_dir):
+    """TXT21 CLS6."""
+    g = gens(spark, sf_dir)
+    return g.select("request_id", RT.is_cooking_question(F.col("question")).alias("is_cooking"),
+                    RT.is_nutrition_question(F.col("question")).alias("is_nutrition"),
+                    TC.filter_off_topic(F.col("raw_response"), F.col("question")).alias("filtered"))
+
+
+@query("citations")
+def citations_q(spark, sf_dir):
+    """TXT25 GEN16."""
+    p = gens(spark, sf_dir).select("request_id", TC.parse_citations(F.col("raw_response")).alias("p"))
+    return p.select("request_id", F.col("p.main").alias("main"), F.size("p.citations").alias("n_citations"),
+                    F.array_join("p.citations", " | ").alias("citations_text"))
+
+
+@query("response_envelope")
+def response_envelope_q(spark, sf_dir):
+    """JOB5: TXT15 -> CLS3 -> TXT26 (TXT16-24) -> TXT25 -> PRJ12 + CLS8."""
+    r = post_ops.respond(gens(spark, sf_dir))
+    return r.select("request_id", "response", F.array_join("citations", " | ").alias("citations_text"),
+                    "confidence", "confidence_band", "thinking", "is_complex", "complexity_type",
+                    "leads_with_wrong")
