@@ -145,14 +145,15 @@ def _subject_pairs():
             yield subject, wrong
 
 
-def validate_subject(response, question) -> Column:
+def validate_subject(response, question, response_lower=None, question_lower=None) -> Column:
     """TXT19: question names a subject and the answer a dish of a confused one -> apology.
 
     First (subject, wrong) pair in table order wins; the title-cased subject
     is a constant per rule, computed when the plan is built.
     """
     r, q = col_or_lit(response), col_or_lit(question)
-    rl, ql = F.lower(r), F.lower(q)
+    rl = col_or_lit(response_lower) if response_lower is not None else F.lower(r)
+    ql = col_or_lit(question_lower) if question_lower is not None else F.lower(q)
     out = None
     for subject, wrong in _subject_pairs():
         cond = (F.instr(ql, subject) > 0) & contains_any(rl, [wrong + s for s in D.SUBJECT_DISH_SUFFIXES])
@@ -161,10 +162,11 @@ def validate_subject(response, question) -> Column:
     return out.otherwise(r)
 
 
-def leads_with_wrong(response, question) -> Column:
+def leads_with_wrong(response, question, response_lower=None, question_lower=None) -> Column:
     """TXT20 (re-aimed from a printed warning): a confused subject within the first 100 characters."""
-    rl = F.substring(F.lower(col_or_lit(response)), 1, D.SUBJECT_LEAD_CHARS)
-    ql = F.lower(col_or_lit(question))
+    rl = col_or_lit(response_lower) if response_lower is not None else F.lower(col_or_lit(response))
+    rl = F.substring(rl, 1, D.SUBJECT_LEAD_CHARS)
+    ql = col_or_lit(question_lower) if question_lower is not None else F.lower(col_or_lit(question))
     out = F.lit(False)
     for subject, wrong in _subject_pairs():
         out = out | ((F.instr(ql, subject) > 0) & (F.instr(rl, wrong) > 0))
@@ -187,9 +189,9 @@ def add_source_citation(c) -> Column:
 
 
 # --------------------------------------------------------------------------- TXT23-24
-def answer_split_index(response) -> Column:
+def answer_split_index(response, response_lower=None) -> Column:
     """0-based index of the first marker (in table order) whose first occurrence is past 50, else null."""
-    rl = F.lower(col_or_lit(response))
+    rl = col_or_lit(response_lower) if response_lower is not None else F.lower(col_or_lit(response))
     cands = [F.when(F.instr(rl, m.lower()) - 1 > D.MIN_THINKING_CHARS, F.instr(rl, m.lower()) - 1)
              for m in D.ANSWER_MARKERS]
     return F.coalesce(*cands)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import route as R
 from sheaf.functions import textclean as T
 from sheaf.functions.text import ustrip
+from sheaf.operators import textstages as S
 from sheaf.rules import defaults as D
 
 
@@ -24,12 +25,16 @@ def post_process(df: DataFrame, response: str = "response", question: str = "que
     Adds ``answer``, ``thinking`` and ``leads_with_wrong``.
     """
     q = F.col(question)
-    d = df.withColumn("_r", T.clean_leakage(F.col(response)))
+    d = S.clean_leakage_stage(df, response, "_r")
     d = d.withColumn("_r", T.fix_ocr(T.correct_species(F.col("_r"))))
-    d = d.withColumn("leads_with_wrong", T.leads_with_wrong(F.col("_r"), q))
-    d = d.withColumn("_r", T.add_source_citation(T.filter_off_topic(T.validate_subject(F.col("_r"), q), q)))
+    d = d.withColumn("_rl", F.lower(F.col("_r"))).withColumn("_ql", F.lower(q))
+    d = d.withColumn("leads_with_wrong", T.leads_with_wrong(F.col("_r"), q, F.col("_rl"), F.col("_ql")))
+    d = d.withColumn("_r", T.validate_subject(F.col("_r"), q, F.col("_rl"), F.col("_ql")))
+    d = S.filter_off_topic_stage(d, "_r", "_r", question)
+    d = d.withColumn("_r", T.add_source_citation(F.col("_r")))
     split = F.col(is_complex) & ~R.is_recipe_question(q)
-    d = d.withColumn("_split", split).withColumn("_idx", F.when(F.col("_split"), T.answer_split_index(F.col("_r"))))
+    d = d.withColumn("_split", split).withColumn("_rl", F.lower(F.col("_r")))
+    d = d.withColumn("_idx", F.when(F.col("_split"), T.answer_split_index(F.col("_r"), F.col("_rl"))))
     d = d.withColumn("_tail", ustrip(F.col("_r").substr(F.col("_idx") + 1, F.lit(1 << 30))))
     ok = F.col("_idx").isNotNull() & (F.length(F.col("_tail")) > D.MIN_ANSWER_CHARS)
     d = d.withColumn("_think", F.when(ok, ustrip(F.col("_r").substr(F.lit(1), F.col("_idx")))))
@@ -37,7 +42,7 @@ def post_process(df: DataFrame, response: str = "response", question: str = "que
     d = d.withColumn("_ans", F.when(F.col("_split"), T.strip_transition(F.col("_ans"))).otherwise(F.col("_ans")))
     return (d.withColumn("answer", T.tidy_answer(F.col("_ans")))
             .withColumn("thinking", T.tidy_thinking(F.col("_think")))
-            .drop("_r", "_split", "_idx", "_tail", "_think", "_ans"))
+            .drop("_r", "_rl", "_ql", "_split", "_idx", "_tail", "_think", "_ans"))
 
 
 def envelope(df: DataFrame, confidence: int = D.CONFIDENCE_CONSTANT) -> DataFrame:
@@ -59,7 +64,7 @@ def respond(generations: DataFrame) -> DataFrame:
     g = g.withColumn("is_complex", F.col("_route.is_complex"))\
         .withColumn("complexity_type", F.when(F.col("_route.is_complex"), F.col("_route.complexity_type")))\
         .drop("_route")
-    g = g.withColumn("cleaned", T.clean_response(F.col("raw_response")))
+    g = S.clean_response_stage(g, "raw_response", "cleaned")
     out = envelope(post_process(g, response="cleaned"))
     return out.select("request_id", "question", "response", "citations", "confidence", "confidence_band",
                       "thinking", "is_complex", "complexity_type", "leads_with_wrong")

@@ -691,3 +691,55 @@ ORACLE["topic_filter"] = (f"WITH {GENS_CTE}\nSELECT request_id, {like_any('lower
 _main, _cites = citations_sql("raw_response")
 ORACLE["citations"] = (f"WITH {GENS_CTE}\nSELECT request_id, {_main} AS main, len({_cites}) AS n_citations, "
                        f"array_to_string({_cites}, ' | ') AS citations_text FROM gens")
+
+
+def _cap_sql(a: str) -> str:
+    f = f"left({a}, 1)"
+    return f"(CASE WHEN lower({f}) = {f} AND upper({f}) <> {f} THEN upper({f}) || substr({a}, 2) ELSE {a} END)"
+
+
+EMPTY = "''"
+
+
+def transitions_sql(a: str) -> str:
+    parts = []
+    for p in D.TRANSITION_PATTERNS:
+        pat = q(re2_pattern(p, D.TRANSITION_FLAGS))
+        parts.append(f"WHEN regexp_matches({a}, {pat}) THEN {_cap_sql(py_strip_sql(f'regexp_replace({a}, {pat}, {EMPTY})'))}")
+    return "(CASE " + " ".join(parts) + f" ELSE {a} END)"
+
+
+def split_index_sql(r: str) -> str:
+    cands = [f"CASE WHEN instr(lower({r}), {q(m.lower())}) - 1 > {D.MIN_THINKING_CHARS} "
+             f"THEN instr(lower({r}), {q(m.lower())}) - 1 END" for m in D.ANSWER_MARKERS]
+    return "coalesce(" + ", ".join(cands) + ")"
+
+
+_env_main, _env_cites = citations_sql("answer")
+ORACLE["response_envelope"] = "WITH " + GENS_CTE + f""",
+g1 AS (SELECT *, {_complexity_sql('lower(question)')} AS auto_type FROM gens),
+g2 AS (SELECT request_id, question, raw_response,
+              CASE WHEN mode = 'thinking' THEN TRUE WHEN mode = 'fast' THEN FALSE ELSE auto_type IS NOT NULL END AS is_complex,
+              CASE WHEN mode = 'thinking' THEN {q(D.THINKING_TYPE)} WHEN mode = 'fast' THEN NULL ELSE auto_type END AS ctype
+       FROM g1),
+g3 AS (SELECT *, CASE WHEN is_complex THEN ctype END AS complexity_type FROM g2),
+""" + staged("g3", "raw_response", CLEAN_STAGES, "e")[0] + f""",
+p1 AS (SELECT *, {short_guard_sql(leakage_sql('raw_response'))} AS r FROM ec7),
+p2 AS (SELECT * REPLACE ({sql_fold(species_sql('r'), D.OCR_RULES)} AS r) FROM p1),
+p3 AS (SELECT * REPLACE ({subject_sql('r', 'question')} AS r), {leads_sql('r', 'question')} AS leads_with_wrong FROM p2),
+p4 AS (SELECT * REPLACE ({topic_sql('r', 'question')} AS r) FROM p3),
+p5 AS (SELECT *, is_complex AND NOT {like_any('lower(question)', D.RECIPE_QUESTION_KEYWORDS)} AS split FROM p4),
+p6 AS (SELECT *, CASE WHEN split THEN {split_index_sql('r')} END AS idx FROM p5),
+p7 AS (SELECT *, {py_strip_sql('substr(r, idx + 1)')} AS tail FROM p6),
+p8 AS (SELECT *, idx IS NOT NULL AND length(tail) > {D.MIN_ANSWER_CHARS} AS ok FROM p7),
+p9 AS (SELECT *, CASE WHEN ok THEN {py_strip_sql('substr(r, 1, idx)')} END AS think,
+              CASE WHEN ok THEN tail ELSE r END AS ans0 FROM p8),
+p10 AS (SELECT *, CASE WHEN split THEN {transitions_sql('ans0')} ELSE ans0 END AS ans FROM p9),
+p11 AS (SELECT *, {py_strip_sql(sql_fold(sql_fold('ans', D.ANSWER_TIDY_RULES), D.ANSWER_FINAL_RULES))} AS answer,
+               CASE WHEN think IS NOT NULL AND think <> '' THEN {sql_fold('think', D.THINKING_TIDY_RULES)} ELSE think END
+                 AS thinking FROM p10)
+SELECT request_id, {_env_main} AS response, array_to_string({_env_cites}, ' | ') AS citations_text,
+       {D.CONFIDENCE_CONSTANT} AS confidence,
+       {q('high' if D.CONFIDENCE_CONSTANT > 80 else 'medium' if D.CONFIDENCE_CONSTANT > 50 else 'low')} AS confidence_band,
+       thinking, is_complex, complexity_type, leads_with_wrong
+FROM p11"""

@@ -19,6 +19,7 @@ from sheaf.operators import generate as gen_ops
 from sheaf.operators import postprocess as post_ops
 from sheaf.operators import prompts as prompt_ops
 from sheaf.functions import textclean as TC
+from sheaf.operators import textstages as TS
 from sheaf.operators import requests as req_ops
 from sheaf.operators import vectors as V
 from sheaf.operators import training as train_ops
@@ -291,13 +292,13 @@ def gens(spark, sf_dir):
 @query("clean_response")
 def clean_response_q(spark, sf_dir):
     """TXT1-15: first clean-up stage on every generated answer."""
-    return gens(spark, sf_dir).select("request_id", TC.clean_response(F.col("raw_response")).alias("cleaned"))
+    return TS.clean_response_stage(gens(spark, sf_dir), "raw_response", "cleaned").select("request_id", "cleaned")
 
 
 @query("clean_leakage")
 def clean_leakage_q(spark, sf_dir):
     """TXT16 FLT5: 65 leakage passes, tidy-up and the short-text fallback."""
-    return gens(spark, sf_dir).select("request_id", TC.clean_leakage(F.col("raw_response")).alias("cleaned"))
+    return TS.clean_leakage_stage(gens(spark, sf_dir), "raw_response", "cleaned").select("request_id", "cleaned")
 
 
 @query("fix_ocr_corrections")
@@ -318,10 +319,9 @@ def subject_validation_q(spark, sf_dir):
 @query("topic_filter")
 def topic_filter_q(spark, sf_dir):
     """TXT21 CLS6."""
-    g = gens(spark, sf_dir)
+    g = TS.filter_off_topic_stage(gens(spark, sf_dir), "raw_response", "filtered", "question")
     return g.select("request_id", RT.is_cooking_question(F.col("question")).alias("is_cooking"),
-                    RT.is_nutrition_question(F.col("question")).alias("is_nutrition"),
-                    TC.filter_off_topic(F.col("raw_response"), F.col("question")).alias("filtered"))
+                    RT.is_nutrition_question(F.col("question")).alias("is_nutrition"), "filtered")
 
 
 @query("citations")

@@ -105,3 +105,119 @@ def fold(col: Column, rules: Iterable[Sequence[str]], flags: str | None = None)
 def matches(col: Column, pattern: str, flags: str = "") -> Column:
     """``re.search(pattern, col, flags) is not None``."""
     return col.rlike(java_pattern(pattern, flags))
+
+
+_META = set(".^$*+?{}[]\\|()")
+
+
+def _leading_literal(p: str) -> str:
+    """The literal text every match must start with (possibly empty)."""
+    out, i = [], 0
+    while i < len(p):
+        ch = p[i]
+        if ch == "\\" and i + 1 < len(p):
+            if p[i + 1].isalnum():
+                break                      # class escape (\s, \d, \b, ...)
+            lit, step = p[i + 1], 2
+        elif ch == "[":
+            m = re.match(r"\[(\w)(\w)\]", p[i:])
+            if not (m and m.group(1).lower() == m.group(2).lower() and m.group(1) != m.group(2)):
+                break
+            lit, step = m.group(1), 4
+        elif ch in _META:
+            break
+        else:
+            lit, step = ch, 1
+        nxt = p[i + step] if i + step < len(p) else ""
+        if nxt in ("?", "*", "{"):
+            break                          # optional atom: stop before it
+        out.append(lit)
+        if nxt == "+":
+            break
+        i += step
+    return "".join(out)
+
+
+def _top_level_alternation(p: str) -> bool:
+    depth, in_class, i = 0, False, 0
+    while i < len(p):
+        ch = p[i]
+        if ch == "\\":
+            i += 2
+            continue
+        if in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+        elif ch == "|" and depth == 0:
+            return True
+        i += 1
+    return False
+
+
+def required_literals(pattern: str, min_len: int = 3) -> list[str] | None:
+    """Literals of which at least one occurs (case-insensitively) in any text the pattern matches.
+
+    Used as a cheap ``instr`` pre-check so a regex pass runs only on rows that
+    can match; ``None`` when no such literal set is known.  Handles a leading
+    ``[^.]*`` / ``\\b`` and a leading non-capturing alternation group.
+    """
+    if _top_level_alternation(pattern):
+        return None
+    p = pattern
+    while True:
+        if p.startswith("[^.]*"):
+            p = p[5:]
+        elif p.startswith("\\b"):
+            p = p[2:]
+        elif p.startswith("(?<!\\n)"):
+            p = p[len("(?<!\\n)"):]
+        elif p.startswith("(\\S)\\s+"):
+            p = p[len("(\\S)\\s+"):]
+        else:
+            break
+    if p.startswith("(") and not p.startswith("(?"):
+        p = "(?:" + p[1:]
+    if p.startswith("(?:"):
+        depth, j = 0, 0
+        while j < len(p):
+            if p[j] == "\\":
+                j += 2
+                continue
+            if p[j] == "(":
+                depth += 1
+            elif p[j] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            j += 1
+        if j + 1 < len(p) and p[j + 1] in "?*{":
+            return None
+        alts, depth, cur, k = [], 0, [], 3
+        while k < j:
+            ch = p[k]
+            if ch == "\\":
+                cur.append(p[k:k + 2])
+                k += 2
+                continue
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            if ch == "|" and depth == 0:
+                alts.append("".join(cur))
+                cur = []
+            else:
+                cur.append(ch)
+            k += 1
+        alts.append("".join(cur))
+        lits = [_leading_literal(a).lower() for a in alts]
+    else:
+        lits = [_leading_literal(p).lower()]
+    if any(len(x) < min_len for x in lits):
+        return None
+    return lits
