@@ -743,3 +743,36 @@ SELECT request_id, {_env_main} AS response, array_to_string({_env_cites}, ' | ')
        {q('high' if D.CONFIDENCE_CONSTANT > 80 else 'medium' if D.CONFIDENCE_CONSTANT > 50 else 'low')} AS confidence_band,
        thinking, is_complex, complexity_type, leads_with_wrong
 FROM p11"""
+
+
+# ---------------------------------------------------------------------------
+# sources / sinks, streaming, evaluation
+# ---------------------------------------------------------------------------
+ORACLE["jsonl_roundtrip"] = "WITH " + RECORDS_CTE.split("indexed AS")[0].strip().rstrip(",") + """
+SELECT instruction, input, output, meta_millet_name, 'conversations' AS meta_source FROM records"""
+
+ORACLE["stream_routing"] = "WITH " + RECORDS_CTE.split("indexed AS")[0].strip().rstrip(",") + "," + CONV_REQ + f""",
+cr AS (SELECT request_id, is_complex, complexity_type,
+              CASE WHEN is_complex THEN least(cap, 600) ELSE least(cap, 350) END AS max_tokens,
+              lower(coalesce(model_type, 'millet')) <> 'base' AS use_adapter,
+              {like_any('lower(message)', D.RECIPE_QUESTION_KEYWORDS)} AS is_recipe
+       FROM crouted JOIN (SELECT request_id AS rid, model_type FROM creq) m ON m.rid = crouted.request_id)
+SELECT * FROM cr"""
+
+ORACLE["stream_clean"] = ORACLE["response_envelope"]
+
+ORACLE["eval_join"] = f"""
+WITH a AS (SELECT conv_id * 1000 + turn AS id, text AS gold FROM conversations WHERE role = 'assistant'),
+""" + staged("a", "gold", CLEAN_STAGES, "ev")[0].replace("SELECT * REPLACE (", "SELECT * REPLACE (", 1) + f""",
+pr AS (SELECT a.id, a.gold, ev.gold AS prediction FROM a JOIN evc7 ev ON ev.id = a.id),
+pt AS (SELECT id, unnest(list_filter(string_split_regex(lower(prediction), '[{PY_SPACE}]+'), lambda t: t <> '')) AS tok FROM pr),
+gt AS (SELECT id, unnest(list_filter(string_split_regex(lower(gold), '[{PY_SPACE}]+'), lambda t: t <> '')) AS tok FROM pr),
+pc AS (SELECT id, tok, count(*) AS n FROM pt GROUP BY ALL),
+gc AS (SELECT id, tok, count(*) AS n FROM gt GROUP BY ALL),
+ov AS (SELECT pc.id, sum(least(pc.n, gc.n)) AS overlap FROM pc JOIN gc ON pc.id = gc.id AND pc.tok = gc.tok GROUP BY pc.id),
+sz AS (SELECT id, {py_strip_sql('prediction')} = {py_strip_sql('gold')} AS exact_match,
+              len(list_filter(string_split_regex(prediction, '[{PY_SPACE}]+'), lambda t: t <> '')) AS n_pred,
+              len(list_filter(string_split_regex(gold, '[{PY_SPACE}]+'), lambda t: t <> '')) AS n_gold FROM pr)
+SELECT sz.id, exact_match, n_pred, n_gold, coalesce(ov.overlap, 0) AS overlap,
+       round(CASE WHEN n_pred + n_gold = 0 THEN 1.0 ELSE 2.0 * coalesce(ov.overlap, 0) / (n_pred + n_gold) END, 6) AS f1
+FROM sz LEFT JOIN ov ON ov.id = sz.id"""

@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 from sheaf.operators import docs as docs_ops
 from sheaf.operators import augment as aug_ops
 from sheaf.operators import generate as gen_ops
+from sheaf.operators import evaluate as eval_ops
 from sheaf.operators import postprocess as post_ops
+from sheaf.sources import readers
+from sheaf.streaming import routes as streams
+from sheaf.session import scratch_path
 from sheaf.operators import prompts as prompt_ops
 from sheaf.functions import textclean as TC
 from sheaf.operators import textstages as TS
@@ -339,3 +343,51 @@ def response_envelope_q(spark, sf_dir):
     return r.select("request_id", "response", F.array_join("citations", " | ").alias("citations_text"),
                     "confidence", "confidence_band", "thinking", "is_complex", "complexity_type",
                     "leads_with_wrong")
+
+
+# ---------------------------------------------------------------------------
+# sources / sinks, streaming, evaluation
+# ---------------------------------------------------------------------------
+@query("jsonl_roundtrip")
+def jsonl_roundtrip_q(spark, sf_dir):
+    """SNK1 + SRC2: conversation records written as JSON lines to the shared folder and read back tolerantly."""
+    recs = B.instruction_records(spark, sf_dir).select("instruction", "input", "output", "meta")
+    path = scratch_path(spark, "records-jsonl")
+    readers.write_jsonl(recs, path)
+    back = readers.read_jsonl_tolerant(spark, path)
+    return back.select("instruction", "input", "output", F.element_at("meta", F.lit("millet_name")).alias(
+        "meta_millet_name"), F.element_at("meta", F.lit("source")).alias("meta_source"))
+
+
+@query("stream_routing")
+def stream_routing_q(spark, sf_dir):
+    """STR1: conversation requests streamed from Parquet files through the routing projection."""
+    reqs = B.conversation_requests(B.instruction_records(spark, sf_dir))
+    src, out, ckpt = (scratch_path(spark, n) for n in ("req-src", "req-out", "req-ckpt"))
+    reqs.write.parquet(src)
+    q = streams.start_to_parquet(streams.routed_stream(streams.request_stream(spark, src)), out, ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(out).select("request_id", "is_complex", "complexity_type", "max_tokens",
+                                          "use_adapter", "is_recipe")
+
+
+@query("stream_clean")
+def stream_clean_q(spark, sf_dir):
+    """STR2: generated answers streamed through TXT15 + TXT26 + TXT25 (equals the batch JOB5)."""
+    src, out, ckpt = (scratch_path(spark, n) for n in ("gen-src", "gen-out", "gen-ckpt"))
+    gens(spark, sf_dir).write.parquet(src)
+    stream = streams.cleaned_stream(spark.readStream.schema(streams.GENERATION_SCHEMA).parquet(src))
+    q = streams.start_to_parquet(stream, out, ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(out).select(
+        "request_id", "response", F.array_join("citations", " | ").alias("citations_text"), "confidence",
+        "confidence_band", "thinking", "is_complex", "complexity_type", "leads_with_wrong")
+
+
+@query("eval_join")
+def eval_join_q(spark, sf_dir):
+    """JOB8: cleaned assistant turns (TXT15) scored against the raw turns: exact match, token F1."""
+    conv = B.table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    pairs = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("gold"))
+    pairs = TS.clean_response_stage(pairs, "gold", "prediction")
+    return eval_ops.score(pairs)
