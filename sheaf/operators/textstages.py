@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from sheaf.functions import textclean as T
 from sheaf.functions.text import contains_any, ustrip
 from sheaf.rules import defaults as D
-from sheaf.rules.dialect import required_literals, sub
+from sheaf.rules.dialect import java_pattern, required_literals, sub
+
+_SENTENCE_HEAD, _SENTENCE_TAIL = "[^.]*", "[^.]*\\.\\s*"
 
 
 def fold_stage(df: DataFrame, col: str, rules, flags: str | None = None, guard: Column | None = None) -> DataFrame:
@@ -30,7 +32,7 @@ def fold_stage(df: DataFrame, col: str, rules, flags: str | None = None, guard:
     unconditionally, because a replacement may create new occurrences.
     Exact either way.
     """
-    low, dirty, ran, nxt = f"_{col}_low", f"_{col}_dirty", f"_{col}_ran", f"_{col}_next"
+    low, dirty = f"_{col}_low", f"_{col}_dirty"
     df = df.withColumn(low, F.lower(F.col(col))).withColumn(dirty, F.lit(False))
     for rule in rules:
         if isinstance(rule, str):
@@ -44,14 +46,14 @@ def fold_stage(df: DataFrame, col: str, rules, flags: str | None = None, guard:
         if guard is not None:
             cond = guard if cond is None else guard & cond
         if cond is None:
-            df = df.withColumn(col, expr).withColumn(dirty, F.lit(True))
-            continue
-        # the row turns dirty only if this pass really changed the text
-        df = (df.withColumn(ran, cond)
-              .withColumn(nxt, F.when(F.col(ran), expr).otherwise(F.col(col)))
-              .withColumn(dirty, F.col(dirty) | (F.col(ran) & (F.col(nxt) != F.col(col))))
-              .withColumn(col, F.col(nxt)))
-    return df.drop(low, dirty, ran, nxt)
+            cond = F.lit(True)
+        # one projection per pass; a row turns dirty only if the pass really changed
+        # its text (the pass expression is evaluated twice only on pre-check hits)
+        df = df.withColumns({
+            col: F.when(cond, expr).otherwise(F.col(col)),
+            dirty: F.col(dirty) | (cond & (expr != F.col(col))),
+        })
+    return df.drop(low, dirty)
 
 
 def cut_stage(df: DataFrame, col: str, markers=D.CUTOFF_MARKERS) -> DataFrame:
@@ -81,11 +83,79 @@ def clean_leakage_stage(df: DataFrame, src: str, out: str) -> DataFrame:
     return d.withColumn(out, T.short_text_guard(ustrip(T.fold(F.col(out), D.LEAKAGE_TIDY_RULES))))
 
 
+def sentence_core(pattern: str) -> str | None:
+    """``X`` for a sentence-removal pattern ``[^.]*X[^.]*\\.\\s*`` whose ``X`` cannot match a '.'."""
+    if not (pattern.startswith(_SENTENCE_HEAD) and pattern.endswith(_SENTENCE_TAIL)):
+        return None
+    core = pattern[len(_SENTENCE_HEAD):-len(_SENTENCE_TAIL)]
+    if "." in core.replace("[^.]", "") or not core:
+        return None
+    return core
+
+
+def sentence_filter_stage(df: DataFrame, col: str, groups) -> DataFrame:
+    """Remove whole '.'-terminated segments, in one linear pass, for sentence-shaped rules.
+
+    ``groups`` is ``[(guard Column, [X, ...], flags)]``.  A pass of
+    ``[^.]*X[^.]*\\.\\s*`` deletes each segment (text after the previous '.'
+    up to and including the next '.') in which ``X`` occurs, together with the
+    whitespace after it; segment boundaries do not move when a segment is
+    deleted, so consecutive passes of this shape commute and equal one filter
+    over the segments.  The regex form backtracks quadratically per sentence;
+    this form is linear.
+    """
+    low, segs, bad = f"_{col}_low", f"_{col}_segs", f"_{col}_bad"
+    any_guard = F.lit(False)
+    lits, exact = [], True
+    for guard, cores, _ in groups:
+        any_guard = any_guard | guard
+        for core in cores:
+            found = required_literals(core)
+            if found is None:
+                exact = False
+            else:
+                lits += found
+    pre = any_guard & (contains_any(F.col(low), lits) if exact else F.lit(True))
+    d = df.withColumn(low, F.lower(F.col(col)))
+    d = d.withColumn(segs, F.when(pre, F.regexp_extract_all(F.col(col), F.lit(java_pattern(r"[^.]*\.|[^.]+\z")), 0)))
+
+    def is_bad(seg):
+        hit = F.lit(False)
+        for guard, cores, flags in groups:
+            g = F.lit(False)
+            for core in cores:
+                g = g | seg.rlike(java_pattern(core, flags))
+            hit = hit | (guard & g)
+        return seg.endswith(".") & hit
+
+    d = d.withColumn(bad, F.transform(F.col(segs), is_bad))
+    lead_ws = java_pattern(r"^\s+")
+    kept = F.transform(F.col(segs), lambda s, i: F.when(F.element_at(F.col(bad), i + 1), F.lit("")).otherwise(
+        F.when((i > 0) & F.element_at(F.col(bad), F.greatest(i, F.lit(1))), F.regexp_replace(s, lead_ws, ""))
+        .otherwise(s)))
+    d = d.withColumn(col, F.when(pre, F.array_join(kept, "")).otherwise(F.col(col)))
+    return d.drop(low, segs, bad)
+
+
 def filter_off_topic_stage(df: DataFrame, src: str, out: str, question: str) -> DataFrame:
-    """TXT21 as stages: each topic's passes are guarded by its question flag."""
+    """TXT21 as stages: each topic's passes are guarded by its question flag.
+
+    The leading sentence-shaped passes of both topics (all but the last
+    nutrition pass) run as one segment filter; the rest as pre-checked folds.
+    """
     ql = F.lower(F.col(question))
-    d = fold_stage(df.withColumn(out, F.col(src)), out, D.FARMING_PATTERNS, D.TOPIC_FILTER_FLAGS,
-                   guard=contains_any(ql, D.COOKING_KEYWORDS))
-    d = fold_stage(d, out, D.OFF_TOPIC_NUTRITION_PATTERNS, D.TOPIC_FILTER_FLAGS,
-                   guard=contains_any(ql, D.NUTRITION_KEYWORDS))
+    cooking, nutrition = contains_any(ql, D.COOKING_KEYWORDS), contains_any(ql, D.NUTRITION_KEYWORDS)
+    groups, rest = [], []
+    for guard, patterns in ((cooking, D.FARMING_PATTERNS), (nutrition, D.OFF_TOPIC_NUTRITION_PATTERNS)):
+        cores = []
+        for p in patterns:
+            core = sentence_core(p)
+            if core is not None and not rest:
+                cores.append(core)
+            else:
+                rest.append((guard, p))
+        groups.append((guard, cores, D.TOPIC_FILTER_FLAGS))
+    d = sentence_filter_stage(df.withColumn(out, F.col(src)), out, groups)
+    for guard, p in rest:
+        d = fold_stage(d, out, [p], D.TOPIC_FILTER_FLAGS, guard=guard)
     return d.withColumn(out, ustrip(T.fold(F.col(out), D.TOPIC_TIDY_RULES)))

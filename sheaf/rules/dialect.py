@@ -159,7 +159,7 @@ def _top_level_alternation(p: str) -> bool:
     return False
 
 
-def required_literals(pattern: str, min_len: int = 3) -> list[str] | None:
+def required_literals(pattern: str, min_len: int = 1) -> list[str] | None:
     """Literals of which at least one occurs (case-insensitively) in any text the pattern matches.
 
     Used as a cheap ``instr`` pre-check so a regex pass runs only on rows that
