@@ -15,6 +15,7 @@ from sheaf.functions import route as R
 from sheaf.functions import textclean as T
 from sheaf.functions.text import ustrip
 from sheaf.operators import textstages as S
+from sheaf.operators.partitioning import spread
 from sheaf.rules import defaults as D
 
 
@@ -60,7 +61,7 @@ def respond(generations: DataFrame) -> DataFrame:
 
     TXT15 (first clean-up) -> CLS3 routing -> TXT26 -> TXT25 envelope.
     """
-    g = generations.withColumn("_route", R.route(F.col("question"), F.col("mode")))
+    g = spread(generations).withColumn("_route", R.route(F.col("question"), F.col("mode")))
     g = g.withColumn("is_complex", F.col("_route.is_complex"))\
         .withColumn("complexity_type", F.when(F.col("_route.is_complex"), F.col("_route.complexity_type")))\
         .drop("_route")

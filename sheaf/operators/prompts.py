@@ -18,10 +18,9 @@ def preview(text, n: int = D.PREVIEW_CHARS) -> Column:
 def encode(df: DataFrame, id_col: str, text_col: str, out_id: str, out_vec: str, encoder=None) -> DataFrame:
     """VEC1 + VEC2 with a pluggable Column encoder (default: hashed bag of words)."""
     if encoder is None:
-        vec = V.hashed_embedding(F.col(text_col), normalize=True)
-    else:
-        vec = V.l2_normalize(encoder(F.col(text_col)))
-    return df.select(F.col(id_col).alias(out_id), vec.alias(out_vec))
+        return V.add_hashed_embedding(df.select(F.col(id_col).alias(out_id), F.col(text_col).alias("_text")),
+                                      "_text", out_vec).drop("_text")
+    return df.select(F.col(id_col).alias(out_id), V.l2_normalize(encoder(F.col(text_col))).alias(out_vec))
 
 
 def context_blocks(hits: DataFrame, docs: DataFrame, doc_id: str = "doc_index",

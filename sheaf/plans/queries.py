@@ -30,6 +30,7 @@ from sheaf.operators import training as train_ops
 from sheaf.functions import route as RT
 from sheaf.rules import defaults as D
 from sheaf.operators.positions import with_position
+from sheaf.operators.partitioning import spread
 from sheaf.plans import bindings as B
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,7 +256,7 @@ def topk_lsh_recall_q(spark, sf_dir):
 def hashed_vectors_q(spark, sf_dir):
     """VEC1 VEC2: non-zero buckets of every document's hashed vector."""
     d = B.table(spark, sf_dir, "documents")
-    raw = d.select("doc_id", V.hashed_embedding(F.col("text")).alias("v"))
+    raw = V.add_hashed_embedding(d.select("doc_id", "text"), "text", "v", normalize=False)
     both = raw.select("doc_id", "v", V.l2_normalize(F.col("v")).alias("u"))
     return both.select("doc_id", F.posexplode(F.arrays_zip("v", "u")).alias("bucket", "z")).where(
         F.col("z.v") > 0).select("doc_id", "bucket", F.col("z.v").cast("long").alias("cnt"),
@@ -290,7 +291,7 @@ def prompt_assembly_q(spark, sf_dir):
 # response clean-up (TXT*, JOB5)
 # ---------------------------------------------------------------------------
 def gens(spark, sf_dir):
-    return B.generations(spark, sf_dir)
+    return spread(B.generations(spark, sf_dir))
 
 
 @query("clean_response")
@@ -388,6 +389,6 @@ def stream_clean_q(spark, sf_dir):
 def eval_join_q(spark, sf_dir):
     """JOB8: cleaned assistant turns (TXT15) scored against the raw turns: exact match, token F1."""
     conv = B.table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
-    pairs = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("gold"))
+    pairs = spread(conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("gold")))
     pairs = TS.clean_response_stage(pairs, "gold", "prediction")
     return eval_ops.score(pairs)

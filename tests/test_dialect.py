@@ -62,4 +62,4 @@ def test_required_literals():
     assert required_literals(r"[^.]*\b(?:sudan grass|johnson grass)\b[^.]*\.\s*") == ["sudan grass", "johnson grass"]
     assert required_literals(r"Project Co-?ordinator[^.]*\.") == ["project co"]
     assert required_literals(r"^\s+|\s+$") is None
-    assert required_literals(r"\*\*[^*]+:\*\*") is None
+    assert required_literals(r"\*\*[^*]+:\*\*") == ["**"]
