@@ -14,8 +14,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """
     if df.isStreaming:
         return df                      # micro-batches are partitioned by the source
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df._jdf.rdd().getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df._jdf.rdd().getNumPartitions()
+    except Exception:                  # sessions without a JVM handle: leave partitioning to Spark
+        return df
+    if current >= target:
         return df
     return df.repartition(target)
