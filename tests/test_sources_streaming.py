@@ -87,3 +87,21 @@ def test_message_rows_error(spark):
     rows = {r.id: r for r in P.message_rows(df).collect()}
     assert rows["2"].confidence == 0 and rows["2"].content.startswith("⚠️")
     assert rows["1"].content == "ok" and rows["1"].isComplex is True
+
+
+def test_stream_prompt_builder_foreach_batch(spark):
+    from conftest import SF_SMOKE
+    from sheaf.plans import bindings as B
+    from sheaf.plans.queries import knowledge_docs
+    from sheaf.operators import prompts as PR
+    recs = B.instruction_records(spark, SF_SMOKE)
+    reqs = B.conversation_requests(recs)
+    src, out, ck = (scratch_path(spark, n) for n in ("p-src", "p-out", "p-ck"))
+    reqs.write.parquet(src)
+    docs = knowledge_docs(spark, SF_SMOKE)
+    q = ST.start_prompt_builder(ST.routed_stream(ST.request_stream(spark, src)), docs, out, ck)
+    q.awaitTermination()
+    streamed = spark.read.parquet(out).select("request_id", "prompt").orderBy("request_id").collect()
+    batch = PR.assemble_prompts(RQ.route_requests(reqs), docs).select("request_id", "prompt")\
+        .orderBy("request_id").collect()
+    assert streamed == batch and len(batch) > 0
