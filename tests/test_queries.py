@@ -27,3 +27,9 @@ def test_query_matches_oracle(spark, name):
     assert r["schema_ok"], r
     assert r["rows"] == r["oracle_rows"], r
     assert r["values_ok"], r
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_no_cross_or_nested_loop_join(spark, name):
+    from plans import plan_facts
+    assert plan_facts(E.queries()[name](spark, SF_SMOKE))["cross"] == 0
