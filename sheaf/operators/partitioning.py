@@ -16,6 +16,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
         return df                      # micro-batches are partitioned by the source
     try:
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        # a shuffled input already has shuffle-sized partitions; asking an adaptive plan for
+        # its RDD would also run its shuffle stages early, so only scans are inspected
+        if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+            return df
         current = df._jdf.rdd().getNumPartitions()
     except Exception:                  # sessions without a JVM handle: leave partitioning to Spark
         return df
