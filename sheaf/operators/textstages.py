@@ -23,37 +23,47 @@ from sheaf.rules.dialect import java_pattern, required_literals, sub
 _SENTENCE_HEAD, _SENTENCE_TAIL = "[^.]*", "[^.]*\\.\\s*"
 
 
-def fold_stage(df: DataFrame, col: str, rules, flags: str | None = None, guard: Column | None = None) -> DataFrame:
-    """Apply ``rules`` to ``col`` in order, skipping passes that cannot match.
-
-    The text is lower-cased once per group.  While no pass has run on a row,
-    that copy is still the current text and serves every pre-check; once a
-    pass has changed the row (it is "dirty") all later passes run
-    unconditionally, because a replacement may create new occurrences.
-    Exact either way.
+def fold_expr(col: Column, rules, flags: str | None = None, guard: Column | None = None) -> Column:
+    """Apply ``rules`` to ``col`` in order, skipping passes that cannot match, as one expression.
+
+    The fold is an ``aggregate`` over the pass indices whose accumulator holds
+    the current text, a "dirty" flag, the text lower-cased once, and the
+    guard; each step evaluates exactly one pass (a ``CASE`` on the index).
+    While no pass has changed a row, the lower-cased copy is still current and
+    serves every pre-check; once a pass has changed the row, all later
+    passes run unconditionally, because a replacement may create new
+    occurrences.  Exact either way, and the plan stays one projection.
     """
-    low, dirty = f"_{col}_low", f"_{col}_dirty"
-    df = df.withColumn(low, F.lower(F.col(col))).withColumn(dirty, F.lit(False))
+    passes = []
     for rule in rules:
         if isinstance(rule, str):
             pattern, repl, fl = rule, "", flags or ""
         else:
             pattern, repl, *rest = rule
             fl = rest[0] if rest else (flags or "")
-        expr = sub(F.col(col), pattern, repl, fl)
-        lits = required_literals(pattern)
-        cond = (F.col(dirty) | contains_any(F.col(low), lits)) if lits else None
-        if guard is not None:
-            cond = guard if cond is None else guard & cond
-        if cond is None:
-            cond = F.lit(True)
-        # one projection per pass; a row turns dirty only if the pass really changed
-        # its text (the pass expression is evaluated twice only on pre-check hits)
-        df = df.withColumns({
-            col: F.when(cond, expr).otherwise(F.col(col)),
-            dirty: F.col(dirty) | (cond & (expr != F.col(col))),
-        })
-    return df.drop(low, dirty)
+        passes.append((pattern, repl, fl, required_literals(pattern)))
+    if not passes:
+        return col
+    init = F.struct(col.alias("t"), F.lit(False).alias("d"), F.lower(col).alias("low"),
+                    (guard if guard is not None else F.lit(True)).alias("g"))
+
+    def step(acc, i):
+        t, d, low, g = acc["t"], acc["d"], acc["low"], acc["g"]
+        out = None
+        for k, (pattern, repl, fl, lits) in enumerate(passes):
+            expr = sub(t, pattern, repl, fl)
+            cond = g & (d | contains_any(low, lits)) if lits else g
+            nxt = F.struct(F.when(cond, expr).otherwise(t).alias("t"),
+                           (d | (cond & (expr != t))).alias("d"), low.alias("low"), g.alias("g"))
+            out = F.when(i == k, nxt) if out is None else out.when(i == k, nxt)
+        return out.otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(passes) - 1)), init, step, lambda acc: acc["t"])
+
+
+def fold_stage(df: DataFrame, col: str, rules, flags: str | None = None, guard: Column | None = None) -> DataFrame:
+    """``fold_expr`` as a DataFrame stage (one projection)."""
+    return df.withColumn(col, fold_expr(F.col(col), rules, flags, guard))
 
 
 def cut_stage(df: DataFrame, col: str, markers=D.CUTOFF_MARKERS) -> DataFrame:
