@@ -42,6 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not conf:
         conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store); "
+                               "a machine-local scratch folder is only used in local mode")
         conf = tempfile.mkdtemp(prefix="sheaf-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

@@ -99,11 +99,25 @@ def union_optional(spark: SparkSession, primary: DataFrame, secondary_path: str,
     return out
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    """A plain file, or a Spark output directory whose write finished (``_SUCCESS``)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return False
+    return fs.isFile(p) or fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
+
+
 def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], schema=PREFERENCE_SCHEMA,
                   writer: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
-    """SRC7: reuse a materialised result when present, else build, write once and read back."""
-    if not _exists(spark, path):
-        (writer or write_jsonl)(build(), path, mode="errorifexists")
+    """SRC7: reuse a materialised result when present, else build, write once and read back.
+
+    Only a completed output is reused; a directory left by a failed build is
+    rebuilt (overwritten), so a crash mid-write cannot be mistaken for a result.
+    """
+    if not _complete(spark, path):
+        (writer or write_jsonl)(build(), path, mode="overwrite")
     return spark.read.schema(schema).json(path)
 
 
