@@ -18,7 +18,7 @@ the tables, growing with them:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.rules import defaults as D
@@ -225,7 +225,7 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     def pick(values, mod):
         out = None
         for i, v in enumerate(values):
-            val = v if isinstance(v, type(F.col("x"))) else F.lit(v).cast("string")
+            val = v if isinstance(v, Column) else F.lit(v).cast("string")
             out = F.when(rid % mod == i, val) if out is None else out.when(rid % mod == i, val)
         return out
 

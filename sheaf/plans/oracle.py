@@ -669,8 +669,8 @@ def citations_sql(t: str) -> str:
     tail = py_strip_sql(f"string_split({t}, '---')[-1]")
     lines = f"list_transform(string_split({tail}, chr(10)), lambda l: {py_strip_sql('l')})"
     bullets = f"list_filter({lines}, lambda l: starts_with(l, '-') OR starts_with(l, '*'))"
-    cleaned = f"list_filter(list_transform({bullets}, lambda l: {py_strip_sql(chr(108) + ' ')}), lambda l: l <> '')"
-    cleaned = cleaned.replace(py_strip_sql("l "), py_strip_sql("ltrim(l, '-* ')"))
+    stripped = py_strip_sql("ltrim(l, " + q(D.CITATION_LSTRIP) + ")")
+    cleaned = f"list_filter(list_transform({bullets}, lambda l: {stripped}), lambda l: l <> '')"
     has = f"instr({t}, '---') > 0"
     main = f"(CASE WHEN {has} THEN {py_strip_sql(f'split_part({t}, {q(D.CITATION_SPLIT)}, 1)')} ELSE {py_strip_sql(t)} END)"
     cites = (f"(CASE WHEN {has} AND len({cleaned}) > 0 THEN list_slice({cleaned}, 1, {D.CITATION_KEEP}) "
