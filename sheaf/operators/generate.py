@@ -33,6 +33,15 @@ def safe_entities(ent: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return ent.select(*cols)
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` as a lambda variable.
+
+    An expression referenced inside a higher-order-function lambda is
+    re-evaluated on every invocation; binding it first avoids that.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, fn)
+
+
 def parse_recipes(c) -> Column:
     """GEN8: ``name: steps | name: steps`` -> ordered array of (name, steps).
 
@@ -47,12 +56,21 @@ def parse_recipes(c) -> Column:
         i.alias("i"),
         ustrip(F.substring_index(p, ":", 1)).alias("recipe_name"),
         ustrip(p.substr(F.instr(p, ":") + 1, F.lit(1 << 30))).alias("recipe_steps")))
-    firsts = F.filter(pairs, lambda x: ~F.exists(
-        pairs, lambda y: (y["i"] < x["i"]) & (y["recipe_name"] == x["recipe_name"])))
-    parsed = F.transform(firsts, lambda x: F.struct(
-        x["recipe_name"].alias("recipe_name"),
-        F.element_at(F.filter(pairs, lambda y: y["recipe_name"] == x["recipe_name"]), -1)["recipe_steps"]
-        .alias("recipe_steps")))
+    # first position and last value per name in O(n log n): sort by (name, position),
+    # keep each name group's first and last element, pair them, restore position order
+    by_name = F.array_sort(F.transform(pairs, lambda x: F.struct(
+        x["recipe_name"].alias("n"), x["i"].alias("i"), x["recipe_steps"].alias("s"))))
+
+    def dedupe(b):
+        size = F.size(b)
+        firsts = F.filter(b, lambda x, j: (j == 0) | (F.element_at(b, F.greatest(j, F.lit(1)))["n"] != x["n"]))
+        lasts = F.filter(b, lambda x, j: (j == size - 1) | (F.element_at(b, F.least(j + 2, size))["n"] != x["n"]))
+        merged = F.array_sort(F.zip_with(firsts, lasts, lambda a, z: F.struct(
+            a["i"].alias("i"), a["n"].alias("recipe_name"), z["s"].alias("recipe_steps"))))
+        return F.transform(merged, lambda x: F.struct(x["recipe_name"].alias("recipe_name"),
+                                                      x["recipe_steps"].alias("recipe_steps")))
+
+    parsed = let(by_name, dedupe)
     empty = F.array().cast(RECIPE_TYPE)
     return F.when(c.isNull() | (c == "") | (c == D.NOT_AVAILABLE), empty).otherwise(parsed)
 

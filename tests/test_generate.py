@@ -45,3 +45,13 @@ def test_gluten_fragment_and_defaults(spark):
     assert "naturally gluten-free, making it suitable" in outs[0]
     assert "naturally not gluten-free, making it unsuitable" in outs[1]
     assert outs[2].startswith("Gluten-Free Status: Not available")
+
+
+def test_recipe_parse_long_row_is_fast(spark):
+    import time
+    text = " | ".join(f"r{i % 1000}: step {i}" for i in range(3000))
+    df = spark.createDataFrame([(text,)], "recipes string")
+    t = time.time()
+    got = df.select(G.parse_recipes(F.col("recipes")).alias("p")).first().p
+    assert time.time() - t < 30
+    assert len(got) == 1000 and got[0].recipe_name == "r0" and got[0].recipe_steps == "step 2000"
