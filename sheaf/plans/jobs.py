@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.operators import augment as A
@@ -50,13 +50,21 @@ def augment_records(records: DataFrame, order_by: Sequence, out_path: str | None
     return shuffled
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """AGG7: a row total gathered while the job runs (``observe``), no second pass."""
+    obs = Observation(name)
+    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
+
+
 def knowledge_base(records: DataFrame, order_by: Sequence, out_path: str | None = None,
                    groups=D.DOC_CATEGORIES, dim: int = 64) -> DataFrame:
     """JOB3: WIN1 -> FLT1 -> PRJ7-8 -> CLS1 -> VEC1-2 (-> SNK4 Parquet collection)."""
     docs = DOCS.build_documents(records, order_by=order_by, groups=groups)
     coll = V.add_hashed_embedding(docs, "page_content", "embedding", dim=dim)
     if out_path:
-        R.write_collection(coll, out_path)
+        observed, obs = counted(coll, "indexed")
+        R.write_collection(observed, out_path)
+        coll.sparkSession.sparkContext.setJobDescription(f"indexed {obs.get['rows']} documents")
     return coll
 
 

@@ -54,3 +54,9 @@ def test_instruction_and_augment_jobs(spark):
     aug = J.augment_records(recs, ["part", "entity_pos", "item"])
     counts = aug.groupBy("origin").count().collect()
     assert {r.origin for r in counts} == {"original", "rephrased", "qa", "negative"}
+
+
+def test_observed_row_total(spark):
+    df, obs = J.counted(spark.range(1234), "n")
+    df.write.format("noop").mode("overwrite").save()
+    assert obs.get["rows"] == 1234
