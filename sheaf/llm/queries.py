@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sheaf.llm.common import table
 from sheaf.llm.minhash import near_duplicates
+from sheaf.llm.substrings import remove_repeats
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -20,6 +22,13 @@ def query(name: str):
     return register
 
 
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark, sf_dir):
+    """Words outside all 35-word windows that occur more than once in the whole corpus."""
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op8_minmax_near_dedup")
 def op8_minmax_near_dedup(spark, sf_dir):
     """Near-duplicate components of all documents on 4-word shingles at a Jaccard similarity of 0.8."""
