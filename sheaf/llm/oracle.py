@@ -3,3 +3,30 @@
 from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
+
+ORACLE["op10_mix_sources"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+per AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+weighed AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM per),
+ordered AS (SELECT *, row_number() OVER (ORDER BY 3.0 * source_size / weight, source ASC NULLS LAST) AS k FROM weighed),
+-- pour the total by weight; cap the source of least size per weight while its cap is below the level
+fill AS (
+  SELECT 0 AS k, (SELECT SUM(source_size) FROM per) AS words, (SELECT SUM(weight) FROM weighed) AS share
+  UNION ALL
+  SELECT o.k, f.words - 3 * o.source_size, f.share - o.weight FROM fill f JOIN ordered o ON o.k = f.k + 1
+  WHERE CAST(f.words AS DOUBLE) / f.share * o.weight > 3 * o.source_size),
+capped AS (SELECT k, CAST(words AS DOUBLE) / NULLIF(share, 0) AS level FROM fill ORDER BY k DESC LIMIT 1),
+goal AS (
+  SELECT source, source_size, CASE WHEN o.k <= c.k THEN CAST(3 * source_size AS DOUBLE) ELSE level * weight END AS target
+  FROM ordered o, capped c),
+need AS (SELECT *, COALESCE(floor(target / NULLIF(source_size, 0)), 0) AS base FROM goal),
+grouped AS (SELECT source, h, SUM(size) AS words FROM d GROUP BY source, h),
+running AS (SELECT source, h, words, SUM(words) OVER (PARTITION BY source ORDER BY h) AS upto FROM grouped)
+SELECT d.doc_id, d.size, n.source_size, n.target,
+       CAST(d.size * (n.base + CASE WHEN r.upto + r.upto - r.words <= 2 * (n.target - n.base * n.source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN need n ON d.source IS NOT DISTINCT FROM n.source JOIN running r ON r.source IS NOT DISTINCT FROM d.source AND r.h = d.h
+"""

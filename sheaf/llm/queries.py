@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import table
+from sheaf.llm import mixing
 from sheaf.llm.minhash import near_duplicates
 from sheaf.llm.substrings import remove_repeats
 
@@ -33,3 +34,9 @@ def op2_substring_dedup(spark, sf_dir):
 def op8_minmax_near_dedup(spark, sf_dir):
     """Near-duplicate components of all documents on 4-word shingles at a Jaccard similarity of 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
+@query("op10_mix_sources")
+def op10_mix_sources(spark, sf_dir):
+    """How many words of each document the weighted mix of all sources takes."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
