@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import table
-from sheaf.llm import mixing
+from sheaf.llm import mixing, packing
 from sheaf.llm.minhash import near_duplicates
 from sheaf.llm.substrings import remove_repeats
 
@@ -30,6 +30,13 @@ def op2_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op3_pack_sequences")
+def op3_pack_sequences(spark, sf_dir):
+    """All documents as token pieces in sequences of at most 1024 tokens."""
+    out = packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query("op8_minmax_near_dedup")
 def op8_minmax_near_dedup(spark, sf_dir):
     """Near-duplicate components of all documents on 4-word shingles at a Jaccard similarity of 0.8."""
