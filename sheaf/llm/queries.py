@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.common import table
 from sheaf.llm import mixing, packing
+from sheaf.llm.fingerprints import fingerprint_edits
 from sheaf.llm.minhash import near_duplicates
 from sheaf.llm.substrings import remove_repeats
 
@@ -23,6 +24,12 @@ def query(name: str):
     return register
 
 
+@query("op1_merkle_fingerprints")
+def op1_merkle_fingerprints(spark, sf_dir):
+    """Merkle fingerprints of all documents and of their edited texts, with likenesses."""
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 @query("op2_substring_dedup")
 def op2_substring_dedup(spark, sf_dir):
     """Words outside all 35-word windows that occur more than once in the whole corpus."""
