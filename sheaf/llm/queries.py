@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import table
-from sheaf.llm import mixing, packing
+from sheaf.llm import language, mixing, packing
 from sheaf.llm.fingerprints import fingerprint_edits
 from sheaf.llm.minhash import near_duplicates
 from sheaf.llm.substrings import remove_repeats
@@ -44,6 +44,16 @@ def op3_pack_sequences(spark, sf_dir):
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    """Language of every text, learned from two thirds of the labelled documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    models = language.train(docs.where(~held_out))
+    out = language.identify(docs, models)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
 @query("op8_minmax_near_dedup")
 def op8_minmax_near_dedup(spark, sf_dir):
     """Near-duplicate components of all documents on 4-word shingles at a Jaccard similarity of 0.8."""
