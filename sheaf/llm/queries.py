@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import table
-from sheaf.llm import language, mixing, packing
+from sheaf.llm import language, mixing, packing, secrets
 from sheaf.llm.fingerprints import fingerprint_edits
 from sheaf.llm.minhash import near_duplicates
 from sheaf.llm.substrings import remove_repeats
@@ -54,6 +54,17 @@ def op4_language_id(spark, sf_dir):
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+@query("op6_secret_scan")
+def op6_secret_scan(spark, sf_dir):
+    """Secrets in every text: counts and digest of the strong spans, and all spans."""
+    found = secrets.secret_spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    strong = F.filter("spans", lambda x: x["kind"].isin(*secrets.BASE))
+    return found.select(
+        "doc_id", *map(count, secrets.BASE), F.sha2(secrets.written_out(strong), 256).alias("base_sha256"), secrets.written_out(F.col("spans")).alias("spans")
+    )
+
+
 @query("op8_minmax_near_dedup")
 def op8_minmax_near_dedup(spark, sf_dir):
     """Near-duplicate components of all documents on 4-word shingles at a Jaccard similarity of 0.8."""
