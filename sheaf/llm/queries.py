@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sheaf.llm.common import table
 from sheaf.llm import language, mixing, packing, secrets
 from sheaf.llm.fingerprints import fingerprint_edits
+from sheaf.llm.html import extract_pages
 from sheaf.llm.minhash import near_duplicates
 from sheaf.llm.substrings import remove_repeats
 
@@ -71,6 +72,12 @@ def op8_minmax_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
+@query("op9_html_main_text")
+def op9_html_main_text(spark, sf_dir):
+    """Main text of every page."""
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 @query("op10_mix_sources")
 def op10_mix_sources(spark, sf_dir):
     """How many words of each document the weighted mix of all sources takes."""
