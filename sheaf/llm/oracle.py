@@ -30,3 +30,15 @@ SELECT d.doc_id, d.size, n.source_size, n.target,
        CAST(d.size * (n.base + CASE WHEN r.upto + r.upto - r.words <= 2 * (n.target - n.base * n.source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN need n ON d.source IS NOT DISTINCT FROM n.source JOIN running r ON r.source IS NOT DISTINCT FROM d.source AND r.h = d.h
 """
+
+ORACLE["op5_exact_topk"] = r"""
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, p.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(p.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v p ON q.vec_id % 20 = 0 AND q.vec_id <> p.vec_id AND len(q.v) = len(p.v))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""

@@ -13,6 +13,7 @@ from sheaf.llm.fingerprints import fingerprint_edits
 from sheaf.llm.html import extract_pages
 from sheaf.llm.minhash import near_duplicates
 from sheaf.llm.substrings import remove_repeats
+from sheaf.llm.topk import top_products
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -55,6 +56,12 @@ def op4_language_id(spark, sf_dir):
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+@query("op5_exact_topk")
+def op5_exact_topk(spark, sf_dir):
+    """The 20 highest integer inner products for every twentieth vector."""
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
 @query("op6_secret_scan")
 def op6_secret_scan(spark, sf_dir):
     """Secrets in every text: counts and digest of the strong spans, and all spans."""
