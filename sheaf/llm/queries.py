@@ -11,6 +11,7 @@ from sheaf.llm.common import table
 from sheaf.llm import language, mixing, packing, secrets
 from sheaf.llm.fingerprints import fingerprint_edits
 from sheaf.llm.html import extract_pages
+from sheaf.llm.lines import dedup_lines
 from sheaf.llm.minhash import near_duplicates
 from sheaf.llm.substrings import remove_repeats
 from sheaf.llm.topk import top_products
@@ -73,6 +74,13 @@ def op6_secret_scan(spark, sf_dir):
     )
 
 
+@query("op7_line_dedup")
+def op7_line_dedup(spark, sf_dir):
+    """All documents without lines that match an earlier line of the corpus."""
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op8_minmax_near_dedup")
 def op8_minmax_near_dedup(spark, sf_dir):
     """Near-duplicate components of all documents on 4-word shingles at a Jaccard similarity of 0.8."""
