@@ -1,15 +1,66 @@
-"""Corpus pipeline: language ID, line dedup, near-dedup, mixing, packing."""
+"""Corpus pipeline: language ID, line dedup, near-dedup, mixing to target weights, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the
+columns of ``docs``; the last returns one row per token piece.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sheaf.llm import language, lines, minhash, mixing, packing
+from sheaf.llm.common import written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter whose text is plausible in a language learned from the labelled ones.
+
+    Without any labelled document there is nothing to tell by: all rows with a letter stay.
+    """
+    models = language.train(docs)
+    if models is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return language.accepted_rows(docs, models)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that match an earlier line; ``n_chars`` follows. What loses all its words goes."""
+    out = lines.without_lines(docs).withColumn("_text", lines.kept_text())
+    left = F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]")
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.col("_text"))
+    size = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_text"))
+    return out.where(left).withColumns({"n_chars": size.cast(docs.schema["n_chars"].dataType), "text": text}).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the one of the smallest id (five-word shingles, 0.8)."""
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the weighted mix of the sources takes them."""
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as token pieces with their places in sequences of 1024 tokens."""
+    return packing.pack(packing.pieces(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

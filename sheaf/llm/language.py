@@ -289,3 +289,17 @@ def identify(docs: DataFrame, models: Models | None, id_col: str = "doc_id", tex
         return d.select(F.col("_id").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
     scored = d.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(models)), _SCORED)
     return scored.select(F.col("_id").alias("doc_id"), "lang_pred", "score", "accepted", "entropy", "n")
+
+
+def accepted_rows(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text has a language that ``identify`` accepts."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text_col)
+            for lo, hi, *_ in slices(texts):
+                entropies, n = shared.value.cross_entropies([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
+                yield batch.slice(lo, hi - lo).filter(pa.array(shared.value.decide(entropies, n)[2]))
+
+    return docs.mapInArrow(run, docs.schema)

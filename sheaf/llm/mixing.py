@@ -70,21 +70,45 @@ def thresholds(docs: DataFrame, rest: DataFrame) -> DataFrame:
     return found.select("source", (F.col("low") + near.cast("long")).alias("cut"))
 
 
+def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """(``source``, ``source_size``, ``target``, ``base``, ``cut``) from (``source``, ``size``, ``hash``) rows.
+
+    A source takes ``base`` copies of all its documents and one more of those with a hash below ``cut``.
+    """
+    d = written(docs.select("source", "size", "hash"), "sizes")
+    goal = targets(d.select("source", "size"), weights, most).withColumn("base", F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)))
+    goal = written(goal.withColumn("rest", F.col("target") - F.col("base") * F.col("source_size")), "targets")
+    cuts = thresholds(d, goal.select("source", "rest"))
+    return goal.join(cuts, goal["source"].eqNullSafe(cuts["source"]), "left").select(goal["source"], "source_size", "target", "base", "cut")
+
+
+def words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def copies(size: Column, doc_hash: Column) -> Column:
+    """How often the mix takes a document, given its source's ``base`` and ``cut``."""
+    return F.when(size > 0, F.col("base") + F.coalesce(doc_hash < F.col("cut"), F.lit(False)).cast("long")).otherwise(0)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """(``doc_id``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``), one row per row of ``docs``.
 
     ``size`` counts the words of the text (null: 0), ``copies`` is how often the mix takes the document (0 to
     ``most``), ``taken`` = ``size`` * ``copies``. Documents are taken whole, so a source misses its target by at
     most half a document. The choice depends on ids and sizes alone: reruns agree, repeated rows are taken
-    alike, and rows without id share one hash. Null sources form one source. A source without words has
-    target 0; its documents count as taken no times. An empty table gives an empty one.
+    alike, and rows without id share one hash. Null sources form one source. A document without words is taken no
+    times; a source of such has target 0. An empty table gives an empty one.
     """
-    size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long")
-    d = written(docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), size.alias("size"), document_hash(docs[id_col]).alias("hash")), "sizes")
-    goal = targets(d.select("source", "size"), weights, most).withColumn("base", F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)))
-    goal = written(goal.withColumn("rest", F.col("target") - F.col("base") * F.col("source_size")), "targets")
-    cuts = thresholds(d.select("source", "size", "hash"), goal.select("source", "rest"))
-    plan = goal.join(cuts, goal["source"].eqNullSafe(cuts["source"]), "left").drop(cuts["source"]).withColumnRenamed("source", "s")
-    out = d.join(plan, d["source"].eqNullSafe(plan["s"]))
-    copies = F.col("base") + F.coalesce((F.col("hash") < F.col("cut")) & (F.col("size") > 0), F.lit(False)).cast("long")
-    return out.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    d = written(docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), words(docs[text_col]).alias("size"), document_hash(docs[id_col]).alias("hash")), "sizes")
+    by = plan(d, weights, most).withColumnRenamed("source", "s")
+    out = d.join(by, d["source"].eqNullSafe(by["s"])).withColumn("copies", copies(F.col("size"), F.col("hash")))
+    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` takes, each as often as it is taken; texts are not shuffled."""
+    size, doc_hash = words(docs[text_col]), document_hash(docs[id_col])
+    by = plan(docs.select(docs[source_col].alias("source"), size.alias("size"), doc_hash.alias("hash")), weights, most).withColumnRenamed("source", "_s")
+    out = docs.join(by, docs[source_col].eqNullSafe(by["_s"])).withColumn("_copies", copies(size, doc_hash).cast("int"))
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
