@@ -26,11 +26,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that match an earlier line; ``n_chars`` follows. What loses all its words goes."""
-    out = lines.without_lines(docs).withColumn("_text", lines.kept_text())
-    left = F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.col("_text"))
-    size = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_text"))
-    return out.where(left).withColumns({"n_chars": size.cast(docs.schema["n_chars"].dataType), "text": text}).select(*docs.columns)
+    out, text = lines.without_lines(docs), lines.kept_text()
+    cut = F.col("row").withField("text", text).withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    whole = F.col("gone").isNull()
+    return out.where(whole | text.rlike(r"[^\x20\x09-\x0D]")).select(F.when(whole, F.col("row")).otherwise(cut).alias("row")).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

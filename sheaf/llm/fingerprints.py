@@ -91,7 +91,7 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     """
     ids = docs.withColumn("_order", F.coalesce(F.col("_id"), F.lit(-(1 << 62))).cast("double"))
     found = ids.agg(F.percentile_approx("_order", [k / buckets for k in range(1, buckets)], 50 * buckets)).first()[0] if buckets > 1 else None
-    splits = [-float("inf"), *sorted(set(found or ())), float("inf")]
+    splits = [-float("inf"), *sorted(set(found or (0.0,))), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_order", outputCol="part").transform(ids).withColumn("part", F.col("part").cast("int"))
     firsts = cut.groupBy("part").agg(F.min(F.struct("_order")).alias("least")).select("part", "least._order")
     # one row per part: as many as there are splits

@@ -173,17 +173,18 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """``docs`` with ``_lines`` (all lines of the text) and ``_gone`` (numbers from 0 of those to remove, null if none)."""
-    gone = later_matches(doc_columns(docs, id_col, text_col), percent).groupBy("_id", "_h").agg(F.collect_list("line").alias("_gone"))
-    keyed = docs.withColumns({"_id": docs[id_col].cast("long"), "_h": F.hash(docs[text_col])})
+    """(``row``, ``lines``, ``gone``): the rows of ``docs`` as structs, all lines of the text, and the numbers (from 0) of
+    those to remove (null if none)."""
+    gone = later_matches(doc_columns(docs, id_col, text_col), percent).groupBy("_id", "_h").agg(F.collect_list("line").alias("gone"))
     text = docs[text_col]
     lines = F.when(F.length(text) > 0, F.split(text, "\n", -1)).otherwise(F.array().cast("array<string>"))
-    return keyed.join(gone, same_row(keyed, gone), "left").select(*[docs[c] for c in docs.columns], lines.alias("_lines"), "_gone")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), lines.alias("lines"), docs[id_col].cast("long").alias("_id"), F.hash(text).alias("_h"))
+    return rows.join(gone, same_row(rows, gone), "left").select("row", "lines", "gone")
 
 
 def kept_text() -> Column:
-    stay = F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i))
-    return F.array_join(F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(stay), "\n")
+    stay = F.filter("lines", lambda x, i: ~F.array_contains("gone", i))
+    return F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(stay), "\n")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -196,7 +197,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one stays of the other. Rows without id come before all others. An empty table gives an empty one. Other columns
     of ``docs`` are not looked at.
     """
-    d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    removed = F.coalesce(F.size("_gone"), F.lit(0))
-    out = without_lines(d, percent=percent)
-    return out.select("doc_id", F.size("_lines").cast("long").alias("n_lines"), F.when(removed > 0, removed).otherwise(0).cast("long").alias("n_removed"), kept_text().alias("kept_text"))
+    out = without_lines(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), percent=percent)
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    return out.select("row.doc_id", F.size("lines").cast("long").alias("n_lines"), removed.alias("n_removed"), kept_text().alias("kept_text"))

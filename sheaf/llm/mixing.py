@@ -108,7 +108,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """The rows of ``docs`` that ``mix`` takes, each as often as it is taken; texts are not shuffled."""
-    size, doc_hash = words(docs[text_col]), document_hash(docs[id_col])
-    by = plan(docs.select(docs[source_col].alias("source"), size.alias("size"), doc_hash.alias("hash")), weights, most).withColumnRenamed("source", "_s")
-    out = docs.join(by, docs[source_col].eqNullSafe(by["_s"])).withColumn("_copies", copies(size, doc_hash).cast("int"))
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[source_col].alias("source"), words(docs[text_col]).alias("size"), document_hash(docs[id_col]).alias("hash"))
+    by = plan(rows, weights, most).withColumnRenamed("source", "s")
+    taken = F.array_repeat(F.lit(True), copies(F.col("size"), F.col("hash")).cast("int"))
+    return rows.join(by, rows["source"].eqNullSafe(by["s"])).select("row", F.explode(taken)).select("row.*")
