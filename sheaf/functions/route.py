@@ -7,7 +7,6 @@ the first-match-wins semantics of the rule tables.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,46 +78,6 @@ def confidence_band(score) -> Column:
     return out.otherwise(F.lit(D.CONFIDENCE_LOW))
 
 
-# --------------------------------------------------------------------------- JOIN3, large rule sets
-MAX_RULE_NEEDLES = 1_000_000       # the rule list ships to every task: keep it configuration-sized
-
-
-def first_label_large(text, groups, default=None):
-    """JOIN3 for large keyword tables: the label of the first group (table order) with a substring hit.
-
-    Same result as ``first_label`` (a ``when`` chain, best for tens of
-    keywords).  For thousands of keywords a containment join would be a
-    nested-loop join, so instead every Arrow batch is scanned once with an
-    Aho-Corasick automaton built from the (size-checked) rule list; the
-    lowest group index among all hits wins.  Callers lower-case ``text``
-    themselves, as for ``first_label``.
-    """
-    from pyspark.sql.functions import pandas_udf
-
-    needles = [(n, gi) for gi, (_, ns) in enumerate(groups) for n in ns if n]
-    if len(needles) > MAX_RULE_NEEDLES:
-        raise ValueError(f"rule table too large to ship to tasks: {len(needles)} needles")
-    labels = [label for label, _ in groups]
-
-    @pandas_udf("string")
-    def label(s: pd.Series) -> pd.Series:
-        import ahocorasick
-        auto = ahocorasick.Automaton()
-        for n, gi in needles:
-            prev = auto.get(n, None)
-            auto.add_word(n, gi if prev is None else min(prev, gi))
-        auto.make_automaton()
-
-        def one(t):
-            if t is None:
-                return default
-            best = None
-            for _, gi in auto.iter(t):
-                if best is None or gi < best:
-                    best = gi
-                    if best == 0:
-                        break
-            return default if best is None else labels[best]
-        return s.map(one)
-
-    return label(col_or_lit(text))
+def nutrient_share(value, full_mark: float) -> Column:
+    """CLS10: value as a share of an axis's full mark."""
+    return col_or_lit(value) / F.lit(float(full_mark))

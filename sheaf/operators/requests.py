@@ -9,7 +9,7 @@ from sheaf.functions import route as R
 from sheaf.functions.text import render, ustrip
 from sheaf.rules import defaults as D
 
-REQUEST_SCHEMA = "request_id bigint, message string, model_type string, mode string, context string"
+REQUEST_SCHEMA = "request_id string, message string, model_type string, mode string, context string"
 
 
 def route_requests(requests: DataFrame) -> DataFrame:

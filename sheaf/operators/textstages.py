@@ -23,6 +23,11 @@ from sheaf.rules.dialect import java_pattern, required_literals, sub
 _SENTENCE_HEAD, _SENTENCE_TAIL = "[^.]*", "[^.]*\\.\\s*"
 
 
+def folded(col: Column) -> Column:
+    """Lower case for literal pre-checks; the letters that case-insensitive patterns also take for i and s become those."""
+    return F.lower(F.translate(col, "\u0130\u0131\u017f", "iis"))
+
+
 def fold_expr(col: Column, rules, flags: str | None = None, guard: Column | None = None) -> Column:
     """Apply ``rules`` to ``col`` in order, skipping passes that cannot match, as one expression.
 
@@ -44,7 +49,7 @@ def fold_expr(col: Column, rules, flags: str | None = None, guard: Column | None
         passes.append((pattern, repl, fl, required_literals(pattern)))
     if not passes:
         return col
-    init = F.struct(col.alias("t"), F.lit(False).alias("d"), F.lower(col).alias("low"),
+    init = F.struct(col.alias("t"), F.lit(False).alias("d"), folded(col).alias("low"),
                     (guard if guard is not None else F.lit(True)).alias("g"))
 
     def step(acc, i):
@@ -126,7 +131,7 @@ def sentence_filter_stage(df: DataFrame, col: str, groups) -> DataFrame:
             else:
                 lits += found
     pre = any_guard & (contains_any(F.col(low), lits) if exact else F.lit(True))
-    d = df.withColumn(low, F.lower(F.col(col)))
+    d = df.withColumn(low, folded(F.col(col)))
     d = d.withColumn(segs, F.when(pre, F.regexp_extract_all(F.col(col), F.lit(java_pattern(r"[^.]*\.|[^.]+\z")), 0)))
 
     def is_bad(seg):

@@ -55,6 +55,10 @@ def whitespace_tokens(c: Column) -> Column:
     return F.size(F.filter(F.split(c, java_pattern(r"\s+")), lambda t: t != ""))
 
 
+#: Exact quantiles: the aggregate holds one count per distinct length.
+LENGTH_QUANTILES = [("p50_tokens", 0.5), ("p90_tokens", 0.9), ("p99_tokens", 0.99)]
+
+
 def length_profile(texts: DataFrame, limits: Sequence[int] = D.LENGTH_LIMITS, col: str = "text") -> DataFrame:
     """JOB9: token counts against each configured limit, one aggregation pass."""
     n = texts.select(whitespace_tokens(F.col(col)).alias("n_tokens"))
@@ -63,5 +67,6 @@ def length_profile(texts: DataFrame, limits: Sequence[int] = D.LENGTH_LIMITS, co
         F.count(F.lit(1)).alias("n_texts"),
         F.count(F.when(F.col("n_tokens") > F.col("limit"), 1)).alias("n_over"),
         F.max("n_tokens").alias("max_tokens"),
+        *[F.round(F.percentile("n_tokens", q), 6).alias(name) for name, q in LENGTH_QUANTILES],
         F.round(F.avg("n_tokens"), 6).alias("avg_tokens"))
         .withColumn("share_over", F.round(F.col("n_over") / F.col("n_texts"), 6)))

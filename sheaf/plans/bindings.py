@@ -141,48 +141,46 @@ ENTITY_ORDER = ["p_partkey"]
 # ---------------------------------------------------------------------------
 # requests
 # ---------------------------------------------------------------------------
-CONV_REQUEST_BASE = 10 ** 12
 MODES = [D.MODE_FAST, D.MODE_THINKING, None]
 MODEL_TYPES = ["millet", "base", "Base", None]
 
 
-def requests_from(generated: DataFrame, records: DataFrame) -> DataFrame:
-    """Chat requests: generated instructions (id = record position) and conversation
-    user turns (id = 10^12 + conv_id * 1000 + turn); mode / model type / topic by id."""
-    topic_ids = [t[0] for t in D.TOPICS]
-    gen = generated.select(F.col("rec_pos").alias("request_id"), F.col("instruction").alias("message"))
-    conv = records.select((F.lit(CONV_REQUEST_BASE) + F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
-                          F.col("instruction").alias("message"))
-    req = gen.unionByName(conv)
-    rid = F.col("request_id")
+def pick(values, mod: int, number: Column) -> Column:
+    """The value at ``number`` modulo ``mod``, null beyond the list."""
+    out = F.lit(None).cast("string")
+    for i, v in reversed(list(enumerate(values))):
+        out = F.when(number % mod == i, v if isinstance(v, Column) else F.lit(v).cast("string")).otherwise(out)
+    return out
 
-    def pick(values, mod):
-        out = None
-        for i, v in enumerate(values):
-            val = F.lit(v).cast("string")
-            out = F.when(rid % mod == i, val) if out is None else out.when(rid % mod == i, val)
-        return out
 
-    return req.select("request_id", "message", pick(MODEL_TYPES, 4).alias("model_type"),
-                      pick(MODES, 3).alias("mode"), pick(topic_ids, len(topic_ids)).alias("context"))
+def conversation_request_id() -> Column:
+    """``c<conversation>-<turn>``: no two turns share one, however long a conversation is."""
+    return F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn"))
 
 
-def conversation_requests(records: DataFrame) -> DataFrame:
-    """Requests from conversation user turns only (id = 10^12 + conv_id * 1000 + turn)."""
+def _requests(rows: DataFrame) -> DataFrame:
+    """Mode, model type and topic by ``number``."""
     topic_ids = [t[0] for t in D.TOPICS]
-    req = records.select((F.lit(CONV_REQUEST_BASE) + F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
-                         F.col("instruction").alias("message"))
-    rid = F.col("request_id")
+    n = F.col("number")
+    return rows.select("request_id", "message", pick(MODEL_TYPES, 4, n).alias("model_type"), pick(MODES, 3, n).alias("mode"),
+                       pick(topic_ids, len(topic_ids), n).alias("context"))
 
-    def pick(values, mod):
-        out = None
-        for i, v in enumerate(values):
-            val = F.lit(v).cast("string")
-            out = F.when(rid % mod == i, val) if out is None else out.when(rid % mod == i, val)
-        return out
 
-    return req.select("request_id", "message", pick(MODEL_TYPES, 4).alias("model_type"),
-                      pick(MODES, 3).alias("mode"), pick(topic_ids, len(topic_ids)).alias("context"))
+def requests_from(generated: DataFrame, records: DataFrame) -> DataFrame:
+    """Chat requests: generated instructions (``g<record position>``) and conversation user turns."""
+    gen = generated.select(F.concat(F.lit("g"), F.col("rec_pos")).alias("request_id"), F.col("rec_pos").alias("number"),
+                           F.col("instruction").alias("message"))
+    return _requests(gen.unionByName(_numbered(records)))
+
+
+def _numbered(records: DataFrame) -> DataFrame:
+    return records.select(conversation_request_id().alias("request_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("number"),
+                          F.col("instruction").alias("message"))
+
+
+def conversation_requests(records: DataFrame) -> DataFrame:
+    """Requests from conversation user turns only."""
+    return _requests(_numbered(records))
 
 
 # ---------------------------------------------------------------------------
@@ -201,7 +199,7 @@ GEN_QUESTIONS = [
     "Explain pearl millet nutrition and yield",
 ]
 GEN_INJECTIONS = [
-    ("MilletsGAI: ", " **Key point** is *this* one.\nUser: leaked follow-up"),
+    (D.named("{assistant}: "), " **Key point** is *this* one.\nUser: leaked follow-up"),
     ("Hi! I'm happy to help! ", " • first item • second item\n- dash item\nLet's compare: both sides"),
     ("", " Please provide your response now.\n```python\nprint(1)\n``` (Note: internal note) Feel free to ask more!"),
     ("", " Thanks are due to scientists of the centre. Foreword by the director. (ISBN: 978-1) www.balajiscan.com"),
@@ -221,16 +219,8 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``request_id, question, mode, raw_response`` from every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rid = F.col("doc_id")
-
-    def pick(values, mod):
-        out = None
-        for i, v in enumerate(values):
-            val = v if isinstance(v, Column) else F.lit(v).cast("string")
-            out = F.when(rid % mod == i, val) if out is None else out.when(rid % mod == i, val)
-        return out
-
     raws = []
     for pre, suf in GEN_INJECTIONS:
         raws.append(F.lit(suf) if pre is None else F.concat(F.lit(pre), F.col("text"), F.lit(suf)))
-    return docs.select(rid.alias("request_id"), pick(GEN_QUESTIONS, len(GEN_QUESTIONS)).alias("question"),
-                       pick(MODES, 3).alias("mode"), pick(raws, len(raws)).alias("raw_response"))
+    return docs.select(rid.alias("request_id"), pick(GEN_QUESTIONS, len(GEN_QUESTIONS), rid).alias("question"),
+                       pick(MODES, 3, rid).alias("mode"), pick(raws, len(raws), rid).alias("raw_response"))

@@ -308,7 +308,7 @@ facts AS (
 QA_CTE = f"""
 qa_src AS (
   SELECT f.rec_pos, f.fact_pos, f.fact_key, f.fact_value, r.meta_millet_id, r.meta_millet_name, r.meta_source
-  FROM facts f JOIN recs r ON r.rec_pos = f.rec_pos WHERE r.rec_pos < {D.QA_SOURCE_ROWS}
+  FROM facts f JOIN recs r ON r.rec_pos = f.rec_pos
 ),
 qa_rows AS (
   SELECT 'qa' AS origin, rec_pos, CAST(fact_pos * 2 + k AS BIGINT) AS sub,
@@ -378,6 +378,8 @@ ORACLE["length_profile"] = SFT_SQL + f"""
 , toks AS (SELECT len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n_tokens FROM sft)
 SELECT l AS "limit", count(*) AS n_texts, count(*) FILTER (WHERE n_tokens > l) AS n_over,
        max(n_tokens) AS max_tokens, round(avg(n_tokens), 6) AS avg_tokens,
+       round(quantile_cont(n_tokens, 0.5), 6) AS p50_tokens, round(quantile_cont(n_tokens, 0.9), 6) AS p90_tokens,
+       round(quantile_cont(n_tokens, 0.99), 6) AS p99_tokens,
        round(count(*) FILTER (WHERE n_tokens > l) / count(*), 6) AS share_over
 FROM toks, (VALUES {', '.join(f'({x})' for x in D.LENGTH_LIMITS)}) t(l) GROUP BY l"""
 
@@ -392,11 +394,11 @@ def _pick_sql(values, mod, idexpr="request_id"):
 
 REQ_CTE = RECS_CTE + """,
 """ + RECORDS_CTE.split("indexed AS")[0].strip().rstrip(",") + """,
-req0 AS (SELECT rec_pos AS request_id, instruction AS message FROM recs
-         UNION ALL SELECT """ + str(B.CONV_REQUEST_BASE) + """ + conv_id * 1000 + turn, instruction FROM records),
-req AS (SELECT request_id, message, """ + _pick_sql(B.MODEL_TYPES, 4) + """ AS model_type,
-               """ + _pick_sql(B.MODES, 3) + """ AS mode,
-               """ + _pick_sql([t[0] for t in D.TOPICS], len(D.TOPICS)) + """ AS context FROM req0),
+req0 AS (SELECT 'g' || rec_pos AS request_id, rec_pos AS number, instruction AS message FROM recs
+         UNION ALL SELECT 'c' || conv_id || '-' || turn, conv_id * 1000 + turn, instruction FROM records),
+req AS (SELECT request_id, message, """ + _pick_sql(B.MODEL_TYPES, 4, "number") + """ AS model_type,
+               """ + _pick_sql(B.MODES, 3, "number") + """ AS mode,
+               """ + _pick_sql([t[0] for t in D.TOPICS], len(D.TOPICS), "number") + """ AS context FROM req0),
 """
 
 
@@ -437,7 +439,7 @@ ORACLE["confidence_band"] = """
 SELECT event_id, value AS score,
        CASE WHEN value > 80 THEN 'high' WHEN value > 50 THEN 'medium' ELSE 'low' END AS band FROM events"""
 ORACLE["nutrient_share"] = """
-SELECT event_type, count(*) AS n_events, round(avg(least(value, 150.0) / 150), 6) AS avg_share,
+SELECT event_type, count(*) AS n_events, round(avg(value / 150.0), 6) AS avg_share,
        count(*) FILTER (WHERE value > 150) AS n_over_full FROM events GROUP BY event_type"""
 
 
@@ -482,9 +484,9 @@ SELECT r.qid, r.rank, r.cid, round(r.score, 6) AS score, coalesce(d.source, 'N/A
 FROM ranked r JOIN documents d ON d.doc_id = r.cid""")
 
 CONV_REQ = """
-creq AS (SELECT """ + str(B.CONV_REQUEST_BASE) + """ + conv_id * 1000 + turn AS request_id, instruction AS message,
-                """ + _pick_sql(B.MODEL_TYPES, 4, f"({B.CONV_REQUEST_BASE} + conv_id * 1000 + turn)") + """ AS model_type,
-                """ + _pick_sql(B.MODES, 3, f"({B.CONV_REQUEST_BASE} + conv_id * 1000 + turn)") + """ AS mode
+creq AS (SELECT 'c' || conv_id || '-' || turn AS request_id, instruction AS message,
+                """ + _pick_sql(B.MODEL_TYPES, 4, "(conv_id * 1000 + turn)") + """ AS model_type,
+                """ + _pick_sql(B.MODES, 3, "(conv_id * 1000 + turn)") + """ AS mode
          FROM records),
 croute AS (SELECT request_id, message, mode, """ + _complexity_sql() + f""" AS auto_type FROM creq
            WHERE {py_strip("coalesce(message, '')")} <> ''),
@@ -597,8 +599,10 @@ def cutoffs_sql(expr: str) -> str:
 
 
 def _conclusion_rules():
-    from sheaf.functions.textclean import conclusion_rules
-    return conclusion_rules()
+    alone, pattern, text = D.CONCLUSION_SPECIAL
+    shape, repl = D.CONCLUSION_GENERIC
+    return [(pattern, text, "") if word == alone else (shape.replace("{escaped}", re.escape(word)), repl, "")
+            for word in D.CONCLUSION_STARTERS]
 
 
 CLEAN_STAGES = [
@@ -762,7 +766,7 @@ SELECT * FROM cr"""
 ORACLE["stream_clean"] = ORACLE["response_envelope"]
 
 ORACLE["eval_join"] = f"""
-WITH a AS (SELECT conv_id * 1000 + turn AS id, text AS gold FROM conversations WHERE role = 'assistant'),
+WITH a AS (SELECT 'c' || conv_id || '-' || turn AS id, text AS gold FROM conversations WHERE role = 'assistant'),
 """ + staged("a", "gold", CLEAN_STAGES, "ev")[0].replace("SELECT * REPLACE (", "SELECT * REPLACE (", 1) + f""",
 pr AS (SELECT a.id, a.gold, ev.gold AS prediction FROM a JOIN evc7 ev ON ev.id = a.id),
 pt AS (SELECT id, unnest(list_filter(string_split_regex(lower(prediction), '[{PY_SPACE}]+'), lambda t: t <> '')) AS tok FROM pr),

@@ -217,12 +217,12 @@ def confidence_band_q(spark, sf_dir):
 
 @query("nutrient_share")
 def nutrient_share_q(spark, sf_dir):
-    """CLS10: value as a share of the radar's full mark (domain 0-150), per event type."""
+    """CLS10: value as a share of the radar's full mark, per event type (over the full mark: above 1)."""
     ev = B.table(spark, sf_dir, "events")
     full = D.NUTRIENT_AXES[0][2]
     return ev.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n_events"),
-        F.round(F.avg(F.least(F.col("value"), F.lit(float(full))) / full), 6).alias("avg_share"),
+        F.round(F.avg(RT.nutrient_share(F.col("value"), full)), 6).alias("avg_share"),
         F.count(F.when(F.col("value") > full, 1)).alias("n_over_full"))
 
 
@@ -243,13 +243,26 @@ def topk_exact_q(spark, sf_dir):
     return hits.select("qid", "rank", "cid", F.round("score", 6).alias("score"))
 
 
+def recall_inputs(spark, sf_dir):
+    e = unit_embeddings(spark, sf_dir)
+    return e.select(F.col("vec_id").alias("qid"), F.col("vec").alias("qvec")), e.select(F.col("vec_id").alias("cid"), F.col("vec").alias("cvec"))
+
+
 @query("topk_lsh_recall")
 def topk_lsh_recall_q(spark, sf_dir):
-    """VEC4: LSH top-3 recall against the exact answer, per query (no SQL oracle)."""
-    e = unit_embeddings(spark, sf_dir)
-    q = e.select(F.col("vec_id").alias("qid"), F.col("vec").alias("qvec"))
-    c = e.select(F.col("vec_id").alias("cid"), F.col("vec").alias("cvec"))
-    return V.recall_at_k(V.lsh_top_k(q, c, D.TOP_K), V.top_k(q, c, D.TOP_K), D.TOP_K)
+    """VEC4: recall of LSH top-3 without the query itself, per query (no SQL oracle)."""
+    q, c = recall_inputs(spark, sf_dir)
+    k = D.TOP_K
+    return V.recall_at_k(V.without_self(V.lsh_top_k(q, c, k + 1), k), V.without_self(V.top_k(q, c, k + 1), k), k)
+
+
+@query("topk_ivf_recall")
+def topk_ivf_recall_q(spark, sf_dir):
+    """VEC4: recall of centroid-cell top-3 without the query itself, per query (no SQL oracle)."""
+    q, c = recall_inputs(spark, sf_dir)
+    k = D.TOP_K
+    found = V.ivf_top_k(q, c, k + 1, V.ivf_centroids(c))
+    return V.recall_at_k(V.without_self(found, k), V.without_self(V.top_k(q, c, k + 1), k), k)
 
 
 @query("hashed_vectors")
@@ -270,12 +283,11 @@ def similar_docs_q(spark, sf_dir):
     items = B.table(spark, sf_dir, "benchmark")
     hits = V.top_k(prompt_ops.encode(items, "item_id", "text", "qid", "qvec"),
                    prompt_ops.encode(docs, "doc_id", "text", "cid", "cvec"), D.SIMILAR_K)
-    d = docs.select(F.col("doc_id").alias("cid"), "text", "source", "lang")
-    return hits.join(d, "cid").select(
-        "qid", "rank", "cid", F.round("score", 6).alias("score"),
-        F.coalesce(F.col("source"), F.lit(D.PREVIEW_DEFAULT)).alias("name"),
-        F.coalesce(F.col("lang"), F.lit(D.PREVIEW_DEFAULT)).alias("category"),
-        prompt_ops.preview(F.col("text")).alias("preview"))
+    # previews are cut before the join: whole texts are not shuffled
+    d = docs.select(F.col("doc_id").alias("cid"), prompt_ops.preview(F.col("text")).alias("preview"),
+                    F.coalesce(F.col("source"), F.lit(D.PREVIEW_DEFAULT)).alias("name"),
+                    F.coalesce(F.col("lang"), F.lit(D.PREVIEW_DEFAULT)).alias("category"))
+    return hits.join(d, "cid").select("qid", "rank", "cid", F.round("score", 6).alias("score"), "name", "category", "preview")
 
 
 @query("prompt_assembly")
@@ -389,6 +401,8 @@ def stream_clean_q(spark, sf_dir):
 def eval_join_q(spark, sf_dir):
     """JOB8: cleaned assistant turns (TXT15) scored against the raw turns: exact match, token F1."""
     conv = B.table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
-    pairs = spread(conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("gold")))
+    pairs = spread(conv.select(B.conversation_request_id().alias("id"), F.col("text").alias("gold")))
     pairs = TS.clean_response_stage(pairs, "gold", "prediction")
-    return eval_ops.score(pairs)
+    path = scratch_path(spark, "eval-pairs")  # the clean-up runs once; both token counts and sizes read its result
+    pairs.write.parquet(path)
+    return eval_ops.score(spark.read.parquet(path))

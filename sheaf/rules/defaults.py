@@ -17,6 +17,14 @@ Regex patterns are written in Python ``re`` syntax and translated by
 # --------------------------------------------------------------------------
 NOT_AVAILABLE = "Not available"
 
+#: Name that the assistant goes by in all wording below.
+ASSISTANT_NAME = "GrainGuide"
+
+
+def named(text: str, name: str = ASSISTANT_NAME) -> str:
+    """``text`` with the assistant's name at its ``{assistant}`` places; other placeholders stay."""
+    return text.replace("{assistant}", name)
+
 # Entity columns, (CSV header, column name) in natural order.
 ENTITY_COLUMNS = [
     ("Millet ID", "millet_id"),
@@ -235,7 +243,7 @@ FACT_LINE_SPLIT = "\n"
 FACT_KEY_STRIP = "- •*#"
 FACT_MIN_VALUE_LEN = 4          # value kept when len(value) > 3
 FACT_KEEP = 5
-QA_SOURCE_ROWS = 100            # explicit Q&A pairs are built for the first 100 records
+QA_SOURCE_ROWS = None           # explicit Q&A pairs from the first so many records; None: from all
 QA_KEEP = 2
 QA_NAMES = ["Sorghum", "Jowar", "Bajra", "Pearl Millet", "Ragi", "Finger Millet", "Foxtail", "Chena",
             "Proso", "Kodo", "Barnyard", "Little", "Browntop", "Amaranth"]
@@ -267,7 +275,7 @@ SHUFFLE_SEED = 42
 # --------------------------------------------------------------------------
 DOC_WITH_INPUT = "Question: {instruction}\nContext: {input}\n\nAnswer: {output}"
 DOC_WITHOUT_INPUT = "Question: {instruction}\n\nAnswer: {output}"
-DOC_META_DEFAULTS = [("millet_name", "Unknown"), ("millet_id", ""), ("source", "MilletsGAI Training Data")]
+DOC_META_DEFAULTS = [("millet_name", "Unknown"), ("millet_id", ""), ("source", named("{assistant} Training Data"))]
 DOC_CATEGORIES = [
     ("nutrition", ["nutri", "protein", "vitamin", "calcium", "iron", "health"]),
     ("cultivation", ["cultiv", "grow", "soil", "irrigat", "climate", "season"]),
@@ -291,7 +299,7 @@ PROBE_QUESTIONS = [
 # --------------------------------------------------------------------------
 # Training text
 # --------------------------------------------------------------------------
-SFT_SYSTEM_PROMPT = ("You are MilletGAI, an expert on millets in India.\nRULES:\n"
+SFT_SYSTEM_PROMPT = named("You are {assistant}, an expert on millets in India.\nRULES:\n"
                      "1. Chena is Proso Millet, NOT cheese\n2. Never make up data\n3. Only discuss millets")
 SFT_TEMPLATE = ("<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n\n{system}<|eot_id|>"
                 "<|start_header_id|>user<|end_header_id|>\n\n{instruction}<|eot_id|>"
@@ -372,11 +380,11 @@ TOPICS = [
      "yellow"),
     ("Soil & Climate", "Soil & Climate", "Check soil suitability, temperature, and rainfall requirements.",
      "Check climate suitability", "blue"),
-    ("General Query", "General Query", "MilletGAI Core Assistant", "Ask anything...", "gray"),
+    ("General Query", "General Query", named("{assistant} Core Assistant"), "Ask anything...", "gray"),
 ]
 DEFAULT_THEME = "gray"
 WELCOME_TEMPLATE = "Hello! I am your **{context}** assistant. How can I help you regarding {context_lower} today?"
-ERROR_MESSAGE = "⚠️ Error connecting to MilletGAI Core. Please check your connection."
+ERROR_MESSAGE = named("⚠️ Error connecting to {assistant} Core. Please check your connection.")
 
 # Nutrient radar: (axis, value, full mark).
 NUTRIENT_AXES = [("Protein", 120, 150), ("Fiber", 98, 150), ("Iron", 86, 150), ("Calcium", 99, 150),
@@ -388,7 +396,7 @@ NUTRIENT_AXES = [("Protein", 120, 150), ("Fiber", 98, 150), ("Iron", 86, 150), (
 CONTEXT_ITEM = "About {millet_name}:\n{content}"
 CONTEXT_JOIN = "\n\n"
 CONTEXT_NAME_DEFAULT = "Unknown"
-PROMPT_THINKING = """You are MilletsGAI, an expert on Indian millets.
+PROMPT_THINKING = named("""You are {assistant}, an expert on Indian millets.
 
 TASK: Answer using ONLY the KNOWLEDGE below. Be precise and helpful.
 
@@ -405,8 +413,8 @@ KNOWLEDGE:
 
 QUESTION: {question}
 
-ANSWER:"""
-PROMPT_FAST = """You are MilletsGAI, a friendly assistant for Indian millets 🌾
+ANSWER:""")
+PROMPT_FAST = named("""You are {assistant}, a friendly assistant for Indian millets 🌾
 
 TASK: Give a concise, direct answer using the KNOWLEDGE below.
 
@@ -422,7 +430,7 @@ KNOWLEDGE:
 
 QUESTION: {question}
 
-ANSWER:"""
+ANSWER:""")
 
 # --------------------------------------------------------------------------
 # Response clean-up (first stage), rules as (pattern, replacement, flags).
@@ -440,7 +448,7 @@ ASTERISK_RULES = [
     (r"\*", "", ""),
 ]
 PREFIX_RULES = [
-    (r"^MilletsGAI:?\s*", "", "i"),
+    (named(r"^{assistant}:?\s*"), "", "i"),
     (r"^Hi!?\s*I\'?m?\s*happy to help!?\s*", "", "i"),
     (r"^\s*[:\-]\s*", "", ""),
 ]
@@ -687,5 +695,5 @@ ANSWER_FINAL_RULES = [
 CITATION_SPLIT = "---"
 CITATION_BULLETS = ("-", "*")
 CITATION_LSTRIP = "-* "
-CITATION_DEFAULT = "MilletsGAI Knowledge Base"
+CITATION_DEFAULT = named("{assistant} Knowledge Base")
 CITATION_KEEP = 3

@@ -33,21 +33,18 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts and intermediate tables.
+    """The shared folder for lineage cuts and intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Uses the cluster's ``spark.checkpoint.dir`` when set.  Only when it is
-    unset (local tests) a scratch folder is created and registered.
+    A local session without the setting gets a temporary folder; anywhere else the setting is required.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not conf:
-        conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not conf:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store); "
-                               "a machine-local scratch folder is only used in local mode")
-        conf = tempfile.mkdtemp(prefix="sheaf-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        conf = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="sheaf-ckpt-")
+    if have.isEmpty():
         spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
 

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.rules import defaults as D
+from sheaf.rules.dialect import java_pattern
 
 # pandas' default NA tokens that matter for text columns
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -35,50 +36,71 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_entity_csv(spark: SparkSession, path: str) -> DataFrame:
-    """SRC1: entity CSV, every column a nullable string, NA tokens -> null, headers renamed."""
-    schema = T.StructType([T.StructField(h, T.StringType()) for h, _ in D.ENTITY_COLUMNS])
-    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', enforceSchema=False)
+def read_entity_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """SRC1: entity CSV by header name, every column a nullable string, NA tokens -> null, columns renamed.
+
+    Columns may come in any order; absent ones are null, others are ignored. Files are split among tasks
+    unless ``multi_line`` says that quoted fields hold line breaks.
+    """
+    df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', inferSchema=False)
+    have = set(df.columns)
     cols = []
     for header, name in D.ENTITY_COLUMNS:
-        c = F.col(f"`{header}`")
-        cols.append(F.when(c.isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(c).alias(name))
+        c = F.col(f"`{header}`") if header in have else F.lit(None).cast("string")
+        cols.append(F.when(~c.isin(NA_TOKENS), c).alias(name))
     return df.select(*cols)
 
 
-def _parse_lines(spark: SparkSession, path: str, schema: T.StructType, mode: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str, line_order: bool) -> DataFrame:
+    """``value`` of every line; with ``line_order`` also ``_file``, ``_start``, ``_seq``, by which lines sort in file order."""
     text = spark.read.text(path)
+    if not line_order:
+        return text
+    return text.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                       F.monotonically_increasing_id().alias("_seq"))
+
+
+def _not_blank() -> Column:
+    return F.col("value").rlike(java_pattern(r"\S"))
+
+
+def _parsed(lines: DataFrame, schema: T.StructType, mode: str = "PERMISSIVE") -> DataFrame:
     full = T.StructType(list(schema.fields) + [T.StructField("_corrupt", T.StringType())])
-    return text.select(F.col("value"), F.from_json(F.col("value"), full, {
-        "mode": mode, "columnNameOfCorruptRecord": "_corrupt"}).alias("j"))
+    return lines.withColumn("j", F.from_json("value", full, {"mode": mode, "columnNameOfCorruptRecord": "_corrupt"}))
 
 
-def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
+def _broken() -> Column:
+    return F.col("j").isNull() | F.col("j._corrupt").isNotNull()
+
+
+def _fields(parsed: DataFrame, schema: T.StructType) -> DataFrame:
+    return parsed.select(*[F.col(f"j.{f.name}").alias(f.name) for f in schema.fields],
+                         *[c for c in ("_file", "_start", "_seq") if c in parsed.columns])
+
+
+def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType = RECORD_SCHEMA,
+                        line_order: bool = False) -> DataFrame:
     """SRC2: malformed or non-object lines are skipped; a missing path raises.
 
     JSON ``null`` is read as missing (the original would fail on it later).
     """
     if not _exists(spark, path):
         raise FileNotFoundError(f"Data file not found: {path}")
-    p = _parse_lines(spark, path, schema, "PERMISSIVE")
-    ok = p.where(F.col("j").isNotNull() & F.col("j._corrupt").isNull() & (F.trim(F.col("value")) != ""))
-    return ok.select([F.col(f"j.{f.name}").alias(f.name) for f in schema.fields])
+    return _fields(_parsed(_lines(spark, path, line_order), schema).where(~_broken() & _not_blank()), schema)
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, schema: T.StructType = RECORD_SCHEMA,
-                      skip_blank: bool = True) -> DataFrame:
+                      skip_blank: bool = True, line_order: bool = False) -> DataFrame:
     """SRC3 (blank lines skipped) / SRC4 (``skip_blank=False``: a blank line fails too).
 
-    Malformed lines fail the job when it runs.
+    Blank means nothing but Unicode white space. The check is a filter, so a malformed line fails every action,
+    ``count()`` included.
     """
-    text = spark.read.text(path)
+    lines = _lines(spark, path, line_order)
     if skip_blank:
-        text = text.where(F.trim(F.col("value")) != "")
-    else:
-        text = text.withColumn("value", F.when(F.trim(F.col("value")) != "", F.col("value"))
-                               .otherwise(F.raise_error(F.lit("blank line in strict JSONL"))))
-    parsed = text.select(F.from_json(F.col("value"), schema, {"mode": "FAILFAST"}).alias("j"))
-    return parsed.select([F.col(f"j.{f.name}").alias(f.name) for f in schema.fields])
+        lines = lines.where(_not_blank())
+    wrong = F.raise_error(F.concat(F.lit("malformed line in strict JSONL: "), F.substring("value", 1, 200))).cast("boolean")
+    return _fields(_parsed(lines, schema).where(F.when(_broken() | ~_not_blank(), wrong).otherwise(True)), schema)
 
 
 def read_json_dataset(spark: SparkSession, path: str, schema=RECORD_SCHEMA) -> DataFrame:

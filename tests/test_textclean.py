@@ -80,16 +80,3 @@ def test_stages_equal_plain_folds(spark):
     a = S.filter_off_topic_stage(df, "v", "o", "q").orderBy("i").select("o").collect()
     b = df.orderBy("i").select(T.filter_off_topic(F.col("v"), F.col("q")).alias("o")).collect()
     assert a == b
-
-
-def test_large_rule_labels_equal_when_chain(spark):
-    import random
-    from sheaf.functions import route as RT
-    from sheaf.functions.text import first_label
-    rng = random.Random(5)
-    words = ["iron", "environment", "soil", "price", "cook", "pest", "grow", "none", "ipm", "dish"]
-    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 6))) for _ in range(300)] + [None]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
-    a = df.select("i", first_label(F.col("t"), D.DOC_CATEGORIES, "general").alias("x")).orderBy("i").collect()
-    b = df.select("i", RT.first_label_large(F.col("t"), D.DOC_CATEGORIES, "general").alias("x")).orderBy("i").collect()
-    assert [r.x for r in a[:-1]] == [r.x for r in b[:-1]]
