@@ -42,3 +42,66 @@ scored AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 20
 """
+
+WORDS = r"[^\x20\x09-\x0D]+"
+
+ORACLE["op2_substring_dedup"] = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '{WORDS}') AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS k FROM w, unnest(range(1, len(ws) - 33)) t(i)),
+again AS (SELECT k FROM win GROUP BY k HAVING COUNT(*) > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS pos FROM win JOIN again USING (k), unnest(range(35)) t(j)),
+word AS (SELECT doc_id, pos, ws[pos] AS word FROM w, unnest(range(1, len(ws) + 1)) t(pos)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
+n AS (SELECT doc_id, COUNT(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, COALESCE(n_removed, 0) AS n_removed, sha256(COALESCE(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE["op7_line_dedup"] = rf"""
+WITH d AS (SELECT doc_id, CASE WHEN COALESCE(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
+l AS (
+  SELECT doc_id, k AS line, ls[k] AS txt, list_sort(list_distinct(regexp_extract_all(ls[k], '{WORDS}'))) AS ws,
+         row_number() OVER (ORDER BY doc_id NULLS FIRST, k) AS place
+  FROM d, unnest(range(1, len(ls) + 1)) t(k)),
+c AS (SELECT ws, len(ws) AS n, MIN(place) AS first FROM l WHERE len(ws) > 0 GROUP BY ws),
+tok AS (SELECT first, n, unnest(ws) AS w FROM c),
+df AS (SELECT w, COUNT(*) AS d FROM tok GROUP BY w),
+pre AS (
+  SELECT first, n, w FROM tok JOIN df USING (w)
+  QUALIFY row_number() OVER (PARTITION BY first ORDER BY d, w) <= n - (n * 80 + 99) // 100 + 1),
+cand AS (
+  SELECT DISTINCT x.first AS a, y.first AS b FROM pre x JOIN pre y
+  ON x.w = y.w AND x.first < y.first AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+late AS (
+  SELECT DISTINCT b FROM (
+    SELECT b, ca.n AS na, cb.n AS nb, len(list_intersect(ca.ws, cb.ws)) AS common
+    FROM cand JOIN c ca ON ca.first = a JOIN c cb ON cb.first = b)
+  WHERE 100 * common >= 80 * (na + nb - common)),
+kept AS (
+  SELECT doc_id, COUNT(*) AS n, string_agg(txt, chr(10) ORDER BY line) AS text
+  FROM l LEFT JOIN c USING (ws)
+  WHERE len(ws) = 0 OR (place = first AND place NOT IN (SELECT b FROM late)) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - COALESCE(kept.n, 0) AS BIGINT) AS n_removed,
+       sha256(COALESCE(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE["op8_minmax_near_dedup"] = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(CASE WHEN len(ws) >= 4 THEN ws[i:i + 3] ELSE ws END, ' ')) AS h
+  FROM w, unnest(range(1, greatest(len(ws) - 2, 2))) t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, COUNT(*) AS c FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+reach AS (
+  SELECT doc_id AS start, doc_id AS node FROM w
+  UNION
+  SELECT start, b FROM reach JOIN links ON node = a),
+least AS (SELECT start AS doc_id, MIN(node) AS component_id FROM reach GROUP BY start)
+SELECT w.doc_id, COALESCE(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
