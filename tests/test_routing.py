@@ -24,7 +24,7 @@ def test_mode_override_and_budget(spark):
     reqs = spark.createDataFrame([(1, "compare a", "x", "fast", None), (2, "hello", "base", "thinking", None),
                                   (3, "compare a", None, None, None), (4, "hello", "BASE", "other", None),
                                   (5, " \t ", None, None, None)], RQ.REQUEST_SCHEMA)
-    rows = {r.request_id: r for r in RQ.route_requests(reqs).collect()}
+    rows = {int(r.request_id): r for r in RQ.route_requests(reqs).collect()}
     assert set(rows) == {1, 2, 3, 4}                                   # blank message dropped (FLT7)
     assert (rows[1].is_complex, rows[1].complexity_type, rows[1].max_tokens) == (False, None, 350)
     assert (rows[2].is_complex, rows[2].complexity_type, rows[2].max_tokens) == (True, "user_selected_thinking", 600)

@@ -37,6 +37,27 @@ def test_strict_jsonl(spark):
     _write_text(bad, [json.dumps({"instruction": "q"}), "{oops"])
     with pytest.raises(Exception):
         R.read_jsonl_strict(spark, bad).collect()
+    with pytest.raises(Exception):
+        R.read_jsonl_strict(spark, bad).count()
+    with pytest.raises(Exception):
+        R.read_jsonl_strict(spark, path, skip_blank=False).count()
+    tab = scratch_path(spark, "strict-tab") + "/data.jsonl"
+    _write_text(tab, [json.dumps({"instruction": "q"}), "\t", "\u00a0 ", json.dumps({"instruction": "r"})])
+    assert [r.instruction for r in R.read_jsonl_strict(spark, tab).collect()] == ["q", "r"]
+
+
+def test_jsonl_line_order(spark):
+    path = scratch_path(spark, "ordered") + "/data.jsonl"
+    _write_text(path, [json.dumps({"instruction": f"q{i}"}) for i in range(500)])
+    rows = R.read_jsonl_strict(spark, path, line_order=True).orderBy("_file", "_start", "_seq").collect()
+    assert [r.instruction for r in rows] == [f"q{i}" for i in range(500)]
+
+
+def test_entity_csv_by_header_name(spark):
+    path = scratch_path(spark, "csv-few") + "/e.csv"
+    _write_text(path, ["extra,Millet Name,Millet ID,Recipes", "x,Ragi,7,NA"])
+    r = R.read_entity_csv(spark, path).first()
+    assert (r.millet_id, r.millet_name, r.recipes, r.origin_region) == ("7", "Ragi", None, None)
 
 
 def test_entity_csv_na_tokens(spark):

@@ -80,3 +80,22 @@ def test_stages_equal_plain_folds(spark):
     a = S.filter_off_topic_stage(df, "v", "o", "q").orderBy("i").select("o").collect()
     b = df.orderBy("i").select(T.filter_off_topic(F.col("v"), F.col("q")).alias("o")).collect()
     assert a == b
+
+
+def test_prechecks_fold_special_letters_like_the_passes(spark):
+    """Dotted capital I, dotless i and long s in every literal: staged forms equal the plain folds."""
+    base = ["Feel free to ask more!", "Would you like any variations?", "Thanks are due to scientists of the centre."]
+    base += [x for x in D.OFF_TOPIC_NUTRITION_PATTERNS[:3]] + ["Text before. The seed treatment with thiram matters. Farmers use crop rotation."]
+    variants = []
+    for t in base:
+        for a, b in (("i", "\u0131"), ("i", "\u0130"), ("s", "\u017f"), ("I", "\u0130"), ("S", "\u017f")):
+            variants.append(t.replace(a, b))
+    rows = [(i, "Some text first. " + t + " And more text follows here.", "Give me a recipe to cook") for i, t in enumerate(variants)]
+    df = spark.createDataFrame(rows, "i long, v string, q string")
+    for stage, plain in ((S.clean_response_stage, T.clean_response), (S.clean_leakage_stage, T.clean_leakage)):
+        a = stage(df, "v", "o").orderBy("i").select("o").collect()
+        b = df.orderBy("i").select(plain(F.col("v")).alias("o")).collect()
+        assert a == b
+    a = S.filter_off_topic_stage(df, "v", "o", "q").orderBy("i").select("o").collect()
+    b = df.orderBy("i").select(T.filter_off_topic(F.col("v"), F.col("q")).alias("o")).collect()
+    assert a == b
