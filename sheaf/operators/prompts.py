@@ -46,10 +46,16 @@ def build_prompt(question: Column, context: Column, use_thinking: Column) -> Col
 
 
 def assemble_prompts(routed: DataFrame, docs: DataFrame, k: int = D.TOP_K, encoder=None,
-                     doc_id: str = "doc_index", text_col: str = "page_content") -> DataFrame:
-    """JOB4: routed requests -> top-k documents -> context -> prompt (+ PRJ15 length)."""
+                     doc_id: str = "doc_index", text_col: str = "page_content", vec_col: str | None = None) -> DataFrame:
+    """JOB4: routed requests -> top-k documents -> context -> prompt (+ PRJ15 length).
+
+    ``vec_col`` names the stored vectors of a collection; without it the documents are encoded here.
+    """
     qv = encode(routed, "request_id", "message", "qid", "qvec", encoder)
-    dv = encode(docs, doc_id, text_col, "cid", "cvec", encoder)
+    if vec_col:
+        dv = docs.select(F.col(doc_id).alias("cid"), F.col(vec_col).alias("cvec"))
+    else:
+        dv = encode(docs, doc_id, text_col, "cid", "cvec", encoder)
     hits = V.top_k(qv, dv, k)
     ctx = context_blocks(hits, docs, doc_id)
     out = routed.join(ctx, routed.request_id == ctx.qid, "left")

@@ -80,16 +80,15 @@ def probe(spark: SparkSession, collection: DataFrame, k: int = D.TOP_K, question
     qv = PR.encode(qs, "qid", "question", "qid", "qvec")
     cv = collection.select(F.col("doc_index").alias("cid"), F.col("embedding").alias("cvec"))
     hits = V.top_k(qv, cv, k)
-    meta = collection.select(F.col("doc_index").alias("cid"), "millet_name", "category", "page_content")
-    return hits.join(meta, "cid").select(
-        "qid", "rank", "cid", "score", F.coalesce("millet_name", F.lit(D.PREVIEW_DEFAULT)).alias("millet_name"),
-        F.coalesce("category", F.lit(D.PREVIEW_DEFAULT)).alias("category"),
-        PR.preview(F.col("page_content")).alias("preview"))
+    meta = collection.select(
+        F.col("doc_index").alias("cid"), F.coalesce("millet_name", F.lit(D.PREVIEW_DEFAULT)).alias("millet_name"),
+        F.coalesce("category", F.lit(D.PREVIEW_DEFAULT)).alias("category"), PR.preview(F.col("page_content")).alias("preview"))
+    return hits.join(meta, "cid").select("qid", "rank", "cid", "score", "millet_name", "category", "preview")
 
 
-def batch_prompts(requests: DataFrame, docs: DataFrame, k: int = D.TOP_K) -> DataFrame:
+def batch_prompts(requests: DataFrame, docs: DataFrame, k: int = D.TOP_K, vec_col: str | None = None) -> DataFrame:
     """JOB4: requests -> CLS3-4 routing -> top-k retrieval -> prompt text."""
-    return PR.assemble_prompts(RQ.route_requests(requests), docs, k)
+    return PR.assemble_prompts(RQ.route_requests(requests), docs, k, vec_col=vec_col)
 
 
 def batch_responses(generations: DataFrame) -> DataFrame:

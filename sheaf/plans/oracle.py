@@ -498,6 +498,15 @@ crouted AS (SELECT request_id, message,
                    CASE WHEN mode = 'thinking' THEN 1000 WHEN mode = 'fast' THEN 350 ELSE 400 END AS cap
             FROM croute)"""
 
+PROBE_VALUES = ", ".join(f"({i}, {q(x)})" for i, x in enumerate(D.PROBE_QUESTIONS))
+ORACLE["kb_probe"] = ("WITH " + RECORDS_CTE + f", probe AS (SELECT * FROM (VALUES {PROBE_VALUES}) t(qid, question)),"
+                      + hashed_cte("qv", "probe", "qid", "question") + ","
+                      + hashed_cte("dv", "docs", "doc_index", "page_content") + ","
+                      + ranked_sql("qv", "dv", "probe", "qid", "docs", "doc_index", D.TOP_K) + f"""
+SELECT r.qid, r.rank, r.cid, round(r.score, 6) AS score, coalesce(d.millet_name, 'N/A') AS millet_name,
+       coalesce(d.category, 'N/A') AS category, replace(substr(d.page_content, 1, {D.PREVIEW_CHARS}), chr(10), ' ') AS preview
+FROM ranked r JOIN docs d ON d.doc_index = r.cid""")
+
 PROMPT_MAP = {"context": "coalesce(c.context, '')", "question": "r.message"}
 ORACLE["prompt_assembly"] = ("WITH " + RECORDS_CTE + "," + CONV_REQ + ","
                              + hashed_cte("qv", "crouted", "request_id", "message") + ","
@@ -755,6 +764,18 @@ FROM p11"""
 ORACLE["jsonl_roundtrip"] = "WITH " + RECORDS_CTE.split("indexed AS")[0].strip().rstrip(",") + """
 SELECT instruction, input, output, meta_millet_name, 'conversations' AS meta_source FROM records"""
 
+ORACLE["jsonl_strict"] = "WITH " + RECORDS_CTE.split("indexed AS")[0].strip().rstrip(",") + """
+SELECT instruction, input, output, meta_millet_name FROM records"""
+
+ORACLE["jsonl_two_sources"] = "WITH " + RECORDS_CTE.split("indexed AS")[0].strip().rstrip(",") + """,
+both_parts AS (
+  SELECT 0 AS part, 'c' || conv_id || '-' || turn AS id, instruction, output FROM records
+  UNION ALL SELECT 1, CAST(item_id AS VARCHAR), text, '' FROM benchmark)
+SELECT row_number() OVER (ORDER BY part, id) - 1 AS idx, part, id, instruction, output FROM both_parts"""
+
+ORACLE["csv_entities"] = f"""WITH {ENTITY_CTE}
+SELECT NULLIF(recipes, '') AS recipes, millet_name, drought_tolerance, millet_id, origin_region, gluten_free FROM ent_raw"""
+
 ORACLE["stream_routing"] = "WITH " + RECORDS_CTE.split("indexed AS")[0].strip().rstrip(",") + "," + CONV_REQ + f""",
 cr AS (SELECT request_id, is_complex, complexity_type,
               CASE WHEN is_complex THEN least(cap, 600) ELSE least(cap, 350) END AS max_tokens,

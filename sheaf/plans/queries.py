@@ -32,6 +32,7 @@ from sheaf.rules import defaults as D
 from sheaf.operators.positions import with_position
 from sheaf.operators.partitioning import spread
 from sheaf.plans import bindings as B
+from sheaf.plans import jobs
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -290,13 +291,24 @@ def similar_docs_q(spark, sf_dir):
     return hits.join(d, "cid").select("qid", "rank", "cid", F.round("score", 6).alias("score"), "name", "category", "preview")
 
 
+def stored_collection(spark, sf_dir):
+    """JOB3 + SNK4 + SRC9: the conversation knowledge base with vectors, written to the shared folder and opened."""
+    path = scratch_path(spark, "collection")
+    jobs.knowledge_base(B.instruction_records(spark, sf_dir), B.RECORD_ORDER, path, groups=B.CORPUS_CATEGORIES)
+    return readers.open_collection(spark, path)
+
+
+@query("kb_probe")
+def kb_probe_q(spark, sf_dir):
+    """JOB3 SNK4 SRC9 SRC11 VEC6 AGG7: the probe questions against the stored collection."""
+    return jobs.probe(spark, stored_collection(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
 @query("prompt_assembly")
 def prompt_assembly_q(spark, sf_dir):
-    """JOB4: CLS3-4 -> JOIN2 (top-3) -> PRJ10/AGG6 context -> PRJ11 prompt -> PRJ15 length."""
-    recs = B.instruction_records(spark, sf_dir)
-    routed = req_ops.route_requests(B.conversation_requests(recs))
-    docs = knowledge_docs(spark, sf_dir)
-    return prompt_ops.assemble_prompts(routed, docs)
+    """JOB4 from the stored collection: CLS3-4 -> JOIN2 (top-3) -> PRJ10/AGG6 context -> PRJ11 prompt -> PRJ15 length."""
+    reqs = B.conversation_requests(B.instruction_records(spark, sf_dir))
+    return jobs.batch_prompts(reqs, stored_collection(spark, sf_dir), vec_col="embedding")
 
 
 # ---------------------------------------------------------------------------
@@ -372,6 +384,42 @@ def jsonl_roundtrip_q(spark, sf_dir):
         "meta_millet_name"), F.element_at("meta", F.lit("source")).alias("meta_source"))
 
 
+@query("jsonl_strict")
+def jsonl_strict_q(spark, sf_dir):
+    """SRC3 FLT6: conversation records as JSON lines with blank lines between them, read strictly."""
+    recs = B.instruction_records(spark, sf_dir).select(F.to_json(F.struct("instruction", "input", "output", "meta")).alias("j"))
+    path = scratch_path(spark, "records-lines")
+    recs.select(F.explode(F.array(F.col("j"), F.lit(" \t"))).alias("value")).write.text(path)
+    back = readers.read_jsonl_strict(spark, path)
+    return back.select("instruction", "input", "output", F.element_at("meta", F.lit("millet_name")).alias("meta_millet_name"))
+
+
+@query("jsonl_two_sources")
+def jsonl_two_sources_q(spark, sf_dir):
+    """SRC2 SRC6 SET3 WIN1: two JSONL files, the second optional, numbered in the order of source, then id."""
+    first, second, none = (scratch_path(spark, n) for n in ("first-jsonl", "second-jsonl", "no-jsonl"))
+    records = B.instruction_records(spark, sf_dir)
+    readers.write_jsonl(records.select("instruction", "input", "output", F.create_map(F.lit("id"), B.conversation_request_id()).alias("meta")), first)
+    items = B.table(spark, sf_dir, "benchmark").select(
+        F.col("text").alias("instruction"), F.lit("").alias("input"), F.lit("").alias("output"),
+        F.create_map(F.lit("id"), F.col("item_id").cast("string")).alias("meta"))
+    readers.write_jsonl(items, second)
+    both = readers.union_optional(spark, readers.read_jsonl_tolerant(spark, first), second)
+    both = readers.union_optional(spark, both.withColumnRenamed("_source", "part"), none)
+    named = both.withColumn("id", F.element_at("meta", F.lit("id")))
+    return with_position(named, ["part", "id"], "idx").select("idx", "part", "id", "instruction", "output")
+
+
+@query("csv_entities")
+def csv_entities_q(spark, sf_dir):
+    """SRC1: entities as a CSV of some columns in another order, read by header name."""
+    headers = {name: header for header, name in D.ENTITY_COLUMNS}
+    names = ["recipes", "millet_name", "drought_tolerance", "millet_id", "origin_region", "gluten_free"]
+    path = scratch_path(spark, "entities-csv")
+    B.entities(spark, sf_dir).select(*[F.col(n).alias(headers[n]) for n in names], F.lit("x").alias("Other")).write.csv(path, header=True, escape='"')
+    return readers.read_entity_csv(spark, path).select(*names)
+
+
 @query("stream_routing")
 def stream_routing_q(spark, sf_dir):
     """STR1: conversation requests streamed from Parquet files through the routing projection."""

@@ -41,11 +41,14 @@ def start_to_parquet(stream: DataFrame, path: str, checkpoint: str, available_no
 
 
 def start_prompt_builder(routed: DataFrame, docs: DataFrame, path: str, checkpoint: str,
-                         available_now: bool = True) -> StreamingQuery:
-    """STR1 with retrieval: each micro-batch joins the document table through VEC3."""
+                         available_now: bool = True, vec_col: str | None = None) -> StreamingQuery:
+    """STR1 with retrieval: each micro-batch meets the documents through VEC3.
+
+    Pass an opened collection and ``vec_col``, so that no micro-batch encodes the documents again.
+    """
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         # one directory per batch id: a replayed batch overwrites itself (idempotent sink)
-        prompt_ops.assemble_prompts(batch, docs).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        prompt_ops.assemble_prompts(batch, docs, vec_col=vec_col).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     w = routed.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
