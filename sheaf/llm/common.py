@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +26,32 @@ def scratch_dir(spark: SparkSession) -> str:
     Only a local master may run without the setting; it then gets a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _local_scratch()
 
-        root = tempfile.mkdtemp(prefix="sheaf-scratch-")
-    return root
+
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="sheaf-scratch-")
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark).rstrip('/')}/sheaf-llm/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once the results that read them are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/sheaf-llm/{label}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
