@@ -121,6 +121,20 @@ def entity_rows(templates=D.CATEGORY_TEMPLATES, gated=D.GATED_CATEGORY) -> Colum
     return F.concat(*arrays)
 
 
+def entity_row_count(recipes: Column, gate: Column, templates=D.CATEGORY_TEMPLATES, gated=D.GATED_CATEGORY) -> Column:
+    """How many rows ``entity_rows`` gives, without rendering any."""
+    parsed = F.size(parse_recipes(recipes))
+    n = parsed * len(D.RECIPE_PER_ITEM) + F.when(parsed > 0, len(D.RECIPE_AGGREGATE)).otherwise(0)
+    for category, tmpls in templates:
+        if category == "recipe":
+            continue
+        if gated and category == gated[0]:
+            n = n + F.when(gate != D.NOT_AVAILABLE, len(tmpls)).otherwise(0)
+        else:
+            n = n + len(tmpls)
+    return n
+
+
 def entity_meta() -> Column:
     """PRJ4: meta attached to every generated row."""
     return F.create_map(F.lit("millet_id"), F.col("millet_id"), F.lit("millet_name"), F.col("millet_name"),
@@ -132,11 +146,11 @@ def positioned_entities(ent: DataFrame, order_by: Sequence) -> DataFrame:
     return safe_entities(with_position(ent, order_by, "entity_pos"), keep=["entity_pos"])
 
 
-def generate_entity_instructions(safe: DataFrame) -> DataFrame:
-    """GEN1-9, GEN11 with PRJ4: ``entity_pos, item, category, instruction, input, output, meta``."""
-    return safe.select("entity_pos", entity_meta().alias("meta"),
+def generate_entity_instructions(safe: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """GEN1-9, GEN11 with PRJ4: ``entity_pos, item, category, instruction, input, output, meta`` (and ``keep``)."""
+    return safe.select("entity_pos", *keep, entity_meta().alias("meta"),
                        F.posexplode(entity_rows()).alias("item", "r")).select(
-        "entity_pos", "item", "r.category", "r.instruction", "r.input", "r.output", "meta")
+        "entity_pos", *keep, "item", "r.category", "r.instruction", "r.input", "r.output", "meta")
 
 
 def generate_comparisons(safe: DataFrame, offsets: Sequence[int] = D.NEIGHBOR_OFFSETS) -> DataFrame:
@@ -172,6 +186,26 @@ def build_instruction_set(ent: DataFrame, order_by: Sequence) -> DataFrame:
     return a.unionByName(b)
 
 
+def positioned_instruction_set(ent: DataFrame, order_by: Sequence) -> DataFrame:
+    """JOB1 rows with ``rec_pos``, their place in the order of part, entity, item (the file order).
+
+    Positions are arithmetic: an entity's row count is known before its text, so only entities are numbered, and
+    a row's place is where its entity starts plus its item. Texts are neither sorted nor shuffled for it.
+    """
+    count = entity_row_count(safe_get(F.col("recipes")), safe_get(F.col(D.GATED_CATEGORY[1])))
+    placed = with_position(ent, order_by, "entity_pos", start=("_start", count))
+    safe = safe_entities(placed, keep=["entity_pos", "_start"])
+    n, first_part = placed.agg(F.count(F.lit(1)), F.max(F.col("_start") + count)).first()
+    each, most, e = len(D.COMPARISON_TEMPLATES), len(D.NEIGHBOR_OFFSETS), F.col("entity_pos")
+    # pairs that entities near the end lack for want of neighbours, summed over all entities before
+    lack = most - n + 1
+    late = F.greatest(e + min(lack, 0), F.lit(0))
+    missing = (late * (late - 1) / 2 + late * max(lack, 0)).cast("long")
+    rows = generate_entity_instructions(safe, keep=["_start"]).withColumn("rec_pos", F.col("_start") + F.col("item")).drop("_start")
+    pairs = generate_comparisons(safe).withColumn("rec_pos", (first_part or 0) + (e * most - missing) * each + F.col("item"))
+    return rows.withColumn("part", F.lit(0)).unionByName(pairs.withColumn("part", F.lit(1)))
+
+
 def flatten_meta(df: DataFrame, keys=("millet_id", "millet_name", "source")) -> DataFrame:
     return df.select(*[c for c in df.columns if c != "meta"],
                      *[F.element_at(F.col("meta"), F.lit(k)).alias(f"meta_{k}") for k in keys])

@@ -19,25 +19,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import col_or_lit
 from sheaf.session import shared_dir
 
 
-def with_position(df: DataFrame, order_by: Sequence, name: str = "idx",
-                  num_partitions: int | None = None) -> DataFrame:
+def with_position(df: DataFrame, order_by: Sequence, name: str = "idx", num_partitions: int | None = None,
+                  start: tuple[str, Column] | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row in ``order_by`` order.
 
-    ``order_by`` should be unique for a reproducible numbering (ties get
-    some consecutive numbers).  Range partitioning spreads a hot value of a
-    non-unique key over at most one partition boundary; unique keys never
-    skew.
+    ``start`` = (column name, weight) also adds the sum of the weights of all rows before: where the rows that
+    each row will give begin, known before they are made. ``order_by`` should be unique for a reproducible
+    numbering (ties get some consecutive numbers). Range partitioning spreads a hot value of a non-unique key
+    over at most one partition boundary; unique keys never skew.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [col_or_lit(c) for c in order_by]
+    if start:
+        df = df.withColumn(start[0], start[1].cast("long"))
     ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
     tagged = (ranged
               .withColumn("_pos_pid", F.spark_partition_id())
@@ -45,12 +47,12 @@ def with_position(df: DataFrame, order_by: Sequence, name: str = "idx",
                           - F.shiftleft(F.col("_pos_pid").cast("long"), 33)))
     shared_dir(spark)
     tagged = tagged.checkpoint(eager=True)
-    counts = tagged.groupBy("_pos_pid").agg(F.count(F.lit(1)).alias("_pos_n"))
-    offsets = counts.select(
-        "_pos_pid",
-        F.coalesce(F.sum("_pos_n").over(Window.orderBy("_pos_pid")
-                                        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        .alias("_pos_off"))
-    return (tagged.join(F.broadcast(offsets), "_pos_pid")
-            .withColumn(name, F.col("_pos_off") + F.col("_pos_row"))
-            .drop("_pos_pid", "_pos_row", "_pos_off"))
+    sums = {"_pos_off": F.count(F.lit(1))} | ({"_pos_start": F.sum(start[0])} if start else {})
+    earlier = Window.orderBy("_pos_pid").rowsBetween(Window.unboundedPreceding, -1)
+    per_part = tagged.groupBy("_pos_pid").agg(*[v.alias(k) for k, v in sums.items()])
+    offsets = per_part.select("_pos_pid", *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(k) for k in sums])
+    out = tagged.join(F.broadcast(offsets), "_pos_pid").withColumn(name, F.col("_pos_off") + F.col("_pos_row"))
+    if start:
+        within = Window.partitionBy("_pos_pid").orderBy("_pos_row").rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn(start[0], F.col("_pos_start") + F.coalesce(F.sum(start[0]).over(within), F.lit(0)))
+    return out.drop("_pos_pid", "_pos_row", *sums)

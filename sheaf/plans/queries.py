@@ -115,7 +115,7 @@ def meta_string(c="meta"):
 
 def augment_input(spark, sf_dir):
     """JOB1 output with its record position (file order of the generated JSONL)."""
-    return with_position(instruction_set(spark, sf_dir), ["part", "entity_pos", "item"], "rec_pos")
+    return gen_ops.positioned_instruction_set(B.entities(spark, sf_dir), B.ENTITY_ORDER)
 
 
 def augmented(spark, sf_dir):
