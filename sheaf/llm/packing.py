@@ -50,7 +50,7 @@ class WordTokens:
 
     The byte-level pre-tokenizer never joins what a single space or line feed between two other characters
     separates (the space goes with what follows, the line feed stands alone). So the parts between them are
-    encoded once each. Texts with any other white space are encoded whole.
+    encoded once each, many at a time. Texts with any other white space are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -63,28 +63,42 @@ class WordTokens:
         self.model.encode_special_tokens = True
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
-        self.line_feed = self.encode(["\n"])[0]
+        space, line_feed = (self.model.encode(x, add_special_tokens=False).tokens[0] for x in (" ", "\n"))
+        vocabulary = self.model.get_vocab()
+        self.line_feed = np.array(vocabulary[line_feed], "<u4").tobytes()
+        self.begins = {lead: np.zeros(max(vocabulary.values()) + 1, bool) for lead in (" ", "\n")}
+        for token, k in vocabulary.items():
+            self.begins[" "][k] = token.startswith(space)
+            self.begins["\n"][k] = token == line_feed
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def known(self, memo: dict[str, bytes], words: set[str], lead: str) -> None:
-        new = list(words - memo.keys())
+    def learn(self, memo: dict[str, bytes], words: set[str], lead: str) -> None:
+        """Encode the words that are new, each after ``lead``, in one text: only a word's first token begins with it."""
+        new = [w for w in words if w not in memo]
         if len(memo) + len(new) > MEMO:
             memo.clear()
             new = list(words)
-        memo.update(zip(new, self.encode([lead + w for w in new])))
-
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if text[0].isspace() or text[-1].isspace() or _ODD_SPACE.search(text):
-            return self.encode([text])[0]
-        lines = [x.split(" ") for x in text.split("\n")]
-        self.known(self.plain, {x[0] for x in lines}, "")
-        self.known(self.spaced, {w for x in lines for w in x[1:]}, " ")
+        if not new:
+            return
+        ids = np.array(self.model.encode_batch_fast([lead + lead.join(new)], add_special_tokens=False)[0].ids, "<u4")
+        first = np.flatnonzero(self.begins[lead][ids])
+        if len(first) != len(new):
+            raise ValueError("words and tokens do not line up")
+        skip, flat = 4 * (lead == "\n"), ids.tobytes()
+        ends = [*(4 * first[1:]).tolist(), len(flat)]
+        memo.update(zip(new, [flat[a + skip : b] for a, b in zip((4 * first).tolist(), ends)]))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [None if not t or t[0].isspace() or t[-1].isspace() or _ODD_SPACE.search(t) else [x.split(" ") for x in t.split("\n")] for t in texts]
+        self.learn(self.plain, {x[0] for lines in split if lines for x in lines}, "\n")
+        self.learn(self.spaced, {w for lines in split if lines for x in lines for w in x[1:]}, " ")
         plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
-        return self.line_feed.join([b"".join([plain(x[0]), *map(spaced, x[1:])]) for x in lines])
+        return [
+            self.line_feed.join([b"".join([plain(x[0]), *map(spaced, x[1:])]) for x in lines]) if lines else self.encode([text])[0]
+            for text, lines in zip(texts, split)
+        ]
 
 
 def _cut(tokenizer: str, end: int, size: int, keep: bool):
@@ -98,8 +112,9 @@ def _cut(tokenizer: str, end: int, size: int, keep: bool):
             texts = batch.column("_text")
             for lo in range(0, len(texts), 256):
                 rows: list[tuple] = []
-                for doc, text in zip(batch.column("_id").slice(lo, 256).to_pylist(), texts.slice(lo, 256)):
-                    ids = tokens(text.as_py() or "") + tail
+                encoded = tokens([t or "" for t in texts.slice(lo, 256).to_pylist()])
+                for doc, ids in zip(batch.column("_id").slice(lo, 256).to_pylist(), encoded):
+                    ids += tail
                     n = len(ids) // 4
                     head = (n - 1) % size + 1  # the first piece takes the remainder
                     starts = [0, *range(head, n, size)]
