@@ -11,14 +11,15 @@ size leaves about one sequence unfilled, so the loss does not grow in proportion
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from sheaf.llm.common import written
 
 GROUP = 20_000
 #: Word ids that one worker remembers; beyond it the memory is emptied.
-MEMO = 300_000
+MEMO = 600_000
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
 
 
@@ -101,13 +102,19 @@ class WordTokens:
         ]
 
 
+@cache
+def word_tokens(tokenizer: str) -> WordTokens:
+    """One for each worker process: tasks that follow one another share its memory of words."""
+    return WordTokens(tokenizer_file(tokenizer))
+
+
 def _cut(tokenizer: str, end: int, size: int, keep: bool):
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * keep)
     tail = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer_file(tokenizer))
+        tokens = word_tokens(tokenizer)
         for batch in batches:
             texts = batch.column("_text")
             for lo in range(0, len(texts), 256):
