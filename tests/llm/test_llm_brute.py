@@ -253,3 +253,39 @@ def test_scratch_tables_can_be_dropped(spark):
     assert os.listdir(folder)
     drop_scratch(spark)
     assert not os.path.exists(folder)
+
+
+@pytest.mark.parametrize("near", [2, 5, 1024])
+def test_lines_of_a_word_meet_across_batches(monkeypatch, near):
+    """Every line with a candidate among the earlier lines of its word gets one, or is left open if some were not met."""
+    import pyarrow as pa
+
+    from sheaf.llm import lines
+
+    monkeypatch.setattr(lines, "NEAR", near)
+    rng = np.random.default_rng(near)
+    rows = []
+    for word, size in enumerate([1, 2, 30, 3, 9, 60, 1, 8]):
+        base = int(rng.integers(-(2**63), 2**63))
+        for k in range(size):
+            flips = rng.choice(64, rng.integers(0, 12), replace=False)
+            rows.append((word, k, 0, int(rng.integers(18, 24)), base ^ (sum(1 << int(f) for f in flips) - (1 << 64 if 63 in flips else 0)), int(rng.integers(0, 4))))
+    names = ("word", "id", "line", "n", "parity", "place")
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 7]), kinds)], names=names) for a in range(0, len(rows), 7)]
+    got = defaultdict(set)
+    for batch in lines._closest(80)(iter(batches)):
+        for b, _, a, _ in zip(*(c.to_pylist() for c in batch.columns)):
+            got[b].add(a)
+    arrays = lambda r: [np.array([x]) for x in (r[3], r[4], r[5])]
+    want, may = defaultdict(set), defaultdict(set)
+    for j, b in enumerate(rows):
+        for a in rows[:j]:
+            if a[0] == b[0] and lines._passes(80, *arrays(a), *arrays(b))[0][0]:
+                want[b[1], b[0]].add(a[1])
+                may[b[1]].add(a[1])
+    assert want
+    for (b, _), _some in want.items():
+        assert got[b], "a line with a candidate has neither a match nor is left open"
+    for b, found in got.items():
+        assert {a for a in found if a is not None} <= may[b] and (None not in found or near < 1024)
