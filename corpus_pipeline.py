@@ -26,10 +26,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that match an earlier line; ``n_chars`` follows. What loses all its words goes."""
-    out, text = lines.without_lines(docs), lines.kept_text()
-    cut = F.col("row").withField("text", text).withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    whole = F.col("gone").isNull()
-    return out.where(whole | text.rlike(r"[^\x20\x09-\x0D]")).select(F.when(whole, F.col("row")).otherwise(cut).alias("row")).select("row.*")
+    out, text, cut = lines.without_lines(docs), F.col("kept_text"), F.col("n_removed") > 0
+    size = F.when(cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    out = out.where(~cut | text.rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*({"text": text.alias(c), "n_chars": size.alias(c)}.get(c, F.col("row")[c].alias(c)) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import doc_columns, list_column, same_row, slices, written
+from sheaf.llm.common import list_column, slices, written
 from sheaf.llm.words import U64, mix, word_hashes, word_spans
 
 CELL_BITS, PART_BITS = 22, 16
@@ -96,7 +97,7 @@ def _least_common(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _line_rows(shared, percent: int):
-    schema = pa.schema([("_id", pa.int64()), ("_h", pa.int32()), ("line", pa.int32()), ("n", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("parity", pa.int64()), ("words", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
+    schema = pa.schema([("_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("c", pa.int64()), ("parity", pa.int64()), ("words", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
@@ -115,76 +116,201 @@ def _line_rows(shared, percent: int):
                 row = np.searchsorted(first_line, number, "right") - 1
                 take, ends = pa.array(row[some]), np.concatenate([[0], np.cumsum(per[some])])
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("_id").slice(lo, hi - lo).take(take), batch.column("_h").slice(lo, hi - lo).take(take),
+                    batch.column("_id").slice(lo, hi - lo).take(take),
                     pa.array((number - first_line[row])[some].astype(np.int32)), pa.array(n[some].astype(np.int32)),
-                    pa.array(np.add.reduceat(words, begun)[some].view(np.int64)), pa.array(np.add.reduceat(mix(words ^ U64(0x5851F42D4C957F2D)), begun)[some].view(np.int64)),
+                    pa.array(np.add.reduceat(mix(words), begun)[some].view(np.int64)),
                     pa.array(np.bitwise_xor.reduceat(U64(1) << (words >> U64(58)), begun)[some].view(np.int64)),
-                    list_column(words[asked].view(np.int64), ends, pa.int64()), list_column(place[asked], ends, pa.int32()),
+                    list_column((words[asked] >> U64(32)).astype(np.uint32).view(np.int32), ends, pa.int32()), list_column(place[asked].astype(np.int32), ends, pa.int32()),
                 ], schema=schema)
 
     return run
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        at = batch.schema.get_field_index("_text")
+        small = pa.array([None if not t.is_valid else press.compress(t.as_buffer()) for t in batch.column(at).cast(pa.binary())], pa.binary())
+        yield batch.set_column(at, "_text", small)
+
+
+def _unpack(small: pa.Array) -> pa.Array:
+    opened = zstandard.ZstdDecompressor()
+    return pa.array([None if not t.is_valid else opened.decompress(t.as_buffer()) for t in small], pa.binary()).cast(pa.string())
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_text`` compressed (Zstandard), for shuffles of whole texts."""
+    kind = ", ".join(f"`{f.name}` {'binary' if f.name == '_text' else f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(_pack, kind)
+
+
 def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("_id", pa.int64()), ("_h", pa.int32()), ("line", pa.int32()), ("set", pa.list_(pa.int64()))])
+    schema = pa.schema([("_id", pa.int64()), ("line", pa.int32()), ("set", pa.list_(pa.int64()))])
     for batch in batches:
-        for lo, hi, offsets, data in slices(batch.column("_text")):
-            line, words, _, first_line = line_words(offsets, data)
-            lists = batch.column("lines").slice(lo, hi - lo)
-            own, per = np.asarray(lists.flatten(), np.int64), np.asarray(lists.value_lengths())
-            row = np.repeat(np.arange(hi - lo), per)
-            begun, ended = (np.searchsorted(line, first_line[row] + own, side) for side in ("left", "right"))
-            n = ended - begun
-            ends = np.concatenate([[0], np.cumsum(n)])
-            flat = words[np.arange(ends[-1]) - np.repeat(ends[:-1], n) + np.repeat(begun, n)]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("_id").slice(lo, hi - lo).take(take), batch.column("_h").slice(lo, hi - lo).take(take), pa.array(own.astype(np.int32)), list_column(flat.view(np.int64), ends, pa.int64())], schema=schema)
+        for begin in range(0, batch.num_rows, 256):
+            part = batch.slice(begin, 256)
+            for lo, hi, offsets, data in slices(_unpack(part.column("_text"))):
+                line, words, _, first_line = line_words(offsets, data)
+                lists = part.column("lines").slice(lo, hi - lo)
+                own, per = np.asarray(lists.flatten(), np.int64), np.asarray(lists.value_lengths())
+                row = np.repeat(np.arange(hi - lo), per)
+                begun, ended = (np.searchsorted(line, first_line[row] + own, side) for side in ("left", "right"))
+                n = ended - begun
+                ends = np.concatenate([[0], np.cumsum(n)])
+                flat = words[np.arange(ends[-1]) - np.repeat(ends[:-1], n) + np.repeat(begun, n)]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column("_id").slice(lo, hi - lo).take(take), pa.array(own.astype(np.int32)), list_column(flat.view(np.int64), ends, pa.int64())], schema=schema)
+
+
+#: Earlier rows that a row of one word is compared with, at each end of them; a word with more rows is finished later.
+NEAR = 1024
+
+
+def _passes(percent: int, n1, p1, i1, n2, p2, i2) -> tuple[np.ndarray, np.ndarray]:
+    """Whether lines with a common prefix word may match, by sizes, places of the word and parities; bits that differ."""
+    both = n1 + n2
+    common = -(-percent * both // (100 + percent))
+    bits = np.bitwise_count((p1 ^ p2).view(np.uint64)).astype(np.int64)
+    ok = (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (np.minimum(i1, i2) + np.minimum(n1 - i1, n2 - i2) >= common)
+    return ok & (bits <= both - 2 * common), bits
+
+
+def _closest(percent: int):
+    schema = pa.schema([("b_id", pa.int64()), ("b_line", pa.int32()), ("a_id", pa.int64()), ("a_line", pa.int32())])
+    fields = ("word", "id", "line", "n", "parity", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, cut = None, False  # rows of the word that the last batch ended in; whether some of them are missing
+        for batch in batches:
+            now = {k: np.asarray(batch.column(k)).astype(np.int64) for k in fields}
+            if not batch.num_rows:
+                continue
+            old = 0
+            if kept is not None and kept["word"][0] == now["word"][0]:
+                old = len(kept["word"])
+                now = {k: np.concatenate([kept[k], now[k]]) for k in fields}
+            else:
+                cut = False
+            begun = np.flatnonzero(np.diff(now["word"], prepend=now["word"][0] - 1))
+            ends = np.append(begun[1:], len(now["word"]))
+            best = np.full(len(now["word"]), -1)
+            n, p, i = now["n"], now["parity"], now["place"]
+            small = ends - begun <= 8
+            least = np.full(len(best), 1 << 30)
+            inside = np.repeat(small, ends - begun)
+            for back in range(1, 8):
+                at = np.flatnonzero(inside[back:] & (now["word"][back:] == now["word"][:-back])) + back
+                ok, bits = _passes(percent, n[at - back], p[at - back], i[at - back], n[at], p[at], i[at])
+                ok &= bits < least[at]
+                best[at[ok]], least[at[ok]] = at[ok] - back, bits[ok]
+            for lo, hi in zip(begun[~small].tolist(), ends[~small].tolist()):
+                for a in range(max(lo + 1, old if lo == 0 else 0), hi, 128):
+                    at, before = np.arange(a, min(a + 128, hi)), np.arange(lo, min(a + 128, hi) - 1)
+                    ok, bits = _passes(percent, n[None, before], p[None, before], i[None, before], n[at, None], p[at, None], i[at, None])
+                    bits = np.where(ok & (before[None] < at[:, None]), bits, 1 << 30)
+                    nearest = bits.argmin(axis=1)
+                    some = bits[np.arange(len(at)), nearest] < 1 << 30
+                    best[at[some]] = before[nearest[some]]
+            best[:old] = -1
+            hit = best >= 0
+            open_ = np.zeros(len(best), bool)
+            if cut:
+                open_[old : ends[0]] = True  # no match among the rows kept proves nothing
+            out = np.flatnonzero(hit | open_)
+            match = best[out]
+            columns = [now["id"][out], now["line"][out].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(now["id"][match], mask=match < 0), pa.array(now["line"][match].astype(np.int32), mask=match < 0)], schema=schema)
+            last = slice(begun[-1], None)
+            cut = cut and len(begun) == 1
+            kept = {k: v[last] for k, v in now.items()}
+            if len(kept["word"]) > 2 * NEAR:
+                kept, cut = {k: np.concatenate([v[:NEAR], v[-NEAR:]]) for k, v in kept.items()}, True
+
+    return run
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """``b`` of the pairs (``a``, ``b``) of lines whose whole word sets are similar enough."""
+    ends = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).distinct()
+    lists = ends.groupBy(F.col("x._id").alias("_id")).agg(F.collect_list("x.line").alias("lines"))
+    sets = packed(docs).join(lists, "_id").mapInArrow(_wanted_sets, "_id long, line int, set array<long>")
+    sets = written(sets.select(F.struct("_id", "line").alias("x"), "set"), "sets")
+    met = pairs.join(sets.select(F.col("x").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("x").alias("b"), F.col("set").alias("sb")), "b")
+    met = met.withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    return met.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("b").distinct()
 
 
 def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(``_id``, ``_h``, ``line``) of all lines that an earlier line matches. docs: see doc_columns."""
+    """(``_id``, ``line``) of all lines that an earlier line matches. docs: ``_id`` (not null), ``_text``.
+
+    A line is removed for one earlier match, so not all of them are looked for. Rows of (prefix word, line) are sorted
+    by word, then place, and each line meets the earlier ones with the word: all, or for a word with thousands of lines
+    the first and the last ``NEAR`` of them. The closest by parity is verified. Lines for which none of these is a match
+    though more might be (other candidates, or rows of a word that were not met) then meet all earlier lines of their words.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs))
-    kind = "_id long, _h int, line int, n int, c1 long, c2 long, parity long, words array<long>, places array<int>"
+    kind = "_id long, line int, n int, c long, parity long, words array<int>, places array<int>"
     lines = written(docs.mapInArrow(_line_rows(shared, percent), kind), "lines")
-    classes = lines.groupBy("c1", "c2", "n").agg(F.min(F.struct("_id", "_h", "line")).alias("first"), F.first("parity").alias("parity"), F.first("words").alias("words"), F.first("places").alias("places"))
+    # a set is known by the sum of its hashes, its parity and its size; the earliest line stands for it
+    classes = lines.groupBy("c", "parity", "n").agg(F.min(F.struct("_id", "line")).alias("first"), F.first("words").alias("words"), F.first("places").alias("places"))
     classes = written(classes, "classes")
-    copies = lines.select("_id", "_h", "line", "c1", "c2").join(classes.select("c1", "c2", "first"), ["c1", "c2"])
-    copies = copies.where(~F.struct("_id", "_h", "line").eqNullSafe(F.col("first"))).select("_id", "_h", "line")
-    looked = classes.select("first", "n", "parity", F.explode(F.arrays_zip("words", "places")).alias("w")).select("first", "n", "parity", "w.*")
-    one = looked.select("words", F.col("first").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"), F.col("places").alias("ia"))
-    two = looked.select("words", F.col("first").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"), F.col("places").alias("ib"))
-    common = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+    copies = lines.select("_id", "line", "c", "parity", "n").join(classes.select("c", "parity", "n", "first"), ["c", "parity", "n"])
+    copies = copies.where(F.struct("_id", "line") != F.col("first")).select("_id", "line")
+
+    def looked(some: DataFrame) -> DataFrame:
+        each = some.select("first", "n", "parity", F.explode(F.arrays_zip("words", "places")).alias("w"))
+        return each.select(F.col("w.words").alias("word"), F.col("first._id").alias("id"), F.col("first.line").alias("line"), "n", "parity", F.col("w.places").alias("place"))
+
+    dealt = looked(classes).repartition("word").sortWithinPartitions("word", "id", "line")
+    near = dealt.mapInArrow(_closest(percent), "b_id long, b_line int, a_id long, a_line int").distinct()
+    pair = lambda x: F.struct(F.col(f"{x}_id").alias("_id"), F.col(f"{x}_line").alias("line")).alias(x)
+    near = written(near.select(F.when(F.col("a_id").isNotNull(), pair("a")).alias("a"), pair("b")), "near")
+    likely = near.where("a is not null")
+    found = written(confirmed(likely, docs, percent), "found")
+    undecided = written(near.select("b").distinct().join(found, "b", "left_anti"), "undecided")
+    one, two = looked(classes), looked(classes.join(undecided.select(F.col("b").alias("first")), "first", "left_semi"))
+    one, two = (x.select("word", *[F.col(c).alias(f"{c}{k}") for c in ("id", "line", "n", "parity", "place")]) for k, x in ((1, one), (2, two)))
+    common = F.ceil(F.lit(percent) * (F.col("n1") + F.col("n2")) / F.lit(100 + percent))
     close = (
-        (one["words"] == two["words"]) & (F.col("a") < F.col("b"))
-        & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        & (F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= common)
-        & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= F.col("na") + F.col("nb") - 2 * common)
+        (one["word"] == two["word"]) & ((F.col("id1") < F.col("id2")) | (F.col("id1") == F.col("id2")) & (F.col("line1") < F.col("line2")))
+        & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+        & (F.least("place1", "place2") + F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) >= common)
+        & (F.bit_count(F.col("parity1").bitwiseXOR(F.col("parity2"))) <= F.col("n1") + F.col("n2") - 2 * common)
     )
-    pairs = written(one.join(two, close).select("a", "b").distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).distinct()
-    lists = ends.groupBy("x._id", "x._h").agg(F.collect_list("x.line").alias("lines"))
-    sets = docs.join(lists, same_row(docs, lists)).select(docs["_id"], docs["_h"], "_text", "lines")
-    sets = sets.mapInArrow(_wanted_sets, "_id long, _h int, line int, set array<long>").dropDuplicates(["_id", "_h", "line"])
-    sets = written(sets.select(F.struct("_id", "_h", "line").alias("x"), "set"), "sets")
-    met = pairs.join(sets.select(F.col("x").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("x").alias("b"), F.col("set").alias("sb")), "b")
-    met = met.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    later = met.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("b.*")
-    return copies.unionByName(later).distinct()
+    rest = one.join(two, close).select(F.struct(F.col("id1").alias("_id"), F.col("line1").alias("line")).alias("a"), F.struct(F.col("id2").alias("_id"), F.col("line2").alias("line")).alias("b"))
+    rest = written(rest.distinct().join(likely, ["a", "b"], "left_anti"), "pairs")
+    late = found if rest.isEmpty() else found.unionByName(confirmed(rest, docs, percent))
+    return copies.unionByName(late.select("b.*")).distinct()
 
 
-def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """(``row``, ``lines``, ``gone``): the rows of ``docs`` as structs, all lines of the text, and the numbers (from 0) of
-    those to remove (null if none)."""
-    gone = later_matches(doc_columns(docs, id_col, text_col), percent).groupBy("_id", "_h").agg(F.collect_list("line").alias("gone"))
-    text = docs[text_col]
-    lines = F.when(F.length(text) > 0, F.split(text, "\n", -1)).otherwise(F.array().cast("array<string>"))
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), lines.alias("lines"), docs[id_col].cast("long").alias("_id"), F.hash(text).alias("_h"))
-    return rows.join(gone, same_row(rows, gone), "left").select("row", "lines", "gone")
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 256):
+            part = batch.slice(begin, 256)
+            n, gone, kept = [], [], []
+            for text, out in zip(_unpack(part.column("_text")).to_pylist(), part.column("gone").to_pylist()):
+                lines = text.split("\n") if text else []
+                n.append(len(lines))
+                drop = set(out or ())
+                left = [x for k, x in enumerate(lines) if k not in drop] if drop else lines
+                gone.append(n[-1] - len(left))
+                kept.append("\n".join(left) if drop else text)
+            columns = [part.column("row"), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "kept_text", "n_lines", "n_removed"])
 
 
-def kept_text() -> Column:
-    stay = F.filter("lines", lambda x, i: ~F.array_contains("gone", i))
-    return F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(stay), "\n")
+def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """(``row``, ``kept_text``, ``n_lines``, ``n_removed``), ``row`` being a struct of the columns of ``docs`` but the text.
+
+    A text without removed lines is unchanged, so a null one is null.
+    """
+    named = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text")).where("_id is not null")
+    gone = later_matches(named, percent).groupBy("_id").agg(F.collect_list("line").alias("gone"))
+    others = F.struct(*(docs[c] for c in docs.columns if c != text_col))
+    rows = packed(docs.select(others.alias("row"), docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text")))
+    joined = rows.join(gone, "_id", "left").select("row", "_text", "gone")
+    return joined.mapInArrow(_removed, f"row {joined.schema['row'].dataType.simpleString()}, kept_text string, n_lines long, n_removed long")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -193,10 +319,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are what line feeds separate; words are runs of anything but U+0020 and U+0009 to U+000D, unchanged.
     Lines without words match nothing and stay. ``kept_text`` joins the lines that stay by line feeds.
 
-    A null or empty text has no lines. Rows that repeat an id with an equal text are one document: what stays of
-    one stays of the other. Rows without id come before all others. An empty table gives an empty one. Other columns
-    of ``docs`` are not looked at.
+    A null or empty text has no lines and stays empty. Rows that repeat an id are one document, and an id is taken
+    to stand for one text: what stays of one stays of the other. Rows without id have no place in the order: they
+    stay whole and remove nothing. An empty table gives an empty one. Other columns of ``docs`` are not looked at.
     """
     out = without_lines(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), percent=percent)
-    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
-    return out.select("row.doc_id", F.size("lines").cast("long").alias("n_lines"), removed.alias("n_removed"), kept_text().alias("kept_text"))
+    return out.select("row.doc_id", "n_lines", "n_removed", F.coalesce("kept_text", F.lit("")).alias("kept_text"))
