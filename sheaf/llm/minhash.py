@@ -18,6 +18,8 @@ agree as often as those of a pair of similarity 0.8 do, less five standard devia
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -150,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = doc_columns(docs, id_col, text_col)
     signed = written(d.select("_id", "_text").mapInArrow(_signatures(size), "_id long, n long, c1 long, c2 long, bands array<long>"), "minmax")
     classes = signed.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("_id").alias("rep"), F.first("bands").alias("bands")).where("rep is not null")
-    members = written(classes.select("rep", "n", F.explode("bands").alias("key")), "bands")
+    members = written(classes.select("rep", "n", F.posexplode("bands").alias("band", "key")), "bands")
     buckets = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("center"), F.max("rep").alias("last")).where("center.rep <> last")
     shared = written(members.join(buckets.select("key", "center"), "key"), "buckets")
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  no other sizes can reach the similarity
@@ -166,15 +168,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     links = written(confirmed(stars, sets, percent), "links")
     roots = components(links)
-    placed = shared.select("key", "rep", "n").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    placed = shared.join(roots, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", "n", F.coalesce("root", "rep").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
     open_ = written(placed.join(mixed, "key"), "open")
-    sketches = written(sets.join(open_.select("rep").distinct(), "rep").mapInArrow(_sketches, "rep long, sketch array<long>"), "sketches")
+    sketches = sets.join(open_.select("rep").distinct(), "rep").mapInArrow(_sketches, "rep long, sketch array<long>")
+    sketches = written(sketches.join(classes.select("rep", "bands"), "rep"), "sketches")
     open_ = open_.join(sketches, "rep")
-    one = open_.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
-    two = open_.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
+    one = open_.select("key", "band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("sketch").alias("sa"), F.col("bands").alias("ka"))
+    two = open_.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("sketch").alias("sb"), F.col("bands").alias("kb"))
     differ = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(2 * SKETCH // 64)), F.lit(0))
-    met = (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike(F.col("na"), F.col("nb")) & (differ <= differing_bits(percent))
+    # a pair that shares several bands meets in the first of them only
+    earlier = reduce(or_, ((F.col("band") > k) & (F.col("ka")[k] == F.col("kb")[k]) for k in range(2 * PERMUTATIONS // BAND_ROWS)))
+    met = (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike(F.col("na"), F.col("nb")) & (differ <= differing_bits(percent)) & ~earlier
     rest = one.join(two, met)
     rest = rest.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     more = written(confirmed(written(rest, "rest"), sets, percent), "links")
