@@ -127,7 +127,7 @@ def _line_rows(shared, percent: int):
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=3)
+    press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         at = batch.schema.get_field_index("_text")
         small = pa.array([None if not t.is_valid else press.compress(t.as_buffer()) for t in batch.column(at).cast(pa.binary())], pa.binary())
@@ -177,7 +177,7 @@ def _passes(percent: int, n1, p1, i1, n2, p2, i2) -> tuple[np.ndarray, np.ndarra
 
 
 def _closest(percent: int):
-    schema = pa.schema([("b_id", pa.int64()), ("b_line", pa.int32()), ("a_id", pa.int64()), ("a_line", pa.int32())])
+    schema = pa.schema([("b_id", pa.int64()), ("b_line", pa.int32()), ("bits", pa.int32()), ("a_id", pa.int64()), ("a_line", pa.int32())])
     fields = ("word", "id", "line", "n", "parity", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,8 @@ def _closest(percent: int):
                     ok, bits = _passes(percent, n[None, before], p[None, before], i[None, before], n[at, None], p[at, None], i[at, None])
                     bits = np.where(ok & (before[None] < at[:, None]), bits, 1 << 30)
                     nearest = bits.argmin(axis=1)
-                    some = bits[np.arange(len(at)), nearest] < 1 << 30
+                    least[at] = bits[np.arange(len(at)), nearest]
+                    some = least[at] < 1 << 30
                     best[at[some]] = before[nearest[some]]
             best[:old] = -1
             hit = best >= 0
@@ -220,7 +221,7 @@ def _closest(percent: int):
             out = np.flatnonzero(hit | open_)
             match = best[out]
             columns = [now["id"][out], now["line"][out].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(now["id"][match], mask=match < 0), pa.array(now["line"][match].astype(np.int32), mask=match < 0)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(least[out].astype(np.int32)), pa.array(now["id"][match], mask=match < 0), pa.array(now["line"][match].astype(np.int32), mask=match < 0)], schema=schema)
             last = slice(begun[-1], None)
             cut = cut and len(begun) == 1
             kept = {k: v[last] for k, v in now.items()}
@@ -263,12 +264,13 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
         return each.select(F.col("w.words").alias("word"), F.col("first._id").alias("id"), F.col("first.line").alias("line"), "n", "parity", F.col("w.places").alias("place"))
 
     dealt = looked(classes).repartition("word").sortWithinPartitions("word", "id", "line")
-    near = dealt.mapInArrow(_closest(percent), "b_id long, b_line int, a_id long, a_line int").distinct()
-    pair = lambda x: F.struct(F.col(f"{x}_id").alias("_id"), F.col(f"{x}_line").alias("line")).alias(x)
-    near = written(near.select(F.when(F.col("a_id").isNotNull(), pair("a")).alias("a"), pair("b")), "near")
-    likely = near.where("a is not null")
+    met = dealt.mapInArrow(_closest(percent), "b_id long, b_line int, bits int, a_id long, a_line int")
+    first = met.groupBy("b_id", "b_line").agg(F.min(F.struct("bits", "a_id", "a_line")).alias("x"))
+    near = first.select(F.struct(F.col("x.a_id").alias("_id"), F.col("x.a_line").alias("line")).alias("a"), F.struct(F.col("b_id").alias("_id"), F.col("b_line").alias("line")).alias("b"))
+    near = written(near, "near")
+    likely = near.where("a._id is not null")
     found = written(confirmed(likely, docs, percent), "found")
-    undecided = written(near.select("b").distinct().join(found, "b", "left_anti"), "undecided")
+    undecided = written(near.select("b").join(found, "b", "left_anti"), "undecided")
     one, two = looked(classes), looked(classes.join(undecided.select(F.col("b").alias("first")), "first", "left_semi"))
     one, two = (x.select("word", *[F.col(c).alias(f"{c}{k}") for c in ("id", "line", "n", "parity", "place")]) for k, x in ((1, one), (2, two)))
     common = F.ceil(F.lit(percent) * (F.col("n1") + F.col("n2")) / F.lit(100 + percent))

@@ -275,7 +275,7 @@ def test_lines_of_a_word_meet_across_batches(monkeypatch, near):
     batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 7]), kinds)], names=names) for a in range(0, len(rows), 7)]
     got = defaultdict(set)
     for batch in lines._closest(80)(iter(batches)):
-        for b, _, a, _ in zip(*(c.to_pylist() for c in batch.columns)):
+        for b, _, _, a, _ in zip(*(c.to_pylist() for c in batch.columns)):
             got[b].add(a)
     arrays = lambda r: [np.array([x]) for x in (r[3], r[4], r[5])]
     want, may = defaultdict(set), defaultdict(set)
