@@ -11,7 +11,10 @@ the next lower order.
 
 The language of the lowest cross-entropy per character wins. Two things are calibrated on labelled texts that
 took no part in the counts: the temperature that turns cross-entropies into the score (least log loss), and
-per language the highest plausible cross-entropy, beyond which a text is rejected.
+per language the highest plausible cross-entropy, beyond which a text is rejected. Where a language has too few such
+texts, the limit comes from a few of its texts cut in two: each half is scored by a model of the other one. That model
+knows less than the final one, so the limit is rather too high, and a text is kept if in doubt. A language of which
+too little is known even for that rejects nothing.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import slices
@@ -32,6 +36,9 @@ ORDER = 4
 SAMPLE_TEXTS = 3000
 #: Rejection: so many times the spread of a language's cross-entropies above their mean, and so many nats at least.
 SPREADS, LEAST_GAP = 8.0, 1.0
+#: A language with fewer correctly classified calibration texts is also calibrated on halves: of so many texts, so many
+#: characters of each at most, in pieces of so many.
+LEAST_HELD, HALVED_TEXTS, HALVED_CHARACTERS, PIECE = 5, 20, 10_000, 250
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -87,8 +94,9 @@ class Models:
     contexts: list[tuple[np.ndarray, np.ndarray]]  # per order: sorted hashes, log back-off weights
     unseen: np.ndarray
     temperature: float = 8.0
-    mean: np.ndarray | None = None
+    mean: np.ndarray | None = None  # infinite: no text is rejected
     spread: np.ndarray | None = None
+    alphabet: int = 0
 
     def log_probability(self, hashes: list[np.ndarray], at: np.ndarray, order: int) -> np.ndarray:
         if not order:
@@ -131,8 +139,11 @@ class Models:
         return best, np.where(n > 0, score, 0.0), (n > 0) & (least <= self.mean[best] + gap)
 
 
-def estimate(languages: list[str], owner: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> Models:
-    """Models from the counts of all grams of the highest order: ``owner`` language, ``grams`` [n, order]."""
+def estimate(languages: list[str], owner: np.ndarray, grams: np.ndarray, counts: np.ndarray, alphabet: int = 0) -> Models:
+    """Models from the counts of all grams of the highest order: ``owner`` language, ``grams`` [n, order].
+
+    The uniform distribution is over ``alphabet`` characters (0: those that occur, and one more).
+    """
     order, n_lang = grams.shape[1], len(languages)
     def hashed(g: np.ndarray) -> np.ndarray:
         out = np.zeros(len(g), np.uint64)
@@ -145,9 +156,9 @@ def estimate(languages: list[str], owner: np.ndarray, grams: np.ndarray, counts:
         who, g, _n = levels[0]
         rows, first, number = np.unique(np.stack([who.astype(np.uint64), hashed(g[:, 1:])], axis=1), axis=0, return_index=True, return_counts=True)
         levels.insert(0, (who[first], g[first, 1:], number))
-    alphabet = len(np.unique(levels[0][1])) + 1
+    alphabet = alphabet or len(np.unique(levels[0][1])) + 1
     below_keys, below = np.zeros(1, np.uint64), np.full((1, n_lang), 1 / alphabet)
-    out = Models(languages, [], [], np.zeros(n_lang, np.float32))
+    out = Models(languages, [], [], np.zeros(n_lang, np.float32), alphabet=alphabet)
     for k, (who, g, number) in enumerate(levels, 1):
         h = hashed(g)
         keys, first = np.unique(h, return_index=True)
@@ -175,6 +186,14 @@ def estimate(languages: list[str], owner: np.ndarray, grams: np.ndarray, counts:
     return out
 
 
+def counted_grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of the highest order in ``texts`` [n, order], and how often each occurs."""
+    codes, spans, _ = characters(texts, order)
+    ends = np.concatenate([np.arange(a, b) for a, b in spans])
+    _, first, number = np.unique(gram_hashes(codes, order)[-1][ends], return_index=True, return_counts=True)
+    return codes[ends[first][:, None] - np.arange(order - 1, -1, -1)], number
+
+
 def _counts(order: int):
     schema = pa.schema([("lang", pa.string()), ("n", pa.int64())] + [(f"c{k}", pa.int32()) for k in range(order)])
 
@@ -184,14 +203,9 @@ def _counts(order: int):
             for lo, hi, *_ in slices(batch.column("_text")):
                 for lang in sorted(set(labels[lo:hi])):
                     mine = pa.array(np.flatnonzero(labels[lo:hi] == lang))
-                    codes, spans, _ = characters(batch.column("_text").slice(lo, hi - lo).take(mine).to_pylist(), order)
-                    ends = np.concatenate([np.arange(a, b) for a, b in spans])
-                    if not len(ends):
-                        continue
-                    h = gram_hashes(codes, order)[-1][ends]
-                    _, first, number = np.unique(h, return_index=True, return_counts=True)
-                    grams = codes[ends[first][:, None] - np.arange(order - 1, -1, -1)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first)), pa.array(number, pa.int64()), *(pa.array(c.astype(np.int32)) for c in grams.T)], schema=schema)
+                    grams, number = counted_grams(batch.column("_text").slice(lo, hi - lo).take(mine).to_pylist(), order)
+                    if len(number):
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(number)), pa.array(number, pa.int64()), *(pa.array(c.astype(np.int32)) for c in grams.T)], schema=schema)
 
     return run
 
@@ -220,32 +234,49 @@ _SCORED = "_id long, lang_pred string, score double, accepted boolean, entropy a
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_TEXTS, order: int = ORDER) -> Models | None:
     """Models from rows with a text and a language; None if there are none.
 
-    About ``sample`` texts of each language are used (all, if fewer), chosen by a hash of their ids; that bounds
-    the counts, the models and what reaches the driver, whatever the size of ``labelled``.
+    About ``sample`` texts of each language are used (all, if fewer), chosen by a hash of their ids (of the text, if
+    there is none); that bounds the counts, the models and what reaches the driver, whatever the size of ``labelled``.
+    A language all of whose texts would calibrate, or are not chosen, is learned from ``HALVED_TEXTS`` of them.
     """
     spark = labelled.sparkSession
     rows = labelled.select(labelled[id_col].cast("long").alias("_id"), labelled[text_col].alias("_text"), labelled[lang_col].alias("lang")).where("_text is not null and lang is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
-    languages = sorted(sizes)
-    share = F.element_at(F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, sample / sizes[lang])))), F.col("lang"))
-    draw = F.pmod(F.xxhash64(F.coalesce("_id", F.lit(-1)), F.lit(11)), F.lit(1 << 20))
-    chosen = rows.where(draw < share * (1 << 20)).withColumn("held", F.pmod(F.xxhash64(F.coalesce("_id", F.lit(-1)), F.lit(12)), F.lit(5)) == 0)
+    share = F.element_at(F.create_map(*(F.lit(x) for lang in sorted(sizes) for x in (lang, min(1.0, sample / sizes[lang])))), F.col("lang"))
+    key = F.coalesce("_id", F.xxhash64("_text"))
+    draw = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 20))
+    chosen = rows.where(draw < share * (1 << 20)).withColumn("held", F.pmod(F.xxhash64(key, F.lit(12)), F.lit(5)) == 0)
     keys = [f"c{k}" for k in range(order)]
     kind = "lang string, n long, " + ", ".join(f"{k} int" for k in keys)
-    counted = chosen.where("not held").select("lang", "_text").mapInArrow(_counts(order), kind).groupBy("lang", *keys).agg(F.sum("n").alias("n")).toPandas()
-    place = {lang: k for k, lang in enumerate(languages)}
-    models = estimate(languages, counted["lang"].map(place).to_numpy(np.int64), counted[keys].to_numpy(np.uint32), counted["n"].to_numpy(np.int64)) if len(counted) else None
-    if models is None:
+    count = lambda texts: texts.select("lang", "_text").mapInArrow(_counts(order), kind).groupBy("lang", *keys).agg(F.sum("n").alias("n")).toPandas()
+    counted = count(chosen.where("not held"))
+    if missed := sorted(set(sizes) - set(counted["lang"])):
+        counted = pd.concat([counted, count(_some(rows, missed, key))], ignore_index=True)
+    languages = sorted(set(counted["lang"]))  # without those that have no letter
+    if not languages:
         return None
-    models.mean, models.spread = np.zeros(len(languages)), np.ones(len(languages))
-    held = chosen.where("held").select("_id", "_text", "lang")
+    place = {lang: k for k, lang in enumerate(languages)}
+    models = estimate(languages, counted["lang"].map(place).to_numpy(np.int64), counted[keys].to_numpy(np.uint32), counted["n"].to_numpy(np.int64))
+    held = chosen.where(F.col("held") & F.col("lang").isin(sorted(set(languages) - set(missed))))
     scored = held.select("lang", "_text").mapInArrow(_calibration(spark.sparkContext.broadcast(models)), "lang string, entropy array<double>, n long").toPandas()
-    calibrate(models, scored["lang"].map(place).to_numpy(np.int64), np.array(scored["entropy"].tolist()).reshape(len(scored), -1), scored["n"].to_numpy(np.int64))
+    few = calibrate(models, scored["lang"].map(place).to_numpy(np.int64), np.array(scored["entropy"].tolist()).reshape(len(scored), -1), scored["n"].to_numpy(np.int64))
+    if few:
+        texts: dict[str, list[str]] = {lang: [] for lang in few}
+        for r in _some(rows, few, key).collect():
+            texts[r.lang].append(r._text)
+        for lang, own in texts.items():
+            loosen(models, place[lang], own)
     return models
 
 
+def _some(rows: DataFrame, languages: list[str], key: Column) -> DataFrame:
+    """The start of ``HALVED_TEXTS`` texts with a letter of each language, by a hash; few rows of each reach the shuffle."""
+    clipped = rows.where(F.col("lang").isin(languages) & F.col("_text").rlike(r"\p{L}"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(key, F.lit(13)), F.xxhash64("_text")))
+    return clipped.withColumn("_rank", rank).where(F.col("_rank") <= HALVED_TEXTS).select("lang", F.substring("_text", 1, HALVED_CHARACTERS).alias("_text"))
+
+
 def _calibration(shared):
     schema = pa.schema([("lang", pa.string()), ("entropy", pa.list_(pa.float64())), ("n", pa.int64())])
 
@@ -258,22 +289,57 @@ def _calibration(shared):
     return run
 
 
-def calibrate(models: Models, truth: np.ndarray, entropies: np.ndarray, n: np.ndarray) -> None:
-    """Set the temperature, and per language the mean cross-entropy and the spread at one character."""
+def calibrate(models: Models, truth: np.ndarray, entropies: np.ndarray, n: np.ndarray) -> list[str]:
+    """Set the temperature, and per language the mean cross-entropy and the spread at one character.
+
+    Returns the languages with fewer than ``LEAST_HELD`` texts that are classified correctly; without any, a language
+    rejects no text.
+    """
+    models.mean, models.spread = np.full(len(models.languages), np.inf), np.zeros(len(models.languages))
     usable = n > 0
     truth, entropies, n = truth[usable], entropies[usable], n[usable]
     if not len(truth):
-        return
+        return list(models.languages)
     every = np.arange(len(truth))
     gap = entropies - entropies.min(axis=1, keepdims=True)
     loss = {t: float(np.mean(t * gap[every, truth] + np.log(np.exp(-t * gap).sum(axis=1)))) for t in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)}
     models.temperature = min(loss, key=loss.get)
-    for lang in range(len(models.languages)):
+    few = []
+    for lang, name in enumerate(models.languages):
         own = (truth == lang) & (entropies.argmin(axis=1) == lang)
         if own.any():
             mine = entropies[own, lang]
             models.mean[lang] = np.average(mine, weights=n[own])
             models.spread[lang] = np.sqrt(np.mean((mine - models.mean[lang]) ** 2 * n[own]))
+        if own.sum() < LEAST_HELD:
+            few.append(name)
+    return few
+
+
+def loosen(models: Models, lang: int, texts: list[str]) -> None:
+    """Raise mean and spread of a language to those of its ``texts``, each half scored by a model of the other."""
+    order = len(models.grams)
+    pieces = [t[a : a + PIECE] for t in texts for a in range(0, len(t), PIECE)]
+    if not pieces:
+        return
+    if len(pieces) == 1:
+        pieces = [pieces[0][: len(pieces[0]) // 2], pieces[0][len(pieces[0]) // 2 :]]
+    upto = np.cumsum([len(p) for p in pieces])
+    first = min(1 + int(np.searchsorted(upto, upto[-1] / 2)), len(pieces) - 1)
+    halves = [pieces[:first], pieces[first:]]
+    found = [counted_grams(half, order) for half in halves]
+    if not all(len(number) for _, number in found):
+        models.mean[lang] = np.inf
+        return
+    owner = np.repeat([0, 1], [len(number) for _, number in found])
+    two = estimate(["0", "1"], owner, *(np.concatenate(x) for x in zip(*found)), models.alphabet)
+    scored = [two.cross_entropies(half) for half in halves]
+    entropies, n = np.concatenate([scored[0][0][:, 1], scored[1][0][:, 0]]), np.concatenate([x[1] for x in scored])
+    mean = np.average(entropies, weights=n)
+    spread = np.sqrt(np.mean((entropies - mean) ** 2 * n))
+    known = np.isfinite(models.mean[lang])
+    models.mean[lang] = max(mean, models.mean[lang]) if known else mean
+    models.spread[lang] = max(spread, models.spread[lang])
 
 
 def identify(docs: DataFrame, models: Models | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,0 +1,56 @@
+"""Rows and texts that earlier versions cut: rare languages, special tokens in texts, unusual pages."""
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from sheaf.llm import language
+
+LETTERS = {"hot": "aeioubdfglmnprst", "warm": "aeiouäöhjklrstvy", "rare": "aáeéiouywzkxqcgh"}
+
+
+def sentences(lang, n, seed):
+    """Texts of about 60 words from a vocabulary of its own."""
+    words, rng = np.random.default_rng(len(lang)), np.random.default_rng(seed)
+    vocabulary = ["".join(words.choice(list(LETTERS[lang]), words.integers(2, 9))) for _ in range(300)]
+    share = 1 / np.arange(1, 301)
+    return [" ".join(rng.choice(vocabulary, 60, p=share / share.sum())) for _ in range(n)]
+
+
+@pytest.mark.parametrize("labelled,calibrating", [(1, False), (1, True), (2, False), (3, False), (5, False), (5, True), (5, None)])
+def test_rare_language_beside_hot_ones(spark, labelled, calibrating):
+    """``calibrating``: whether the hash of the ids would let all (True) or none (False) of its texts calibrate."""
+    rows = [(k, t, lang) for at, lang in ((0, "hot"), (1000, "warm")) for k, t in enumerate(sentences(lang, 150, at), at)]
+    ids = range(5000, 5400)
+    chosen = spark.createDataFrame([(k,) for k in ids], "id long").selectExpr("id", "pmod(xxhash64(id, 12), 5) = 0 as held").collect()
+    ids = [r.id for r in chosen if calibrating is None or r.held == calibrating][:labelled]
+    rare = sentences("rare", labelled + 40, 7)
+    rows += [(k, t, "rare") for k, t in zip(ids, rare)] + [(9000 + k, t, None) for k, t in enumerate(rare[labelled:])]
+    noise = np.random.default_rng(3)
+    rows += [(9900 + k, "".join(noise.choice(list("bcdfghjklmnpqrstvwxz "), 300)), None) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language.train(docs)
+    out = {r.doc_id: r for r in language.identify(docs, models).collect()}
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, None).collect()}
+    for k, *_ in rows[:-5]:
+        assert out[k].accepted and k in kept, (k, out[k])
+    assert all(out[k].lang_pred == "rare" for k in [*ids, *range(9000, 9040)])
+    assert models.languages == ["hot", "rare", "warm"]
+
+
+def test_language_of_rows_without_id(spark):
+    """Rows without id are told apart by their texts: some are counted, some calibrate."""
+    texts = {lang: sentences(lang, 60, 1) for lang in LETTERS}
+    docs = spark.createDataFrame([(None, t, lang) for lang, own in texts.items() for t in own], "doc_id long, text string, lang string")
+    models = language.train(docs, sample=40)
+    assert np.isfinite(models.mean).all() and (models.spread > 0).all()
+    entropies, n = models.cross_entropies([t for lang in models.languages for t in texts[lang]])
+    best, _, accepted = models.decide(entropies, n)
+    assert best.tolist() == np.repeat([0, 1, 2], 60).tolist() and accepted.all()
+
+
+def test_implausible_texts_are_rejected(spark):
+    docs = spark.createDataFrame([(k + 1000 * at, t, lang) for at, lang in enumerate(LETTERS) for k, t in enumerate(sentences(lang, 100, at))], "doc_id long, text string, lang string")
+    models = language.train(docs)
+    noise = np.random.default_rng(3)
+    assert not models.decide(*models.cross_entropies(["".join(noise.choice(list("bcdfghjklmnpqrstvwxz "), 300)) for _ in range(20)]))[2].any()
