@@ -51,7 +51,8 @@ class WordTokens:
 
     The byte-level pre-tokenizer never joins what a single space or line feed between two other characters
     separates (the space goes with what follows, the line feed stands alone). So the parts between them are
-    encoded once each, many at a time. Texts with any other white space are encoded whole.
+    encoded once each, many at a time. Texts with any other white space, or with an added token of the tokenizer
+    (``<|endoftext|>``) written out in them, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -61,7 +62,7 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         space, line_feed = (self.model.encode(x, add_special_tokens=False).tokens[0] for x in (" ", "\n"))
@@ -92,7 +93,7 @@ class WordTokens:
         memo.update(zip(new, [flat[a + skip : b] for a, b in zip((4 * first).tolist(), ends)]))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if not t or t[0].isspace() or t[-1].isspace() or _ODD_SPACE.search(t) else [x.split(" ") for x in t.split("\n")] for t in texts]
+        split = [None if not t or t[0].isspace() or t[-1].isspace() or _ODD_SPACE.search(t) or any(x in t for x in self.added) else [x.split(" ") for x in t.split("\n")] for t in texts]
         self.learn(self.plain, {x[0] for lines in split if lines for x in lines}, "\n")
         self.learn(self.spaced, {w for lines in split if lines for x in lines for w in x[1:]}, " ")
         plain, spaced = self.plain.__getitem__, self.spaced.__getitem__

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sheaf.llm import language
+from sheaf.llm import language, packing
 
 LETTERS = {"hot": "aeioubdfglmnprst", "warm": "aeiouäöhjklrstvy", "rare": "aáeéiouywzkxqcgh"}
 
@@ -54,3 +54,17 @@ def test_implausible_texts_are_rejected(spark):
     models = language.train(docs)
     noise = np.random.default_rng(3)
     assert not models.decide(*models.cross_entropies(["".join(noise.choice(list("bcdfghjklmnpqrstvwxz "), 300)) for _ in range(20)]))[2].any()
+
+
+def test_special_tokens_in_texts_have_their_id(spark):
+    """A written-out special token has the id that a freshly loaded tokenizer gives it, wherever it stands."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(packing.tokenizer_file("byte_bpe_50k.json"))
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b c", "one two\nthree <|endoftext|>\nfour", "<|endoftext|", "<| endoftext |> x", "x y", "<|endoftext|><|endoftext|> z"]
+    want = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [87, 220, 50256, 331]
+    tokens = packing.WordTokens(packing.tokenizer_file("byte_bpe_50k.json"))
+    assert tokens(texts) == [np.array(x, "<u4").tobytes() for x in want]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in packing.pieces(docs, ids=True).collect()} == {k: [*x, 2] for k, x in enumerate(want)}
