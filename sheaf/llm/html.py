@@ -6,6 +6,9 @@ over neighbouring blocks in page order, and paths whose mean value reaches a thr
 deviation) are content paths. The innermost element that holds nearly all text of content paths is the article;
 what is no content of its own (menus, headers, footers, sidebars, notices, adverts, forms, scripts, reader
 comments, by element, role or class name; lists of links) is left out of it. Everything else in it stays.
+
+A class or id says so if all its words do ("cookie-notice", "sidebar-box"). If only some do ("social-security",
+"has-sidebar"), the element goes only if no tag path below it is a content path.
 """
 
 from __future__ import annotations
@@ -39,9 +42,12 @@ NAMES = frozenset(
     " promo promoted promotion recommended related replies reply respond responses share sharing sidebar signup skip social sponsor sponsored subscribe subscription"
     " tags teaser toolbar topbar tracking widget widgets".split()
 )
+#: Words that say nothing more beside one of ``NAMES``.
+PLAIN = frozenset("area bar block body bottom box button buttons container content icon icons inner item items left link links list main outer page panel right row section site text top wrap wrapper".split())
 #: Those that make an article element none of its own.
 ASIDES = frozenset("ad ads advert advertisement comment comments promo promoted recommended related replies reply response sponsored teaser widget".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl menu table pre blockquote".split())
 #: An opening tag of the first kind ends an open one of the second, up to the nearest of the third.
 ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 
@@ -52,34 +58,40 @@ _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？،؟।]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "hard", "soft", "depth", "path", "size", "holds")
+    __slots__ = ("tag", "parent", "hard", "soft", "weak", "depth", "path", "size", "holds")
 
-    def __init__(self, tag: str, parent: Node | None, hard: bool, soft: bool):
-        self.tag, self.parent, self.hard, self.soft = tag, parent, hard, soft
+    def __init__(self, tag: str, parent: Node | None, hard: bool, soft: bool, weak: bool):
+        self.tag, self.parent, self.hard, self.soft, self.weak = tag, parent, hard, soft, weak
         self.depth = parent.depth + 1 if parent else 0
         self.path = f"{parent.path}/{tag}" if parent else tag
         self.size, self.holds = 0, False  # characters below; whether a main element is below
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is no content by what it is, and by how it is called."""
-    hard, soft = tag in OUT, tag == "header"
+def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is no content by what it is, by how it is called, and by a part of how it is called."""
+    hard, soft, weak = tag in OUT, tag == "header", False
     if attributes.strip():
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
-                names = {p.lower() for p in _NAME_PART.findall(value)}
-                soft |= tag not in ("html", "body", "main") and bool(names & (ASIDES if tag == "article" else NAMES))
+                if tag in ("html", "body", "main") or name == "id" and tag in HEADINGS:  # a heading's id is a link target
+                    continue
+                telling = ASIDES if tag == "article" else NAMES
+                for called in value.split():
+                    names = {p.lower() for p in _NAME_PART.findall(called)}
+                    if names & telling:
+                        whole = names <= telling | PLAIN and not ("header" in names and len(names) > 1)
+                        soft, weak = soft or whole, weak or not whole
             elif name == "role":
                 hard |= value.lower() in ROLES
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 hard = True
-    return hard, soft
+    return hard, soft, weak
 
 
 def blocks(page: str) -> list[tuple[Node, str, int]]:
     """(element, text, characters inside links) of every block in page order, character references decoded."""
-    top = Node("", None, False, False)
+    top = Node("", None, False, False, False)
     node, inline, out, parts, linked, link = top, [], [], [], [], 0
 
     def close() -> None:
@@ -143,13 +155,30 @@ def _up(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
+def _content_paths(kept: list[tuple[Node, str, int]]) -> set[str]:
+    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
+    for node, text, links in kept:
+        length[node.path] += max(0, len(text) - links)
+        marks[node.path] += len(_PUNCTUATION.findall(text))
+        count[node.path] += 1
+    fused = [math.log1p(length[p] / count[p]) * math.log1p(marks[p] / count[p]) for p in (n.path for n, *_ in kept)]
+    before, here, after = SMOOTH
+    smooth = [before * fused[max(i - 1, 0)] + here * x + after * fused[min(i + 1, len(fused) - 1)] for i, x in enumerate(fused)]
+    mean = sum(smooth) / len(smooth)
+    limit = THRESHOLD * math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+    value = defaultdict(float)
+    for (node, *_), x in zip(kept, smooth):
+        value[node.path] += x / count[node.path]
+    return {p for p, v in value.items() if v >= limit and length[p]}
+
+
 def main_text(page: str) -> str:
     found = blocks(page)
     for node, text, _ in found:
         main = False
         for x in _up(node):
             x.size += len(text)
-            main |= x.tag in ("article", "main", "h1") and not x.soft
+            main |= x.tag in ("article", "main", "h1") and not (x.soft or x.weak and x.tag == "article")
             x.holds |= main
     total = sum(len(t) for _, t, _ in found)
 
@@ -164,23 +193,18 @@ def main_text(page: str) -> str:
                 return True
         return False
 
+    # if nothing is left, names do not count; then neither does a form around everything
     kept = [b for b in found if not out(b[0])]
+    kept = kept or [b for b in found if not any(x.hard for x in _up(b[0]))]
+    kept = kept or [b for b in found if not any(x.hard and x.tag != "form" for x in _up(b[0]))]
     if not kept:
         return ""
-    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for node, text, links in kept:
-        length[node.path] += max(0, len(text) - links)
-        marks[node.path] += len(_PUNCTUATION.findall(text))
-        count[node.path] += 1
-    fused = [math.log1p(length[p] / count[p]) * math.log1p(marks[p] / count[p]) for p in (n.path for n, *_ in kept)]
-    before, here, after = SMOOTH
-    smooth = [before * fused[max(i - 1, 0)] + here * x + after * fused[min(i + 1, len(fused) - 1)] for i, x in enumerate(fused)]
-    mean = sum(smooth) / len(smooth)
-    limit = THRESHOLD * math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
-    value = defaultdict(float)
-    for (node, *_), x in zip(kept, smooth):
-        value[node.path] += x / count[node.path]
-    content = {p for p, v in value.items() if v >= limit and length[p]}
+    content = _content_paths(kept)
+    if any(x.weak for b in kept for x in _up(b[0])):
+        good = {x for node, text, links in kept if node.path in content and links < LINKED * len(text) for x in _up(node)}
+        left = [b for b in kept if not any(x.weak and not x.holds and x not in good for x in _up(b[0]))]
+        if left and len(left) < len(kept):
+            kept, content = left, _content_paths(left)
     weight: dict[Node, int] = defaultdict(int)
     below: dict[Node, set[Node]] = defaultdict(set)
     for node, text, links in kept:
@@ -198,11 +222,14 @@ def main_text(page: str) -> str:
     chosen = [(b, b[0].path in content) for b in kept if any(x is article for x in _up(b[0]))]
     sure = [k for k, (_, c) in enumerate(chosen) if c]
     whole = article.tag in ("article", "main")
+    listed = [any(x.tag in LISTS for x in _up(b[0]) if x.depth > article.depth) for b, _ in chosen]
+    last = max((k for k, x in enumerate(listed) if x), default=-1)
     text = []
     for k, ((node, words, links), c) in enumerate(chosen):
         menu = links >= LINKED * len(words) and any(x.tag in ("ul", "ol", "menu") for x in _up(node) if x.depth >= article.depth)
         lead = node.tag in HEADINGS and sure and k < sure[0]
-        if not menu and (whole or c or lead or sure and sure[0] <= k <= sure[-1]):
+        closing = sure and k > sure[-1] and (listed[k] or node.tag in HEADINGS and k < last)
+        if not menu and (whole or c or lead or closing or sure and sure[0] <= k <= sure[-1]):
             text.append(words)
     return "\n\n".join(text)
 

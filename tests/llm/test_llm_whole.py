@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from sheaf.llm import language, packing
+from sheaf.llm.html import main_text
 
 LETTERS = {"hot": "aeioubdfglmnprst", "warm": "aeiouäöhjklrstvy", "rare": "aáeéiouywzkxqcgh"}
 
@@ -68,3 +69,24 @@ def test_special_tokens_in_texts_have_their_id(spark):
     assert tokens(texts) == [np.array(x, "<u4").tobytes() for x in want]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.ids for r in packing.pieces(docs, ids=True).collect()} == {k: [*x, 2] for k, x in enumerate(want)}
+
+
+LINES = ["A first paragraph, with enough text to count. It is long; yes, it is.", "A second paragraph, again with text. It goes on, and on, to the end.", "And a third one, which is like them. It ends here, after a comma."]
+P = "".join(f"<p>{x}</p>" for x in LINES)
+WHOLE = {
+    "section": (f'<article><h1>T</h1>{P}<section id="social-security"><h2 id="cookies">Law</h2><p>{LINES[0]}</p></section></article>', ["T", *LINES, "Law", LINES[0]]),
+    "paragraph": (f'<main><h1>T</h1><p class="disclaimer-law">{LINES[0]}</p>{P}</main>', ["T", LINES[0], *LINES]),
+    "heading": (f'<article><div class="entry-header"><h1>Title</h1></div>{P}</article>', ["Title", *LINES]),
+    "wrapper": (f'<body><div class="nav"><a href=x>Home</a></div><div class="post has-sidebar">{P}</div></body>', LINES),
+    "nothing else": (f'<body><div class="sidebar">{P}</div></body>', LINES),
+    "form": (f"<body><form>{P}</form></body>", LINES),
+    "closing list": (f"<body><div>{P}<h2>Parts</h2><ul><li>flour</li><li>salt</li><li>milk</li></ul></div></body>", [*LINES, "Parts", "flour", "salt", "milk"]),
+    "closing table": (f"<body><div>{P}<table><tr><td>one</td><td>two</td></tr></table></div></body>", [*LINES, "one", "two"]),
+    "links": (f'<article>{P}<div class="more-related-stories"><ul><li><a href=x>Story</a></li></ul></div></article>', LINES),
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_pages_keep_their_text(name):
+    page, text = WHOLE[name]
+    assert main_text(page) == "\n\n".join(text)
