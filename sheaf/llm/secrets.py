@@ -3,20 +3,21 @@
 Strong spans are reported wherever they stand: ``assign`` (a named value), ``access`` (an access identifier) and
 ``hex`` (a long hexadecimal run). Weak spans alone are mostly noise: ``ident`` (a user, account or client name, or
 a run of capitals and digits), ``key`` (a random-looking token, or a short named value) and ``endpoint`` (a URL, or a
-host with a port). A weak span is reported only if parts of a credential that complement it stand near:
+host with a port). A weak span is reported only if parts of a credential that complement it stand in its scope:
 
 =========== ============= =======================================
-kind        part          reported if in reach there is
+kind        part          reported if in scope there is
 =========== ============= =======================================
 ident       identifier    a secret
 key         secret        an identifier or an endpoint
 endpoint    endpoint      an identifier and a secret
 =========== ============= =======================================
 
-``access`` is an identifier, ``assign`` and ``hex`` are secrets. In reach is what overlaps the span widened by
-``REACH`` code points to either side, within the same scope (lines up to a blank one). The interval join sorts each
-part's intervals and looks a span's window up by binary search over starts and running maxima of ends, so a text
-with many candidates costs n log n. All parts of a credential stand in one text, so nothing is shuffled.
+``access`` is an identifier, ``assign`` and ``hex`` are secrets. A scope is the lines up to a blank one, however long.
+An endpoint may overlap a strong span (a URL with a password in it); an identifier that does so is a part, if it is not
+all inside, but not reported itself. The interval join sorts each part's intervals and looks a span's scope up by
+binary search over starts and running maxima of ends, so a text with many candidates costs n log n. All parts of a
+credential stand in one text, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-REACH = 300
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "ident", "key", "endpoint")
 PART = {"assign": "secret", "access": "identifier", "hex": "secret", "ident": "identifier", "key": "secret", "endpoint": "endpoint"}
@@ -76,22 +76,25 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     found["hex"] = [m.span() for m in _HEX.finditer(text)]
     covered = _near([x for k in BASE for x in found[k]])
     free = lambda spans: [x for x in spans if not covered(x[0] + 1, x[1] - 1)]
-    found["endpoint"] = free(m.span() for m in _ENDPOINT.finditer(text)) if ":" in low else []
-    found["ident"] = free(m.span() for m in _IDENT.finditer(text))
-    if found["endpoint"] or found["ident"] or found["access"]:  # a weak secret needs one of them
-        other = _near(found["endpoint"] + found["ident"])
+    strong = sorted(x for k in BASE for x in found[k])
+    starts, reach = [s for s, _ in strong], list(accumulate((e for _, e in strong), max))
+    inside = lambda s, e: bool(k := bisect_right(starts, s)) and reach[k - 1] >= e
+    found["endpoint"] = [m.span() for m in _ENDPOINT.finditer(text)] if ":" in low else []
+    idents = [m.span() for m in _IDENT.finditer(text)]
+    found["ident"], partners = free(idents), [x for x in idents if not inside(*x)]
+    if found["endpoint"] or partners or found["access"]:  # a weak secret needs one of them
+        other = _near(free(found["endpoint"]) + found["ident"])
         tokens = [m.span() for m in _KEY.finditer(text) if random_looking(m[0])]
         found["key"] = free(short + [x for x in tokens if not other(x[0] + 1, x[1] - 1)])
     if any(found[k] for k in NEEDS):
-        parts = {p: _near([x for k in KINDS if PART[k] == p for x in found[k]]) for p in set(PART.values())}
+        parts = {p: _near([x for k in KINDS if PART[k] == p for x in (partners if k == "ident" else found[k])]) for p in set(PART.values())}
         blank = [m.span() for m in _BLANK_LINE.finditer(text)]
         opened, closed = [0, *(e for _, e in blank)], [*(s for s, _ in blank), len(text)]
         for kind, needs in NEEDS.items():
             linked = []
             for s, e in found[kind]:
                 first, last = opened[bisect_right(opened, s) - 1], closed[bisect_left(closed, min(e, len(text)))]
-                window = max(first, s - REACH), min(last, e + REACH)
-                if all(any(parts[p](*window) for p in some) for some in needs):
+                if all(any(parts[p](first, last) for p in some) for some in needs):
                     linked.append((s, e))
             found[kind] = linked
     return [(KINDS[k], s, e) for s, k, e in sorted((s, k, e) for k, kind in enumerate(KINDS) for s, e in found[kind])]
