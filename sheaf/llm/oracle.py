@@ -105,3 +105,102 @@ least AS (SELECT start AS doc_id, MIN(node) AS component_id FROM reach GROUP BY
 SELECT w.doc_id, COALESCE(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
 FROM w JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+ORACLE["op12_filter_audit"] = rf"""
+WITH w AS (
+  SELECT doc_id, COALESCE(source, '') AS part, COALESCE(text, '') AS t, regexp_extract_all(COALESCE(text, ''), '{WORDS}') AS ws FROM documents),
+least AS (SELECT t, MIN(doc_id) AS first FROM w GROUP BY t),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, COALESCE(good, FALSE) AS good, COALESCE(toxic, FALSE) AS toxic,
+         CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN first < w.doc_id THEN 'E' ELSE '' END AS fails
+  FROM w JOIN least USING (t) LEFT JOIN marks USING (doc_id)),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, CAST(k AS INTEGER) AS step, filter_order[k] AS x, filter_order[:k - 1] AS before FROM orders, range(1, 6) t(k)),
+c AS (
+  SELECT part, fails, COUNT(*) AS n, COUNT(*) FILTER (good) AS good, COUNT(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+-- whether a filter of the first steps has removed it: a letter of both
+r AS (
+  SELECT part, filter_order, step, x, n, good, toxic, fails, contains(fails, x) AS bad,
+         len(list_intersect(string_split(fails, ''), string_split(before, ''))) > 0 AND fails <> '' AND before <> '' AS gone
+  FROM c, steps),
+s AS (
+  SELECT part, filter_order, step, x, SUM(CASE WHEN NOT gone AND NOT bad THEN n ELSE 0 END) AS kept,
+         SUM(CASE WHEN NOT gone AND bad THEN n ELSE 0 END) AS removed, SUM(CASE WHEN gone AND bad THEN n ELSE 0 END) AS redundant,
+         SUM(CASE WHEN fails = x THEN n ELSE 0 END) AS unique_fails, SUM(CASE WHEN NOT gone AND bad THEN good ELSE 0 END) AS good_lost,
+         SUM(CASE WHEN NOT gone AND bad THEN toxic ELSE 0 END) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(SUM(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM s
+"""
+
+ORACLE["op11_conversation_repair"] = r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text,
+         COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+-- CRC-32 of the key, a bit at a time
+crc AS (
+  SELECT key, 0 AS done, CAST(4294967295 AS BIGINT) AS c FROM (SELECT DISTINCT key FROM raw)
+  UNION ALL
+  SELECT key, done + 1, CASE WHEN c0 % 2 = 1 THEN xor(c0 // 2, 3988292384) ELSE c0 // 2 END
+  FROM (SELECT key, done, CASE WHEN done % 8 = 0 THEN xor(c, CAST(ascii(key[done // 8 + 1]) AS BIGINT)) ELSE c END AS c0 FROM crc WHERE done < 8 * length(key))),
+hashed AS (SELECT key, xor(c, 4294967295) % 20 AS fault FROM crc WHERE done = 8 * length(key)),
+d AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM raw JOIN hashed USING (key) WHERE fault <> 0),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, role[1] AS initial,
+         regexp_replace(text, '[ 	-
+]+$', '') AS trimmed
+  FROM d),
+told AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen FROM p),
+rows AS (
+  SELECT *, CASE WHEN trimmed = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN regexp_matches(trimmed[-1], '[.!?]') THEN '' ELSE 'truncated' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM told),
+report AS (
+  SELECT conv_id, COUNT(*) AS n, COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (fault = 'blank') AS blank,
+         COUNT(*) FILTER (fault = 'duplicate') AS duplicate, COUNT(*) FILTER (fault = 'truncated') AS truncated,
+         COUNT(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY conv_id),
+moves(q, x, r) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+word(x, role) AS (VALUES ('u', 'user'), ('a', 'assistant')),
+inserts AS (
+  SELECT q, q AS r, 0 AS k, CAST([] AS VARCHAR[]) AS lines FROM (VALUES (0), (1), (2), (3)) t(q)
+  UNION ALL
+  SELECT i.q, m.r, k + 1, list_append(lines, word.role || ':') FROM inserts i JOIN moves m ON m.q = i.r JOIN word ON word.x = m.x WHERE k < 3),
+edits AS (
+  SELECT q, x, r, 'K' AS letter, 0 AS cost FROM moves
+  UNION ALL SELECT q, x, r, 'R', 3 FROM moves WHERE x IN ('u', 'a')
+  UNION ALL SELECT q, '', q, 'D', 4 FROM (VALUES (0), (1), (2), (3)) t(q)),
+-- from the last row to the first: the cheapest way to an accepted end from each state, inserts before each row included
+best AS (
+  SELECT conv_id, n AS i, q, cost, audit, lines FROM (
+    SELECT conv_id, n, i.q, 3 * k AS cost, repeat('I', k) AS audit, lines,
+           row_number() OVER (PARTITION BY conv_id, i.q ORDER BY k) AS place
+    FROM report, inserts i WHERE i.r IN (0, 3)) WHERE place = 1
+  UNION ALL
+  SELECT conv_id, i, q, cost, audit, lines FROM (
+    SELECT b.conv_id, b.i - 1 AS i, n.q, 3 * n.k + e.cost + CASE WHEN w.fault = 'truncated' AND letter <> 'D' THEN 3 ELSE 0 END + b.cost AS cost,
+           repeat('I', n.k) || letter || b.audit AS audit,
+           list_concat(n.lines, CASE letter WHEN 'D' THEN [] WHEN 'K' THEN [w.role || ':' || w.text] ELSE [word.role || ':' || w.text] END, b.lines) AS lines,
+           row_number() OVER (PARTITION BY b.conv_id, n.q ORDER BY 3 * n.k + e.cost + CASE WHEN w.fault = 'truncated' AND letter <> 'D' THEN 3 ELSE 0 END + b.cost,
+                              repeat('I', n.k) || letter || b.audit) AS place
+    FROM best b JOIN rows w ON w.conv_id IS NOT DISTINCT FROM b.conv_id AND w.i = b.i
+    JOIN edits e ON e.r = b.q AND (letter <> 'K' OR e.x = w.initial) AND (letter = 'D' OR w.fault NOT IN ('blank', 'duplicate'))
+    JOIN inserts n ON n.r = e.q LEFT JOIN word ON word.x = e.x) WHERE place = 1),
+done AS (SELECT conv_id, cost, audit, array_to_string(lines, chr(10)) AS repaired FROM best WHERE i = 0 AND q = 0)
+SELECT c.conv_id, COALESCE(gaps, 0) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated,
+       COALESCE(illegal, 0) AS illegal, CAST(COALESCE(cost, 0) AS BIGINT) AS cost, COALESCE(audit, '') AS audit, sha256(COALESCE(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN report r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import table
-from sheaf.llm import language, mixing, packing, secrets
+from sheaf.llm import audit, language, mixing, packing, pieces, repair, secrets
 from sheaf.llm.fingerprints import fingerprint_edits
 from sheaf.llm.html import extract_pages
 from sheaf.llm.lines import dedup_lines
@@ -97,3 +97,27 @@ def op9_html_main_text(spark, sf_dir):
 def op10_mix_sources(spark, sf_dir):
     """How many words of each document the weighted mix of all sources takes."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark, sf_dir):
+    """Damaged conversations repaired at the least cost: report, edits and digest of every conversation."""
+    turns = table(spark, sf_dir, "conversations")
+    return repair.repaired(turns, repair.damaged(turns))
+
+
+@query("op12_filter_audit")
+def op12_filter_audit(spark, sf_dir):
+    """What five filters remove of all documents, in every order, by source."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = audit.failures(docs, audit.text_failures(F.coalesce(docs["text"], F.lit(""))), repeats="E")
+    counts = audit.histogram(rows, labels, {"good": labels["quality"] == 1, "toxic": labels["toxic"] == 1})
+    return audit.audit_orders(counts, "ABCDE", ("good", "toxic"))
+
+
+@query("op13_sentencepiece")
+def op13_sentencepiece(spark, sf_dir):
+    """SentencePiece ids of every text and their decoded text, as digests."""
+    out = pieces.encoded(table(spark, sf_dir, "documents"), packing.tokenizer_file("piece_bpe_32k.model"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
