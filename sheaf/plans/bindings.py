@@ -224,3 +224,28 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
         raws.append(F.lit(suf) if pre is None else F.concat(F.lit(pre), F.col("text"), F.lit(suf)))
     return docs.select(rid.alias("request_id"), pick(GEN_QUESTIONS, len(GEN_QUESTIONS), rid).alias("question"),
                        pick(MODES, 3, rid).alias("mode"), pick(raws, len(raws), rid).alias("raw_response"))
+
+
+# ---------------------------------------------------------------------------
+# evaluation items and answers
+# ---------------------------------------------------------------------------
+def gold_items(records: DataFrame) -> DataFrame:
+    """``id, q, a``: conversation records that have an answer."""
+    return records.where(F.col("output") != "").select(conversation_request_id().alias("id"), F.col("instruction").alias("q"), F.col("output").alias("a"))
+
+
+def asked_items(records: DataFrame) -> DataFrame:
+    """``id, question, answer`` of a second system: the questions reworded, cut or replaced, the answers cut or turned, by ``conv_id + turn``.
+
+    Fixture values: as asked; half in capitals with other signs; without the first word; with a word before and one after;
+    another question altogether.
+    """
+    k, q, a = F.col("conv_id") + F.col("turn"), F.col("instruction"), F.col("output")
+    question = (F.when(k % 5 == 0, q).when(k % 5 == 1, F.concat(F.lit(" ("), F.translate(q, "abcdefghijklm", "ABCDEFGHIJKLM"), F.lit(") ?!")))
+                .when(k % 5 == 2, F.regexp_replace(q, "^[^ ]+ ", "")).when(k % 5 == 3, F.concat(F.lit("Please: "), F.regexp_replace(q, "^[^ ]+ ", ""), F.lit(" thanks")))
+                .otherwise(F.concat(F.lit("off topic "), conversation_request_id())))
+    words = F.split(a, " ")
+    half = F.floor(F.size(words) / 2).cast("int")
+    turned = F.array_join(F.concat(F.slice(words, half + 1, F.size(words) - half), F.slice(words, F.lit(1), half)), " ")
+    answer = F.when(k % 3 == 0, a).when(k % 3 == 1, F.regexp_replace(a, "^[^.]*[.]", "")).otherwise(turned)
+    return records.where(k % 7 != 0).select(conversation_request_id().alias("id"), question.alias("question"), answer.alias("answer"))

@@ -107,11 +107,16 @@ def sft_set(records: DataFrame) -> DataFrame:
 
 
 def evaluation(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """JOB8: per-pair scores and their summary."""
+    """JOB8 for finished pairs: per-pair scores and their summary."""
     scores = EV.score(pairs)
     return scores, EV.summary(scores)
 
 
+def answer_evaluation(asked: DataFrame, gold: DataFrame, share: float = 0.2) -> DataFrame:
+    """JOB8: asked questions linked to gold questions (SRC8), answers scored, unmatched rows reported."""
+    return EV.evaluate_answers(asked, gold, share)
+
+
 def length_report(texts: DataFrame) -> DataFrame:
     """JOB9."""
     return TR.length_profile(texts)

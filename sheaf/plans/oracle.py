@@ -801,3 +801,51 @@ sz AS (SELECT id, {py_strip_sql('prediction')} = {py_strip_sql('gold')} AS exact
 SELECT sz.id, exact_match, n_pred, n_gold, coalesce(ov.overlap, 0) AS overlap,
        round(CASE WHEN n_pred + n_gold = 0 THEN 1.0 ELSE 2.0 * coalesce(ov.overlap, 0) / (n_pred + n_gold) END, 6) AS f1
 FROM sz LEFT JOIN ov ON ov.id = sz.id"""
+
+# the words of a text as the tokenizer of the library cuts them
+def _word_list(c: str) -> str:
+    return f"list_filter(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+
+
+ORACLE["qa_eval"] = "WITH RECURSIVE " + RECORDS_CTE.split("indexed AS")[0].strip().rstrip(",") + f""",
+gold AS (SELECT 'c' || conv_id || '-' || turn AS id, instruction AS q, output AS a FROM records WHERE output <> ''),
+base AS (SELECT 'c' || conv_id || '-' || turn AS id, conv_id + turn AS k, instruction AS q, output AS a,
+                string_split(output, ' ') AS w, len(string_split(output, ' ')) // 2 AS half FROM records),
+asked AS (
+  SELECT id, CASE k % 5 WHEN 0 THEN q WHEN 1 THEN ' (' || translate(q, 'abcdefghijklm', 'ABCDEFGHIJKLM') || ') ?!' WHEN 2 THEN regexp_replace(q, '^[^ ]+ ', '')
+                        WHEN 3 THEN 'Please: ' || regexp_replace(q, '^[^ ]+ ', '') || ' thanks' ELSE 'off topic ' || id END AS q,
+         CASE k % 3 WHEN 0 THEN a WHEN 1 THEN regexp_replace(a, '^[^.]*[.]', '') ELSE array_to_string(list_concat(w[half + 1:], w[:half]), ' ') END AS a
+  FROM base WHERE k % 7 <> 0),
+gw AS (SELECT *, {_word_list('q')} AS ws FROM gold),
+aw AS (SELECT *, {_word_list('q')} AS ws FROM asked),
+ac AS (SELECT DISTINCT ws FROM aw WHERE len(ws) > 0),
+gc AS (SELECT ws, min(id) AS id FROM gw WHERE len(ws) > 0 GROUP BY ws),
+-- pairs that share enough words, repeats counted, to lie within the allowed edits
+an AS (SELECT ws, w, count(*) AS n FROM (SELECT ws, unnest(ws) AS w FROM ac) GROUP BY ALL),
+gn AS (SELECT ws, w, count(*) AS n FROM (SELECT ws, unnest(ws) AS w FROM gc) GROUP BY ALL),
+share AS (SELECT an.ws AS x, gn.ws AS y, sum(least(an.n, gn.n)) AS common FROM an JOIN gn USING (w) GROUP BY ALL),
+close AS (SELECT x, y, greatest(len(x), len(y)) // 5 AS most, list_distinct(list_concat(x, y)) AS names FROM share
+          WHERE common >= greatest(len(x), len(y)) - greatest(len(x), len(y)) // 5),
+-- each word one byte, so the edit distance of the strings is that of the words (no pair has over 94 different words)
+dist AS (SELECT x, y, most, levenshtein(array_to_string(list_transform(x, lambda w: chr(CAST(32 + list_position(names, w) AS INTEGER))), ''),
+                                        array_to_string(list_transform(y, lambda w: chr(CAST(32 + list_position(names, w) AS INTEGER))), '')) AS d FROM close),
+linked AS (SELECT x, id, d FROM dist JOIN gc ON gc.ws = y WHERE d <= most QUALIFY row_number() OVER (PARTITION BY x ORDER BY d, id) = 1),
+met AS (SELECT aw.id AS asked_id, l.id AS gold_id, l.d AS distance, aw.a AS p, g.a AS g FROM aw LEFT JOIN linked l ON l.x = aw.ws LEFT JOIN gold g ON g.id = l.id),
+pw AS (SELECT asked_id, {_word_list('p')} AS pl, {_word_list('g')} AS gl FROM met WHERE gold_id IS NOT NULL),
+-- longest common subsequence, a word of the answer at a time
+cells AS (
+  SELECT asked_id, 0 AS i, j, 0 AS l FROM pw, unnest(range(0, len(gl) + 1)) t(j)
+  UNION ALL
+  SELECT asked_id, i, j, max(best) OVER (PARTITION BY asked_id ORDER BY j) AS l FROM (
+    SELECT c.asked_id, c.i + 1 AS i, c.j, greatest(c.l, CASE WHEN c.j > 0 AND pl[c.i + 1] = gl[c.j] THEN 1 + before.l ELSE 0 END) AS best
+    FROM cells c JOIN pw ON pw.asked_id = c.asked_id LEFT JOIN cells before ON before.asked_id = c.asked_id AND before.j = c.j - 1
+    WHERE c.i < len(pl))),
+lcs AS (SELECT pw.asked_id, len(pl) AS n_pred, len(gl) AS n_gold, c.l AS lcs FROM pw JOIN cells c ON c.asked_id = pw.asked_id AND c.i = len(pl) AND c.j = len(gl)),
+least_id AS (SELECT ws, min(id) AS id FROM gw WHERE len(ws) > 0 GROUP BY ws)
+SELECT met.asked_id, gold_id, CASE WHEN gold_id IS NULL THEN 'unknown' ELSE 'matched' END AS status, CAST(distance AS INTEGER) AS distance,
+       {py_strip_sql('p')} = {py_strip_sql('g')} AS exact_match, CAST(n_pred AS INTEGER) AS n_pred, CAST(n_gold AS INTEGER) AS n_gold, CAST(lcs AS INTEGER) AS lcs,
+       CASE WHEN n_pred + n_gold = 0 THEN 1.0 ELSE round(2.0 * lcs / (n_pred + n_gold), 6) END AS rouge_l
+FROM met LEFT JOIN lcs ON lcs.asked_id = met.asked_id
+UNION ALL
+SELECT NULL, gw.id, CASE WHEN len(gw.ws) = 0 OR l.id IS NOT NULL THEN 'unanswered' ELSE 'repeated' END, NULL, NULL, NULL, NULL, NULL, NULL
+FROM gw LEFT JOIN least_id l ON l.id = gw.id WHERE gw.id NOT IN (SELECT gold_id FROM met WHERE gold_id IS NOT NULL)"""

@@ -454,3 +454,13 @@ def eval_join_q(spark, sf_dir):
     path = scratch_path(spark, "eval-pairs")  # the clean-up runs once; both token counts and sizes read its result
     pairs.write.parquet(path)
     return eval_ops.score(spark.read.parquet(path))
+
+
+@query("qa_eval")
+def qa_eval_q(spark, sf_dir):
+    """JOB8 SRC8: a JSON array of gold questions meets the answers of a second system; unmatched ones of both sides are reported."""
+    records = B.instruction_records(spark, sf_dir)
+    path = scratch_path(spark, "gold-items")
+    readers.write_json_arrays(B.gold_items(records), path)
+    gold = readers.read_eval_set(spark, path, "id string, q string, a string")
+    return jobs.answer_evaluation(B.asked_items(records), gold.select("id", F.col("q").alias("question"), F.col("a").alias("answer")))

@@ -143,9 +143,9 @@ def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     return spark.read.schema(schema).json(path)
 
 
-def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
-    """SRC8: evaluation items stored as one JSON array."""
-    return spark.read.schema(EVAL_SCHEMA).json(path, multiLine=True)
+def read_eval_set(spark: SparkSession, path: str, schema: str = EVAL_SCHEMA) -> DataFrame:
+    """SRC8: evaluation items stored as a JSON array, or as several files of one array each."""
+    return spark.read.schema(schema).json(path, multiLine=True)
 
 
 def open_collection(spark: SparkSession, path: str) -> DataFrame:
@@ -166,6 +166,24 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def _as_array(batches):
+    """Lines of one JSON array: a bracket or a comma before each row."""
+    import pyarrow as pa
+
+    first = True
+    for batch in batches:
+        rows = batch.column("value").to_pylist()
+        yield pa.RecordBatch.from_pydict({"value": [("[" if first and not k else ",") + row for k, row in enumerate(rows)]})
+        first = first and not rows
+    yield pa.RecordBatch.from_pydict({"value": ["[]" if first else "]"]})
+
+
+def write_json_arrays(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The file form of SRC8: each file one JSON array of the rows of a partition, written row by row."""
+    lines = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    lines.mapInArrow(_as_array, "value string").write.mode(mode).text(path)
+
+
 def write_collection(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
     """SNK4: text + vector + metadata as a Parquet table (overwrites, unlike the original's append)."""
     docs.write.mode(mode).parquet(path)
