@@ -849,3 +849,11 @@ FROM met LEFT JOIN lcs ON lcs.asked_id = met.asked_id
 UNION ALL
 SELECT NULL, gw.id, CASE WHEN len(gw.ws) = 0 OR l.id IS NOT NULL THEN 'unanswered' ELSE 'repeated' END, NULL, NULL, NULL, NULL, NULL, NULL
 FROM gw LEFT JOIN least_id l ON l.id = gw.id WHERE gw.id NOT IN (SELECT gold_id FROM met WHERE gold_id IS NOT NULL)"""
+
+ORACLE["keyword_labels"] = """
+WITH w AS (SELECT string_split(lower(text), ' ') AS ws FROM documents WHERE text IS NOT NULL),
+k AS (SELECT DISTINCT unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS keyword FROM w),
+rules AS (SELECT keyword, CAST('0x' || substr(md5(keyword), 1, 12) AS BIGINT) AS priority FROM k WHERE length(keyword) > 4),
+t AS (SELECT DISTINCT lower(text) AS text FROM conversations WHERE text IS NOT NULL),
+best AS (SELECT text, arg_min('L' || priority % 97, struct_pack(priority, keyword)) AS label FROM t JOIN rules ON contains(text, keyword) GROUP BY text)
+SELECT conv_id, turn, coalesce(label, 'none') AS label FROM conversations c LEFT JOIN best ON best.text = lower(c.text)"""

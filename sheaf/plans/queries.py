@@ -26,6 +26,7 @@ from sheaf.functions import textclean as TC
 from sheaf.operators import textstages as TS
 from sheaf.operators import requests as req_ops
 from sheaf.operators import vectors as V
+from sheaf.operators import keywords as KW
 from sheaf.operators import training as train_ops
 from sheaf.functions import route as RT
 from sheaf.rules import defaults as D
@@ -464,3 +465,10 @@ def qa_eval_q(spark, sf_dir):
     readers.write_json_arrays(B.gold_items(records), path)
     gold = readers.read_eval_set(spark, path, "id string, q string, a string")
     return jobs.answer_evaluation(B.asked_items(records), gold.select("id", F.col("q").alias("question"), F.col("a").alias("answer")))
+
+
+@query("keyword_labels")
+def keyword_labels_q(spark, sf_dir):
+    """JOIN3 with a large table: every conversation turn gets the label of the first phrase of the documents that it contains."""
+    turns = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower("text").alias("text"))
+    return KW.first_labels(turns, "text", B.phrase_rules(spark, sf_dir), default="none").select("conv_id", "turn", "label")
