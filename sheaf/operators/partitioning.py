@@ -5,24 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition a frame that has fewer partitions than the cluster can run.
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition of an input too small to be split among all cores.
 
-    CPU-heavy per-row work (regex folds, encoders) runs in the partitions it
-    receives; a small file read as one split would use one core.  On large
-    inputs (many splits) this is a no-op, so it never adds a shuffle at scale.
+    CPU-heavy per-row work (regex folds, encoders) runs in the partitions it receives; a small file read as
+    one split would use one core. The optimizer's size of the input decides: from one full split a core on, Spark's own
+    splits serve and nothing is shuffled. Micro-batches are partitioned by their source.
     """
     if df.isStreaming:
-        return df                      # micro-batches are partitioned by the source
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        # a shuffled input already has shuffle-sized partitions; asking an adaptive plan for
-        # its RDD would also run its shuffle stages early, so only scans are inspected
-        if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-            return df
-        current = df._jdf.rdd().getNumPartitions()
-    except Exception:                  # sessions without a JVM handle: leave partitioning to Spark
         return df
-    if current >= target:
-        return df
-    return df.repartition(target)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if int(str(size)) < cores * split else df

@@ -27,6 +27,7 @@ from sheaf.operators import textstages as TS
 from sheaf.operators import requests as req_ops
 from sheaf.operators import vectors as V
 from sheaf.operators import keywords as KW
+from sheaf.operators import quantised as Q
 from sheaf.operators import training as train_ops
 from sheaf.functions import route as RT
 from sheaf.rules import defaults as D
@@ -267,6 +268,18 @@ def topk_ivf_recall_q(spark, sf_dir):
     return V.recall_at_k(V.without_self(found, k), V.without_self(V.top_k(q, c, k + 1), k), k)
 
 
+@query("topk_pq_recall")
+def topk_pq_recall_q(spark, sf_dir):
+    """VEC4: recall of the stored quantised index, top-3 without the query itself, for every fiftieth document against all (no SQL oracle)."""
+    k, path = D.TOP_K, scratch_path(spark, "index")
+    c = prompt_ops.encode(B.table(spark, sf_dir, "documents"), "doc_id", "text", "cid", "cvec")
+    Q.build_index(c, path)
+    index = Q.open_index(spark, path)
+    q = spark.read.parquet(f"{path}/rows").where(F.col("cid") % 50 == 0).select(F.col("cid").alias("qid"), F.col("vector").alias("qvec"))
+    c = spark.read.parquet(f"{path}/rows").select("cid", F.col("vector").alias("cvec"))
+    return V.recall_at_k(V.without_self(Q.index_top_k(q, index, k + 1), k), V.without_self(V.top_k(q, c, k + 1), k), k)
+
+
 @query("hashed_vectors")
 def hashed_vectors_q(spark, sf_dir):
     """VEC1 VEC2: non-zero buckets of every document's hashed vector."""
