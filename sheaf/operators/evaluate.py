@@ -16,7 +16,7 @@ from sheaf.functions.text import ustrip
 from sheaf.operators.linkage import link_questions, question_key, subsequence_length
 from sheaf.operators.vectors import tokens
 from sheaf.rules.dialect import java_pattern
-from sheaf.session import scratch_path
+from sheaf.session import stored
 
 
 def _token_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -56,10 +56,7 @@ def evaluate_answers(asked: DataFrame, gold: DataFrame, share: float = 0.2) -> D
     word counts, the ``lcs`` of the answers' words and ``rouge_l``, its F-measure (1 if both answers are empty). A null
     answer is an empty one. Empty tables give the other side's rows, unmatched.
     """
-    links = link_questions(asked, gold, share)
-    path = scratch_path(asked.sparkSession, "question-links")  # plain rows on both sides: a question asked very often can be split
-    links.write.parquet(path)
-    links = asked.sparkSession.read.schema(links.schema).parquet(path)
+    links = stored(link_questions(asked, gold, share), "question-links")  # plain rows on both sides: a question asked very often can be split
     left = asked.select(F.col("id").alias("asked_id"), F.coalesce(F.col("answer"), F.lit("")).alias("prediction"), question_key(F.col("question")).alias("key"))
     met = left.join(links, "key", "left")
     right = gold.select(F.col("id").alias("known_id"), F.coalesce(F.col("answer"), F.lit("")).alias("gold"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.text import col_or_lit, render, safe_get, ustrip
 from sheaf.operators.positions import with_position
+from sheaf.session import stored
 from sheaf.rules import defaults as D
 
 ROW_TYPE = "array<struct<category:string,instruction:string,input:string,output:string>>"
@@ -143,7 +144,7 @@ def entity_meta() -> Column:
 
 def positioned_entities(ent: DataFrame, order_by: Sequence) -> DataFrame:
     """Safe entity values plus ``entity_pos`` (WIN1) over ``order_by``."""
-    return safe_entities(with_position(ent, order_by, "entity_pos"), keep=["entity_pos"])
+    return safe_entities(with_position(stored(ent, "entities"), order_by, "entity_pos"), keep=["entity_pos"])
 
 
 def generate_entity_instructions(safe: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -193,7 +194,7 @@ def positioned_instruction_set(ent: DataFrame, order_by: Sequence) -> DataFrame:
     a row's place is where its entity starts plus its item. Texts are neither sorted nor shuffled for it.
     """
     count = entity_row_count(safe_get(F.col("recipes")), safe_get(F.col(D.GATED_CATEGORY[1])))
-    placed = with_position(ent, order_by, "entity_pos", start=("_start", count))
+    placed = with_position(stored(ent, "entities"), order_by, "entity_pos", start=("_start", count))
     safe = safe_entities(placed, keep=["entity_pos", "_start"])
     n, first_part = placed.agg(F.count(F.lit(1)), F.max(F.col("_start") + count)).first()
     each, most, e = len(D.COMPARISON_TEMPLATES), len(D.NEIGHBOR_OFFSETS), F.col("entity_pos")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.session import scratch_path
+from sheaf.session import stored
 
 #: Characters of a gram.
 GRAM = 4
@@ -64,12 +64,6 @@ def _gram_bits(index: DataFrame) -> list[int]:
     return table
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _index(rules: DataFrame, texts: DataFrame, gram_size: int) -> tuple[DataFrame, list[int]]:
     """(``gram``, ``priority``, ``keyword``, ``label``) and the gram lengths in use; a keyword under the gram that fewest texts hold."""
     sizes = sorted(r["s"] for r in rules.select(F.least(F.length("keyword"), F.lit(gram_size)).alias("s")).distinct().collect())
@@ -77,7 +71,7 @@ def _index(rules: DataFrame, texts: DataFrame, gram_size: int) -> tuple[DataFram
     spread = per_size[0]
     for more in per_size[1:]:
         spread = spread.unionByName(more)
-    spread = _stored(spread, "keyword-grams")
+    spread = stored(spread, "keyword-grams")
     passes = _passes(_gram_bits(spread))
     held = texts.select(F.explode(F.filter(all_grams(F.col("text"), sizes), passes)).alias("gram")).groupBy("gram").agg(F.count("*").alias("texts"))
     counted = spread.join(held, "gram", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
@@ -99,14 +93,14 @@ def first_labels(df: DataFrame, text_col: str, rules: DataFrame, out_col: str =
     rows = df.withColumn(key, F.unhex(F.md5(name)))
     if rules.isEmpty():
         return df.withColumn(out_col, F.lit(default).cast("string"))
-    texts = _stored(rows.where(name.isNotNull()).select(key, name.alias("text")).dropDuplicates([key]), "keyword-texts")
+    texts = stored(rows.where(name.isNotNull()).select(key, name.alias("text")).dropDuplicates([key]), "keyword-texts")
     index, sizes = _index(rules, texts, gram_size)
-    index = _stored(index, "keyword-index")
+    index = stored(index, "keyword-index")
     passes = _passes(_gram_bits(index))
     cut = texts.select(key, F.explode(F.filter(all_grams(F.col("text"), sizes), passes)).alias("gram"))
     possible = cut.join(index, "gram").drop("gram")
     held = texts.join(possible, key).where(F.contains("text", "keyword"))
     best = held.groupBy(key).agg(F.min_by("label", F.struct("priority", "keyword", F.coalesce("label", F.lit("")))).alias("_label"), F.lit(True).alias("_held"))
-    best = _stored(best, "keyword-labels")
+    best = stored(best, "keyword-labels")
     out = rows.join(best, key, "left").withColumn(out_col, F.when(F.col("_held"), F.col("_label")).otherwise(F.lit(default)))
     return out.drop(key, "_label", "_held")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.operators.vectors import tokens
-from sheaf.session import scratch_path
+from sheaf.session import stored
 
 #: Counters of hashed words (half a megabyte in every task, whatever the data).
 COUNTERS = 1 << 16
@@ -99,12 +99,6 @@ def _prefixes(share: float, counters):
     return run
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def link_questions(asked: DataFrame, known: DataFrame, share: float = 0.2, asked_question: str = "question", known_id: str = "id",
                    known_question: str = "question") -> DataFrame:
     """(``key``, ``known_id``, ``distance``): the closest known question of every asked class that has one.
@@ -124,7 +118,7 @@ def link_questions(asked: DataFrame, known: DataFrame, share: float = 0.2, asked
     kind = known.schema[known_id].dataType
     both = side(asked, asked_question, F.lit(None).cast(kind)).unionByName(side(known.where(F.col(known_id).isNotNull()), known_question, F.col(known_id)))
     classes = both.where("key IS NOT NULL").groupBy("key").agg(F.first("words").alias("words"), F.min("known_id").alias("known_id"), F.max("asked").alias("asked"))
-    classes = _stored(classes, "question-classes").withColumn("known", F.col("known_id").isNotNull())
+    classes = stored(classes, "question-classes").withColumn("known", F.col("known_id").isNotNull())
     same = classes.where("asked AND known").select("key", "known_id", F.lit(0).alias("distance"))
 
     hashes = F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 63) - 1)))
@@ -134,7 +128,7 @@ def link_questions(asked: DataFrame, known: DataFrame, share: float = 0.2, asked
         counts[r["bucket"]] = r["count"]
     counters = spark.sparkContext.broadcast(counts)
     prefixes = hashed.mapInArrow(_prefixes(share, counters), "key binary, n int, asked boolean, known boolean, word long")
-    prefixes = _stored(prefixes, "question-prefixes")  # read from both sides of the join
+    prefixes = stored(prefixes, "question-prefixes")  # read from both sides of the join
     left = prefixes.where("asked AND NOT known").select("word", "key", "n")
     right = prefixes.where("known").select("word", F.col("key").alias("known_key"), F.col("n").alias("m"))
     near = F.abs(F.col("n") - F.col("m")) <= edit_budget(share, F.greatest("n", "m"))

@@ -40,10 +40,13 @@ def instruction_stats(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return G.per_entity_counts(records), G.average_per_entity(records)
 
 
-def augment_records(records: DataFrame, order_by: Sequence, out_path: str | None = None,
+def augment_records(records: DataFrame, order_by: Sequence | None = None, out_path: str | None = None,
                     fix: bool = False) -> DataFrame:
-    """JOB2: positions -> SET2 (original, rephrased, Q&A of the first 100, negatives) -> SRT2 (-> JSONL)."""
-    positioned = with_position(records, order_by, "rec_pos")
+    """JOB2: SET2 (original, rephrased, Q&A of all records, negatives) -> SRT2 (-> JSONL).
+
+    ``order_by`` numbers the records (WIN1); without it they carry their ``rec_pos`` already.
+    """
+    positioned = with_position(records, order_by, "rec_pos") if order_by else records
     shuffled = A.seeded_shuffle(A.augment(positioned, fix=fix))
     if out_path:
         R.write_jsonl(shuffled.select("instruction", "input", "output", "meta"), out_path)
@@ -56,16 +59,25 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
 
 
-def knowledge_base(records: DataFrame, order_by: Sequence, out_path: str | None = None,
-                   groups=D.DOC_CATEGORIES, dim: int = 64) -> DataFrame:
-    """JOB3: WIN1 -> FLT1 -> PRJ7-8 -> CLS1 -> VEC1-2 (-> SNK4 Parquet collection)."""
-    docs = DOCS.build_documents(records, order_by=order_by, groups=groups)
-    coll = V.add_hashed_embedding(docs, "page_content", "embedding", dim=dim)
-    if out_path:
-        observed, obs = counted(coll, "indexed")
-        R.write_collection(observed, out_path)
-        print(f"indexed {obs.get['rows']} documents")       # the job's report line
-    return coll
+def knowledge_base(records: DataFrame, order_by: Sequence | None = None, groups=D.DOC_CATEGORIES, dim: int = 64) -> DataFrame:
+    """JOB3: WIN1 -> FLT1 -> PRJ7-8 -> CLS1 -> VEC1-2. Without ``order_by`` the records carry their ``line`` (``readers.numbered_lines``)."""
+    docs = DOCS.build_documents(records, order_by=order_by, groups=groups, index_col=None if order_by else "line")
+    return V.add_hashed_embedding(docs, "page_content", "embedding", dim=dim)
+
+
+def store_knowledge_base(collection: DataFrame, path: str, mode: str = "append") -> int:
+    """JOB3 -> SNK4: documents into the collection at ``path``; returns how many were indexed (AGG7).
+
+    Ids come from the content, so the same input again adds nothing.
+    """
+    observed, obs = counted(collection, "indexed")
+    R.write_collection(observed, path, mode)
+    return obs.get["rows"]
+
+
+def knowledge_base_files(spark: SparkSession, paths: Sequence[str], groups=D.DOC_CATEGORIES, dim: int = 64) -> DataFrame:
+    """JOB3 from JSONL files, all but the first optional: documents are numbered in the order of files and lines."""
+    return knowledge_base(R.numbered_lines(spark, paths), groups=groups, dim=dim)
 
 
 def category_report(collection: DataFrame) -> DataFrame:

@@ -857,3 +857,25 @@ rules AS (SELECT keyword, CAST('0x' || substr(md5(keyword), 1, 12) AS BIGINT) AS
 t AS (SELECT DISTINCT lower(text) AS text FROM conversations WHERE text IS NOT NULL),
 best AS (SELECT text, arg_min('L' || priority % 97, struct_pack(priority, keyword)) AS label FROM t JOIN rules ON contains(text, keyword) GROUP BY text)
 SELECT conv_id, turn, coalesce(label, 'none') AS label FROM conversations c LEFT JOIN best ON best.text = lower(c.text)"""
+
+ORACLE["kb_totals"] = f"""
+WITH {RECORDS_CTE}
+SELECT CAST(3 * count(*) AS BIGINT) AS indexed, count(*) AS held, 3 AS versions FROM docs"""
+
+ORACLE["kb_from_jsonl"] = "WITH " + RECORDS_CTE.split("indexed AS")[0].strip().rstrip(",") + f""",
+lines AS (
+  SELECT 0 AS part, conv_id AS a, turn AS b, instruction, input, output, meta_millet_name AS millet_name, '' AS millet_id, 'conversations' AS source FROM records
+  UNION ALL
+  SELECT 1, item_id, 0, text, '', CASE WHEN item_id % 4 = 0 THEN '' ELSE substr(text, 1, 40) END, 'Unknown', CAST(item_id AS VARCHAR), {q(dict(D.DOC_META_DEFAULTS)['source'])} FROM benchmark),
+indexed AS (
+  SELECT row_number() OVER (ORDER BY part, a, b) - 1 AS doc_index, {py_strip('instruction')} AS instruction, {py_strip('input')} AS input,
+         {py_strip('output')} AS output, millet_name, millet_id, source FROM lines)
+SELECT doc_index, 'Question: ' || instruction || chr(10) || CASE WHEN input <> '' THEN 'Context: ' || input || chr(10) ELSE '' END || chr(10) || 'Answer: ' || output AS page_content,
+       millet_id, millet_name, source, {case_groups('lower(instruction)', B.CORPUS_CATEGORIES, D.DOC_CATEGORY_DEFAULT)} AS category
+FROM indexed WHERE output <> ''"""
+
+ORACLE["collection_upsert"] = """
+WITH d AS (SELECT doc_id, lang, substr(text, 1, 80) AS head, doc_id % 7 = 0 AS again FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, CASE WHEN again OR doc_id % 6 <> 0 THEN lang END AS lang,
+       CASE WHEN again OR doc_id % 6 = 0 THEN head WHEN doc_id % 3 = 0 THEN 'new: ' || head WHEN doc_id % 5 = 0 THEN 'NOT TAKEN' ELSE head END AS head
+FROM d WHERE doc_id % 7 <> 0 OR doc_id % 70 = 0"""

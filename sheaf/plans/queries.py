@@ -18,7 +18,7 @@ from sheaf.operators import augment as aug_ops
 from sheaf.operators import generate as gen_ops
 from sheaf.operators import evaluate as eval_ops
 from sheaf.operators import postprocess as post_ops
-from sheaf.sources import readers
+from sheaf.sources import collection, readers
 from sheaf.streaming import routes as streams
 from sheaf.session import scratch_path
 from sheaf.operators import prompts as prompt_ops
@@ -308,10 +308,52 @@ def similar_docs_q(spark, sf_dir):
 def stored_collection(spark, sf_dir):
     """JOB3 + SNK4 + SRC9: the conversation knowledge base with vectors, written to the shared folder and opened."""
     path = scratch_path(spark, "collection")
-    jobs.knowledge_base(B.instruction_records(spark, sf_dir), B.RECORD_ORDER, path, groups=B.CORPUS_CATEGORIES)
+    kb = jobs.knowledge_base(B.instruction_records(spark, sf_dir), B.RECORD_ORDER, groups=B.CORPUS_CATEGORIES)
+    jobs.store_knowledge_base(kb, path)
     return readers.open_collection(spark, path)
 
 
+@query("kb_totals")
+def kb_totals_q(spark, sf_dir):
+    """AGG7 SNK4: documents indexed by three builds of one input into one collection, and what the collection then holds."""
+    path = scratch_path(spark, "collection")
+    kb = jobs.knowledge_base(B.instruction_records(spark, sf_dir), B.RECORD_ORDER, groups=B.CORPUS_CATEGORIES).drop("embedding")
+    indexed = [jobs.store_knowledge_base(kb, path, mode) for mode in ("append", "append", "replace")]
+    held = readers.open_collection(spark, path).agg(F.count(F.lit(1)).alias("held"))
+    return held.select(F.lit(sum(indexed)).cast("long").alias("indexed"), "held", F.lit(len(collection.versions(spark, path))).alias("versions"))
+
+
+@query("kb_from_jsonl")
+def kb_from_jsonl_q(spark, sf_dir):
+    """JOB3 SRC2 SRC6 WIN1: the knowledge base of two JSONL files (a third is missing), numbered in file order; broken lines do not count."""
+    first, second, none = (scratch_path(spark, n) for n in ("records.jsonl", "benchmark.jsonl", "missing.jsonl"))
+    as_line = F.to_json(F.struct("instruction", "input", "output", "meta"))
+    records = B.instruction_records(spark, sf_dir).withColumn("line", as_line)
+    broken = F.when(F.col("turn") % 3 == 0, F.array(F.col("line"), F.lit("{broken"), F.lit(""))).otherwise(F.array("line"))
+    records.orderBy(*B.RECORD_ORDER).select(F.explode(broken).alias("value")).write.text(first)
+    items = B.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("instruction"), F.lit("").alias("input"),
+                                                       F.when(F.col("item_id") % 4 == 0, "").otherwise(F.substring("text", 1, 40)).alias("output"),
+                                                       F.create_map(F.lit("millet_id"), F.col("item_id").cast("string")).alias("meta"))
+    items.withColumn("value", as_line).orderBy("item_id").select("value").write.text(second)
+    kb = jobs.knowledge_base_files(spark, [first, none, second], groups=B.CORPUS_CATEGORIES)
+    return kb.select("doc_index", "page_content", "millet_id", "millet_name", "source", "category")
+
+
+@query("collection_upsert")
+def collection_upsert_q(spark, sf_dir):
+    """SNK4 SRC9: documents appended, appended again, replaced by id, deleted and compacted; the rows of the last version."""
+    path = scratch_path(spark, "versions")
+    rows = B.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), "doc_id", "lang", F.substring("text", 1, 80).alias("head"))
+    k = F.col("doc_id")
+    for mode, some in (("append", rows.where(k % 5 != 0)), ("append", rows.where(k % 5 != 1).withColumn("head", F.upper(F.lit("not taken")))),
+                       ("upsert", rows.where(k % 3 == 0).withColumn("head", F.concat(F.lit("new: "), "head"))), ("upsert", rows.where(k % 6 == 0).withColumn("lang", F.lit(None).cast("string")))):
+        collection.save(some, path, mode, id_col="key")
+    collection.delete(spark, path, rows.where(k % 7 == 0), id_col="key")
+    collection.compact(spark, path)
+    collection.save(rows.where(k % 70 == 0), path, "append", id_col="key")
+    return readers.open_collection(spark, path).select("id", "doc_id", "lang", "head")
+
+
 @query("kb_probe")
 def kb_probe_q(spark, sf_dir):
     """JOB3 SNK4 SRC9 SRC11 VEC6 AGG7: the probe questions against the stored collection."""

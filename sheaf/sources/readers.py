@@ -7,14 +7,15 @@ read through the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.rules import defaults as D
 from sheaf.rules.dialect import java_pattern
+from sheaf.sources import collection
 
 # pandas' default NA tokens that matter for text columns
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -103,6 +104,28 @@ def read_jsonl_strict(spark: SparkSession, path: str, schema: T.StructType = REC
     return _fields(_parsed(lines, schema).where(F.when(_broken() | ~_not_blank(), wrong).otherwise(True)), schema)
 
 
+def numbered_lines(spark: SparkSession, paths: Sequence[str], name: str = "line",
+                   reader: Callable[..., DataFrame] = read_jsonl_tolerant) -> DataFrame:
+    """SRC6 / WIN1: the records of several JSONL files, numbered from 0 in the order of files and lines.
+
+    All but the first file are optional. A folder counts as its files in the order of their names. What ``reader``
+    skips is not numbered. Two scans and no shuffle: the first counts the records of every file split, the second adds
+    what lies before its split to a record's place in it. Only the counts, one row a split, are sorted and broadcast.
+    """
+    out = None
+    for source, path in enumerate(paths):
+        if source == 0 or _exists(spark, path):
+            # made after the reader's filter, so the records of a split have ids without gaps
+            part = reader(spark, path, line_order=True).select("*", F.monotonically_increasing_id().alias("_at"), F.lit(source).alias("_source")).drop("_seq")
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    split = ["_source", "_file", "_start"]
+    sizes = out.groupBy(*split).agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first"))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*split, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    placed = out.join(F.broadcast(offsets), split).withColumn(name, F.col("_offset") + F.col("_at"))
+    return placed.drop("_file", "_start", "_at", "_offset")
+
+
 def read_json_dataset(spark: SparkSession, path: str, schema=RECORD_SCHEMA) -> DataFrame:
     """SRC5: JSON lines with a declared schema."""
     return spark.read.schema(schema).json(path)
@@ -148,11 +171,9 @@ def read_eval_set(spark: SparkSession, path: str, schema: str = EVAL_SCHEMA) ->
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def open_collection(spark: SparkSession, path: str) -> DataFrame:
-    """SRC9: a persisted vector collection; a missing directory raises with a hint."""
-    if not _exists(spark, path):
-        raise FileNotFoundError(f"Vector collection not found at {path}; build it first (write_collection)")
-    return spark.read.parquet(path)
+def open_collection(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """SRC9: the rows of a persisted vector collection; a missing one raises with a hint."""
+    return collection.open_version(spark, path, version)
 
 
 def probe_queries(spark: SparkSession) -> DataFrame:
@@ -184,6 +205,6 @@ def write_json_arrays(df: DataFrame, path: str, mode: str = "overwrite") -> None
     lines.mapInArrow(_as_array, "value string").write.mode(mode).text(path)
 
 
-def write_collection(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """SNK4: text + vector + metadata as a Parquet table (overwrites, unlike the original's append)."""
-    docs.write.mode(mode).parquet(path)
+def write_collection(docs: DataFrame, path: str, mode: str = "replace", id_col: str | None = None) -> int:
+    """SNK4: text + vector + metadata into a versioned collection; see ``collection.save`` for ``mode``."""
+    return collection.save(docs, path, mode, id_col)

@@ -13,9 +13,10 @@ from sheaf.sources import readers as R
 def test_knowledge_base_collection_and_probe(spark):
     recs = B.instruction_records(spark, SF_SMOKE)
     path = scratch_path(spark, "kb")
-    coll = J.knowledge_base(recs, B.RECORD_ORDER, out_path=path, groups=B.CORPUS_CATEGORIES)
+    coll = J.knowledge_base(recs, B.RECORD_ORDER, groups=B.CORPUS_CATEGORIES)
+    total = J.store_knowledge_base(coll, path)
     back = R.open_collection(spark, path)
-    assert back.count() == coll.count() > 0
+    assert back.count() == coll.count() == total > 0
     assert set(back.columns) >= {"doc_index", "page_content", "category", "embedding"}
     hits = J.probe(spark, back)
     assert hits.groupBy("qid").count().select(F.max("count")).first()[0] == 3
@@ -52,6 +53,8 @@ def test_instruction_and_augment_jobs(spark):
     per_name, avg = J.instruction_stats(recs)
     assert avg.first().total == recs.count()
     aug = J.augment_records(recs, ["part", "entity_pos", "item"])
+    numbered = recs.withColumn("rec_pos", F.col("entity_pos") * 1000 + F.col("item") + F.col("part") * 10**6)
+    assert J.augment_records(numbered).count() == aug.count()
     counts = aug.groupBy("origin").count().collect()
     assert {r.origin for r in counts} == {"original", "rephrased", "qa", "negative"}
 

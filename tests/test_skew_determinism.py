@@ -38,3 +38,34 @@ def test_records_exact_with_a_hot_conversation(spark):
         want[(r.conv_id, r.turn)] = (r.text, sysr.text.iloc[0] if len(sysr) else "",
                                      nxt.text.iloc[0] if len(nxt) else "")
     assert got == want
+
+
+def test_positions_store_nothing_and_take_nulls_ties_and_composite_keys(spark):
+    rng = pd.Series(range(3000)).sample(frac=1, random_state=1)
+    rows = [(None if v % 10 == 0 else f"k{v % 37}", v % 11 if v % 13 else None, int(v)) for v in rng]
+    df = spark.createDataFrame(rows, "a string, b long, v long")
+    want = sorted(rows, key=lambda r: ((r[0] is not None, r[0] or ""), (r[1] is not None, r[1] or 0), r[2]))
+    for ranges in (1, 3, 40):
+        placed = with_position(df, ["a", "b", "v"], "pos", num_partitions=ranges, start=("begin", F.col("v") % 4))
+        got = sorted((r.pos, r.v, r.begin) for r in placed.collect())
+        assert [g[0] for g in got] == list(range(3000)) and [g[1] for g in got] == [w[2] for w in want]
+        total = 0
+        for _, v, begin in got:
+            assert begin == total
+            total += v % 4
+    ties = with_position(df.withColumn("one", F.lit(1)), ["one"], "pos", num_partitions=5)
+    assert sorted(r.pos for r in ties.collect()) == list(range(3000))
+    assert with_position(df.limit(0), ["a"], "pos").collect() == []
+
+
+def test_numbering_writes_no_texts(spark, tmp_path):
+    from sheaf.plans.queries import knowledge_docs
+    from sheaf.session import shared_dir
+    from conftest import SF_SMOKE
+
+    def files():
+        return {os.path.join(d, f) for d, _, names in os.walk(shared_dir(spark)) for f in names}
+
+    before = files()
+    assert knowledge_docs(spark, SF_SMOKE).count() > 0
+    assert files() == before

@@ -53,6 +53,27 @@ def test_jsonl_line_order(spark):
     assert [r.instruction for r in rows] == [f"q{i}" for i in range(500)]
 
 
+def test_lines_of_files_are_numbered_in_order(spark):
+    """Files of many splits, one of them missing; broken and blank lines take no number."""
+    base = scratch_path(spark, "numbered")
+    want = []
+    for name, n in (("a", 4000), ("b", 1500)):
+        lines = []
+        for i in range(n):
+            lines += [json.dumps({"instruction": f"{name}{i}", "output": "x" * (i % 50)})] + ["{broken", ""] * (i % 7 == 0)
+            want.append(f"{name}{i}")
+        _write_text(f"{base}/{name}/part-0.jsonl", lines)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = R.numbered_lines(spark, [f"{base}/a", f"{base}/none", f"{base}/b"])
+        assert got.rdd.getNumPartitions() > 10
+        assert [(r.line, r.instruction) for r in got.orderBy("line").collect()] == list(enumerate(want))
+        assert [r["_source"] for r in got.orderBy("line").collect()] == [0] * 4000 + [2] * 1500
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_entity_csv_by_header_name(spark):
     path = scratch_path(spark, "csv-few") + "/e.csv"
     _write_text(path, ["extra,Millet Name,Millet ID,Recipes", "x,Ragi,7,NA"])
