@@ -879,3 +879,7 @@ WITH d AS (SELECT doc_id, lang, substr(text, 1, 80) AS head, doc_id % 7 = 0 AS a
 SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, CASE WHEN again OR doc_id % 6 <> 0 THEN lang END AS lang,
        CASE WHEN again OR doc_id % 6 = 0 THEN head WHEN doc_id % 3 = 0 THEN 'new: ' || head WHEN doc_id % 5 = 0 THEN 'NOT TAKEN' ELSE head END AS head
 FROM d WHERE doc_id % 7 <> 0 OR doc_id % 70 = 0"""
+
+ORACLE["csv_line_breaks"] = f"""WITH {ENTITY_CTE}
+SELECT millet_name, 'first "line", of ' || millet_id || chr(10) || 'second' || chr(10) || chr(10) || '"last"' AS millet_description, millet_id,
+       NULLIF(nutritional_profile, '') AS nutritional_profile FROM ent_raw"""

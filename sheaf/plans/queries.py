@@ -476,6 +476,17 @@ def csv_entities_q(spark, sf_dir):
     return readers.read_entity_csv(spark, path).select(*names)
 
 
+@query("csv_line_breaks")
+def csv_line_breaks_q(spark, sf_dir):
+    """SRC1: entities whose quoted fields hold line breaks, quotes and separators, read by several tasks a file."""
+    headers = {name: header for header, name in D.ENTITY_COLUMNS}
+    path = scratch_path(spark, "entities-lines-csv")
+    note = F.concat(F.lit('first "line", of '), F.col("millet_id"), F.lit("\nsecond\n\n\"last\""))
+    rows = B.entities(spark, sf_dir).select("millet_name", note.alias("millet_description"), "millet_id", "nutritional_profile")
+    rows.select(*[F.col(c).alias(headers[c]) for c in rows.columns]).coalesce(1).write.csv(path, header=True, escape='"', quoteAll=True)
+    return readers.read_entity_csv(spark, path, multi_line=True).select(*rows.columns)
+
+
 @query("stream_routing")
 def stream_routing_q(spark, sf_dir):
     """STR1: conversation requests streamed from Parquet files through the routing projection."""

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from sheaf.rules import defaults as D
 from sheaf.rules.dialect import java_pattern
-from sheaf.sources import collection
+from sheaf.sources import collection, quoted
 
 # pandas' default NA tokens that matter for text columns
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -40,10 +40,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_entity_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """SRC1: entity CSV by header name, every column a nullable string, NA tokens -> null, columns renamed.
 
-    Columns may come in any order; absent ones are null, others are ignored. Files are split among tasks
-    unless ``multi_line`` says that quoted fields hold line breaks.
+    Columns may come in any order; absent ones are null, others are ignored. Files are split among tasks, also where
+    ``multi_line`` says that quoted fields hold line breaks (``sources.quoted``).
     """
-    df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', inferSchema=False)
+    df = quoted.read_csv(spark, path) if multi_line else spark.read.csv(path, header=True, escape='"', inferSchema=False)
     have = set(df.columns)
     cols = []
     for header, name in D.ENTITY_COLUMNS:

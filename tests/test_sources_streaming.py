@@ -74,6 +74,42 @@ def test_lines_of_files_are_numbered_in_order(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
+def test_csv_with_line_breaks_by_many_tasks(spark):
+    """Records over lines and splits, in two files of different line ends, as the one-task reader gives them."""
+    import csv
+    import random
+    from sheaf.sources import quoted
+
+    rng, base = random.Random(6), scratch_path(spark, "quoted")
+    os.makedirs(base)
+    want = []
+    for name, end in (("a", "\n"), ("b", "\r\n")):
+        rows = [[str(i), "".join(rng.choice(['x', '"', ',', '\n', 'é', '\n\n', ' ']) for _ in range(rng.randint(1, 60))), rng.choice(["p", "", "q,r"])] for i in range(700)]
+        rows[50][1] = "long\n" * 3000      # over several splits
+        with open(f"{base}/{name}.csv", "w", encoding="utf-8", newline="") as f:
+            w = csv.writer(f, lineterminator=end)
+            w.writerow(["id", "text\nname", "other"])
+            w.writerows(rows)
+            f.write(end)                    # a blank line at the end
+        want += [(name, *r) for r in rows]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        records = quoted.read_records(spark, base)
+        assert records.where("record > 0").count() == 1402 and records.select("file", "record").distinct().count() == records.count()
+        got = quoted.read_csv(spark, base)
+        assert got.columns == ["id", "text\nname", "other"]
+        assert spark.read.text(base).rdd.getNumPartitions() > 10
+        rows = sorted((r[0], r[1] or "", r[2] or "") for r in got.collect())
+        assert rows == sorted((r[1], r[2], r[3]) for r in want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    with open(f"{base}/c.csv", "w") as f:
+        f.write('id,x\n1,"open\n2,y\n')
+    with pytest.raises(Exception, match="does not close"):
+        quoted.read_records(spark, base).count()
+
+
 def test_entity_csv_by_header_name(spark):
     path = scratch_path(spark, "csv-few") + "/e.csv"
     _write_text(path, ["extra,Millet Name,Millet ID,Recipes", "x,Ragi,7,NA"])
