@@ -883,3 +883,30 @@ FROM d WHERE doc_id % 7 <> 0 OR doc_id % 70 = 0"""
 ORACLE["csv_line_breaks"] = f"""WITH {ENTITY_CTE}
 SELECT millet_name, 'first "line", of ' || millet_id || chr(10) || 'second' || chr(10) || chr(10) || '"last"' AS millet_description, millet_id,
        NULLIF(nutritional_profile, '') AS nutritional_profile FROM ent_raw"""
+
+
+def _feistel_sql(n_sql: str) -> str:
+    """The network of ``operators.permute`` round by round; the sides are searched in SQL too."""
+    from sheaf.operators.permute import PRIME, Permutation
+
+    keys = ", ".join(f"({k}, {k % 2 == 0}, {', '.join(map(str, key))})" for k, key in enumerate(Permutation(4, D.SHUFFLE_SEED).keys))
+    best = "struct_pack(above := a * ((n + a - 1) // a) - n, later := -a)"
+    return f"""
+size AS ({n_sql}),
+sides AS (SELECT arg_min(a, {best}) AS a, arg_min((n + a - 1) // a, {best}) AS b
+          FROM size, unnest(range(greatest(1, CAST(floor(sqrt(n)) AS BIGINT) // 2 + 1, CAST(floor(sqrt(n)) AS BIGINT) - 199999), CAST(floor(sqrt(n)) AS BIGINT) + 1)) t(a)),
+keys(k, on_left, p, q, r, s) AS (VALUES {keys}),
+halves AS (
+  SELECT x, 0 AS k, x // b AS lft, x % b AS rgt FROM (SELECT unnest(range(0, a * b)) AS x, b FROM sides)
+  UNION ALL
+  SELECT x, k + 1, CASE WHEN on_left THEN (lft + xor(u, u >> 13)) % a ELSE lft END, CASE WHEN on_left THEN rgt ELSE (rgt + xor(u, u >> 13)) % b END
+  FROM (SELECT *, (xor(t, t >> 15) * r + s) % {PRIME} AS u
+        FROM (SELECT h.x, h.k, lft, rgt, on_left, r, s, (CASE WHEN on_left THEN rgt ELSE lft END % {PRIME} * p + q) % {PRIME} AS t
+              FROM halves h JOIN keys ON keys.k = h.k)), sides),
+step AS (SELECT x, lft * b + rgt AS y FROM halves, sides WHERE k = (SELECT count(*) FROM keys)),
+ends AS (SELECT x, y, 0 AS k FROM step UNION ALL SELECT e.x, s.y, k + 1 FROM ends e JOIN step s ON s.x = e.y, size WHERE e.y >= n)"""
+
+
+ORACLE["permuted_orders"] = "WITH RECURSIVE " + _feistel_sql("SELECT greatest(1, count(*)) AS n FROM orders").strip() + """
+SELECT o_orderkey, pos, y AS place, pos AS back
+FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) JOIN ends ON x = pos, size WHERE y < n"""

@@ -31,6 +31,7 @@ from sheaf.operators import quantised as Q
 from sheaf.operators import training as train_ops
 from sheaf.functions import route as RT
 from sheaf.rules import defaults as D
+from sheaf.operators.permute import Permutation
 from sheaf.operators.positions import with_position
 from sheaf.operators.partitioning import spread
 from sheaf.plans import bindings as B
@@ -160,6 +161,14 @@ def seeded_shuffle_q(spark, sf_dir):
     return aug_ops.seeded_shuffle(augmented(spark, sf_dir)).select(*AUG_COLS, meta_string().alias("meta"))
 
 
+@query("permuted_orders")
+def permuted_orders_q(spark, sf_dir):
+    """SRT2 WIN1: every order's place under a keyed permutation of the positions, and the position found back from the place."""
+    orders = with_position(B.table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], "pos")
+    p = Permutation(max(1, B.table(spark, sf_dir, "orders").count()), D.SHUFFLE_SEED)
+    return orders.withColumn("place", p.place(F.col("pos"))).withColumn("back", p.inverse(F.col("place")))
+
+
 @query("pref_pairs")
 def pref_pairs_q(spark, sf_dir):
     """PRF1-3 FLT3 over the augmented set."""
