@@ -12,8 +12,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(``node``, ``root``) for every node that an edge touches; ``root`` is the smallest node reachable.
 
     Each step joins a node's neighbours with the smallest of them, so a node with many neighbours costs a
-    partial minimum and a join that can be split, and no neighbourhood is gathered into one task. Rounds are
-    cut by tables on shared storage; the number of rounds grows with the logarithm of the longest path.
+    partial minimum and a join that can be split (of two written tables: an aggregate beside it would prevent
+    that), and no neighbourhood is gathered into one task. Rounds are cut by tables on shared storage; the number of rounds grows with the logarithm of the longest path.
     Self loops and repeated edges change nothing; an empty table gives an empty one.
     """
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
@@ -24,9 +24,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         now = written(small.where("u <> v").distinct(), "edges")

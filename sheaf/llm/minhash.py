@@ -154,7 +154,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("_id").alias("rep"), F.first("bands").alias("bands")).where("rep is not null")
     members = written(classes.select("rep", "n", F.posexplode("bands").alias("band", "key")), "bands")
     buckets = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("center"), F.max("rep").alias("last")).where("center.rep <> last")
-    shared = written(members.join(buckets.select("key", "center"), "key"), "buckets")
+    buckets = written(buckets.select("key", "center"), "centers")  # a plain table, so that a hot key's join can be split
+    shared = written(members.join(buckets, "key"), "buckets")
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  no other sizes can reach the similarity
     stars = written(
         shared.where((F.col("rep") != F.col("center.rep")) & alike(F.col("n"), F.col("center.n")))
@@ -169,7 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(confirmed(stars, sets, percent), "links")
     roots = components(links)
     placed = shared.join(roots, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    mixed = written(placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key"), "mixed")
     open_ = written(placed.join(mixed, "key"), "open")
     sketches = sets.join(open_.select("rep").distinct(), "rep").mapInArrow(_sketches, "rep long, sketch array<long>")
     sketches = written(sketches.join(classes.select("rep", "bands"), "rep"), "sketches")

@@ -11,7 +11,6 @@ size leaves about one sequence unfilled, so the loss does not grow in proportion
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,6 +19,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +28,9 @@ from sheaf.llm.common import written
 GROUP = 20_000
 #: Word ids that one worker remembers; beyond it the memory is emptied.
 MEMO = 600_000
-_ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
+#: White space at an end of a text, two in a row, or any but a space and a line feed (all that Python's ``isspace`` holds).
+_SPACE = r"\t\n\v\f\r\x1c-\x1f\x{85}\p{Z}"
+_ODD_SPACE = rf"\A[{_SPACE}]|[{_SPACE}]\z|[{_SPACE}][{_SPACE}]|[\t\v\f\r\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]"
 
 
 @dataclass(frozen=True)
@@ -92,8 +94,18 @@ class WordTokens:
         ends = [*(4 * first[1:]).tolist(), len(flat)]
         memo.update(zip(new, [flat[a + skip : b] for a, b in zip((4 * first).tolist(), ends)]))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if not t or t[0].isspace() or t[-1].isspace() or _ODD_SPACE.search(t) or any(x in t for x in self.added) else [x.split(" ") for x in t.split("\n")] for t in texts]
+    def whole(self, column: pa.Array) -> list[bool]:
+        """Which texts are encoded whole: tested on the column at once, as most texts need no other look."""
+        odd = pc.match_substring_regex(column, _ODD_SPACE)
+        for name in self.added:
+            odd = pc.or_(odd, pc.match_substring(column, name))
+        return pc.or_(odd, pc.equal(column, "")).to_pylist()
+
+    def __call__(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Token ids of texts, none of them null."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = column.to_pylist()
+        split = [None if whole else [x.split(" ") for x in t.split("\n")] for t, whole in zip(texts, self.whole(column))]
         self.learn(self.plain, {x[0] for lines in split if lines for x in lines}, "\n")
         self.learn(self.spaced, {w for lines in split if lines for x in lines for w in x[1:]}, " ")
         plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
@@ -120,7 +132,7 @@ def _cut(tokenizer: str, end: int, size: int, keep: bool):
             texts = batch.column("_text")
             for lo in range(0, len(texts), 256):
                 rows: list[tuple] = []
-                encoded = tokens([t or "" for t in texts.slice(lo, 256).to_pylist()])
+                encoded = tokens(pc.fill_null(texts.slice(lo, 256), ""))
                 for doc, ids in zip(batch.column("_id").slice(lo, 256).to_pylist(), encoded):
                     ids += tail
                     n = len(ids) // 4

@@ -137,7 +137,8 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     """(``_id``, ``_h``, ``start``, ``count``): ``count`` windows from word ``start`` on occur elsewhere too. docs: see doc_columns."""
     key = "_id long, _h int"
     found = docs.mapInArrow(_anchor_rows(length), f"{key}, h long, left long, right long, context long, start int, count int, split int")
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
+    # written first: a join of two plain tables can be split where one anchor holds many rows
+    often = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "often")
     alive = written(found.join(often, "h"), "anchors")
     # level 9: runs by their whole context; only contexts that differ within an anchor need their windows compared
     place = ["_id", "_h", "start", "count", "split", "left", "right"]
@@ -156,7 +157,7 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     half = written(half, "halves")
     alive = half.join(half.groupBy("side", "hash").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("side", "hash"), ["side", "hash"])
     # level 35: the windows themselves
-    per_doc = alive.groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "count", "n")).alias("runs"))
+    per_doc = alive.groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "count", "n")).alias("runs"))  # one row a context, so no copies
     joined = per_doc.join(docs, same_row(per_doc, docs)).select(docs["_id"], docs["_h"], "_text", "runs")
     made = written(joined.mapInArrow(_window_rows(length), f"{key}, start int, n long, w1 long, w2 long"), "windows")
     again = made.groupBy("w1", "w2").agg(F.sum("n").alias("k")).where("k > 1").select("w1", "w2")
@@ -177,6 +178,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     d = doc_columns(docs, id_col, text_col)
     found = repeated_runs(d, length)
-    per_doc = found.groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
+    # repeated rows have the same runs: each is kept once, or every copy would get those of all copies
+    per_doc = found.distinct().groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
     joined = d.join(per_doc, same_row(d, per_doc), "left").select(d["_id"], "_text", "runs")
     return joined.mapInArrow(_removal(length), "doc_id long, n_words long, n_removed long, kept_text string")

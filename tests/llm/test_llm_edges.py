@@ -137,3 +137,21 @@ def test_fingerprint_tree():
     bag = fingerprints.leaves(fingerprints.tree(text))
     assert fingerprints.likeness(bag, bag) == 1.0 == fingerprints.likeness(fingerprints.leaves(fingerprints.tree("")), fingerprints.leaves(fingerprints.tree("")))
     assert len(hashlib.blake2b(b"", digest_size=16).hexdigest()) == len(a.partition(":")[0])
+
+
+def test_many_repeated_rows_take_no_more_than_distinct_ones(spark):
+    """Rows of one id and text: their removal runs are kept once, so the work does not grow with their square."""
+    import time
+
+    from pyspark.sql import functions as F
+    from sheaf.llm.substrings import remove_repeats
+
+    text = " ".join(f"w{k}" for k in range(60))
+    took = []
+    for ids in (F.col("id"), F.lit(7)):
+        rows = spark.range(6000).select(ids.cast("long").alias("doc_id"), F.lit(text).alias("text"))
+        began = time.time()
+        got = remove_repeats(rows).groupBy("n_words", "n_removed").count().collect()
+        took.append(time.time() - began)
+        assert [tuple(r) for r in got] == [(60, 60, 6000)]
+    assert took[1] < 2 * took[0] + 2
