@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.text import col_or_lit, render, safe_get, ustrip
+from sheaf.functions.text import col_or_lit, let, render, safe_get, ustrip
 from sheaf.operators.positions import with_position
 from sheaf.session import stored
 from sheaf.rules import defaults as D
@@ -34,15 +34,6 @@ def safe_entities(ent: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return ent.select(*cols)
 
 
-def let(value: Column, fn) -> Column:
-    """Evaluate ``value`` once and pass it to ``fn`` as a lambda variable.
-
-    An expression referenced inside a higher-order-function lambda is
-    re-evaluated on every invocation; binding it first avoids that.
-    """
-    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, fn)
-
-
 def parse_recipes(c) -> Column:
     """GEN8: ``name: steps | name: steps`` -> ordered array of (name, steps).
 
