@@ -910,3 +910,23 @@ ends AS (SELECT x, y, 0 AS k FROM step UNION ALL SELECT e.x, s.y, k + 1 FROM end
 ORACLE["permuted_orders"] = "WITH RECURSIVE " + _feistel_sql("SELECT greatest(1, count(*)) AS n FROM orders").strip() + """
 SELECT o_orderkey, pos, y AS place, pos AS back
 FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) JOIN ends ON x = pos, size WHERE y < n"""
+
+ORACLE["stream_prompts"] = ORACLE["prompt_assembly"]
+
+ORACLE["length_sketches"] = f"""
+WITH c AS (SELECT len(list_filter(string_split_regex(text, '[{PY_SPACE}]+'), lambda t: t <> '')) AS n FROM conversations WHERE text IS NOT NULL),
+a AS (SELECT count(*) AS n, round(avg(n), 6) AS mean, max(n) AS most FROM c)
+SELECT quantile, a.n, mean, most, TRUE AS rank_kept, TRUE AS names_kept FROM a, (VALUES (CAST(0.5 AS DOUBLE)), (0.9), (0.99)) q(quantile)"""
+
+ORACLE["jsonl_exact_lines"] = ORACLE["json_dataset"] = ORACLE["jsonl_strict"]
+ORACLE["pref_pairs_reused"] = f"SELECT prompt, chosen, rejected FROM ({ORACLE['pref_pairs']})"
+ORACLE["message_rows"] = f"""
+SELECT CAST(request_id AS VARCHAR) AS id, 'ai' AS type, CASE WHEN bad THEN {q(D.ERROR_MESSAGE)} ELSE response END AS content,
+       CASE WHEN bad THEN '' ELSE citations_text END AS citations_text, CASE WHEN bad THEN {D.CONFIDENCE_ON_ERROR} ELSE confidence END AS confidence,
+       CASE WHEN NOT bad THEN thinking END AS thinking, NOT bad AND coalesce(is_complex, FALSE) AS "isComplex"
+FROM (SELECT *, request_id % 5 = 0 AS bad FROM ({ORACLE["response_envelope"]}))"""
+ORACLE["qa_first_records"] = f"WITH {RECS_CTE},\n{FACTS_CTE},\n{QA_CTE}\nSELECT {AUG_COLS} FROM qa_rows WHERE rec_pos < 100"
+ORACLE["own_encoder"] = """
+WITH v AS (SELECT doc_id, [CAST(length(text) AS DOUBLE), length(translate(text, 'ae ', '')), 1.0] AS v FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM v)
+SELECT doc_id, CAST(place AS INTEGER) AS place, round(v[place + 1] / norm, 6) AS value FROM n, range(0, 3) t(place)"""

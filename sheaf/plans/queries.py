@@ -27,6 +27,7 @@ from sheaf.operators import textstages as TS
 from sheaf.operators import requests as req_ops
 from sheaf.operators import vectors as V
 from sheaf.operators import keywords as KW
+from sheaf.operators import profiles as PROF
 from sheaf.operators import quantised as Q
 from sheaf.operators import training as train_ops
 from sheaf.functions import route as RT
@@ -547,3 +548,87 @@ def keyword_labels_q(spark, sf_dir):
     """JOIN3 with a large table: every conversation turn gets the label of the first phrase of the documents that it contains."""
     turns = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower("text").alias("text"))
     return KW.first_labels(turns, "text", B.phrase_rules(spark, sf_dir), default="none").select("conv_id", "turn", "label")
+
+
+@query("stream_prompts")
+def stream_prompts_q(spark, sf_dir):
+    """STR1 with retrieval: requests streamed with replays, each answered once from the stored collection; equals the batch JOB4."""
+    reqs = B.conversation_requests(B.instruction_records(spark, sf_dir))
+    reqs = reqs.withColumn("asked_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("request_id"), F.lit(3000))))
+    src, out, ckpt = (scratch_path(spark, n) for n in ("asked-src", "asked-out", "asked-ckpt"))
+    third = F.pmod(F.xxhash64("request_id"), F.lit(3))
+    for part, again in ((reqs.where(third != 0), reqs.where(third == 1)), (reqs, reqs.where("mode is null"))):
+        part.unionByName(again).coalesce(2).write.mode("append").parquet(src)
+    documents = stored_collection(spark, sf_dir)
+    routed = streams.routed_stream(streams.once(streams.timed_request_stream(spark, src, files_per_batch=2)))
+    streams.start_prompt_builder(routed, documents, out, ckpt, vec_col="embedding").awaitTermination()
+    return spark.read.parquet(out).select("request_id", "is_complex", "complexity_type", "max_tokens", "n_docs", "prompt", "prompt_chars")
+
+
+@query("length_sketches")
+def length_sketches_q(spark, sf_dir):
+    """JOB9 AGG3: sketches stored by shard of conversations and merged: exact totals, and whether quantiles and names keep their bounds."""
+    rows = B.table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", train_ops.whitespace_tokens(F.col("text")).alias("n_tokens"))
+    path = scratch_path(spark, "sketches")
+    for half in (0, 1):      # two builds, the second of new shards only
+        PROF.sketches(rows.where(F.col("conv_id") % 2 == half), F.col("conv_id") % 16, F.col("n_tokens"), F.col("conv_id")).write.mode("append").parquet(path)
+    one = PROF.merged(spark.read.parquet(path)).withColumn("one", F.lit(1))
+    names = rows.agg(F.count_distinct("conv_id").alias("names")).withColumn("one", F.lit(1))
+    lengths = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("c")).withColumn("one", F.lit(1))      # one row a distinct length
+    # both other sides are a single row
+    beside = lengths.join(F.broadcast(one), "one").join(F.broadcast(names), "one").withColumn("q", F.explode("quantiles"))
+    length = F.col("q.length")
+    out = beside.groupBy(F.col("q.quantile").alias("quantile"), "n", F.round("mean", 6).alias("mean"), "most", "distinct", "names").agg(
+        F.sum(F.when(F.col("n_tokens") < length, F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("n_tokens") <= length, F.col("c")).otherwise(0)).alias("upto"))
+    slack = F.lit(PROF.rank_error()) * F.col("n") + 1
+    return out.select("quantile", "n", "mean", "most", (F.col("quantile") * F.col("n")).between(F.col("below") - slack, F.col("upto") + slack).alias("rank_kept"),
+                      (F.abs(F.col("distinct") - F.col("names")) <= F.lit(4 * PROF.distinct_error()) * F.col("names") + 1).alias("names_kept"))
+
+
+@query("jsonl_exact_lines")
+def jsonl_exact_lines_q(spark, sf_dir):
+    """SRC4 SNK2: records as JSON lines read strictly, where a blank line would fail."""
+    path = scratch_path(spark, "exact-jsonl")
+    readers.write_jsonl(B.instruction_records(spark, sf_dir).select("instruction", "input", "output", "meta"), path)
+    back = readers.read_jsonl_strict(spark, path, skip_blank=False)
+    return back.select("instruction", "input", "output", F.element_at("meta", F.lit("millet_name")).alias("meta_millet_name"))
+
+
+@query("json_dataset")
+def json_dataset_q(spark, sf_dir):
+    """SRC5: records as JSON lines read with a declared schema."""
+    path = scratch_path(spark, "dataset-jsonl")
+    readers.write_jsonl(B.instruction_records(spark, sf_dir).select("instruction", "input", "output", "meta"), path)
+    back = readers.read_json_dataset(spark, path)
+    return back.select("instruction", "input", "output", F.element_at("meta", F.lit("millet_name")).alias("meta_millet_name"))
+
+
+@query("pref_pairs_reused")
+def pref_pairs_reused_q(spark, sf_dir):
+    """JOB6 SRC7 SNK3: preference pairs written once; a second call reads the file and builds nothing."""
+    path = scratch_path(spark, "pairs-jsonl")
+    rows = augmented(spark, sf_dir)
+    jobs.preference_set(spark, rows, path)
+    return jobs.preference_set(spark, rows.limit(0), path)
+
+
+@query("message_rows")
+def message_rows_q(spark, sf_dir):
+    """PRJ14: chat rows of all answers, those of failed requests being the fixed error row."""
+    answers = post_ops.respond(gens(spark, sf_dir)).withColumn("status", F.when(F.col("request_id") % 5 == 0, "error").otherwise("done"))
+    return post_ops.message_rows(answers).select("id", "type", "content", F.array_join("citations", " | ").alias("citations_text"), "confidence", "thinking", "isComplex")
+
+
+@query("qa_first_records")
+def qa_first_records_q(spark, sf_dir):
+    """WIN3 GEN15: question-answer pairs of the first 100 records only, as the original has them."""
+    return aug_ops.qa_rows(augment_input(spark, sf_dir), first_n=100).select(*AUG_COLS, meta_string().alias("meta"))
+
+
+@query("own_encoder")
+def own_encoder_q(spark, sf_dir):
+    """UDF2 VEC2: documents encoded by a Column function of the caller instead of the default encoder."""
+    d = B.table(spark, sf_dir, "documents").where("text is not null")
+    letters = lambda c: F.length(F.translate(c, "ae ", "")).cast("double")
+    own = prompt_ops.encode(d, "doc_id", "text", "doc_id", "vec", encoder=lambda c: F.array(F.length(c).cast("double"), letters(c), F.lit(1.0)))
+    return own.select("doc_id", F.posexplode("vec").alias("place", "value")).select("doc_id", "place", F.round("value", 6).alias("value"))

@@ -183,3 +183,19 @@ def test_stream_prompt_builder_foreach_batch(spark):
     batch = PR.assemble_prompts(RQ.route_requests(reqs), docs).select("request_id", "prompt")\
         .orderBy("request_id").collect()
     assert streamed == batch and len(batch) > 0
+
+
+def test_replays_are_answered_once_and_late_requests_not(spark):
+    from pyspark.sql import functions as F
+
+    base = 1_700_000_000
+    batches = [[("a", base), ("b", base + 10), ("a", base + 20)], [("b", base + 30), ("c", base + 9000)],
+               [("c", base + 9100), ("late", base + 100), ("d", base + 8000)]]
+    src, out, ck = (scratch_path(spark, n) for n in ("r-src", "r-out", "r-ck"))
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame([(i, "which is best?", None, None, None, t) for i, t in rows], "request_id string, message string, model_type string, mode string, context string, t long")
+        df.withColumn("asked_at", F.timestamp_seconds("t")).drop("t").coalesce(1).write.mode("append").parquet(src)
+    stream = ST.routed_stream(ST.once(ST.timed_request_stream(spark, src, files_per_batch=1)))
+    ST.start_to_parquet(stream, out, ck).awaitTermination()
+    got = sorted(r.request_id for r in spark.read.parquet(out).collect())
+    assert got == ["a", "b", "c", "d"]      # "late" comes when the watermark has passed its time
