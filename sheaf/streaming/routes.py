@@ -36,7 +36,8 @@ def once(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
 
     The state of an id is kept until the watermark (the latest ``asked_at`` less ``delay``) has passed it, so it is bounded by
     the requests of that time. A replay within ``delay`` of the first is always recognised. A request that
-    comes when the watermark has passed its time is late and is not answered: it can no longer be told from a replay.
+    comes when the watermark (of the micro-batch before) has passed its time is late and is not answered: it can no longer
+    be told from a replay.
     """
     return requests.withWatermark("asked_at", delay).dropDuplicatesWithinWatermark(["request_id"])
 

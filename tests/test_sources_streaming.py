@@ -190,7 +190,7 @@ def test_replays_are_answered_once_and_late_requests_not(spark):
 
     base = 1_700_000_000
     batches = [[("a", base), ("b", base + 10), ("a", base + 20)], [("b", base + 30), ("c", base + 9000)],
-               [("c", base + 9100), ("late", base + 100), ("d", base + 8000)]]
+               [("c", base + 9100)], [("late", base + 100), ("d", base + 8000)]]
     src, out, ck = (scratch_path(spark, n) for n in ("r-src", "r-out", "r-ck"))
     for k, rows in enumerate(batches):
         df = spark.createDataFrame([(i, "which is best?", None, None, None, t) for i, t in rows], "request_id string, message string, model_type string, mode string, context string, t long")
