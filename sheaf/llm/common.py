@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,7 +54,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_tables(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, once nothing reads them any more, and the shuffle files of finished jobs.
+
+    Spark deletes the shuffle files of a plan when the driver has collected it as garbage, which is asked for here.
+    """
+    for table_ in tables:
+        spark = table_.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_.written_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def doc_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

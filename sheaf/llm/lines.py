@@ -22,13 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import list_column, slices, written
+from sheaf.llm.common import drop_written, list_column, slices, utf8, written
 from sheaf.llm.words import U64, mix, word_hashes, word_spans
 
 CELL_BITS, PART_BITS = 22, 16
+#: Bytes of a word's hash in a set that is compared whole: two lines of 40 words are taken wrong once in 700 million pairs.
+WORD_BYTES = 5
+#: Bits of a word's place in a packed row; a later place counts as the last, which weakens the positional filter and is never wrong.
+PLACE_BITS = 12
 _LEVELS = 3  # counts up to this have a level of their own
 
 
@@ -97,7 +101,7 @@ def _least_common(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _line_rows(shared, percent: int):
-    schema = pa.schema([("_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("c", pa.int64()), ("parity", pa.int64()), ("words", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
+    schema = pa.schema([("_id", pa.int64()), ("_h", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("c", pa.int64()), ("parity", pa.int64()), ("words", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("set", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
@@ -115,12 +119,15 @@ def _line_rows(shared, percent: int):
                 number = line[begun]
                 row = np.searchsorted(first_line, number, "right") - 1
                 take, ends = pa.array(row[some]), np.concatenate([[0], np.cumsum(per[some])])
+                short = np.ascontiguousarray((words >> U64(64 - 8 * WORD_BYTES)).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES])
+                sets = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.append(begun, len(line)) * WORD_BYTES), pa.py_buffer(short)])
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("_id").slice(lo, hi - lo).take(take),
+                    batch.column("_id").slice(lo, hi - lo).take(take), batch.column("_h").slice(lo, hi - lo).take(take),
                     pa.array((number - first_line[row])[some].astype(np.int32)), pa.array(n[some].astype(np.int32)),
                     pa.array(np.add.reduceat(mix(words), begun)[some].view(np.int64)),
                     pa.array(np.bitwise_xor.reduceat(U64(1) << (words >> U64(58)), begun)[some].view(np.int64)),
                     list_column((words[asked] >> U64(32)).astype(np.uint32).view(np.int32), ends, pa.int32()), list_column(place[asked].astype(np.int32), ends, pa.int32()),
+                    sets.filter(pa.array(some)).cast(pa.binary()),
                 ], schema=schema)
 
     return run
@@ -145,24 +152,6 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_pack, kind)
 
 
-def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("_id", pa.int64()), ("line", pa.int32()), ("set", pa.list_(pa.int64()))])
-    for batch in batches:
-        for begin in range(0, batch.num_rows, 256):
-            part = batch.slice(begin, 256)
-            for lo, hi, offsets, data in slices(_unpack(part.column("_text"))):
-                line, words, _, first_line = line_words(offsets, data)
-                lists = part.column("lines").slice(lo, hi - lo)
-                own, per = np.asarray(lists.flatten(), np.int64), np.asarray(lists.value_lengths())
-                row = np.repeat(np.arange(hi - lo), per)
-                begun, ended = (np.searchsorted(line, first_line[row] + own, side) for side in ("left", "right"))
-                n = ended - begun
-                ends = np.concatenate([[0], np.cumsum(n)])
-                flat = words[np.arange(ends[-1]) - np.repeat(ends[:-1], n) + np.repeat(begun, n)]
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("_id").slice(lo, hi - lo).take(take), pa.array(own.astype(np.int32)), list_column(flat.view(np.int64), ends, pa.int64())], schema=schema)
-
-
 #: Earlier rows that a row of one word is compared with, at each end of them; a word with more rows is finished later.
 NEAR = 1024
 
@@ -176,20 +165,25 @@ def _passes(percent: int, n1, p1, i1, n2, p2, i2) -> tuple[np.ndarray, np.ndarra
     return ok & (bits <= both - 2 * common), bits
 
 
+def _unpacked(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The fields of packed rows (see ``looked``)."""
+    a, b, parity = (np.asarray(batch.column(k)) for k in ("a", "b", "parity"))
+    return {"word": a >> 32, "n": a & 0xFFFFFFFF, "u": b >> PLACE_BITS, "place": b & ((1 << PLACE_BITS) - 1), "parity": parity}
+
+
 def _closest(percent: int):
-    schema = pa.schema([("b_id", pa.int64()), ("b_line", pa.int32()), ("bits", pa.int32()), ("a_id", pa.int64()), ("a_line", pa.int32())])
-    fields = ("word", "id", "line", "n", "parity", "place")
+    schema = pa.schema([("b", pa.int64()), ("bits", pa.int32()), ("a", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, cut = None, False  # rows of the word that the last batch ended in; whether some of them are missing
         for batch in batches:
-            now = {k: np.asarray(batch.column(k)).astype(np.int64) for k in fields}
             if not batch.num_rows:
                 continue
+            now = _unpacked(batch)
             old = 0
             if kept is not None and kept["word"][0] == now["word"][0]:
                 old = len(kept["word"])
-                now = {k: np.concatenate([kept[k], now[k]]) for k in fields}
+                now = {k: np.concatenate([kept[k], now[k]]) for k in now}
             else:
                 cut = False
             begun = np.flatnonzero(np.diff(now["word"], prepend=now["word"][0] - 1))
@@ -220,8 +214,7 @@ def _closest(percent: int):
                 open_[old : ends[0]] = True  # no match among the rows kept proves nothing
             out = np.flatnonzero(hit | open_)
             match = best[out]
-            columns = [now["id"][out], now["line"][out].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(least[out].astype(np.int32)), pa.array(now["id"][match], mask=match < 0), pa.array(now["line"][match].astype(np.int32), mask=match < 0)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(now["u"][out]), pa.array(least[out].astype(np.int32)), pa.array(now["u"][match], mask=match < 0)], schema=schema)
             last = slice(begun[-1], None)
             cut = cut and len(begun) == 1
             kept = {k: v[last] for k, v in now.items()}
@@ -231,59 +224,130 @@ def _closest(percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """``b`` of the pairs (``a``, ``b``) of lines whose whole word sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).distinct()
-    lists = ends.groupBy(F.col("x._id").alias("_id")).agg(F.collect_list("x.line").alias("lines"))
-    sets = packed(docs).join(lists, "_id").mapInArrow(_wanted_sets, "_id long, line int, set array<long>")
-    sets = written(sets.select(F.struct("_id", "line").alias("x"), "set"), "sets")
-    met = pairs.join(sets.select(F.col("x").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("x").alias("b"), F.col("set").alias("sb")), "b")
-    met = met.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return met.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("b").distinct()
+def _words40(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a column of sets, one after the other, and how many each set has."""
+    offsets, data = utf8(column)
+    data = data[offsets[0] : offsets[-1]].reshape(-1, WORD_BYTES)
+    out = np.zeros((len(data), 8), np.uint8)
+    out[:, :WORD_BYTES] = data
+    return out.view(np.uint64).ravel(), np.diff(offsets) // WORD_BYTES
+
+
+def _alike(percent: int):
+    """``b`` of the pairs of sets that are similar enough: words that both hold stand twice when both are sorted as one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                (x, nx), (y, ny) = _words40(part.column("sa")), _words40(part.column("sb"))
+                pair = np.arange(part.num_rows, dtype=np.uint64) << U64(8 * WORD_BYTES)
+                both = np.sort(np.concatenate([x | np.repeat(pair, nx), y | np.repeat(pair, ny)]))
+                twice = both[1:][both[1:] == both[:-1]] >> U64(8 * WORD_BYTES)
+                common = np.bincount(twice.astype(np.int64), minlength=part.num_rows)
+                ok = 100 * common >= percent * (nx + ny - common)
+                yield pa.RecordBatch.from_arrays([part.column("b").filter(pa.array(ok))], names=["b"])
+
+    return run
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``b`` of the pairs (``a``, ``b``) of classes whose whole word sets (``u``, ``set``) are similar enough."""
+    one, two = (sets.select(F.col("u").alias(k), F.col("set").alias(f"s{k}")) for k in ("a", "b"))
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("b", "sa", "sb").mapInArrow(_alike(percent), "b long").distinct()
+
+
+def looked(classes: DataFrame) -> DataFrame:
+    """Packed rows of (prefix word, class): ``a`` = word and size, ``b`` = class number and place of the word, ``parity``."""
+    each = classes.select("u", "n", "parity", F.explode(F.arrays_zip("words", "places")).alias("w"))
+    place = F.least(F.col("w.places"), F.lit((1 << PLACE_BITS) - 1))
+    return each.select(F.shiftleft(F.col("w.words").cast("bigint"), 32).bitwiseOR(F.col("n").cast("bigint")).alias("a"),
+                       F.shiftleft("u", PLACE_BITS).bitwiseOR(place.cast("bigint")).alias("b"), "parity")
+
+
+#: Bits of the table of words that the second pass looks up: half a megabyte, whatever the input.
+FILTER_BITS = 1 << 22
+
+
+def _known_words(rows: DataFrame) -> Column:
+    """The test whether a packed row's word is among those of ``rows``, by a bit of its hash."""
+    bucket = lambda a: F.pmod(F.xxhash64(F.shiftright(a, 32)), F.lit(FILTER_BITS))
+    bit = lambda a: F.call_function("shiftleft", F.lit(1).cast("bigint"), (bucket(a) % 64).cast("int"))
+    place = lambda a: F.floor(bucket(a) / 64).cast("int")
+    table, a = [0] * (FILTER_BITS // 64), F.col("a")
+    for r in rows.groupBy(place(a).alias("place")).agg(F.bit_or(bit(a)).alias("bits")).collect():
+        table[r["place"]] = r["bits"]
+    bits = F.lit(table).cast("array<bigint>")
+    return F.get(bits, place(a)).bitwiseAND(bit(a)) != 0
 
 
 def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(``_id``, ``line``) of all lines that an earlier line matches. docs: ``_id`` (not null), ``_text``.
+    """(``_id``, ``_h``, ``line``) of all lines that an earlier line matches. docs: ``_id``, ``_h`` (hash of the text), ``_text``.
+
+    A line is removed for one earlier match, so not all of them are looked for. Rows of (prefix word, class of lines) are
+    sorted by word, then place, and each class meets the earlier ones with the word: all, or for a word with thousands of
+    classes the first and the last ``NEAR`` of them. The closest by parity is verified. Classes for which none of these is a
+    match though more might be (other candidates, or rows of a word that were not met) then meet all earlier classes of their words;
+    only words that they have are looked up again.
 
-    A line is removed for one earlier match, so not all of them are looked for. Rows of (prefix word, line) are sorted
-    by word, then place, and each line meets the earlier ones with the word: all, or for a word with thousands of lines
-    the first and the last ``NEAR`` of them. The closest by parity is verified. Lines for which none of these is a match
-    though more might be (other candidates, or rows of a word that were not met) then meet all earlier lines of their words.
+    Classes are numbered in the order of their first lines, so rows carry one number instead of (id, hash, line). Each
+    table is deleted once its last reader has run.
     """
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs))
-    kind = "_id long, line int, n int, c long, parity long, words array<int>, places array<int>"
+    kind = "_id long, _h long, line int, n int, c long, parity long, words array<int>, places array<int>, set binary"
     lines = written(docs.mapInArrow(_line_rows(shared, percent), kind), "lines")
+    shared.destroy()
     # a set is known by the sum of its hashes, its parity and its size; the earliest line stands for it
-    classes = lines.groupBy("c", "parity", "n").agg(F.min(F.struct("_id", "line")).alias("first"), F.first("words").alias("words"), F.first("places").alias("places"))
+    key, own = ["c", "parity", "n"], F.struct(F.col("_id").isNotNull().alias("known"), "_id", "_h", "line")
+    some = lines.groupBy(*key).agg(F.min(own).alias("first"), F.first("words").alias("words"), F.first("places").alias("places"))
+    order = [F.col(f"first.{c}") for c in ("known", "_id", "_h", "line")]
+    classes = some.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("u", F.monotonically_increasing_id())
     classes = written(classes, "classes")
-    copies = lines.select("_id", "line", "c", "parity", "n").join(classes.select("c", "parity", "n", "first"), ["c", "parity", "n"])
-    copies = copies.where(F.struct("_id", "line") != F.col("first")).select("_id", "line")
-
-    def looked(some: DataFrame) -> DataFrame:
-        each = some.select("first", "n", "parity", F.explode(F.arrays_zip("words", "places")).alias("w"))
-        return each.select(F.col("w.words").alias("word"), F.col("first._id").alias("id"), F.col("first.line").alias("line"), "n", "parity", F.col("w.places").alias("place"))
-
-    dealt = looked(classes).repartition("word").sortWithinPartitions("word", "id", "line")
-    met = dealt.mapInArrow(_closest(percent), "b_id long, b_line int, bits int, a_id long, a_line int")
-    first = met.groupBy("b_id", "b_line").agg(F.min(F.struct("bits", "a_id", "a_line")).alias("x"))
-    near = first.select(F.struct(F.col("x.a_id").alias("_id"), F.col("x.a_line").alias("line")).alias("a"), F.struct(F.col("b_id").alias("_id"), F.col("b_line").alias("line")).alias("b"))
-    near = written(near, "near")
-    likely = near.where("a._id is not null")
-    found = written(confirmed(likely, docs, percent), "found")
+    met = lines.select("_id", "_h", "line", *key).join(classes.select(*key, "first"), key)
+    at = F.col("first")
+    same = F.col("_id").eqNullSafe(at["_id"]) & (F.col("_h") == at["_h"]) & (F.col("line") == at["line"])
+    copies = written(met.where(~same).select("_id", "_h", "line"), "copies")
+
+    word = F.shiftright("a", 32)
+    dealt = looked(classes).repartition(word).sortWithinPartitions(word, "b")
+    near = dealt.mapInArrow(_closest(percent), "b long, bits int, a long").groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x"))
+    near = written(near.select("b", "x.a"), "near")
+    likely = near.where("a is not null")
+    # the sets of the first lines, by class number
+    firsts = classes.select("u", "first.*").drop("known")
+    stored = lines.select("_id", "_h", "line", "set")
+    meet = firsts["_id"].eqNullSafe(stored["_id"]) & (firsts["_h"] == stored["_h"]) & (firsts["line"] == stored["line"])
+    wanted = likely.select(F.col("a").alias("u")).unionByName(likely.select(F.col("b").alias("u"))).distinct()
+    sets = written(stored.join(firsts.join(wanted, "u"), meet).select("u", "set"), "sets")
+    found = written(confirmed(likely, sets, percent), "found")
     undecided = written(near.select("b").join(found, "b", "left_anti"), "undecided")
-    one, two = looked(classes), looked(classes.join(undecided.select(F.col("b").alias("first")), "first", "left_semi"))
-    one, two = (x.select("word", *[F.col(c).alias(f"{c}{k}") for c in ("id", "line", "n", "parity", "place")]) for k, x in ((1, one), (2, two)))
-    common = F.ceil(F.lit(percent) * (F.col("n1") + F.col("n2")) / F.lit(100 + percent))
-    close = (
-        (one["word"] == two["word"]) & ((F.col("id1") < F.col("id2")) | (F.col("id1") == F.col("id2")) & (F.col("line1") < F.col("line2")))
-        & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-        & (F.least("place1", "place2") + F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) >= common)
-        & (F.bit_count(F.col("parity1").bitwiseXOR(F.col("parity2"))) <= F.col("n1") + F.col("n2") - 2 * common)
-    )
-    rest = one.join(two, close).select(F.struct(F.col("id1").alias("_id"), F.col("line1").alias("line")).alias("a"), F.struct(F.col("id2").alias("_id"), F.col("line2").alias("line")).alias("b"))
-    rest = written(rest.distinct().join(likely, ["a", "b"], "left_anti"), "pairs")
-    late = found if rest.isEmpty() else found.unionByName(confirmed(rest, docs, percent))
-    return copies.unionByName(late.select("b.*")).distinct()
+    drop_written(sets)
+
+    late = found
+    if not undecided.isEmpty():
+        two = written(looked(classes.join(undecided.select(F.col("b").alias("u")), "u", "left_semi")), "open")
+        one = looked(classes).where(_known_words(two))
+        fields = lambda x, k: x.select(
+            F.shiftright("a", 32).alias("word"), F.col("a").bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"n{k}"), F.shiftright("b", PLACE_BITS).alias(f"u{k}"),
+            F.col("b").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias(f"place{k}"), F.col("parity").alias(f"parity{k}"))
+        one, two_ = fields(one, 1), fields(two, 2)
+        common = F.ceil(F.lit(percent) * (F.col("n1") + F.col("n2")) / F.lit(100 + percent))
+        close = (
+            (one["word"] == two_["word"]) & (F.col("u1") < F.col("u2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+            & (F.least("place1", "place2") + F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) >= common)
+            & (F.bit_count(F.col("parity1").bitwiseXOR(F.col("parity2"))) <= F.col("n1") + F.col("n2") - 2 * common)
+        )
+        rest = one.join(two_, close).select(F.col("u1").alias("a"), F.col("u2").alias("b"))
+        rest = written(rest.distinct().join(likely, ["a", "b"], "left_anti"), "pairs")
+        drop_written(two)
+        wanted = rest.select(F.col("a").alias("u")).unionByName(rest.select(F.col("b").alias("u"))).distinct()
+        sets = written(stored.join(firsts.join(wanted, "u"), meet).select("u", "set"), "sets")
+        late = written(found.unionByName(confirmed(rest, sets, percent)), "late")
+        drop_written(sets, rest)
+    gone = late.withColumnRenamed("b", "u").join(firsts, "u").select("_id", "_h", "line")
+    out = written(copies.unionByName(gone), "gone")
+    drop_written(lines, classes, copies, near, found, undecided, *([] if late is found else [late]))
+    return out
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,11 +371,12 @@ def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A text without removed lines is unchanged, so a null one is null.
     """
-    named = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text")).where("_id is not null")
-    gone = later_matches(named, percent).groupBy("_id").agg(F.collect_list("line").alias("gone"))
+    text, ident = docs[text_col], docs[id_col].cast("long").alias("_id")
+    gone = later_matches(docs.select(ident, F.xxhash64(text).alias("_h"), text.alias("_text")), percent)
+    gone = written(gone.groupBy("_id", "_h").agg(F.collect_set("line").alias("gone")), "removed")
     others = F.struct(*(docs[c] for c in docs.columns if c != text_col))
-    rows = packed(docs.select(others.alias("row"), docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text")))
-    joined = rows.join(gone, "_id", "left").select("row", "_text", "gone")
+    rows = packed(docs.select(others.alias("row"), ident, F.xxhash64(text).alias("_h"), text.alias("_text")))
+    joined = rows.join(gone, rows["_id"].eqNullSafe(gone["_id"]) & (rows["_h"] == gone["_h"]), "left").select("row", "_text", "gone")
     return joined.mapInArrow(_removed, f"row {joined.schema['row'].dataType.simpleString()}, kept_text string, n_lines long, n_removed long")
 
 
@@ -321,9 +386,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are what line feeds separate; words are runs of anything but U+0020 and U+0009 to U+000D, unchanged.
     Lines without words match nothing and stay. ``kept_text`` joins the lines that stay by line feeds.
 
-    A null or empty text has no lines and stays empty. Rows that repeat an id are one document, and an id is taken
-    to stand for one text: what stays of one stays of the other. Rows without id have no place in the order: they
-    stay whole and remove nothing. An empty table gives an empty one. Other columns of ``docs`` are not looked at.
+    A null or empty text has no lines and stays empty. Rows of one id are told apart by the hash of their text and come
+    in its order; rows that repeat an id and a text are one document: what stays of one stays of the other. Rows without id
+    are documents like others, before all with one. An empty table gives an empty one. Other columns of ``docs``
+    are not looked at.
     """
     out = without_lines(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), percent=percent)
     return out.select("row.doc_id", "n_lines", "n_removed", F.coalesce("kept_text", F.lit("")).alias("kept_text"))

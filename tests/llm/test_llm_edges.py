@@ -155,3 +155,24 @@ def test_many_repeated_rows_take_no_more_than_distinct_ones(spark):
         took.append(time.time() - began)
         assert [tuple(r) for r in got] == [(60, 60, 6000)]
     assert took[1] < 2 * took[0] + 2
+
+
+def test_lines_of_rows_that_share_an_id_or_have_none(spark):
+    """Rows of one id and different texts are documents of their own, and rows without id take part."""
+    rows = [(0, "alpha beta gamma"), (1, "alpha beta gamma\nx y z one"), (1, "p q r only here\ns t u more"), (5, "one same line of words"), (None, "one same line of words"),
+            (None, "one same line of words\nits own line"), (6, "alpha beta gamma"), (6, "alpha beta gamma")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit("clash")).withColumn("u", F.lit(1))
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.kept_text, r.n_removed) for r in lines.dedup_lines(docs).collect())
+    null_rows = [g[2:] for g in got if not g[0]]
+    # rows without id come first, in the order of their texts' hashes: the line stays once in all
+    assert sorted(null_rows) in ([("", 1), ("one same line of words\nits own line", 0)], [("its own line", 1), ("one same line of words", 0)])
+    assert [g[1:] for g in got if g[0]] == [(0, "alpha beta gamma", 0), (1, "p q r only here\ns t u more", 0), (1, "x y z one", 1), (5, "", 1), (6, "", 1), (6, "", 1)]
+
+
+def test_very_long_lines_and_late_places(spark):
+    """Words beyond the places that a packed row holds are found too."""
+    long = [f"w{k}" for k in range(30_000)]
+    other = [w if k % 12 else f"x{k}" for k, w in enumerate(long)]
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[::2]))]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
