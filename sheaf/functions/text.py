@@ -6,6 +6,7 @@ calls Python per row.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
 
@@ -49,6 +50,11 @@ def let(value: Column, fn) -> Column:
     return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, fn)
 
 
+def long_array(values: Sequence[int]) -> Column:
+    """A constant array of longs as one literal text that the optimizer folds (an expression an element is slow to plan)."""
+    return F.from_json(F.lit(json.dumps(list(values))), "array<bigint>")
+
+
 def safe_get(c, default: str = D.NOT_AVAILABLE) -> Column:
     """PRJ1: null, empty or blank -> ``default``; otherwise the stripped string."""
     s = ustrip(col_or_lit(c).cast("string"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.functions.text import long_array
 from sheaf.session import stored
 
 #: Characters of a gram.
@@ -52,7 +53,7 @@ def _bit(gram: Column) -> Column:
 
 def _passes(bits: list[int]):
     """Whether a gram's hash is one of the keywords': a bit of a constant array of longs."""
-    table = F.lit(bits).cast("array<bigint>")
+    table = long_array(bits)
     return lambda gram: F.get(table, _place(gram)).bitwiseAND(_bit(gram)) != 0
 
 

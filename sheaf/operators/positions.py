@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.functions.text import col_or_lit
+from sheaf.functions.text import col_or_lit, long_array
 
 #: Sampled keys per range.
 PER_RANGE = 50
@@ -72,7 +72,7 @@ def with_position(df: DataFrame, order_by: Sequence, name: str = "idx", num_part
         for k in range(last):
             before.append(total)
             total += counts[k][what] if k in counts else 0
-        return F.get(F.lit(before).cast("array<bigint>"), F.col("_range"))
+        return F.get(long_array(before), F.col("_range"))
 
     window = Window.partitionBy("_range").orderBy(*cols)
     out = ranged.withColumn(name, offsets("rows") + F.row_number().over(window) - 1)
