@@ -25,6 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.functions.text import long_array
 from sheaf.llm.common import drop_written, list_column, slices, utf8, written
 from sheaf.llm.words import U64, mix, word_hashes, word_spans
 
@@ -277,8 +278,7 @@ def _known_words(rows: DataFrame) -> Column:
     table, a = [0] * (FILTER_BITS // 64), F.col("a")
     for r in rows.groupBy(place(a).alias("place")).agg(F.bit_or(bit(a)).alias("bits")).collect():
         table[r["place"]] = r["bits"]
-    bits = F.lit(table).cast("array<bigint>")
-    return F.get(bits, place(a)).bitwiseAND(bit(a)) != 0
+    return F.get(long_array(table), place(a)).bitwiseAND(bit(a)) != 0
 
 
 def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
