@@ -51,20 +51,49 @@ LISTS = frozenset("ul ol dl menu table pre blockquote".split())
 #: An opening tag of the first kind ends an open one of the second, up to the nearest of the third.
 ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(?:/?[a-zA-Z][^<>]*)\Z""", re.DOTALL)
+#: A tag's attributes, in which a few quoted values may hold "<"; a tag that does not close so ends at the next "<". Nothing is
+#: read again for more than some dozens of starts, so the work is linear in the page.
+_PLAIN = r"""(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+"""
+_WITH_ANGLES = r"""(?:"[^"<]*+(?:<[^"<]*+){1,8}"|'[^'<]*+(?:<[^'<]*+){1,8}')"""
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"|<(?P<shut>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<rest>{_PLAIN}(?:{_WITH_ANGLES}{_PLAIN}){{0,4}})>"
+    r"|<(?P<shut2>/?)(?P<tag2>[a-zA-Z][^\s/<>]*+)(?P<rest2>[^<>]*+)(?:>|(?=<)|\Z)",
+    re.DOTALL,
+)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？،؟।]")
 
 
+#: For each kind of tag that ends another: the tags at which the look for an open one stops.
+_STOPS = {tag: frozenset(closes.split()) | frozenset(within.split()) for tag, (closes, within) in ENDS.items()}
+MENUS = frozenset(("ul", "ol", "menu"))
+
+
 class Node:
-    __slots__ = ("tag", "parent", "hard", "soft", "weak", "depth", "path", "size", "holds")
+    """An element, with what its ancestors say of it; what lies below it is summed up later, children first."""
 
-    def __init__(self, tag: str, parent: Node | None, hard: bool, soft: bool, weak: bool):
-        self.tag, self.parent, self.hard, self.soft, self.weak = tag, parent, hard, soft, weak
-        self.depth = parent.depth + 1 if parent else 0
-        self.path = f"{parent.path}/{tag}" if parent else tag
-        self.size, self.holds = 0, False  # characters below; whether a main element is below
+    __slots__ = ("tag", "parent", "soft", "weak", "depth", "path", "size", "holds", "near", "hard", "hard_but_form", "inside", "some_weak", "list_depth", "menu_depth", "own", "flag")
+
+    def __init__(self, tag: str, parent: Node | None, hard: bool, soft: bool, weak: bool, paths: dict):
+        up = parent
+        self.tag, self.parent, self.soft, self.weak = tag, parent, soft, weak
+        self.depth = up.depth + 1 if up else 0
+        self.path = paths.setdefault((up.path if up else -1, tag), len(paths))  # a number for each path
+        self.size, self.holds, self.own, self.flag = 0, False, 0, False
+        # itself or an ancestor: no content, no content but a form, main part, weakly named; the depth of the nearest list and menu
+        self.hard = hard or bool(up and up.hard)
+        self.hard_but_form = hard and tag != "form" or bool(up and up.hard_but_form)
+        self.inside = tag in ("article", "main") or bool(up and up.inside)
+        self.some_weak = weak or bool(up and up.some_weak)
+        self.list_depth = self.depth if tag in LISTS else up.list_depth if up else -1
+        self.menu_depth = self.depth if tag in MENUS else up.menu_depth if up else -1
+        # the nearest element at which the look for an open one of each kind stops
+        self.near = up.near if up else {}
+        here = [kind for kind, stops in _STOPS.items() if tag in stops]
+        if here:
+            self.near = {**self.near, **dict.fromkeys(here, self)}
 
 
 def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
@@ -89,10 +118,12 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
     return hard, soft, weak
 
 
-def blocks(page: str) -> list[tuple[Node, str, int]]:
-    """(element, text, characters inside links) of every block in page order, character references decoded."""
-    top = Node("", None, False, False, False)
-    node, inline, out, parts, linked, link = top, [], [], [], [], 0
+def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+    """All elements in page order, and (element, text, characters inside links) of every block, character references decoded."""
+    paths: dict = {}
+    top = Node("", None, False, False, False, paths)
+    nodes, node, out, parts, linked, link = [top], top, [], [], [], 0
+    open_, endless = defaultdict(int), set()  # how many of a tag are open here; inline tags that end nowhere below
 
     def close() -> None:
         text = " ".join(markup.unescape("".join(parts)).split())
@@ -101,6 +132,15 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
         parts.clear()
         linked.clear()
 
+    def leave(last: Node) -> Node:
+        """Close all open elements up to ``last``; the element that holds it."""
+        x = node
+        while True:
+            open_[x.tag] -= 1
+            if x is last:
+                return x.parent
+            x = x.parent
+
     at = 0
     while at < len(page):
         m = _TAG.search(page, at)
@@ -112,41 +152,49 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
         if not m:
             break
         at = m.end()
-        if not m[2]:
+        tag = m["tag"] or m["tag2"]
+        if not tag:
             continue
-        tag = m[2].lower()
+        tag, shut, rest = tag.lower(), m["shut"] or m["shut2"], m["rest"] or m["rest2"] or ""
         if tag == "br":
             parts.append(" ")
         elif tag == "a":
-            link = 0 if m[1] else 1
+            link = 0 if shut else 1
         elif tag in BLOCKS or tag in OUT:
             close()
-            if m[1]:
-                up = node
-                while up.parent and up.tag != tag:
-                    up = up.parent
-                if up.parent:
-                    node, link = up.parent, 0
-            elif tag not in VOID:
-                closes, within = ENDS.get(tag, ("p", "") if tag in BLOCKS else ("", ""))
-                if closes:
-                    up, within = node, within.split()
-                    while up.parent and up.tag not in within and up.tag not in closes.split() and (up.tag == "p" or within):
+            if shut:
+                if open_[tag]:
+                    up = node
+                    while up.tag != tag:
                         up = up.parent
-                    if up.parent and up.tag in closes.split():
-                        node = up.parent
-                node = Node(tag, node, *_marks(tag, m[3]))
+                    node, link = leave(up), 0
+            elif tag not in VOID:
+                if tag in ENDS:
+                    up = node.near.get(tag)
+                    if up is not None and up.tag in ENDS[tag][0].split():
+                        node = leave(up)
+                elif tag in BLOCKS and node.tag == "p":
+                    node = leave(node)
+                node = Node(tag, node, *_marks(tag, rest), paths)
+                nodes.append(node)
+                open_[tag] += 1
                 if tag in RAW:
                     end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
                     at = end.end() if end else len(page)
-                    node = node.parent
-        elif m[3] and not m[1] and tag not in VOID and any(x := _marks(tag, m[3])):
+                    node = leave(node)
+        elif rest and not shut and tag not in VOID and tag not in endless and _marks(tag, rest)[0]:
             # an inline element that is no content, as far as its end tag
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-            if x[0] and end:
+            if end:
                 at = end.end()
+            else:
+                endless.add(tag)
     close()
-    return out
+    return nodes, out
+
+
+def blocks(page: str) -> list[tuple[Node, str, int]]:
+    return parse(page)[1]
 
 
 def _up(node: Node | None) -> Iterator[Node]:
@@ -155,7 +203,22 @@ def _up(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def _content_paths(kept: list[tuple[Node, str, int]]) -> set[str]:
+def _below(nodes: list[Node], start: dict[Node, int]) -> dict[Node, int]:
+    """Sums of ``start`` over each element and all below it, for elements that have some below."""
+    total: dict[Node, int] = dict(start)
+    for x in reversed(nodes):  # an element comes after the one that holds it
+        if x in total and x.parent:
+            total[x.parent] = total.get(x.parent, 0) + total[x]
+    return total
+
+
+def _from_above(nodes: list[Node], own) -> None:
+    """Set ``flag`` of every element: whether ``own`` holds for it or an ancestor."""
+    for x in nodes:
+        x.flag = bool(x.parent and x.parent.flag) or own(x)
+
+
+def _content_paths(kept: list[tuple[Node, str, int]]) -> set[int]:
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for node, text, links in kept:
         length[node.path] += max(0, len(text) - links)
@@ -173,60 +236,61 @@ def _content_paths(kept: list[tuple[Node, str, int]]) -> set[str]:
 
 
 def main_text(page: str) -> str:
-    found = blocks(page)
-    for node, text, _ in found:
-        main = False
-        for x in _up(node):
-            x.size += len(text)
-            main |= x.tag in ("article", "main", "h1") and not (x.soft or x.weak and x.tag == "article")
-            x.holds |= main
-    total = sum(len(t) for _, t, _ in found)
+    """The main text of one page, blocks joined by two line feeds; '' for a page without content, however broken its markup.
 
-    def out(node: Node) -> bool:
-        inside = any(x.tag in ("article", "main") for x in _up(node))
-        for x in _up(node):
-            if x.hard:
-                return True
-            if x.tag == "header" and inside and node.tag in HEADINGS:
-                continue
-            if x.soft and not (x.holds and x.tag != "header" and x.size > total / 2):
-                return True
-        return False
+    Time and memory grow in proportion to the page, also with unclosed tags and deep nesting.
+    """
+    nodes, found = parse(page)
+    total = sum(len(t) for _, t, _ in found)
+    sizes: dict[Node, int] = defaultdict(int)
+    for node, text, _ in found:
+        sizes[node] += len(text)
+    for x, size in _below(nodes, sizes).items():
+        x.size = size
+    for x in reversed(nodes):  # whether a main element with text is the element itself or below it
+        x.holds |= x.size > 0 and x.tag in ("article", "main", "h1") and not (x.soft or x.weak and x.tag == "article")
+        if x.holds and x.parent:
+            x.parent.holds = True
 
+    _from_above(nodes, lambda x: x.soft and x.tag != "header" and not (x.holds and x.size > total / 2))
+    named = {x for x in nodes if x.flag}
+    _from_above(nodes, lambda x: x.soft and x.tag == "header")
     # if nothing is left, names do not count; then neither does a form around everything
-    kept = [b for b in found if not out(b[0])]
-    kept = kept or [b for b in found if not any(x.hard for x in _up(b[0]))]
-    kept = kept or [b for b in found if not any(x.hard and x.tag != "form" for x in _up(b[0]))]
+    kept = [b for b in found if not (b[0].hard or b[0] in named or b[0].flag and not (b[0].inside and b[0].tag in HEADINGS))]
+    kept = kept or [b for b in found if not b[0].hard]
+    kept = kept or [b for b in found if not b[0].hard_but_form]
     if not kept:
         return ""
     content = _content_paths(kept)
-    if any(x.weak for b in kept for x in _up(b[0])):
-        good = {x for node, text, links in kept if node.path in content and links < LINKED * len(text) for x in _up(node)}
-        left = [b for b in kept if not any(x.weak and not x.holds and x not in good for x in _up(b[0]))]
+    if any(b[0].some_weak for b in kept):
+        good = _below(nodes, {node: 1 for node, text, links in kept if node.path in content and links < LINKED * len(text)})
+        _from_above(nodes, lambda x: x.weak and not x.holds and x not in good)
+        left = [b for b in kept if not b[0].flag]
         if left and len(left) < len(kept):
             kept, content = left, _content_paths(left)
-    weight: dict[Node, int] = defaultdict(int)
-    below: dict[Node, set[Node]] = defaultdict(set)
+    own: dict[Node, int] = defaultdict(int)
     for node, text, links in kept:
         if node.path in content:
-            for x in _up(node):
-                weight[x] += max(0, len(text) - links)
-                if x.parent:
-                    below[x.parent].add(x)
-    article = next(x for x in _up(kept[0][0]) if not x.parent)
+            own[node] += max(0, len(text) - links)
+    weight, below = _below(nodes, own), defaultdict(list)
+    for x in nodes:
+        if x in weight and x.parent:
+            below[x.parent].append(x)
+    article = nodes[0]
     while article.tag not in ("article", "main") or any(x.tag == "article" for x in below[article]):
         inner = max(below[article], key=weight.__getitem__, default=None)
         if inner is None or inner.tag in HEADINGS or inner.tag in ("p", "li", "td", "blockquote", "pre") or weight[inner] < DOMINANT * weight[article]:
             break
         article = inner
-    chosen = [(b, b[0].path in content) for b in kept if any(x is article for x in _up(b[0]))]
+    _from_above(nodes, lambda x: x is article)
+    chosen = [(b, b[0].path in content) for b in kept if b[0].flag]
     sure = [k for k, (_, c) in enumerate(chosen) if c]
     whole = article.tag in ("article", "main")
-    listed = [any(x.tag in LISTS for x in _up(b[0]) if x.depth > article.depth) for b, _ in chosen]
+    listed = [b[0].list_depth > article.depth for b, _ in chosen]
     last = max((k for k, x in enumerate(listed) if x), default=-1)
     text = []
     for k, ((node, words, links), c) in enumerate(chosen):
-        menu = links >= LINKED * len(words) and any(x.tag in ("ul", "ol", "menu") for x in _up(node) if x.depth >= article.depth)
+        menu = links >= LINKED * len(words) and node.menu_depth >= article.depth
         lead = node.tag in HEADINGS and sure and k < sure[0]
         closing = sure and k > sure[-1] and (listed[k] or node.tag in HEADINGS and k < last)
         if not menu and (whole or c or lead or closing or sure and sure[0] <= k <= sure[-1]):

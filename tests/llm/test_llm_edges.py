@@ -176,3 +176,25 @@ def test_very_long_lines_and_late_places(spark):
     rows = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[::2]))]
     got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 1, 3: 0}
+
+
+BROKEN = {
+    "unclosed tags": "<a " * 340_000, "unclosed quotes": '<a "' * 250_000, "quotes of both kinds": """<a "'<b""" * 150_000 + ">", "nested": "<div>x, y." * 100_000,
+    "items below": "<div>" * 100_000 + "<li>a</li>" * 50_000, "stray ends": "<div>" * 50_000 + "</p>" * 100_000, "inline": "<span hidden>x" * 60_000, "angles": "<" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(BROKEN))
+def test_broken_pages_take_linear_time(name):
+    """A megabyte of markup that never closes, or nests without end, takes seconds."""
+    import time
+
+    began = time.process_time()
+    html.main_text("<p>A start, of some length. It has stops, too.</p>" + BROKEN[name])
+    assert time.process_time() - began < 4
+
+
+def test_angles_in_quotes_and_tags_that_end_at_the_next():
+    assert html.main_text('<p title="a<b" data-x=\'1 > 2\'>One, two. Three</p>') == "One, two. Three"
+    assert html.main_text("<p>One, two. Three <a <b>four</b></p>") == "One, two. Three four"
+    assert html.main_text("<p>One, two. Three <a href=") == "One, two. Three"
