@@ -64,8 +64,8 @@ def drop_written(*tables: DataFrame) -> None:
 
     Spark deletes the shuffle files of a plan when the driver has collected it as garbage, which is asked for here.
     """
+    spark = SparkSession.active()
     for table_ in tables:
-        spark = table_.sparkSession
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_.written_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()

@@ -102,7 +102,7 @@ def _least_common(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _line_rows(shared, percent: int):
-    schema = pa.schema([("_id", pa.int64()), ("_h", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("c", pa.int64()), ("parity", pa.int64()), ("words", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("set", pa.binary())])
+    schema = pa.schema([("_id", pa.int64()), ("_h", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("c", pa.int64()), ("parity", pa.int64()), ("words", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
@@ -120,15 +120,12 @@ def _line_rows(shared, percent: int):
                 number = line[begun]
                 row = np.searchsorted(first_line, number, "right") - 1
                 take, ends = pa.array(row[some]), np.concatenate([[0], np.cumsum(per[some])])
-                short = np.ascontiguousarray((words >> U64(64 - 8 * WORD_BYTES)).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES])
-                sets = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.append(begun, len(line)) * WORD_BYTES), pa.py_buffer(short)])
                 yield pa.RecordBatch.from_arrays([
                     batch.column("_id").slice(lo, hi - lo).take(take), batch.column("_h").slice(lo, hi - lo).take(take),
                     pa.array((number - first_line[row])[some].astype(np.int32)), pa.array(n[some].astype(np.int32)),
                     pa.array(np.add.reduceat(mix(words), begun)[some].view(np.int64)),
                     pa.array(np.bitwise_xor.reduceat(U64(1) << (words >> U64(58)), begun)[some].view(np.int64)),
                     list_column((words[asked] >> U64(32)).astype(np.uint32).view(np.int32), ends, pa.int32()), list_column(place[asked].astype(np.int32), ends, pa.int32()),
-                    sets.filter(pa.array(some)).cast(pa.binary()),
                 ], schema=schema)
 
     return run
@@ -153,6 +150,25 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_pack, kind)
 
 
+def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The word sets of the lines that a text is asked for, as the first ``WORD_BYTES`` bytes of each word's hash."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 256):
+            part = batch.slice(begin, 256)
+            for lo, hi, offsets, data in slices(_unpack(part.column("_text"))):
+                line, words, _, first_line = line_words(offsets, data)
+                lists = part.column("lines").slice(lo, hi - lo)
+                flat, per = lists.flatten(), np.asarray(lists.value_lengths())
+                number = np.repeat(first_line[:-1], per) + np.asarray(flat.field("line"), np.int64)
+                begun, ended = (np.searchsorted(line, number, side) for side in ("left", "right"))
+                n = ended - begun
+                ends = np.concatenate([[0], np.cumsum(n)])
+                own = words[np.arange(ends[-1]) - np.repeat(ends[:-1], n) + np.repeat(begun, n)] >> U64(64 - 8 * WORD_BYTES)
+                short = np.ascontiguousarray(own.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES])
+                sets = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64) * WORD_BYTES), pa.py_buffer(short)])
+                yield pa.RecordBatch.from_arrays([flat.field("u"), sets.cast(pa.binary())], names=["u", "set"])
+
+
 #: Earlier rows that a row of one word is compared with, at each end of them; a word with more rows is finished later.
 NEAR = 1024
 
@@ -294,31 +310,42 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     table is deleted once its last reader has run.
     """
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs))
-    kind = "_id long, _h long, line int, n int, c long, parity long, words array<int>, places array<int>, set binary"
+    kind = "_id long, _h long, line int, n int, c long, parity long, words array<int>, places array<int>"
     lines = written(docs.mapInArrow(_line_rows(shared, percent), kind), "lines")
     shared.destroy()
     # a set is known by the sum of its hashes, its parity and its size; the earliest line stands for it
     key, own = ["c", "parity", "n"], F.struct(F.col("_id").isNotNull().alias("known"), "_id", "_h", "line")
     some = lines.groupBy(*key).agg(F.min(own).alias("first"), F.first("words").alias("words"), F.first("places").alias("places"))
-    order = [F.col(f"first.{c}") for c in ("known", "_id", "_h", "line")]
-    classes = some.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("u", F.monotonically_increasing_id())
-    classes = written(classes, "classes")
-    met = lines.select("_id", "_h", "line", *key).join(classes.select(*key, "first"), key)
+    some = written(some, "sets")
+    met = lines.select("_id", "_h", "line", *key).join(some.select(*key, "first"), key)
     at = F.col("first")
     same = F.col("_id").eqNullSafe(at["_id"]) & (F.col("_h") == at["_h"]) & (F.col("line") == at["line"])
     copies = written(met.where(~same).select("_id", "_h", "line"), "copies")
+    drop_written(lines)
+    order = [F.col(f"first.{c}") for c in ("known", "_id", "_h", "line")]
+    classes = some.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("u", F.monotonically_increasing_id())
+    classes = written(classes.select("u", "n", "parity", "words", "places", "first._id", "first._h", "first.line"), "classes")
+    drop_written(some)
 
     word = F.shiftright("a", 32)
     dealt = looked(classes).repartition(word).sortWithinPartitions(word, "b")
     near = dealt.mapInArrow(_closest(percent), "b long, bits int, a long").groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x"))
     near = written(near.select("b", "x.a"), "near")
+    drop_written()
     likely = near.where("a is not null")
-    # the sets of the first lines, by class number
-    firsts = classes.select("u", "first.*").drop("known")
-    stored = lines.select("_id", "_h", "line", "set")
-    meet = firsts["_id"].eqNullSafe(stored["_id"]) & (firsts["_h"] == stored["_h"]) & (firsts["line"] == stored["line"])
-    wanted = likely.select(F.col("a").alias("u")).unionByName(likely.select(F.col("b").alias("u"))).distinct()
-    sets = written(stored.join(firsts.join(wanted, "u"), meet).select("u", "set"), "sets")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """(``u``, ``set``): the word sets of all classes in ``pairs``, read from the texts of their first lines."""
+        wanted = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
+        key = [F.col("_id").isNotNull().alias("known"), F.coalesce("_id", F.lit(0)).alias("_id"), "_h"]
+        names = ["known", "_id", "_h"]
+        lists = classes.join(wanted, "u").select(*key, F.struct("line", "u").alias("x")).groupBy(*names).agg(F.collect_list("x").alias("lines"))
+        # rows that repeat an id and a text are asked once; both sides are dealt by the same columns
+        texts = packed(docs).select(*key, "_text").dropDuplicates(names)
+        return texts.join(lists, names).select("_text", "lines").mapInArrow(_wanted_sets, "u long, set binary")
+
+    sets = written(sets_of(likely), "sets")
+    drop_written()
     found = written(confirmed(likely, sets, percent), "found")
     undecided = written(near.select("b").join(found, "b", "left_anti"), "undecided")
     drop_written(sets)
@@ -340,13 +367,13 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
         rest = one.join(two_, close).select(F.col("u1").alias("a"), F.col("u2").alias("b"))
         rest = written(rest.distinct().join(likely, ["a", "b"], "left_anti"), "pairs")
         drop_written(two)
-        wanted = rest.select(F.col("a").alias("u")).unionByName(rest.select(F.col("b").alias("u"))).distinct()
-        sets = written(stored.join(firsts.join(wanted, "u"), meet).select("u", "set"), "sets")
+        sets = written(sets_of(rest), "sets")
+        drop_written()
         late = written(found.unionByName(confirmed(rest, sets, percent)), "late")
         drop_written(sets, rest)
-    gone = late.withColumnRenamed("b", "u").join(firsts, "u").select("_id", "_h", "line")
+    gone = late.withColumnRenamed("b", "u").join(classes, "u").select("_id", "_h", "line")
     out = written(copies.unionByName(gone), "gone")
-    drop_written(lines, classes, copies, near, found, undecided, *([] if late is found else [late]))
+    drop_written(classes, copies, near, found, undecided, *([] if late is found else [late]))
     return out
 
 
