@@ -29,6 +29,7 @@ from sheaf.operators import vectors as V
 from sheaf.operators import keywords as KW
 from sheaf.operators import profiles as PROF
 from sheaf.operators import quantised as Q
+from sheaf.operators import trained as TRAINED
 from sheaf.operators import training as train_ops
 from sheaf.functions import route as RT
 from sheaf.rules import defaults as D
@@ -632,3 +633,17 @@ def own_encoder_q(spark, sf_dir):
     letters = lambda c: F.length(F.translate(c, "ae ", "")).cast("double")
     own = prompt_ops.encode(d, "doc_id", "text", "doc_id", "vec", encoder=lambda c: F.array(F.length(c).cast("double"), letters(c), F.lit(1.0)))
     return own.select("doc_id", F.posexplode("vec").alias("place", "value")).select("doc_id", "place", F.round("value", 6).alias("value"))
+
+
+@query("trained_neighbors")
+def trained_neighbors_q(spark, sf_dir):
+    """VEC1 trained on the documents: of the three nearest documents of every fiftieth one, how many are in its language, beside the hashed encoder (no SQL oracle)."""
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text", "lang").where("text is not null")
+    encoder = TRAINED.train(docs, "text", dimensions=128, vocabulary=5000)
+    langs, found = docs.select(F.col("doc_id").alias("cid"), F.col("lang").alias("near")), {}
+    for name, vectors in (("trained", TRAINED.encode(docs, encoder, "text", "v")), ("hashed", V.add_hashed_embedding(docs, "text", "v", dim=128))):
+        q = vectors.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.col("v").alias("qvec"))
+        hits = V.without_self(V.top_k(q, vectors.select(F.col("doc_id").alias("cid"), F.col("v").alias("cvec")), 4), 3).join(langs, "cid")
+        own = docs.select(F.col("doc_id").alias("qid"), "lang")
+        found[name] = hits.join(own, "qid").groupBy("qid").agg(F.count(F.when(F.col("lang").eqNullSafe(F.col("near")), 1)).alias(name))
+    return found["trained"].join(found["hashed"], "qid").withColumnRenamed("qid", "doc_id")
