@@ -10,7 +10,7 @@ which words are certainly alone, so collisions cost work, not results, and its s
 
 Equal sets are one class with one first line. Classes that share a prefix word are compared if their sizes
 allow it (length filter), if the places of the word leave enough words to share (positional filter), and if the
-parities of their words, hashed to 64 bits, differ in no more bits than words may differ. What remains is
+parities of their words, hashed to 128 bits, differ in no more bits than words may differ. What remains is
 verified on whole word sets.
 """
 
@@ -102,7 +102,7 @@ def _least_common(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _line_rows(shared, percent: int):
-    schema = pa.schema([("_id", pa.int64()), ("_h", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("c", pa.int64()), ("parity", pa.int64()), ("words", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
+    schema = pa.schema([("_id", pa.int64()), ("_h", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("c", pa.int64()), ("parity", pa.int64()), ("parity2", pa.int64()), ("words", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
@@ -120,11 +120,12 @@ def _line_rows(shared, percent: int):
                 number = line[begun]
                 row = np.searchsorted(first_line, number, "right") - 1
                 take, ends = pa.array(row[some]), np.concatenate([[0], np.cumsum(per[some])])
+                one = U64(1) << (words >> U64(57) & U64(63))
                 yield pa.RecordBatch.from_arrays([
                     batch.column("_id").slice(lo, hi - lo).take(take), batch.column("_h").slice(lo, hi - lo).take(take),
                     pa.array((number - first_line[row])[some].astype(np.int32)), pa.array(n[some].astype(np.int32)),
                     pa.array(np.add.reduceat(mix(words), begun)[some].view(np.int64)),
-                    pa.array(np.bitwise_xor.reduceat(U64(1) << (words >> U64(58)), begun)[some].view(np.int64)),
+                    *(pa.array(np.bitwise_xor.reduceat(np.where(words >> U64(63) == half, one, U64(0)), begun)[some].view(np.int64)) for half in (0, 1)),
                     list_column((words[asked] >> U64(32)).astype(np.uint32).view(np.int32), ends, pa.int32()), list_column(place[asked].astype(np.int32), ends, pa.int32()),
                 ], schema=schema)
 
@@ -173,19 +174,19 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 NEAR = 1024
 
 
-def _passes(percent: int, n1, p1, i1, n2, p2, i2) -> tuple[np.ndarray, np.ndarray]:
-    """Whether lines with a common prefix word may match, by sizes, places of the word and parities; bits that differ."""
+def _passes(percent: int, n1, p1, i1, n2, p2, i2, q1=0, q2=0) -> tuple[np.ndarray, np.ndarray]:
+    """Whether lines with a common prefix word may match, by sizes, places of the word and parities (p and q); bits that differ."""
     both = n1 + n2
     common = -(-percent * both // (100 + percent))
-    bits = np.bitwise_count((p1 ^ p2).view(np.uint64)).astype(np.int64)
+    bits = sum(np.bitwise_count(np.asarray(x, np.int64).view(np.uint64)).astype(np.int64) for x in (p1 ^ p2, q1 ^ q2))
     ok = (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (np.minimum(i1, i2) + np.minimum(n1 - i1, n2 - i2) >= common)
     return ok & (bits <= both - 2 * common), bits
 
 
 def _unpacked(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     """The fields of packed rows (see ``looked``)."""
-    a, b, parity = (np.asarray(batch.column(k)) for k in ("a", "b", "parity"))
-    return {"word": a >> 32, "n": a & 0xFFFFFFFF, "u": b >> PLACE_BITS, "place": b & ((1 << PLACE_BITS) - 1), "parity": parity}
+    a, b, *parity = (np.asarray(batch.column(k)) for k in ("a", "b", "parity", "parity2"))
+    return {"word": a >> 32, "n": a & 0xFFFFFFFF, "u": b >> PLACE_BITS, "place": b & ((1 << PLACE_BITS) - 1), "parity": parity[0], "parity2": parity[1]}
 
 
 def _closest(percent: int):
@@ -206,19 +207,19 @@ def _closest(percent: int):
             begun = np.flatnonzero(np.diff(now["word"], prepend=now["word"][0] - 1))
             ends = np.append(begun[1:], len(now["word"]))
             best = np.full(len(now["word"]), -1)
-            n, p, i = now["n"], now["parity"], now["place"]
+            n, p, i, q = now["n"], now["parity"], now["place"], now["parity2"]
             small = ends - begun <= 8
             least = np.full(len(best), 1 << 30)
             inside = np.repeat(small, ends - begun)
             for back in range(1, 8):
                 at = np.flatnonzero(inside[back:] & (now["word"][back:] == now["word"][:-back])) + back
-                ok, bits = _passes(percent, n[at - back], p[at - back], i[at - back], n[at], p[at], i[at])
+                ok, bits = _passes(percent, n[at - back], p[at - back], i[at - back], n[at], p[at], i[at], q[at - back], q[at])
                 ok &= bits < least[at]
                 best[at[ok]], least[at[ok]] = at[ok] - back, bits[ok]
             for lo, hi in zip(begun[~small].tolist(), ends[~small].tolist()):
                 for a in range(max(lo + 1, old if lo == 0 else 0), hi, 128):
                     at, before = np.arange(a, min(a + 128, hi)), np.arange(lo, min(a + 128, hi) - 1)
-                    ok, bits = _passes(percent, n[None, before], p[None, before], i[None, before], n[at, None], p[at, None], i[at, None])
+                    ok, bits = _passes(percent, n[None, before], p[None, before], i[None, before], n[at, None], p[at, None], i[at, None], q[None, before], q[at, None])
                     bits = np.where(ok & (before[None] < at[:, None]), bits, 1 << 30)
                     nearest = bits.argmin(axis=1)
                     least[at] = bits[np.arange(len(at)), nearest]
@@ -275,11 +276,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def looked(classes: DataFrame) -> DataFrame:
-    """Packed rows of (prefix word, class): ``a`` = word and size, ``b`` = class number and place of the word, ``parity``."""
-    each = classes.select("u", "n", "parity", F.explode(F.arrays_zip("words", "places")).alias("w"))
+    """Packed rows of (prefix word, class): ``a`` = word and size, ``b`` = class number and place of the word, ``parity``, ``parity2``."""
+    each = classes.select("u", "n", "parity", "parity2", F.explode(F.arrays_zip("words", "places")).alias("w"))
     place = F.least(F.col("w.places"), F.lit((1 << PLACE_BITS) - 1))
     return each.select(F.shiftleft(F.col("w.words").cast("bigint"), 32).bitwiseOR(F.col("n").cast("bigint")).alias("a"),
-                       F.shiftleft("u", PLACE_BITS).bitwiseOR(place.cast("bigint")).alias("b"), "parity")
+                       F.shiftleft("u", PLACE_BITS).bitwiseOR(place.cast("bigint")).alias("b"), "parity", "parity2")
 
 
 #: Bits of the table of words that the second pass looks up: half a megabyte, whatever the input.
@@ -310,12 +311,12 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     table is deleted once its last reader has run.
     """
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs))
-    kind = "_id long, _h long, line int, n int, c long, parity long, words array<int>, places array<int>"
+    kind = "_id long, _h long, line int, n int, c long, parity long, parity2 long, words array<int>, places array<int>"
     lines = written(docs.mapInArrow(_line_rows(shared, percent), kind), "lines")
     shared.destroy()
     # a set is known by the sum of its hashes, its parity and its size; the earliest line stands for it
     key, own = ["c", "parity", "n"], F.struct(F.col("_id").isNotNull().alias("known"), "_id", "_h", "line")
-    some = lines.groupBy(*key).agg(F.min(own).alias("first"), F.first("words").alias("words"), F.first("places").alias("places"))
+    some = lines.groupBy(*key).agg(F.min(own).alias("first"), F.first("parity2").alias("parity2"), F.first("words").alias("words"), F.first("places").alias("places"))
     some = written(some, "sets")
     met = lines.select("_id", "_h", "line", *key).join(some.select(*key, "first"), key)
     at = F.col("first")
@@ -324,7 +325,7 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     drop_written(lines)
     order = [F.col(f"first.{c}") for c in ("known", "_id", "_h", "line")]
     classes = some.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("u", F.monotonically_increasing_id())
-    classes = written(classes.select("u", "n", "parity", "words", "places", "first._id", "first._h", "first.line"), "classes")
+    classes = written(classes.select("u", "n", "parity", "parity2", "words", "places", "first._id", "first._h", "first.line"), "classes")
     drop_written(some)
 
     word = F.shiftright("a", 32)
@@ -356,13 +357,13 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
         one = looked(classes).where(_known_words(two))
         fields = lambda x, k: x.select(
             F.shiftright("a", 32).alias("word"), F.col("a").bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"n{k}"), F.shiftright("b", PLACE_BITS).alias(f"u{k}"),
-            F.col("b").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias(f"place{k}"), F.col("parity").alias(f"parity{k}"))
+            F.col("b").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias(f"place{k}"), F.col("parity").alias(f"p{k}"), F.col("parity2").alias(f"q{k}"))
         one, two_ = fields(one, 1), fields(two, 2)
         common = F.ceil(F.lit(percent) * (F.col("n1") + F.col("n2")) / F.lit(100 + percent))
         close = (
             (one["word"] == two_["word"]) & (F.col("u1") < F.col("u2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
             & (F.least("place1", "place2") + F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) >= common)
-            & (F.bit_count(F.col("parity1").bitwiseXOR(F.col("parity2"))) <= F.col("n1") + F.col("n2") - 2 * common)
+            & (F.bit_count(F.col("p1").bitwiseXOR(F.col("p2"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("q2"))) <= F.col("n1") + F.col("n2") - 2 * common)
         )
         rest = one.join(two_, close).select(F.col("u1").alias("a"), F.col("u2").alias("b"))
         rest = written(rest.distinct().join(likely, ["a", "b"], "left_anti"), "pairs")

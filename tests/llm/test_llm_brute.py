@@ -270,9 +270,9 @@ def test_lines_of_a_word_meet_across_batches(monkeypatch, near):
         for k in range(size):
             flips = rng.choice(64, rng.integers(0, 12), replace=False)
             rows.append((word, k, 0, int(rng.integers(18, 24)), base ^ (sum(1 << int(f) for f in flips) - (1 << 64 if 63 in flips else 0)), int(rng.integers(0, 4))))
-    # packed rows: word and size, class number and place, parity
-    packed = [(w << 32 | n, k << lines.PLACE_BITS | place, parity) for w, k, _, n, parity, place in rows]
-    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*packed[a : a + 7])], names=["a", "b", "parity"]) for a in range(0, len(rows), 7)]
+    # packed rows: word and size, class number and place, both halves of the parity
+    packed = [(w << 32 | n, k << lines.PLACE_BITS | place, parity, 0) for w, k, _, n, parity, place in rows]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*packed[a : a + 7])], names=["a", "b", "parity", "parity2"]) for a in range(0, len(rows), 7)]
     got = defaultdict(set)
     for batch in lines._closest(80)(iter(batches)):
         for b, _, a in zip(*(c.to_pylist() for c in batch.columns)):
