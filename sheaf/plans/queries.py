@@ -573,17 +573,16 @@ def length_sketches_q(spark, sf_dir):
     path = scratch_path(spark, "sketches")
     for half in (0, 1):      # two builds, the second of new shards only
         PROF.sketches(rows.where(F.col("conv_id") % 2 == half), F.col("conv_id") % 16, F.col("n_tokens"), F.col("conv_id")).write.mode("append").parquet(path)
-    one = PROF.merged(spark.read.parquet(path)).withColumn("one", F.lit(1))
-    names = rows.agg(F.count_distinct("conv_id").alias("names")).withColumn("one", F.lit(1))
-    lengths = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("c")).withColumn("one", F.lit(1))      # one row a distinct length
-    # both other sides are a single row
-    beside = lengths.join(F.broadcast(one), "one").join(F.broadcast(names), "one").withColumn("q", F.explode("quantiles"))
-    length = F.col("q.length")
-    out = beside.groupBy(F.col("q.quantile").alias("quantile"), "n", F.round("mean", 6).alias("mean"), "most", "distinct", "names").agg(
-        F.sum(F.when(F.col("n_tokens") < length, F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("n_tokens") <= length, F.col("c")).otherwise(0)).alias("upto"))
-    slack = F.lit(PROF.rank_error()) * F.col("n") + 1
-    return out.select("quantile", "n", "mean", "most", (F.col("quantile") * F.col("n")).between(F.col("below") - slack, F.col("upto") + slack).alias("rank_kept"),
-                      (F.abs(F.col("distinct") - F.col("names")) <= F.lit(4 * PROF.distinct_error()) * F.col("names") + 1).alias("names_kept"))
+    got = PROF.merged(spark.read.parquet(path)).first()      # one row
+    points = [(k, q["quantile"], F.lit(q["length"]), F.col("n_tokens")) for k, q in enumerate(got["quantiles"])]
+    exact = rows.agg(F.count_distinct("conv_id").alias("names"), *(F.count(F.when(n < at, 1)).alias(f"below{k}") for k, _, at, n in points),
+                     *(F.count(F.when(n <= at, 1)).alias(f"upto{k}") for k, _, at, n in points))
+    slack = PROF.rank_error() * got["n"] + 1
+    kept = [F.struct(F.lit(q).alias("quantile"), F.lit(q * got["n"]).between(F.col(f"below{k}") - slack, F.col(f"upto{k}") + slack).alias("rank_kept")) for k, q, _, _ in points]
+    names = (F.abs(F.lit(got["distinct"]) - F.col("names")) <= 4 * PROF.distinct_error() * F.col("names") + 1).alias("names_kept")
+    out = exact.select(names, F.explode(F.array(*kept)).alias("p"))
+    return out.select("p.quantile", F.lit(got["n"]).alias("n"), F.lit(None if got["mean"] is None else round(got["mean"], 6)).cast("double").alias("mean"),
+                      F.lit(got["most"]).cast("long").alias("most"), "p.rank_kept", "names_kept")
 
 
 @query("jsonl_exact_lines")
