@@ -17,7 +17,7 @@ verified on whole word sets.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,8 +63,8 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << CELL_BITS, np.int64)
     for batch in batches:
         for _, _, offsets, data in slices(batch.column("_text")):
-            _, words, _, _ = line_words(offsets, data)
-            np.add.at(counts, (words >> U64(64 - CELL_BITS)).astype(np.int64), 1)
+            starts, ends, _ = word_spans(offsets, data)  # a word said twice in a line counts twice: that costs a look-up at most
+            np.add.at(counts, (word_hashes(data, starts, ends) >> U64(64 - CELL_BITS)).astype(np.int64), 1)
     if counts.any():
         yield _packed(dict(enumerate(counts.reshape(-1, 1 << PART_BITS))))
 
@@ -283,19 +283,20 @@ def looked(classes: DataFrame) -> DataFrame:
                        F.shiftleft("u", PLACE_BITS).bitwiseOR(place.cast("bigint")).alias("b"), "parity", "parity2")
 
 
-#: Bits of the table of words that the second pass looks up: half a megabyte, whatever the input.
+#: Bits of a table of hashes that says what is certainly not among some keys: half a megabyte, whatever the input.
 FILTER_BITS = 1 << 22
 
 
-def _known_words(rows: DataFrame) -> Column:
-    """The test whether a packed row's word is among those of ``rows``, by a bit of its hash."""
-    bucket = lambda a: F.pmod(F.xxhash64(F.shiftright(a, 32)), F.lit(FILTER_BITS))
-    bit = lambda a: F.call_function("shiftleft", F.lit(1).cast("bigint"), (bucket(a) % 64).cast("int"))
-    place = lambda a: F.floor(bucket(a) / 64).cast("int")
-    table, a = [0] * (FILTER_BITS // 64), F.col("a")
-    for r in rows.groupBy(place(a).alias("place")).agg(F.bit_or(bit(a)).alias("bits")).collect():
+def _among(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test that holds for every value of ``column`` in ``keys``, and for few others while they are few."""
+    bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(FILTER_BITS))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), (bucket(x) % 64).cast("int"))
+    place = lambda x: F.floor(bucket(x) / 64).cast("int")
+    table, key = [0] * (FILTER_BITS // 64), F.col(column)
+    for r in keys.groupBy(place(key).alias("place")).agg(F.bit_or(bit(key)).alias("bits")).collect():
         table[r["place"]] = r["bits"]
-    return F.get(long_array(table), place(a)).bitwiseAND(bit(a)) != 0
+    bits = long_array(table)
+    return lambda x: F.get(bits, place(x)).bitwiseAND(bit(x)) != 0
 
 
 def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -341,8 +342,10 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
         key = [F.col("_id").isNotNull().alias("known"), F.coalesce("_id", F.lit(0)).alias("_id"), "_h"]
         names = ["known", "_id", "_h"]
         lists = classes.join(wanted, "u").select(*key, F.struct("line", "u").alias("x")).groupBy(*names).agg(F.collect_list("x").alias("lines"))
+        lists = written(lists, "asked")
         # rows that repeat an id and a text are asked once; both sides are dealt by the same columns
-        texts = packed(docs).select(*key, "_text").dropDuplicates(names)
+        asked = _among(lists, "_h")  # texts that are certainly not asked are not shuffled
+        texts = packed(docs.where(asked(F.col("_h")))).select(*key, "_text").dropDuplicates(names)
         return texts.join(lists, names).select("_text", "lines").mapInArrow(_wanted_sets, "u long, set binary")
 
     sets = written(sets_of(likely), "sets")
@@ -353,20 +356,21 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     late = found
     if not undecided.isEmpty():
-        two = written(looked(classes.join(undecided.select(F.col("b").alias("u")), "u", "left_semi")), "open")
-        one = looked(classes).where(_known_words(two))
-        fields = lambda x, k: x.select(
-            F.shiftright("a", 32).alias("word"), F.col("a").bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"n{k}"), F.shiftright("b", PLACE_BITS).alias(f"u{k}"),
-            F.col("b").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias(f"place{k}"), F.col("parity").alias(f"p{k}"), F.col("parity2").alias(f"q{k}"))
-        one, two_ = fields(one, 1), fields(two, 2)
+        fields = ["u", "n", "low", "high", "words"]
+        each = lambda some: some.withColumnsRenamed({"parity": "low", "parity2": "high"}).select(*fields, F.explode(F.arrays_zip("words", "places")).alias("w")).select(*fields, F.col("w.words").alias("word"), F.col("w.places").alias("place"))
+        two = written(each(classes.join(undecided.select(F.col("b").alias("u")), "u", "left_semi")), "open")
+        one = each(classes).where(_among(two, "word")(F.col("word")))
+        one, two_ = (x.select("word", *(F.col(c).alias(f"{c}{k}") for c in (*fields, "place"))) for k, x in ((1, one), (2, two)))
         common = F.ceil(F.lit(percent) * (F.col("n1") + F.col("n2")) / F.lit(100 + percent))
+        differ = F.bit_count(F.col("low1").bitwiseXOR(F.col("low2"))) + F.bit_count(F.col("high1").bitwiseXOR(F.col("high2")))
         close = (
             (one["word"] == two_["word"]) & (F.col("u1") < F.col("u2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
             & (F.least("place1", "place2") + F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) >= common)
-            & (F.bit_count(F.col("p1").bitwiseXOR(F.col("p2"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("q2"))) <= F.col("n1") + F.col("n2") - 2 * common)
+            & (differ <= F.col("n1") + F.col("n2") - 2 * common)
+            & (F.get(F.array_intersect("words1", "words2"), F.lit(0)) == one["word"])  # a pair meets in its first common word only
         )
         rest = one.join(two_, close).select(F.col("u1").alias("a"), F.col("u2").alias("b"))
-        rest = written(rest.distinct().join(likely, ["a", "b"], "left_anti"), "pairs")
+        rest = written(rest.join(likely, ["a", "b"], "left_anti"), "pairs")
         drop_written(two)
         sets = written(sets_of(rest), "sets")
         drop_written()
@@ -402,10 +406,14 @@ def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text, ident = docs[text_col], docs[id_col].cast("long").alias("_id")
     gone = later_matches(docs.select(ident, F.xxhash64(text).alias("_h"), text.alias("_text")), percent)
     gone = written(gone.groupBy("_id", "_h").agg(F.collect_set("line").alias("gone")), "removed")
-    others = F.struct(*(docs[c] for c in docs.columns if c != text_col))
-    rows = packed(docs.select(others.alias("row"), ident, F.xxhash64(text).alias("_h"), text.alias("_text")))
+    touched = _among(gone, "_h")
+    others, key = F.struct(*(docs[c] for c in docs.columns if c != text_col)).alias("row"), F.xxhash64(text)
+    rows = packed(docs.where(touched(key)).select(others, ident, key.alias("_h"), text.alias("_text")))
     joined = rows.join(gone, rows["_id"].eqNullSafe(gone["_id"]) & (rows["_h"] == gone["_h"]), "left").select("row", "_text", "gone")
-    return joined.mapInArrow(_removed, f"row {joined.schema['row'].dataType.simpleString()}, kept_text string, n_lines long, n_removed long")
+    cut = joined.mapInArrow(_removed, f"row {joined.schema['row'].dataType.simpleString()}, kept_text string, n_lines long, n_removed long")
+    n_lines = F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    # the others stay where they lie
+    return cut.unionByName(docs.where(~touched(key)).select(others, text.alias("kept_text"), n_lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:

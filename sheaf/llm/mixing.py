@@ -19,9 +19,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS, STEP_BITS = 60, 12
 
 
-def document_hash(doc_id: Column) -> Column:
-    """The first 60 bits of the MD5 of the id's decimal digits; a null id hashes as the empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def document_hash(doc_id: Column, text: Column) -> Column:
+    """The first 60 bits of the MD5 of the id's decimal digits; of the text where the id is null, so that such rows are told apart."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), text, F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -96,19 +96,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     ``size`` counts the words of the text (null: 0), ``copies`` is how often the mix takes the document (0 to
     ``most``), ``taken`` = ``size`` * ``copies``. Documents are taken whole, so a source misses its target by at
-    most half a document. The choice depends on ids and sizes alone: reruns agree, repeated rows are taken
-    alike, and rows without id share one hash. Null sources form one source. A document without words is taken no
+    most half a document. The choice depends on ids and sizes alone (without an id, on the text): reruns agree,
+    and rows that repeat an id are taken alike, as are equal texts without id. Null sources form one source. A document without words is taken no
     times; a source of such has target 0. An empty table gives an empty one.
     """
-    d = written(docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), words(docs[text_col]).alias("size"), document_hash(docs[id_col]).alias("hash")), "sizes")
+    d = written(docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), words(docs[text_col]).alias("size"), document_hash(docs[id_col], docs[text_col]).alias("hash")), "sizes")
     by = plan(d, weights, most).withColumnRenamed("source", "s")
     out = d.join(by, d["source"].eqNullSafe(by["s"])).withColumn("copies", copies(F.col("size"), F.col("hash")))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """The rows of ``docs`` that ``mix`` takes, each as often as it is taken; texts are not shuffled."""
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[source_col].alias("source"), words(docs[text_col]).alias("size"), document_hash(docs[id_col]).alias("hash"))
+    """The rows of ``docs`` that ``mix`` takes, each as often as it is taken; texts are not shuffled.
+
+    Nulls, repeated rows and empty tables: see ``mix``. All columns are kept, whatever their names.
+    """
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[source_col].alias("source"), words(docs[text_col]).alias("size"), document_hash(docs[id_col], docs[text_col]).alias("hash"))
     by = plan(rows, weights, most).withColumnRenamed("source", "s")
     taken = F.array_repeat(F.lit(True), copies(F.col("size"), F.col("hash")).cast("int"))
     return rows.join(by, rows["source"].eqNullSafe(by["s"])).select("row", F.explode(taken)).select("row.*")

@@ -198,3 +198,24 @@ def test_angles_in_quotes_and_tags_that_end_at_the_next():
     assert html.main_text('<p title="a<b" data-x=\'1 > 2\'>One, two. Three</p>') == "One, two. Three"
     assert html.main_text("<p>One, two. Three <a <b>four</b></p>") == "One, two. Three four"
     assert html.main_text("<p>One, two. Three <a href=") == "One, two. Three"
+
+
+def test_rows_without_id_are_mixed_one_by_one(spark):
+    """Half of a source's words may be taken though none of its rows has an id."""
+    rows = [(None, f"word{k} two three four", "a") for k in range(400)] + [(k, "one two", "b") for k in range(300)] + [(None, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs((r.taken or 0) - r.target) <= 4 for r in out)
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    """Rows without id and rows that repeat one are documents too; of equal rows one stays."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, text, "x"), (5, text, "x"), (3, text + " end", "y"), (None, text, "z"), (None, text, "z"), (7, "another text of its own altogether here", None), (7, "a different text under one id, also its own", None),
+            (None, None, "n"), (None, "", "n")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_dedup(spark, docs, None)
+    assert out.columns == docs.columns
+    kept = sorted((r.doc_id or -1, r.text or "") for r in out.collect())
+    assert [k for k, t in kept if t.startswith("w0")] == [3] and len([1 for k, _ in kept if k == 7]) == 2
+    assert len(kept) == 5
