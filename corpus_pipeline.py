@@ -33,9 +33,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one of the smallest id (five-word shingles, 0.8)."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of each near-duplicate group, that of the smallest id (five-word shingles, 0.8).
+
+    A row is a document by the hash of its id and text: rows without id take part, after all with one; of rows that repeat
+    both one stays. Null and blank texts are linked with nothing. An empty table gives an empty one.
+    """
+    key = F.xxhash64("doc_id", "text")
+    found = minhash.near_duplicates(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    ids = docs.select(key.alias("_key"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key.alias("_key")).alias("row"))
+    kept = found.join(ids, "_key").groupBy("component_id").agg(F.min("row").alias("row")).select(F.col("row._key").alias("_key"))
+    one = docs.withColumn("_key", key).dropDuplicates(["_key"])  # equal rows meet in their tasks before they are shuffled
+    return one.join(written(kept, "kept"), "_key", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
