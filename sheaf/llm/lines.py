@@ -136,8 +136,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         at = batch.schema.get_field_index("_text")
-        small = pa.array([None if not t.is_valid else press.compress(t.as_buffer()) for t in batch.column(at).cast(pa.binary())], pa.binary())
-        yield batch.set_column(at, "_text", small)
+        for lo in range(0, batch.num_rows, 512):
+            part = batch.slice(lo, 512)
+            small = pa.array([None if not t.is_valid else press.compress(t.as_buffer()) for t in part.column(at).cast(pa.binary())], pa.binary())
+            yield part.set_column(at, "_text", small)
 
 
 def _unpack(small: pa.Array) -> pa.Array:
@@ -342,10 +344,8 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
         key = [F.col("_id").isNotNull().alias("known"), F.coalesce("_id", F.lit(0)).alias("_id"), "_h"]
         names = ["known", "_id", "_h"]
         lists = classes.join(wanted, "u").select(*key, F.struct("line", "u").alias("x")).groupBy(*names).agg(F.collect_list("x").alias("lines"))
-        lists = written(lists, "asked")
         # rows that repeat an id and a text are asked once; both sides are dealt by the same columns
-        asked = _among(lists, "_h")  # texts that are certainly not asked are not shuffled
-        texts = packed(docs.where(asked(F.col("_h")))).select(*key, "_text").dropDuplicates(names)
+        texts = packed(docs).select(*key, "_text").dropDuplicates(names)
         return texts.join(lists, names).select("_text", "lines").mapInArrow(_wanted_sets, "u long, set binary")
 
     sets = written(sets_of(likely), "sets")
@@ -406,14 +406,10 @@ def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text, ident = docs[text_col], docs[id_col].cast("long").alias("_id")
     gone = later_matches(docs.select(ident, F.xxhash64(text).alias("_h"), text.alias("_text")), percent)
     gone = written(gone.groupBy("_id", "_h").agg(F.collect_set("line").alias("gone")), "removed")
-    touched = _among(gone, "_h")
-    others, key = F.struct(*(docs[c] for c in docs.columns if c != text_col)).alias("row"), F.xxhash64(text)
-    rows = packed(docs.where(touched(key)).select(others, ident, key.alias("_h"), text.alias("_text")))
+    others = F.struct(*(docs[c] for c in docs.columns if c != text_col))
+    rows = packed(docs.select(others.alias("row"), ident, F.xxhash64(text).alias("_h"), text.alias("_text")))
     joined = rows.join(gone, rows["_id"].eqNullSafe(gone["_id"]) & (rows["_h"] == gone["_h"]), "left").select("row", "_text", "gone")
-    cut = joined.mapInArrow(_removed, f"row {joined.schema['row'].dataType.simpleString()}, kept_text string, n_lines long, n_removed long")
-    n_lines = F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-    # the others stay where they lie
-    return cut.unionByName(docs.where(~touched(key)).select(others, text.alias("kept_text"), n_lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")))
+    return joined.mapInArrow(_removed, f"row {joined.schema['row'].dataType.simpleString()}, kept_text string, n_lines long, n_removed long")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
