@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,65 @@ def test_pieces_that_cross_markers_are_not_cut():
 
     assert not pieces.keeps_to_chunks(Crossing(), ["▁", "a▁b"])
     assert not pieces.keeps_to_chunks(Crossing(), ["▁", "a\nb"])
+
+
+# language models
+
+
+def test_kneser_ney_counted_by_hand():
+    """Cross-entropies of models of a few sentences against probabilities from plain dictionaries."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    from sheaf.llm import language
+
+    texts = {"x": ["The cat sat on the mat.", "A cat; a hat! That", "é"], "y": ["der hund und der mond", "Das und dies, und der Rest", "so so"]}
+    order, langs = 3, ["x", "y"]
+    lead = " " * (order - 1)
+
+    def letters(text):
+        return lead + re.sub(" +", " ", "".join(c.lower() if c.isalpha() else " " for c in text)).lstrip(" ")
+
+    levels = {}
+    for lang in langs:
+        top = Counter()
+        for t in map(letters, texts[lang]):
+            top.update(t[i - order + 1 : i + 1] for i in range(order - 1, len(t)))
+        by = [top]
+        while len(by) < order:
+            by.insert(0, Counter(g[1:] for g in by[0]))  # distinct left neighbours
+        levels[lang] = by
+    alphabet = len({g for lang in langs for g in levels[lang][0]}) + 1
+
+    def probability(lang, gram):
+        if not gram:
+            return 1 / alphabet
+        counts = levels[lang][len(gram) - 1]
+        ones, twos = (sum(v == k for v in counts.values()) for k in (1, 2))
+        discount = min(max(ones / max(1, ones + 2 * twos), 0.1), 0.95)
+        after = [v for g, v in counts.items() if g[:-1] == gram[:-1]]
+        lower = probability(lang, gram[1:])
+        if not after:
+            return lower
+        return max(counts.get(gram, 0) - discount, 0) / sum(after) + discount * len(after) / sum(after) * lower
+
+    rows = defaultdict(list)
+    for k, lang in enumerate(langs):
+        grams, number = language.counted_grams(texts[lang], order)
+        rows["owner"].append(np.full(len(number), k))
+        rows["grams"].append(grams)
+        rows["n"].append(number)
+    models = language.estimate(langs, *(np.concatenate(rows[c]) for c in ("owner", "grams", "n")))
+    asked = ["The hat sat", "und der hund", "zebra q", "mat", "x" * 30, "a, b... c"]
+    got, n = models.cross_entropies(asked)
+    for text, entropies, size in zip(asked, got, n):
+        t = letters(text)
+        places = range(order - 1, len(t))
+        assert size == len(places)
+        for k, lang in enumerate(langs):
+            want = -sum(log(probability(lang, t[i - order + 1 : i + 1])) for i in places) / len(places)
+            assert abs(want - entropies[k]) < 1e-4, (text, lang)
+    for lang in langs:  # probabilities after any context sum to one over the alphabet (one character stands for all unseen)
+        known = {g for other in langs for g in levels[other][0]}
+        for context in ("", "t", "th", "de", "qq"):
+            assert abs(sum(probability(lang, context + c) for c in known) + probability(lang, context + "\0") - 1) < 1e-9
