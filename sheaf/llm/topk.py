@@ -103,6 +103,8 @@ def _meet(k: int):
 
 
 _LOWEST = -(1 << 62)
+#: Copies of the blocks of longest vectors, which every query meets first.
+SALTS = 64
 
 
 def top_products(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -110,7 +112,8 @@ def top_products(vectors: DataFrame, k: int = 20, every: int = 20, scale: int =
 
     Components become floor(``scale`` * x); the score is their inner product; ties go to the smaller id. Vectors
     that are null or empty, or hold a null or non-finite component, take no part, nor do rows without id. Rows that
-    repeat an id with an equal vector count once, and an id is not its own neighbour. Vectors of different
+    repeat an id with an equal vector count once, those with different vectors are
+    ranked together, so an id may come once for each; an id is not its own neighbour. Vectors of different
     dimensions do not meet. Fewer than k candidates are all returned; an empty table gives an empty one. Other
     columns are not looked at.
     """
@@ -129,15 +132,21 @@ def top_products(vectors: DataFrame, k: int = 20, every: int = 20, scale: int =
     asked = rows.where(F.col("id") % every == 0)
     parts = asked.count() // QUERY_BLOCK + 1
 
-    def meet(bounded: DataFrame, against: DataFrame) -> DataFrame:
-        """Candidates of all queries (``id``, ``v``, ``dim``, ``length``, ``bound``) among the blocks listed."""
+    def meet(bounded: DataFrame, against: DataFrame, salts: int = 1) -> DataFrame:
+        """Candidates of all queries (``id``, ``v``, ``dim``, ``length``, ``bound``) among the blocks listed.
+
+        Few blocks are copied ``salts`` times, so that the query blocks that all meet them are spread.
+        """
         needed = F.when(F.col("bound") > 0, F.col("bound") / F.col("length")).otherwise(float("-inf"))
         packed = bounded.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts))).groupBy("dim", "part").agg(F.collect_list(F.struct("id", "v", "bound")).alias("queries"), F.min(needed).alias("needed"))
-        sent = packed.join(against.select("dim", "no", "longest"), "dim").where(F.col("longest") * (1 + SLACK) >= F.col("needed")).select("no", "queries")
-        return sent.join(blocks.select("no", "vectors"), "no").select("queries", "vectors").mapInArrow(_meet(k), "query_id long, vec_id long, score long")
+        sent = packed.join(against.select("dim", "no", "longest"), "dim").where(F.col("longest") * (1 + SLACK) >= F.col("needed"))
+        sent = sent.select("no", F.pmod("part", F.lit(salts)).cast("int").alias("salt"), "queries")
+        held = blocks.select("no", "vectors") if salts == 1 else blocks.select("no", "vectors").join(against.select("no"), "no", "left_semi")
+        held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return sent.join(held, ["no", "salt"]).select("queries", "vectors").mapInArrow(_meet(k), "query_id long, vec_id long, score long")
 
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    first = meet(asked.withColumn("bound", F.lit(_LOWEST)), known.where(F.col("before") < 4 * k + 1))
+    first = meet(asked.withColumn("bound", F.lit(_LOWEST)), known.where(F.col("before") < 4 * k + 1), salts=min(parts, SALTS))
     bounds = first.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
     bounded = written(asked.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(_LOWEST))), "queries")
     return meet(bounded, known).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
