@@ -42,8 +42,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
     ids = docs.select(key.alias("_key"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key.alias("_key")).alias("row"))
     kept = found.join(ids, "_key").groupBy("component_id").agg(F.min("row").alias("row")).select(F.col("row._key").alias("_key"))
-    one = docs.withColumn("_key", key).dropDuplicates(["_key"])  # equal rows meet in their tasks before they are shuffled
-    return one.join(written(kept, "kept"), "_key", "left_semi").select(*docs.columns)
+    rows, repeated = docs.withColumn("_key", key), written(ids.groupBy("_key").count().where("count > 1").select("_key"), "repeated")
+    if not repeated.isEmpty():  # only rows that come again are gathered by key; equal ones meet in their tasks first
+        again = rows.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
+        rows = rows.join(repeated, "_key", "left_anti").unionByName(again)
+    return rows.join(written(kept, "kept"), "_key", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
