@@ -27,7 +27,7 @@ from sheaf.llm.common import written
 
 GROUP = 20_000
 #: Word ids that one worker remembers; beyond it the memory is emptied.
-MEMO = 1_200_000
+MEMO = 900_000
 #: White space at an end of a text, two in a row, or any but a space and a line feed (all that Python's ``isspace`` holds).
 _SPACE = r"\t\n\v\f\r\x1c-\x1f\x{85}\p{Z}"
 _ODD_SPACE = rf"\A[{_SPACE}]|[{_SPACE}]\z|[{_SPACE}][{_SPACE}]|[\t\v\f\r\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]"
