@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions import textclean as T
-from sheaf.functions.text import contains_any, ustrip
+from sheaf.functions.text import contains_any, let, ustrip
 from sheaf.rules import defaults as D
 from sheaf.rules.dialect import java_pattern, required_literals, sub
 
@@ -31,13 +31,10 @@ def folded(col: Column) -> Column:
 def fold_expr(col: Column, rules, flags: str | None = None, guard: Column | None = None) -> Column:
     """Apply ``rules`` to ``col`` in order, skipping passes that cannot match, as one expression.
 
-    The fold is an ``aggregate`` over the pass indices whose accumulator holds
-    the current text, a "dirty" flag, the text lower-cased once, and the
-    guard; each step evaluates exactly one pass (a ``CASE`` on the index).
-    While no pass has changed a row, the lower-cased copy is still current and
-    serves every pre-check; once a pass has changed the row, all later
-    passes run unconditionally, because a replacement may create new
-    occurrences.  Exact either way, and the plan stays one projection.
+    The fold is an ``aggregate`` over the pass indices whose accumulator holds the current text, that text folded once
+    for all pre-checks, and the guard; each step evaluates exactly one pass (found by halving). A pass that changes the
+    text folds the new one, so every pre-check is made on the text as it is then: exact, and a changed row is not put
+    through all later passes. A pass without known literals always runs.
     """
     passes = []
     for rule in rules:
@@ -49,21 +46,22 @@ def fold_expr(col: Column, rules, flags: str | None = None, guard: Column | None
         passes.append((pattern, repl, fl, required_literals(pattern)))
     if not passes:
         return col
-    init = F.struct(col.alias("t"), F.lit(False).alias("d"), folded(col).alias("low"),
-                    (guard if guard is not None else F.lit(True)).alias("g"))
-
-    def step(acc, i):
-        t, d, low, g = acc["t"], acc["d"], acc["low"], acc["g"]
-        out = None
-        for k, (pattern, repl, fl, lits) in enumerate(passes):
-            expr = sub(t, pattern, repl, fl)
-            cond = g & (d | contains_any(low, lits)) if lits else g
-            nxt = F.struct(F.when(cond, expr).otherwise(t).alias("t"),
-                           (d | (cond & (expr != t))).alias("d"), low.alias("low"), g.alias("g"))
-            out = F.when(i == k, nxt) if out is None else out.when(i == k, nxt)
-        return out.otherwise(acc)
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(passes) - 1)), init, step, lambda acc: acc["t"])
+    init = F.struct(col.alias("t"), folded(col).alias("low"), (guard if guard is not None else F.lit(True)).alias("g"))
+
+    def one(acc, k):
+        pattern, repl, fl, lits = passes[k]
+        t, low, g = acc["t"], acc["low"], acc["g"]
+        done = let(sub(t, pattern, repl, fl), lambda new: F.struct(
+            new.alias("t"), F.when(new == t, low).otherwise(folded(new)).alias("low"), g.alias("g")))
+        return F.when(g & contains_any(low, lits) if lits else g, done).otherwise(acc)
+
+    def step(acc, i, lo=0, hi=len(passes)):
+        if hi - lo == 1:
+            return one(acc, lo)
+        mid = (lo + hi) // 2
+        return F.when(i < mid, step(acc, i, lo, mid)).otherwise(step(acc, i, mid, hi))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(passes) - 1)), init, lambda acc, i: step(acc, i), lambda acc: acc["t"])
 
 
 def fold_stage(df: DataFrame, col: str, rules, flags: str | None = None, guard: Column | None = None) -> DataFrame:

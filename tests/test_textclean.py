@@ -99,3 +99,21 @@ def test_prechecks_fold_special_letters_like_the_passes(spark):
     a = S.filter_off_topic_stage(df, "v", "o", "q").orderBy("i").select("o").collect()
     b = df.orderBy("i").select(T.filter_off_topic(F.col("v"), F.col("q")).alias("o")).collect()
     assert a == b
+
+
+def test_a_changed_row_skips_passes_that_cannot_match(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from sheaf.operators.textstages import fold_expr
+
+    rules = [("zebra", "ox"), (r"[^.]*needle[^.]*\.\s*", ""), ("ox", "needle"), (r"[^.]*needle\b[^.]*\.\s*", "cut")]
+    long = "zebra" + "a " * 150_000
+    df = spark.createDataFrame([(1, "a zebra. b needle. c"), (2, long), (3, None)], "id long, t string")
+    began = time.time()
+    few = {r.id: r.t for r in df.select("id", fold_expr(F.col("t"), rules[:2]).alias("t")).collect()}
+    assert few == {1: "a ox.c", 2: "ox" + long[5:], 3: None}
+    assert time.time() - began < 30
+    short = df.where("id = 1").select(fold_expr(F.col("t"), rules).alias("t")).first().t
+    assert short == "cutc"      # the literal that a later pass needs was made by an earlier one
