@@ -3,8 +3,10 @@
 A ``when`` chain (``functions.text.first_label``) tests every rule on every text, which serves tens of rules. Here the
 rules are a table of any size, and the test is an equi-join over an inverted index of grams (runs of q characters):
 
-1. Every keyword is filed under one of its own grams, the one that the fewest texts hold. A keyword shorter than q is
-   its own gram, so texts are cut at each length that occurs (the empty keyword is held by every text).
+1. Every keyword is filed under one of its own grams, the one that the fewest texts hold by a table of counters of fixed
+   size: each keyword picks it where it is read, so only (gram, rule) is written, once a keyword. Keywords of 2q characters
+   or more use grams of 2q; one shorter than q is its own gram. Texts are cut at each length that occurs (the empty
+   keyword is held by every text).
 2. Texts are cut into their distinct grams. A table of fixed size says which gram hashes the keywords have at
    all; only grams that pass it are shuffled, as (text key, gram).
 3. The join on the gram gives the few rules a text can contain; ``contains`` decides on the text itself, and
@@ -26,6 +28,8 @@ from sheaf.session import stored
 GRAM = 4
 #: Bits of the table of gram hashes: 128 KB in the plan, whatever the number of keywords.
 FILTER_BITS = 1 << 20
+#: Counters of texts by gram hash, a constant array of the plan whatever the data.
+COUNTERS = 1 << 17
 
 
 def grams(text: Column, size: int) -> Column:
@@ -43,6 +47,10 @@ def _bucket(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(FILTER_BITS))
 
 
+def _counter(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(COUNTERS)).cast("int")
+
+
 def _place(gram: Column) -> Column:
     return F.floor(_bucket(gram) / 64).cast("int")
 
@@ -65,20 +73,33 @@ def _gram_bits(index: DataFrame) -> list[int]:
     return table
 
 
+def _gram_size(keyword: Column, q: int) -> Column:
+    """Characters of the gram that files a keyword: twice ``q`` where it is so long (few other texts hold such a run), ``q``, or all of it."""
+    n = F.length(keyword)
+    return F.when(n >= 2 * q, 2 * q).otherwise(F.least(n, F.lit(q)))
+
+
+def _text_counts(texts: DataFrame, sizes: list[int]) -> list[int]:
+    """How many texts hold a gram of each hash: at most ``COUNTERS`` rows come to the driver. A shared hash only counts higher."""
+    counts = [0] * COUNTERS
+    places = F.explode(F.transform(all_grams(F.col("text"), sizes), _counter))
+    for r in texts.select(places.alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["place"]] = r["n"]
+    return counts
+
+
 def _index(rules: DataFrame, texts: DataFrame, gram_size: int) -> tuple[DataFrame, list[int]]:
     """(``gram``, ``priority``, ``keyword``, ``label``) and the gram lengths in use; a keyword under the gram that fewest texts hold."""
-    sizes = sorted(r["s"] for r in rules.select(F.least(F.length("keyword"), F.lit(gram_size)).alias("s")).distinct().collect())
-    per_size = [rules.where(F.least(F.length("keyword"), F.lit(gram_size)) == s).withColumn("gram", F.explode(grams(F.col("keyword"), s))) for s in sizes]
-    spread = per_size[0]
-    for more in per_size[1:]:
-        spread = spread.unionByName(more)
-    spread = stored(spread, "keyword-grams")
-    passes = _passes(_gram_bits(spread))
-    held = texts.select(F.explode(F.filter(all_grams(F.col("text"), sizes), passes)).alias("gram")).groupBy("gram").agg(F.count("*").alias("texts"))
-    counted = spread.join(held, "gram", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
-    # a keyword with a gram that no text holds is in no text
-    rare = counted.groupBy("priority", "keyword", "label").agg(F.min(F.struct("texts", "gram")).alias("rare")).where("rare.texts > 0")
-    return rare.select("rare.gram", "priority", "keyword", "label"), sizes
+    size = _gram_size(F.col("keyword"), gram_size)
+    sizes = sorted(r["s"] for r in rules.select(size.alias("s")).distinct().collect())
+    own = F.lit(None).cast("array<string>")
+    for s in sizes:
+        own = F.when(size == s, grams(F.col("keyword"), s)).otherwise(own)
+    table = long_array(_text_counts(texts, sizes))
+    rare = F.array_min(F.transform(own, lambda g: F.struct(F.get(table, _counter(g)).alias("texts"), g.alias("gram"))))
+    # a keyword with a gram that no text holds is in no text: it is dropped where it is read
+    filed = rules.select(rare.alias("rare"), "priority", "keyword", "label").where("rare.texts > 0")
+    return filed.select("rare.gram", "priority", "keyword", "label").distinct(), sizes
 
 
 def first_labels(df: DataFrame, text_col: str, rules: DataFrame, out_col: str = "label", default: str | None = None, gram_size: int = GRAM) -> DataFrame:
@@ -89,9 +110,10 @@ def first_labels(df: DataFrame, text_col: str, rules: DataFrame, out_col: str =
     contains no keyword, gets ``default``; rules with a null keyword or priority never match; an empty rule
     table gives ``default`` throughout. Equal to ``functions.text.first_label`` with the rules in that order.
     """
-    rules = rules.select("priority", "keyword", "label").where("keyword IS NOT NULL AND priority IS NOT NULL").distinct()
+    rules = rules.select("priority", "keyword", "label").where("keyword IS NOT NULL AND priority IS NOT NULL")
     name, key = F.col(text_col), "_text_key"
     rows = df.withColumn(key, F.unhex(F.md5(name)))
+    rules = stored(rules, "keyword-rules")
     if rules.isEmpty():
         return df.withColumn(out_col, F.lit(default).cast("string"))
     texts = stored(rows.where(name.isNotNull()).select(key, name.alias("text")).dropDuplicates([key]), "keyword-texts")

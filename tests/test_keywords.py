@@ -51,3 +51,19 @@ def test_a_hundred_thousand_keywords(spark):
     df = spark.range(2000).select("id", F.concat(F.lit("has key"), F.col("id") * 37, F.lit("! and key"), F.col("id") * 11, F.lit("! inside")).alias("text"))
     got = {r.id: r.label for r in keywords.first_labels(df, "text", rules).collect()}
     assert got == {k: str(min(k * 37, k * 11) if k * 37 < 100_000 else k * 11) for k in range(2000)}
+
+
+def test_one_row_a_keyword_is_written(spark, monkeypatch):
+    rows, real = {}, keywords.stored
+
+    def counting(df, name):
+        out = real(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(keywords, "stored", counting)
+    rules = spark.range(3000).select(F.col("id").alias("priority"), F.concat(F.lit("a phrase of words "), F.col("id")).alias("keyword"), F.lit("x").alias("label"))
+    df = spark.createDataFrame([("has a phrase of words 17 in it",), ("a phrase of words",), (None,)], "text string")
+    got = [r.label for r in keywords.first_labels(df, "text", rules.unionByName(rules), default="none").collect()]
+    assert sorted(got) == ["none", "none", "x"]
+    assert rows["keyword-rules"] == 6000 and rows["keyword-index"] <= 30 and sum(rows.values()) < 6100
