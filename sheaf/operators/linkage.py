@@ -8,7 +8,11 @@ Candidates come from an equi-join on rare words. Sequences n and m words long wi
 max(n, m) - d words, repeats counted; so, with the words of every question in one common order, they share
 one of their first d + 1 (``share`` below 1/2, so a prefix never outgrows its question). The order is by
 frequency, rarest first: hot words are nearly never joined on. Frequencies are counters of hashed words in a table of fixed size, which
-a task holds as an array; a collision only makes a word look more frequent. Every candidate is verified by its word edit distance.
+a task holds as an array; a collision only makes a word look more frequent.
+
+Most rows that meet in a word are far apart otherwise, so each carries a sketch of its words: bit ``k`` says whether an odd
+number of them hash to ``k``. One edit turns at most two of its 128 bits, so a pair whose sketches differ in more than twice its
+edits goes at once, before any words are fetched. Every candidate left is verified by its word edit distance.
 """
 
 from __future__ import annotations
@@ -23,8 +27,10 @@ from pyspark.sql import functions as F
 from sheaf.operators.vectors import tokens
 from sheaf.session import stored
 
-#: Counters of hashed words (half a megabyte in every task, whatever the data).
-COUNTERS = 1 << 16
+#: Counters of hashed words (four megabytes in every task, whatever the data).
+COUNTERS = 1 << 20
+#: Bits of a sketch, in two halves.
+SKETCH = 128
 
 
 def question_key(question) -> Column:
@@ -34,19 +40,25 @@ def question_key(question) -> Column:
 
 
 def word_edits(a: list[str], b: list[str]) -> int:
-    """Word edit distance of two sequences, one NumPy row a word."""
+    """Word edit distance of two sequences, a column of the table at once as the bits of numbers (steps up, steps down)."""
     if len(a) < len(b):
         a, b = b, a
-    names = {w: k for k, w in enumerate(dict.fromkeys(b))}
-    right = np.array([names[w] for w in b], np.int64)
-    step = np.arange(len(b) + 1)
-    row = step.copy()
-    for i, w in enumerate(a, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        np.minimum(row[1:] + 1, row[:-1] + (right != names.get(w, -1)), out=new[1:])
-        row = np.minimum.accumulate(new - step) + step  # insertions run along the row
-    return int(row[-1])
+    if not b:
+        return len(a)
+    places: dict[str, int] = {}
+    for j, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << j
+    full, last, distance = (1 << len(b)) - 1, 1 << len(b) - 1, len(b)
+    up, down = full, 0
+    for w in a:
+        hit = places.get(w, 0)
+        steady = hit | down
+        level = (((hit & up) + up) ^ up) | hit
+        right_up, right_down = (down | ~(level | up)) & full, up & level
+        distance += (right_up & last > 0) - (right_down & last > 0)
+        right_up, right_down = (right_up << 1 | 1) & full, right_down << 1 & full
+        up, down = (right_down | ~(steady | right_up)) & full, right_up & steady
+    return distance
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
@@ -79,20 +91,22 @@ def edit_budget(share: float, n: Column) -> Column:
 
 def _prefixes(share: float, counters):
     """The first words of each question in the common order, as many as any partner calls for."""
-    schema = pa.schema([("key", pa.binary()), ("n", pa.int32()), ("asked", pa.bool_()), ("known", pa.bool_()), ("word", pa.int64())])
+    schema = pa.schema([("key", pa.binary()), ("n", pa.int32()), ("asked", pa.bool_()), ("known", pa.bool_()), ("low", pa.int64()), ("high", pa.int64()), ("word", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counters.value
         for batch in batches:
             out: list[tuple] = []
             for key, asked, known, hashes in zip(*(batch.column(c).to_pylist() for c in ("key", "asked", "known", "hashes"))):
-                n, seen, places = len(hashes), {}, []
+                n, seen, places, sketch = len(hashes), {}, [], 0
                 for h in hashes:  # the second "the" of a question is a word of its own, after every first one in rarity
+                    sketch ^= 1 << (h >> 24) % SKETCH
                     again = seen[h] = seen.get(h, -1) + 1
                     places.append((int(counts[h % COUNTERS]) >> again, h + again * 0x9E3779B97F4A7C15 & 0x7FFFFFFFFFFFFFFF))
                 longest = int(n / (1 - share) + 1e-9)
                 prefix = int(share * longest + 1e-9) + 1
-                out += [(key, n, asked, known, w) for _, w in sorted(places)[:prefix]]
+                low, high = (x - (x >> 63 << 64) for x in (sketch & (1 << 64) - 1, sketch >> 64))
+                out += [(key, n, asked, known, low, high, w) for _, w in sorted(places)[:prefix]]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
@@ -123,15 +137,18 @@ def link_questions(asked: DataFrame, known: DataFrame, share: float = 0.2, asked
 
     hashes = F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 63) - 1)))
     hashed = classes.select("key", "asked", "known", hashes.alias("hashes"))
-    counts = np.zeros(COUNTERS, np.int64)
-    for r in hashed.select(F.explode("hashes").alias("h")).groupBy((F.col("h") % COUNTERS).alias("bucket")).count().collect():
-        counts[r["bucket"]] = r["count"]
+    counts = np.zeros(COUNTERS, np.int32)
+    buckets = hashed.select(F.explode("hashes").alias("h")).groupBy((F.col("h") % COUNTERS).cast("int").alias("bucket")).count()
+    buckets = buckets.select("bucket", F.least(F.col("count"), F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()  # a row a counter at most
+    counts[np.asarray(buckets["bucket"])] = np.asarray(buckets["n"])
     counters = spark.sparkContext.broadcast(counts)
-    prefixes = hashed.mapInArrow(_prefixes(share, counters), "key binary, n int, asked boolean, known boolean, word long")
+    prefixes = hashed.mapInArrow(_prefixes(share, counters), "key binary, n int, asked boolean, known boolean, low long, high long, word long")
     prefixes = stored(prefixes, "question-prefixes")  # read from both sides of the join
-    left = prefixes.where("asked AND NOT known").select("word", "key", "n")
-    right = prefixes.where("known").select("word", F.col("key").alias("known_key"), F.col("n").alias("m"))
-    near = F.abs(F.col("n") - F.col("m")) <= edit_budget(share, F.greatest("n", "m"))
+    left = prefixes.where("asked AND NOT known").select("word", "key", "n", "low", "high")
+    right = prefixes.where("known").select("word", F.col("key").alias("known_key"), F.col("n").alias("m"), F.col("low").alias("known_low"), F.col("high").alias("known_high"))
+    budget = edit_budget(share, F.greatest("n", "m"))
+    turned = sum(F.bit_count(F.col(half).bitwiseXOR(F.col(f"known_{half}"))) for half in ("low", "high"))
+    near = (F.abs(F.col("n") - F.col("m")) <= budget) & (turned <= 2 * budget)
     pairs = left.join(right, "word").where(near).select("key", "known_key").distinct()
 
     ask = classes.select("key", F.col("words").alias("left"))

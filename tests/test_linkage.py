@@ -82,3 +82,30 @@ def test_json_arrays_are_read_back(spark, tmp_path):
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
     readers.write_json_arrays(df.limit(0), str(tmp_path / "none"))
     assert readers.read_eval_set(spark, str(tmp_path / "none")).where(F.col("q").isNotNull()).count() == 0
+
+
+def test_sketches_tell_far_questions_apart():
+    """A pair within d edits differs in 2 * d bits at most; questions that share little but a rare word differ in more and are never fetched."""
+    import types
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    close = []
+    for _ in range(200):
+        a = [rng.getrandbits(62) for _ in range(rng.randint(5, 40))]
+        b = list(a)
+        for _ in range(rng.randint(0, int(0.2 * len(a)))):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 1)] = [rng.choice([*a, rng.getrandbits(62)])] * rng.randint(0, 1)
+        close.append((a, b))
+    rare = rng.getrandbits(62)
+    far = [[rare, *(rng.getrandbits(62) for _ in range(29))] for _ in range(40)]
+    lists = [x for pair in close for x in pair] + far
+    batch = pa.RecordBatch.from_pydict({"key": [b"%d" % k for k in range(len(lists))], "asked": [True] * len(lists), "known": [False] * len(lists), "hashes": lists})
+    got = linkage._prefixes(0.2, types.SimpleNamespace(value=[0] * linkage.COUNTERS))(iter([batch]))
+    sketch = {r["key"]: (r["low"] % (1 << 64), r["high"] % (1 << 64)) for b in got for r in b.to_pylist()}
+    turned = lambda i, j: sum((x ^ y).bit_count() for x, y in zip(sketch[b"%d" % i], sketch[b"%d" % j]))
+    assert all(turned(2 * k, 2 * k + 1) <= 2 * edits(a, b) for k, (a, b) in enumerate(close))
+    first = 2 * len(close)
+    assert all(turned(first, first + k) > 2 * 6 for k in range(1, len(far)))
