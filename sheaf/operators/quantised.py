@@ -5,9 +5,10 @@ replaced by the nearest of ``words`` codewords, so a vector of doubles becomes o
 fitted on a bounded sample (``sample`` rows of the smallest id hash); then every row is encoded, in tasks. Equal vectors
 are encoded once, under the smallest id.
 
-Searching: a query visits its ``probes`` best cells. There it meets codes only, and its inner product with each
-is a sum of ``parts`` table entries, computed once a query. The ``short`` best per query are fetched and scored exactly, and their
-equal vectors are counted in. Cells are cut into blocks by size and never truncated.
+Searching: a query visits its ``probes`` best cells. There it meets codes only: a task reads its codes where they lie, decodes
+a few thousand of one cell at once and multiplies them with the queries that visit it (for runs of two numbers a part that is less
+work than adding up a table entry a part). The ``short`` best per query are fetched and scored exactly, and their
+equal vectors are counted in. Cells are never truncated.
 
 An index is a folder of Parquet tables that any session can open:
 
@@ -22,10 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheaf.operators import vectors as V
+from sheaf.session import stored
 
 
 def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -73,9 +76,9 @@ class Quantiser:
         rest = self.cut(x - self.centroids[cells])
         return cells, np.stack([_nearest(rest[:, p], book) for p, book in enumerate(self.books)], axis=1).astype(np.uint8)
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """queries x parts x words: what a codeword adds to the inner product."""
-        return np.einsum("qpd,pwd->qpw", self.cut(q), self.books)
+    def decode(self, cell: int, code: np.ndarray) -> np.ndarray:
+        """What codes of one cell stand for: its centroid and their codewords."""
+        return self.centroids[cell] + self.books[np.arange(len(self.books)), code].reshape(len(code), -1)[:, : self.centroids.shape[1]]
 
 
 def fit(sample: np.ndarray, cells: int, parts: int, words: int, seed: int) -> Quantiser:
@@ -115,6 +118,7 @@ def build_index(corpus: DataFrame, path: str, cells: int = 128, parts: int = 32,
     if not 1 <= words <= 256:
         raise ValueError("words must lie between 1 and 256: a code is one byte a part")
     rows = corpus.select(F.col(c_id).cast("long").alias("cid"), _vector(c_vec).alias("vector"))
+    rows = stored(rows, "index-input")  # a filter on vectors that are still to be made would make them twice
     rows = rows.where("cid IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL OR isnan(x))")
     rows.withColumn("key", F.xxhash64("vector")).write.mode("overwrite").parquet(f"{path}/rows")
     rows = rows.sparkSession.read.parquet(f"{path}/rows")
@@ -161,52 +165,38 @@ def open_index(spark: SparkSession, path: str) -> Index:
     return Index(quantiser, *(spark.read.parquet(f"{path}/{t}") for t in ("codes", "vectors", "members")))
 
 
-def _best_codes(quantiser: Quantiser, short: int):
-    """The ``short`` best codes of a block of one cell for each query of a block, by table look-ups."""
+def _code_rows(quantiser: Quantiser, probes: int):
+    """``meeting`` for ``vectors.scanned``: what the codes of a cell stand for meets the queries that visit the cell."""
 
-    def score(queries: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(codes):
-            return pd.DataFrame({"qid": queries["qid"].iloc[:0], "cid": codes["cid"].iloc[:0], "score": np.empty(0)})
-        centroid = quantiser.centroids[int(codes["cell"].iloc[0])]
-        code = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), -1)
-        cid, out = codes["cid"].to_numpy(np.int64), []
-        for lo in range(0, len(queries), 256):
-            part = queries.iloc[lo : lo + 256]
-            q = V._stack(part["qvec"])
-            tables = quantiser.tables(q)
-            s = np.repeat((q @ centroid)[:, None], len(code), axis=1)
-            for p in range(code.shape[1]):
-                s += tables[:, p, code[:, p]]
-            k = min(short, len(code))
-            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            out.append(pd.DataFrame({"qid": np.repeat(part["qid"].to_numpy(), k), "cid": cid[top].reshape(-1), "score": np.take_along_axis(s, top, 1).reshape(-1)}))
-        return pd.concat(out, ignore_index=True)
+    def visits(x: np.ndarray) -> np.ndarray:
+        half = (quantiser.centroids**2).sum(axis=1) / 2
+        return np.argsort(half - x @ quantiser.centroids.T, axis=1, kind="stable")[:, :probes]
 
-    return score
+    def meeting(vectors: np.ndarray):
+        visitors = V.in_cells(visits(vectors))
 
+        def meet(nearest: V.Nearest, batch: pa.RecordBatch) -> None:
+            cells, cid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "cid"))
+            code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(cid), -1)
+            for cell, own in V.in_cells(cells[:, None]).items():
+                if cell in visitors:
+                    for lo in range(0, len(own), nearest.ROWS):
+                        some = own[lo : lo + nearest.ROWS]
+                        nearest.meet(quantiser.decode(cell, code[some]), cid[some], visitors[cell])
 
-def index_top_k(queries: DataFrame, index: Index, k: int, probes: int = 12, short: int = 40, q_id: str = "qid", q_vec: str = "qvec", block_rows: int = 4096) -> DataFrame:
+        return meet
+
+    return meeting
+
+
+def index_top_k(queries: DataFrame, index: Index, k: int, probes: int = 12, short: int = 40, q_id: str = "qid", q_vec: str = "qvec") -> DataFrame:
     """(``qid``, ``rank``, ``cid``, ``score``): about the k best rows per query; scores are exact.
 
     ``probes`` cells are visited by codes, ``short`` (at least k) vectors a query are scored. Equal vectors rank by id, as
     many as k of them. Queries without a vector get no rows; a query whose cells hold fewer than k rows gets fewer.
     """
-    q = queries.select(F.col(q_id).alias("qid"), _vector(q_vec).alias("qvec")).where("qvec IS NOT NULL")
-    quantiser = index.quantiser
-
-    def visits(batches):
-        for pdf in batches:
-            if len(pdf):
-                x = V._stack(pdf["qvec"])
-                n = min(probes, len(quantiser.centroids))
-                half = (quantiser.centroids**2).sum(axis=1) / 2
-                cells = np.argsort(half - x @ quantiser.centroids.T, axis=1, kind="stable")[:, :n]
-                yield pd.DataFrame({"qid": np.repeat(pdf["qid"].to_numpy(), n), "qvec": np.repeat(pdf["qvec"].to_numpy(), n), "cell": cells.reshape(-1).astype(np.int64)})
-
-    kind = q.schema["qid"].dataType.simpleString()
-    visited = q.mapInPandas(visits, f"qid {kind}, qvec array<double>, cell long")
-    found = V.by_blocks(visited, index.codes, _best_codes(quantiser, max(short, k)), "cell", block_rows, ["qid", "qvec"], ["cid", "code"])
-    near = V.rank_candidates(found, max(short, k), dedupe=False).select("qid", "cid")
+    q = stored(queries.select(F.col(q_id).alias("qid"), _vector(q_vec).alias("qvec")).where("qvec IS NOT NULL"), "asked")
+    near = V.scanned(q, index.codes, max(short, k), _code_rows(index.quantiser, probes)).select("qid", "cid")
     exact = near.join(index.vectors, "cid").join(q, "qid").select("qid", F.col("cid").alias("rep"), V.dot("qvec", "vector").alias("score"))
     best = V.rank_candidates(exact.withColumnRenamed("rep", "cid"), k, dedupe=False).select("qid", F.col("cid").alias("rep"), "score")
     first = Window.partitionBy("rep").orderBy("cid")

@@ -22,8 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.operators.vectors import l2_normalize, tokens
+from sheaf.rules.dialect import java_pattern
 from sheaf.session import stored
 
+#: A text that matches has a token (``vectors.tokens``).
+TOKEN = r"[\p{L}\p{N}]"
 #: Tokens that are summed up at once in a task.
 SLICE = 1 << 15
 
@@ -82,8 +85,9 @@ def _product(matrix: DataFrame, right: np.ndarray) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([s.tobytes() for s in total.values()], pa.binary())], names=["i", "v"])
 
     out = np.zeros((n, k))
-    for r in matrix.mapInArrow(run, "i int, v binary").toLocalIterator():
-        out[r["i"]] += np.frombuffer(r["v"], np.float64)
+    sums = matrix.mapInArrow(run, "i int, v binary").toArrow()  # a row a token and task; all tasks run at once
+    for i, v in zip(sums["i"].to_pylist(), sums["v"]):
+        out[i] += np.frombuffer(v.as_buffer(), np.float64)
     shared.destroy()
     return out
 
@@ -158,7 +162,7 @@ def train(texts: DataFrame, text_col: str = "text", dimensions: int = 384, vocab
     best = np.argsort(-values)[: min(k, dimensions)]
     vectors = (thin @ inside[:, best]) * np.maximum(values[best], 0) ** power
     vectors = np.pad(vectors, ((0, 0), (0, dimensions - vectors.shape[1])))
-    texts_n = max(1, texts.where(F.size(tokens(F.col(text_col))) > 0).count())
+    texts_n = max(1, texts.where(F.lower(F.col(text_col)).rlike(java_pattern(TOKEN))).count())
     return Encoder(names, vectors, np.log1p(texts_n / table["df"].to_numpy(float)))
 
 
