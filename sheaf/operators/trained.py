@@ -27,8 +27,8 @@ from sheaf.session import stored
 
 #: A text that matches has a token (``vectors.tokens``).
 TOKEN = r"[\p{L}\p{N}]"
-#: Tokens that are summed up at once in a task.
-SLICE = 1 << 15
+#: Tokens that are summed up at once in a task, and tokens whose pairs are counted at once.
+SLICE, PAIRS = 1 << 15, 1 << 18
 
 
 def vocabulary_table(texts: DataFrame, text_col: str, size: int) -> DataFrame:
@@ -38,29 +38,33 @@ def vocabulary_table(texts: DataFrame, text_col: str, size: int) -> DataFrame:
     return texts.sparkSession.createDataFrame([(r["token"], k, r["df"]) for k, r in enumerate(rows)], "token string, place int, df long")
 
 
-def _places(names: pa.Array):
-    """An Arrow UDF: the place of each token of a list in the vocabulary, -1 for one outside."""
-    shared = SparkSession.active().sparkContext.broadcast(names)
+def _pairs(names: pa.Array, window: int):
+    """``mapInArrow`` over token lists: pairs of tokens of the vocabulary at most ``window`` apart, counted a slice of tokens at a time."""
+    shared, size = SparkSession.active().sparkContext.broadcast(names), max(1, len(names))
 
-    @F.arrow_udf("array<int>")
-    def run(lists: pa.Array) -> pa.Array:
-        flat = pc.fill_null(pc.index_in(lists.flatten(), value_set=shared.value), -1).cast(pa.int32())
-        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), flat)
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("tokens")
+            flat = pc.fill_null(pc.index_in(lists.flatten(), value_set=shared.value), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            for lo in range(0, len(flat), PAIRS):  # a pair belongs to the slice of its first token
+                own, of = flat[lo : lo + PAIRS + window], row[lo : lo + PAIRS + window]
+                some = []
+                for k in range(1, window + 1):
+                    n = max(0, min(PAIRS, len(own) - k))
+                    i, j = own[:n], own[k : k + n]
+                    met = (i >= 0) & (j >= 0) & (of[:n] == of[k : k + n])
+                    some.append(i[met] * size + j[met])
+                pairs, n = np.unique(np.concatenate(some), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((pairs // size).astype(np.int32)), pa.array((pairs % size).astype(np.int32)), pa.array(n.astype(np.int64))], names=["i", "j", "n"])
 
     return run
 
 
 def co_occurrences(texts: DataFrame, text_col: str, names: pa.Array, window: int) -> DataFrame:
     """(``i``, ``j``, ``n``): how often two tokens of the vocabulary stand at most ``window`` apart, counted in both orders."""
-    seq = texts.select(_places(names)(tokens(F.col(text_col))).alias("seq"))
-    some = None
-    for k in range(1, window + 1):
-        rest = F.greatest(F.size("seq") - k, F.lit(0))
-        pairs = F.zip_with(F.slice("seq", F.lit(1), rest), F.slice("seq", F.lit(k + 1), rest), lambda a, b: F.struct(a.alias("i"), b.alias("j")))
-        some = pairs if some is None else F.concat(some, pairs)
-    rows = seq.select(F.inline(F.filter(some, lambda p: (p["i"] >= 0) & (p["j"] >= 0))))
-    once = rows.groupBy("i", "j").agg(F.count("*").alias("n"))
+    some = texts.select(tokens(F.col(text_col)).alias("tokens")).mapInArrow(_pairs(names, window), "i int, j int, n long")
+    once = stored(some.groupBy("i", "j").agg(F.sum("n").alias("n")), "pairs")  # read in both orders
     return once.unionByName(once.select(F.col("j").alias("i"), F.col("i").alias("j"), "n")).groupBy("i", "j").agg(F.sum("n").alias("n"))
 
 

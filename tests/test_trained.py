@@ -75,3 +75,32 @@ def test_few_tokens_and_no_text(spark):
     assert len(rows[0].v) == 8 and set(rows[1].v) == set(rows[2].v) == {0.0}
     none = T.train(spark.createDataFrame([(None,)], "text string"), dimensions=4)
     assert T.encode(spark.createDataFrame([("x",)], "text string"), none, "text", "v").first().v == [0.0] * 4
+
+
+def test_pairs_are_counted_across_slices(spark, monkeypatch):
+    """Co-occurrence counts against a count by hand, where texts are longer than a slice; null texts and foreign tokens add nothing."""
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdex") for _ in range(rng.randint(0, 40))) for _ in range(30)] + [None, ""]
+    names, want = pa.array(list("abcde")), Counter()
+    for t in texts:
+        w = (t or "").split()
+        for p, x in enumerate(w):
+            for y in w[p + 1 : p + 4]:
+                if "x" not in (x, y):
+                    want["abcde".index(x), "abcde".index(y)] += 1
+                    want["abcde".index(y), "abcde".index(x)] += 1
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(2)
+    assert {(r.i, r.j): r.n for r in T.co_occurrences(df, "t", names, 3).collect()} == dict(want)
+    monkeypatch.setattr(T, "PAIRS", 7)
+    lists = pa.array([(t or "").split() for t in texts])
+    got = Counter()
+    for b in T._pairs(names, 3)(iter([pa.RecordBatch.from_arrays([lists], names=["tokens"])])):
+        for r in b.to_pylist():
+            got[r["i"], r["j"]] += r["n"]
+            got[r["j"], r["i"]] += r["n"]
+    assert got == want
