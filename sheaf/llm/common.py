@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of UTF-8 text that a NumPy kernel works on at once; longer single texts are taken whole.
-SLICE_BYTES = (1 << 20) - 1
+SLICE_BYTES = (1 << 19) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -36,9 +36,10 @@ _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
 #: Multipliers of the byte hash and of the two word-sequence hashes; each is 5 modulo 8, so of longest period.
 BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A4D, 0xD1342543DE82EF95
+#: Powers kept for each base: 4 MB, enough for a slice of texts (``common.SLICE_BYTES``).
+KEPT_BITS = 19
 
 
-@cache
 def _powers(base: int, bits: int) -> np.ndarray:
     """base**i mod 2**64 for i below 2**bits, by repeated doubling."""
     out = np.ones(1 << bits, U64)
@@ -49,8 +50,14 @@ def _powers(base: int, bits: int) -> np.ndarray:
     return out
 
 
+@cache
+def _kept_powers(base: int) -> np.ndarray:
+    return _powers(base, KEPT_BITS)
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, max(10, int(n).bit_length()))[: n + 1]
+    """base**0 to base**n. A worker keeps one table a base, of 2**KEPT_BITS values; longer ones last for a call."""
+    return (_kept_powers(base) if n < 1 << KEPT_BITS else _powers(base, int(n).bit_length()))[: n + 1]
 
 
 def inverse(base: int) -> int:
