@@ -51,7 +51,7 @@ def line_words(offsets: np.ndarray, data: np.ndarray, levels: np.ndarray | None
     bits = max(1, int(len(feeds) + len(first)).bit_length())
     spare = 64 - bits - 8
     key = line.astype(U64) << U64(64 - bits) | level.astype(U64) << U64(spare) | words >> U64(64 - spare)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     line, words, level = line[order], words[order], level[order]
     new = np.ones(len(words), bool)
     new[1:] = (line[1:] != line[:-1]) | (words[1:] != words[:-1])
@@ -102,7 +102,7 @@ def _least_common(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _line_rows(shared, percent: int):
-    schema = pa.schema([("_id", pa.int64()), ("_h", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("c", pa.int64()), ("parity", pa.int64()), ("parity2", pa.int64()), ("words", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
+    schema = pa.schema([("_id", pa.int64()), ("_h", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("c", pa.int64()), ("parity", pa.int64()), ("parity2", pa.int64()), ("words", pa.list_(pa.int32())), ("skip", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
@@ -116,7 +116,7 @@ def _line_rows(shared, percent: int):
                 place = np.arange(len(line)) - np.repeat(begun, n)
                 asked = (place < np.repeat(n - _least_common(n, percent) + 1, n)) & (level >= 2)
                 per = np.add.reduceat(asked.astype(np.int64), begun)
-                some = per > 0
+                some = per > 0  # words that are alone come first, so those asked for have consecutive places
                 number = line[begun]
                 row = np.searchsorted(first_line, number, "right") - 1
                 take, ends = pa.array(row[some]), np.concatenate([[0], np.cumsum(per[some])])
@@ -126,7 +126,7 @@ def _line_rows(shared, percent: int):
                     pa.array((number - first_line[row])[some].astype(np.int32)), pa.array(n[some].astype(np.int32)),
                     pa.array(np.add.reduceat(mix(words), begun)[some].view(np.int64)),
                     *(pa.array(np.bitwise_xor.reduceat(np.where(words >> U64(63) == half, one, U64(0)), begun)[some].view(np.int64)) for half in (0, 1)),
-                    list_column((words[asked] >> U64(32)).astype(np.uint32).view(np.int32), ends, pa.int32()), list_column(place[asked].astype(np.int32), ends, pa.int32()),
+                    list_column((words[asked] >> U64(32)).astype(np.uint32).view(np.int32), ends, pa.int32()), pa.array(place[asked][ends[:-1]].astype(np.int32)),
                 ], schema=schema)
 
     return run
@@ -174,6 +174,16 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Earlier rows that a row of one word is compared with, at each end of them; a word with more rows is finished later.
 NEAR = 1024
+#: Pairs of rows that are compared at once.
+PAIRS = 1 << 17
+#: Candidates of a row in a word that are verified, the closest ones; a row with more that matches none is finished later.
+CLOSEST = 16
+
+
+def _allowed(percent: int, n1, n2):
+    """Words in which two matching sets of these sizes differ at most."""
+    both = n1 + n2
+    return both - 2 * -(-percent * both // (100 + percent))
 
 
 def _passes(percent: int, n1, p1, i1, n2, p2, i2, q1=0, q2=0) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +202,11 @@ def _unpacked(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
 
 
 def _closest(percent: int):
-    schema = pa.schema([("b", pa.int64()), ("bits", pa.int32()), ("a", pa.int64())])
+    """(``b``, ``open``, ``a``): the candidates of each class in each word; open: 1 if there may be more, without ``a`` if none was met.
+
+    One candidate is enough if it differs in a quarter of the bits that it may differ in; else the ``CLOSEST`` are taken.
+    """
+    schema = pa.schema([("b", pa.int64()), ("open", pa.int32()), ("a", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, cut = None, False  # rows of the word that the last batch ended in; whether some of them are missing
@@ -208,33 +222,20 @@ def _closest(percent: int):
                 cut = False
             begun = np.flatnonzero(np.diff(now["word"], prepend=now["word"][0] - 1))
             ends = np.append(begun[1:], len(now["word"]))
-            best = np.full(len(now["word"]), -1)
-            n, p, i, q = now["n"], now["parity"], now["place"], now["parity2"]
-            small = ends - begun <= 8
-            least = np.full(len(best), 1 << 30)
-            inside = np.repeat(small, ends - begun)
-            for back in range(1, 8):
-                at = np.flatnonzero(inside[back:] & (now["word"][back:] == now["word"][:-back])) + back
-                ok, bits = _passes(percent, n[at - back], p[at - back], i[at - back], n[at], p[at], i[at], q[at - back], q[at])
-                ok &= bits < least[at]
-                best[at[ok]], least[at[ok]] = at[ok] - back, bits[ok]
-            for lo, hi in zip(begun[~small].tolist(), ends[~small].tolist()):
-                for a in range(max(lo + 1, old if lo == 0 else 0), hi, 128):
-                    at, before = np.arange(a, min(a + 128, hi)), np.arange(lo, min(a + 128, hi) - 1)
-                    ok, bits = _passes(percent, n[None, before], p[None, before], i[None, before], n[at, None], p[at, None], i[at, None], q[None, before], q[at, None])
-                    bits = np.where(ok & (before[None] < at[:, None]), bits, 1 << 30)
-                    nearest = bits.argmin(axis=1)
-                    least[at] = bits[np.arange(len(at)), nearest]
-                    some = least[at] < 1 << 30
-                    best[at[some]] = before[nearest[some]]
-            best[:old] = -1
-            hit = best >= 0
-            open_ = np.zeros(len(best), bool)
+            u = now["u"]
+            # a class whose words share a hash has several rows of it, one after the other: it does not meet itself
+            rows = np.arange(len(u))
+            own = np.maximum.accumulate(np.where(np.diff(u, prepend=u[0] - 1) != 0, rows, 0))
+            own = np.maximum(own, np.repeat(begun, ends - begun))
+            open_ = np.zeros(len(u), bool)
             if cut:
                 open_[old : ends[0]] = True  # no match among the rows kept proves nothing
-            out = np.flatnonzero(hit | open_)
-            match = best[out]
-            yield pa.RecordBatch.from_arrays([pa.array(now["u"][out]), pa.array(least[out].astype(np.int32)), pa.array(now["u"][match], mask=match < 0)], schema=schema)
+            at, match = _candidates(percent, now, begun, own, rows[old:], open_)
+            alone = open_.copy()
+            alone[at] = False
+            alone = np.flatnonzero(alone)
+            out, match = np.concatenate([at, alone]), np.concatenate([match, alone])
+            yield pa.RecordBatch.from_arrays([pa.array(u[out]), pa.array(open_[out].astype(np.int32)), pa.array(u[match], mask=np.arange(len(out)) >= len(at))], schema=schema)
             last = slice(begun[-1], None)
             cut = cut and len(begun) == 1
             kept = {k: v[last] for k, v in now.items()}
@@ -244,6 +245,51 @@ def _closest(percent: int):
     return run
 
 
+def _candidates(percent: int, now, begun, own, rows, open_) -> tuple[np.ndarray, np.ndarray]:
+    """(row, earlier row) of the candidates of ``rows``; marks rows that have more of them in ``open_``.
+
+    begun: first row of each word; own: first row of a row's class in its word. Rows of one word and of sizes that can match lie
+    together once sorted, so other pairs are not made; ``PAIRS`` pairs are held at once, or those of one row.
+    """
+    n, p, i, q = (now[k] for k in ("n", "parity", "place", "parity2"))
+    word = np.repeat(np.arange(len(begun)), np.diff(begun, append=len(n))) << 32
+    order = np.argsort(word | n, kind="stable")
+    key = (word | n)[order]
+    lo = np.searchsorted(key, word[rows] | _least_common(n[rows], percent))
+    count = np.searchsorted(key, word[rows] | np.minimum(100 * n[rows] // percent, 0xFFFFFFFF), "right") - lo
+    some = count > 1
+    rows, lo, count = rows[some], lo[some], count[some]
+    total = np.cumsum(count)
+    cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, PAIRS), "right"))
+    found = [(rows[:0], rows[:0])]
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)]):
+        each = count[a:b]
+        y = np.repeat(rows[a:b], each)
+        x = order[np.arange(len(y)) + np.repeat(lo[a:b] - (total[a:b] - total[a] + each[0] - each), each)]
+        before = x < own[y]
+        x, y = x[before], y[before]
+        bits = np.bitwise_count((p[x] ^ p[y]).view(np.uint64)).astype(np.int64) + np.bitwise_count((q[x] ^ q[y]).view(np.uint64))
+        likely = bits * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+        x, y = x[likely], y[likely]
+        ok, bits = _passes(percent, n[x], p[x], i[x], n[y], p[y], i[y], q[x], q[y])
+        x, y, bits = x[ok], y[ok], bits[ok]
+        if not len(y):
+            continue
+        first = np.flatnonzero(np.diff(y, prepend=-1))
+        many = np.diff(first, append=len(y))
+        least = np.minimum.reduceat(bits << 32 | x, first)
+        near, least = least & 0xFFFFFFFF, least >> 32
+        row = y[first]
+        sure = 4 * least <= _allowed(percent, n[near], n[row])
+        found.append((row[sure], near[sure]))
+        open_[row] |= many > np.where(sure, 1, CLOSEST)
+        more = np.repeat(~sure, many)
+        x, y, bits, many = x[more], y[more], bits[more], many[~sure]
+        ranked = np.lexsort((x, bits, y))[np.arange(len(y)) - np.repeat(np.cumsum(many) - many, many) < CLOSEST]
+        found.append((y[ranked], x[ranked]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _words40(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Words of a column of sets, one after the other, and how many each set has."""
     offsets, data = utf8(column)
@@ -279,9 +325,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def looked(classes: DataFrame) -> DataFrame:
     """Packed rows of (prefix word, class): ``a`` = word and size, ``b`` = class number and place of the word, ``parity``, ``parity2``."""
-    each = classes.select("u", "n", "parity", "parity2", F.explode(F.arrays_zip("words", "places")).alias("w"))
-    place = F.least(F.col("w.places"), F.lit((1 << PLACE_BITS) - 1))
-    return each.select(F.shiftleft(F.col("w.words").cast("bigint"), 32).bitwiseOR(F.col("n").cast("bigint")).alias("a"),
+    each = classes.select("u", "n", "parity", "parity2", "skip", F.posexplode("words").alias("k", "word"))
+    place = F.least(F.col("skip") + F.col("k"), F.lit((1 << PLACE_BITS) - 1))
+    return each.select(F.shiftleft(F.col("word").cast("bigint"), 32).bitwiseOR(F.col("n").cast("bigint")).alias("a"),
                        F.shiftleft("u", PLACE_BITS).bitwiseOR(place.cast("bigint")).alias("b"), "parity", "parity2")
 
 
@@ -306,20 +352,20 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     A line is removed for one earlier match, so not all of them are looked for. Rows of (prefix word, class of lines) are
     sorted by word, then place, and each class meets the earlier ones with the word: all, or for a word with thousands of
-    classes the first and the last ``NEAR`` of them. The closest by parity is verified. Classes for which none of these is a
-    match though more might be (other candidates, or rows of a word that were not met) then meet all earlier classes of their words;
-    only words that they have are looked up again.
+    classes the first and the last ``NEAR`` of them. The closest by parity are verified (see ``_closest``). Classes for which none
+    of these is a match though more might be (further candidates, or rows of a word that were not met) then meet all earlier classes
+    of their words; only words that they have are looked up again.
 
     Classes are numbered in the order of their first lines, so rows carry one number instead of (id, hash, line). Each
     table is deleted once its last reader has run.
     """
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs))
-    kind = "_id long, _h long, line int, n int, c long, parity long, parity2 long, words array<int>, places array<int>"
+    kind = "_id long, _h long, line int, n int, c long, parity long, parity2 long, words array<int>, skip int"
     lines = written(docs.mapInArrow(_line_rows(shared, percent), kind), "lines")
     shared.destroy()
     # a set is known by the sum of its hashes, its parity and its size; the earliest line stands for it
     key, own = ["c", "parity", "n"], F.struct(F.col("_id").isNotNull().alias("known"), "_id", "_h", "line")
-    some = lines.groupBy(*key).agg(F.min(own).alias("first"), F.first("parity2").alias("parity2"), F.first("words").alias("words"), F.first("places").alias("places"))
+    some = lines.groupBy(*key).agg(F.min(own).alias("first"), F.first("parity2").alias("parity2"), F.first("words").alias("words"), F.first("skip").alias("skip"))
     some = written(some, "sets")
     met = lines.select("_id", "_h", "line", *key).join(some.select(*key, "first"), key)
     at = F.col("first")
@@ -328,13 +374,12 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     drop_written(lines)
     order = [F.col(f"first.{c}") for c in ("known", "_id", "_h", "line")]
     classes = some.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("u", F.monotonically_increasing_id())
-    classes = written(classes.select("u", "n", "parity", "parity2", "words", "places", "first._id", "first._h", "first.line"), "classes")
+    classes = written(classes.select("u", "n", "parity", "parity2", "words", "skip", "first._id", "first._h", "first.line"), "classes")
     drop_written(some)
 
     word = F.shiftright("a", 32)
     dealt = looked(classes).repartition(word).sortWithinPartitions(word, "b")
-    near = dealt.mapInArrow(_closest(percent), "b long, bits int, a long").groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x"))
-    near = written(near.select("b", "x.a"), "near")
+    near = written(dealt.mapInArrow(_closest(percent), "b long, open int, a long").groupBy("b", "a").agg(F.max("open").alias("open")), "near")
     drop_written()
     likely = near.where("a is not null")
 
@@ -344,20 +389,21 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
         key = [F.col("_id").isNotNull().alias("known"), F.coalesce("_id", F.lit(0)).alias("_id"), "_h"]
         names = ["known", "_id", "_h"]
         lists = classes.join(wanted, "u").select(*key, F.struct("line", "u").alias("x")).groupBy(*names).agg(F.collect_list("x").alias("lines"))
-        # rows that repeat an id and a text are asked once; both sides are dealt by the same columns
-        texts = packed(docs).select(*key, "_text").dropDuplicates(names)
+        lists = written(lists, "asked")
+        # rows that repeat an id and a text are asked once; both sides are dealt by the same columns; texts that are certainly not asked stay
+        texts = packed(docs.where(_among(lists, "_h")(F.col("_h")))).select(*key, "_text").dropDuplicates(names)
         return texts.join(lists, names).select("_text", "lines").mapInArrow(_wanted_sets, "u long, set binary")
 
     sets = written(sets_of(likely), "sets")
     drop_written()
     found = written(confirmed(likely, sets, percent), "found")
-    undecided = written(near.select("b").join(found, "b", "left_anti"), "undecided")
+    undecided = written(near.where("open > 0").select("b").distinct().join(found, "b", "left_anti"), "undecided")
     drop_written(sets)
 
     late = found
     if not undecided.isEmpty():
         fields = ["u", "n", "low", "high", "words"]
-        each = lambda some: some.withColumnsRenamed({"parity": "low", "parity2": "high"}).select(*fields, F.explode(F.arrays_zip("words", "places")).alias("w")).select(*fields, F.col("w.words").alias("word"), F.col("w.places").alias("place"))
+        each = lambda some: some.withColumnsRenamed({"parity": "low", "parity2": "high"}).select(*fields, "skip", F.posexplode("words").alias("k", "word")).select(*fields, "word", (F.col("skip") + F.col("k")).alias("place"))
         two = written(each(classes.join(undecided.select(F.col("b").alias("u")), "u", "left_semi")), "open")
         one = each(classes).where(_among(two, "word")(F.col("word")))
         one, two_ = (x.select("word", *(F.col(c).alias(f"{c}{k}") for c in (*fields, "place"))) for k, x in ((1, one), (2, two)))

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,3 +277,40 @@ def test_kneser_ney_counted_by_hand():
         known = {g for other in langs for g in levels[other][0]}
         for context in ("", "t", "th", "de", "qq"):
             assert abs(sum(probability(lang, context + c) for c in known) + probability(lang, context + "\0") - 1) < 1e-9
+
+
+def _line_stream(lines, rows, step):
+    """(b, open, a) of ``_closest`` for rows (word, class, place, words of its line), ``step`` of them in a batch."""
+    cells = [(w << 32 | n, u << lines.PLACE_BITS | place, parity, 0) for w, u, place, n, parity in rows]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*cells[k : k + step])], names=["a", "b", "parity", "parity2"]) for k in range(0, len(cells), step)]
+    return [r for batch in lines._closest(80)(iter(batches)) for r in zip(*(c.to_pylist() for c in batch.columns))]
+
+
+@pytest.mark.parametrize("step", [1, 3, 100])
+def test_a_class_does_not_meet_itself(step):
+    """Two words of a line whose hashes agree in 32 bits give two rows of one class: they are no candidates of each other."""
+    from sheaf.llm import lines
+
+    rows = [(5, 3, 0, 20, 77), (5, 3, 1, 20, 77), (5, 8, 0, 20, 77), (5, 8, 1, 20, 77), (6, 3, 2, 20, 77)]
+    assert {(b, a) for b, _, a in _line_stream(lines, rows, step)} == {(8, 3)}
+
+
+def test_all_close_lines_are_candidates():
+    """Lines whose nearest candidate is in doubt get every candidate at once, so that few are looked up again."""
+    from sheaf.llm import lines
+
+    flip = lambda *bits: sum(1 << k for k in bits)
+    rows = [(5, 1, 0, 20, flip(1, 2)), (5, 2, 0, 20, flip(3, 4)), (5, 3, 0, 20, flip(5, 6, 7)), (5, 4, 0, 20, 0)]
+    got = _line_stream(lines, rows, 100)
+    assert {a for b, _, a in got if b == 4} == {1, 2, 3} and not any(o for _, o, _ in got)
+
+
+def test_power_tables_of_slices_are_kept_once():
+    """A worker holds one table of powers a base, however many lengths the slices have."""
+    from sheaf.llm import words
+
+    one = words.powers(words.BYTE_BASE, 1000)
+    two = words.powers(words.BYTE_BASE, 200_000)
+    assert one.base is two.base and (two[:1001] == one).all()
+    long = words.powers(words.BYTE_BASE, 1 << words.KEPT_BITS)
+    assert len(long) == (1 << words.KEPT_BITS) + 1 and int(long[-1]) == pow(words.BYTE_BASE, 1 << words.KEPT_BITS, 1 << 64)
