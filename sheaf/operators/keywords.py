@@ -14,6 +14,11 @@ rules are a table of any size, and the test is an equi-join over an inverted ind
 
 Equal texts are looked up once. Index, texts and labels are stored before they are joined, so that both sides of each join
 are plain shuffles and adaptive execution can split a hot gram or a text that very many rows share.
+
+A large table of rules is taken in steps of ascending priority: the first about ``SAMPLED * FIRST`` rules, then ``GROWTH``
+times as many, and so on. A text that holds a rule of one step has its label, as all later rules come after it; only
+the others go on, and of the later rules only those are written whose grams occur in them. So neither the whole table of
+rules nor all pairs of a text and a rule that it holds are ever written.
 """
 
 from __future__ import annotations
@@ -30,6 +35,10 @@ GRAM = 4
 FILTER_BITS = 1 << 20
 #: Counters of texts by gram hash, a constant array of the plan whatever the data.
 COUNTERS = 1 << 17
+#: The rules of one in so many keyword hashes tell where a step ends, at the so manieth of them; each later step has so many times as many rules.
+SAMPLED, FIRST, GROWTH = 1024, 64, 8
+#: Bits of the table of gram hashes of the texts that go on to a later step, and grams of a keyword that are looked up there.
+LEFT_BITS, LOOKED_UP = 1 << 23, 4
 
 
 def grams(text: Column, size: int) -> Column:
@@ -43,32 +52,32 @@ def all_grams(text: Column, sizes: list[int]) -> Column:
     return F.concat(*(grams(text, s) for s in sizes))
 
 
-def _bucket(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(FILTER_BITS))
+def _bucket(gram: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(n))
 
 
 def _counter(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(COUNTERS)).cast("int")
 
 
-def _place(gram: Column) -> Column:
-    return F.floor(_bucket(gram) / 64).cast("int")
+def _place(gram: Column, n: int) -> Column:
+    return F.floor(_bucket(gram, n) / 64).cast("int")
 
 
-def _bit(gram: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), (_bucket(gram) % 64).cast("int"))
+def _bit(gram: Column, n: int) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), (_bucket(gram, n) % 64).cast("int"))
 
 
 def _passes(bits: list[int]):
-    """Whether a gram's hash is one of the keywords': a bit of a constant array of longs."""
-    table = long_array(bits)
-    return lambda gram: F.get(table, _place(gram)).bitwiseAND(_bit(gram)) != 0
+    """Whether a gram's hash is in the table: a bit of a constant array of longs."""
+    table, n = long_array(bits), 64 * len(bits)
+    return lambda gram: F.get(table, _place(gram, n)).bitwiseAND(_bit(gram, n)) != 0
 
 
-def _gram_bits(index: DataFrame) -> list[int]:
-    """The table of gram hashes as signed longs: at most ``FILTER_BITS`` / 64 rows come to the driver."""
-    gram, table = F.col("gram"), [0] * (FILTER_BITS // 64)
-    for r in index.groupBy(_place(gram).alias("place")).agg(F.bit_or(_bit(gram)).alias("bits")).collect():
+def _gram_bits(grams: DataFrame, n: int = FILTER_BITS) -> list[int]:
+    """The table of the hashes of column ``gram`` as signed longs: at most ``n`` / 64 rows come to the driver."""
+    gram, table = F.col("gram"), [0] * (n // 64)
+    for r in grams.groupBy(_place(gram, n).alias("place")).agg(F.bit_or(_bit(gram, n)).alias("bits")).collect():
         table[r["place"]] = r["bits"]
     return table
 
@@ -102,28 +111,73 @@ def _index(rules: DataFrame, texts: DataFrame, gram_size: int) -> tuple[DataFram
     return filed.select("rare.gram", "priority", "keyword", "label").distinct(), sizes
 
 
+def _best(texts: DataFrame, rules: DataFrame, gram_size: int) -> DataFrame:
+    """(``_text_key``, ``_label``) of the texts that hold one of the stored ``rules``: the label of the first."""
+    key = "_text_key"
+    index, sizes = _index(rules, texts, gram_size)
+    index = stored(index, "keyword-index")
+    passes = _passes(_gram_bits(index))
+    cut = texts.select(key, F.explode(F.filter(all_grams(F.col("text"), sizes), passes)).alias("gram"))
+    possible = cut.join(index, "gram").drop("gram")
+    held = texts.join(possible, key).where(F.contains("text", "keyword"))
+    best = held.groupBy(key).agg(F.min_by("label", F.struct("priority", "keyword", F.coalesce("label", F.lit("")))).alias("_label"), F.lit(True).alias("_held"))
+    return stored(best, "keyword-labels")
+
+
+def _step_end(rules: DataFrame, sampled: int):
+    """The priority up to which there are about ``sampled * FIRST`` rules; None if there are not so many. ``FIRST`` rows come to the driver.
+
+    The condition is on the keyword alone, so the optimizer puts it below a ``distinct`` over keywords.
+    """
+    some = rules.where(F.pmod(F.xxhash64("keyword"), F.lit(sampled)) == 0).select("priority").orderBy("priority").limit(FIRST).collect()
+    return some[-1]["priority"] if len(some) == FIRST else None
+
+
+def _possible(rules: DataFrame, texts: DataFrame, gram_size: int) -> DataFrame:
+    """``rules`` without those whose keyword has a gram that no text holds (a shared hash, or a gram not looked up, lets some pass).
+
+    Keywords shorter than ``gram_size`` all pass. Substrings at fixed places, which Spark compiles.
+    """
+    keyword = F.col("keyword")
+    n, keep = F.length(keyword), F.lit(True)
+    for size, fits in ((gram_size, (n >= gram_size) & (n < 2 * gram_size)), (2 * gram_size, n >= 2 * gram_size)):
+        passes = _passes(_gram_bits(texts.select(F.explode(grams(F.col("text"), size)).alias("gram")), LEFT_BITS))
+        places = [F.least(F.lit(1 + k * gram_size), n - size + 1) for k in range(LOOKED_UP if size > gram_size else 2)]
+        found = F.lit(True)
+        for at in places:
+            found = found & passes(keyword.substr(at, F.lit(size)))
+        keep = F.when(fits, found).otherwise(keep)
+    return rules.where(keep)
+
+
 def first_labels(df: DataFrame, text_col: str, rules: DataFrame, out_col: str = "label", default: str | None = None, gram_size: int = GRAM) -> DataFrame:
     """``df`` with ``out_col``: the label of the first rule (by ``priority``) whose ``keyword`` the text contains.
 
     ``rules``: (``priority``, ``keyword``, ``label``); of equal priorities the smaller keyword, then the smaller label, comes
     first. Matching is by code points and case-sensitive; lower-case both sides where needed. A null text, and one that
     contains no keyword, gets ``default``; rules with a null keyword or priority never match; an empty rule
-    table gives ``default`` throughout. Equal to ``functions.text.first_label`` with the rules in that order.
+    table gives ``default`` throughout. Equal to ``functions.text.first_label`` with the rules in that order. More than some
+    ``SAMPLED * FIRST`` rules are evaluated three times (store them first if that is dear).
     """
     rules = rules.select("priority", "keyword", "label").where("keyword IS NOT NULL AND priority IS NOT NULL")
-    name, key = F.col(text_col), "_text_key"
+    name, key, priority = F.col(text_col), "_text_key", F.col("priority")
     rows = df.withColumn(key, F.unhex(F.md5(name)))
-    rules = stored(rules, "keyword-rules")
-    if rules.isEmpty():
+    sampled = SAMPLED
+    end = _step_end(rules, sampled)
+    step = stored(rules if end is None else rules.where(priority <= F.lit(end)), "keyword-rules")
+    if end is None and step.isEmpty():
         return df.withColumn(out_col, F.lit(default).cast("string"))
-    texts = stored(rows.where(name.isNotNull()).select(key, name.alias("text")).dropDuplicates([key]), "keyword-texts")
-    index, sizes = _index(rules, texts, gram_size)
-    index = stored(index, "keyword-index")
-    passes = _passes(_gram_bits(index))
-    cut = texts.select(key, F.explode(F.filter(all_grams(F.col("text"), sizes), passes)).alias("gram"))
-    possible = cut.join(index, "gram").drop("gram")
-    held = texts.join(possible, key).where(F.contains("text", "keyword"))
-    best = held.groupBy(key).agg(F.min_by("label", F.struct("priority", "keyword", F.coalesce("label", F.lit("")))).alias("_label"), F.lit(True).alias("_held"))
-    best = stored(best, "keyword-labels")
-    out = rows.join(best, key, "left").withColumn(out_col, F.when(F.col("_held"), F.col("_label")).otherwise(F.lit(default)))
+    left = stored(rows.where(name.isNotNull()).select(key, name.alias("text")).dropDuplicates([key]), "keyword-texts")
+    best = _best(left, step, gram_size)
+    labels = best
+    while end is not None:
+        left = stored(left.join(best, key, "left_anti"), "keyword-texts")
+        if left.isEmpty():
+            break
+        rules = stored(_possible(rules.where(priority > F.lit(end)), left, gram_size), "keyword-rules")
+        sampled *= GROWTH
+        end = _step_end(rules, sampled)
+        best = _best(left, rules if end is None else rules.where(priority <= F.lit(end)), gram_size)
+        labels = labels.unionByName(best)
+    out = rows.join(labels, key, "left").withColumn(out_col, F.when(F.col("_held"), F.col("_label")).otherwise(F.lit(default)))
     return out.drop(key, "_label", "_held")
