@@ -36,7 +36,7 @@ FILTER_BITS = 1 << 20
 #: Counters of texts by gram hash, a constant array of the plan whatever the data.
 COUNTERS = 1 << 17
 #: The rules of one in so many keyword hashes tell where a step ends, at the so manieth of them; each later step has so many times as many rules.
-SAMPLED, FIRST, GROWTH = 1024, 64, 8
+SAMPLED, FIRST, GROWTH = 8192, 64, 8
 #: Bits of the table of gram hashes of the texts that go on to a later step, and grams of a keyword that are looked up there.
 LEFT_BITS, LOOKED_UP = 1 << 23, 4
 

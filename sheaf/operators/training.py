@@ -7,11 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.text import contains_any, render
+from sheaf.functions.text import contains_any, once, render
 from sheaf.rules import defaults as D
 from sheaf.rules.dialect import java_pattern
 
 
+#: A pair's prompt, lower-cased, holds one of these.
+PREFERENCE_NEEDLES = [n for needles, _ in D.PREFERENCE_RULES for n in needles]
+
+
 def corrupt_numbers(chosen: Column, pairs=D.NUMBER_CORRUPTIONS) -> Column:
     """PRF2: literal number swaps when any listed number occurs, else null."""
     swapped = chosen
@@ -20,9 +24,9 @@ def corrupt_numbers(chosen: Column, pairs=D.NUMBER_CORRUPTIONS) -> Column:
     return F.when(contains_any(chosen, [a for a, _ in pairs]), swapped)
 
 
-def rejected_text(instruction: Column, chosen: Column, rules=D.PREFERENCE_RULES) -> Column:
-    """PRF1: first matching rule on the lower-cased instruction; no fall-through once a branch is taken."""
-    low = F.lower(instruction)
+def rejected_text(instruction: Column, chosen: Column, rules=D.PREFERENCE_RULES, low: Column | None = None) -> Column:
+    """PRF1: first matching rule on the lower-cased instruction (``low``); no fall-through once a branch is taken."""
+    low = F.lower(instruction) if low is None else low
     out = None
     for needles, text in rules:
         value = corrupt_numbers(chosen) if text is None else F.lit(text)
@@ -33,11 +37,12 @@ def rejected_text(instruction: Column, chosen: Column, rules=D.PREFERENCE_RULES)
 
 def preference_pairs(records: DataFrame) -> DataFrame:
     """PRF1-3 + FLT3: ``prompt, chosen, rejected`` rows where rejected is non-empty and differs."""
-    chosen = F.coalesce(F.col("output"), F.lit(""))
-    prompt = F.col("instruction")
-    rej = rejected_text(F.coalesce(prompt, F.lit("")), chosen)
-    out = records.select(prompt.alias("prompt"), chosen.alias("chosen"), rej.alias("rejected"),
-                         *[c for c in ("origin", "rec_pos", "sub") if c in records.columns])
+    rows = records.select(F.col("instruction").alias("prompt"), F.coalesce(F.col("output"), F.lit("")).alias("chosen"),
+                          *[c for c in ("origin", "rec_pos", "sub") if c in records.columns])
+    prompt = F.coalesce(F.col("prompt"), F.lit(""))
+    low = once(rows, _low=F.lower(prompt))
+    out = once(low, rejected=rejected_text(prompt, F.col("chosen"), low=F.col("_low")))
+    out = out.select("prompt", "chosen", "rejected", *rows.columns[2:])
     return out.where(F.col("rejected").isNotNull() & (F.col("rejected") != "") & (F.col("rejected") != F.col("chosen")))
 
 
