@@ -31,14 +31,14 @@ from sheaf.session import stored
 
 #: Characters of a gram.
 GRAM = 4
-#: Bits of the table of gram hashes: 128 KB in the plan, whatever the number of keywords.
-FILTER_BITS = 1 << 20
+#: Bits of the table of gram hashes: 512 KB in the plan, whatever the number of keywords.
+FILTER_BITS = 1 << 22
 #: Counters of texts by gram hash, a constant array of the plan whatever the data.
 COUNTERS = 1 << 17
 #: The rules of one in so many keyword hashes tell where a step ends, at the so manieth of them; each later step has so many times as many rules.
 SAMPLED, FIRST, GROWTH = 8192, 64, 8
-#: Bits of the table of gram hashes of the texts that go on to a later step, and grams of a keyword that are looked up there.
-LEFT_BITS, LOOKED_UP = 1 << 23, 4
+#: Bits of each table of gram hashes of the texts that go on to a later step, and the lengths of those grams, in units of the gram size.
+LEFT_BITS, LEFT_SIZES = 1 << 23, (1, 2, 3, 4)
 
 
 def grams(text: Column, size: int) -> Column:
@@ -136,17 +136,18 @@ def _step_end(rules: DataFrame, sampled: int):
 def _possible(rules: DataFrame, texts: DataFrame, gram_size: int) -> DataFrame:
     """``rules`` without those whose keyword has a gram that no text holds (a shared hash, or a gram not looked up, lets some pass).
 
-    Keywords shorter than ``gram_size`` all pass. Substrings at fixed places, which Spark compiles.
+    Keywords shorter than ``gram_size`` all pass; of others the runs of the largest of ``LEFT_SIZES`` times ``gram_size`` that fits are
+    looked up, the first, the last, and of the longest runs one between: substrings at fixed places, which Spark compiles.
     """
     keyword = F.col("keyword")
     n, keep = F.length(keyword), F.lit(True)
-    for size, fits in ((gram_size, (n >= gram_size) & (n < 2 * gram_size)), (2 * gram_size, n >= 2 * gram_size)):
+    for size in (k * gram_size for k in LEFT_SIZES):
         passes = _passes(_gram_bits(texts.select(F.explode(grams(F.col("text"), size)).alias("gram")), LEFT_BITS))
-        places = [F.least(F.lit(1 + k * gram_size), n - size + 1) for k in range(LOOKED_UP if size > gram_size else 2)]
         found = F.lit(True)
-        for at in places:
+        between = [F.least(F.lit(1 + gram_size), n - size + 1)] if size == max(LEFT_SIZES) * gram_size else []
+        for at in (F.lit(1), n - size + 1, *between):
             found = found & passes(keyword.substr(at, F.lit(size)))
-        keep = F.when(fits, found).otherwise(keep)
+        keep = F.when(n >= size, found).otherwise(keep)
     return rules.where(keep)
 
 
